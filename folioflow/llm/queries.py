@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import secretscan, sentencepieces, tokencount
+from folioflow.llm import quality, secretscan, sentencepieces, tokencount, toxicity
 
 #: SentencePiece model for token counts, encoding and decoding.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,6 +17,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.classify(docs, quality.fit_documents(docs, _labels(spark, sf_dir)))
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.fit_documents(docs, _labels(spark, sf_dir)))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir), MODEL)
 
@@ -43,9 +57,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality_scores,
     "op4_token_counts": token_counts,
     "op6_sentencepiece": sentencepiece,
     "op7_secrets": secret_scan,
+    "op8_toxicity": toxicity_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {}
