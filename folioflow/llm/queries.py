@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import quality, secretscan, sentencepieces, tokencount, toxicity
+from folioflow.llm import fingerprint, quality, secretscan, sentencepieces, tokencount, toxicity
 
 #: SentencePiece model for token counts, encoding and decoding.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -56,12 +56,17 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op4_token_counts": token_counts,
     "op6_sentencepiece": sentencepiece,
     "op7_secrets": secret_scan,
     "op8_toxicity": toxicity_scores,
+    "op10_fingerprints": fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
