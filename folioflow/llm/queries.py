@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import fingerprint, quality, secretscan, sentencepieces, tokencount, toxicity
+from folioflow.llm import fingerprint, linededup, quality, secretscan, sentencepieces, tokencount, toxicity
+from folioflow.llm.storage import ship
 
 #: SentencePiece model for token counts, encoding and decoding.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -60,8 +62,14 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(_documents(spark, sf_dir))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
+    "op3_line_dedup": line_dedup,
     "op4_token_counts": token_counts,
     "op6_sentencepiece": sentencepiece,
     "op7_secrets": secret_scan,
@@ -69,4 +77,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Upper and lower case letters, and the white space that is stripped, in DuckDB's terms.
+_UPPER, _LOWER_CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": f"""
+        WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM parts),
+        keyed AS (SELECT *, translate(trim(line, {_BLANKS}), {_UPPER}, {_LOWER_CASE}) AS key FROM lines),
+        gone AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT keyed.*, gone.key IS NOT NULL AND doc_id <> last AS dropped FROM keyed LEFT JOIN gone ON keyed.key = gone.key)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE dropped))::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}

@@ -5,9 +5,13 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +47,28 @@ def ship(spark: SparkSession) -> None:
         archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}-package", "zip", package.parent, package.name)
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
+
+
+def map_texts(docs: DataFrame, fn: Callable[[], Callable], fields: str, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
+    """Columns that a map over whole texts adds.
+
+    fn() is called once a task and returns what turns an Arrow text column into one
+    array for each of the fields. Returns the id and the fields, or with keep all
+    columns of docs and the fields, where a field replaces a column of its name.
+    """
+    added = StructType.fromDDL(fields)
+    rest = [c for c in docs.columns if keep and c not in (id_col, text_col)]
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    carried = ["id", *(["text"] if keep else []), *(["rest"] if rest else [])]
+    names = [f"new_{i}" for i in range(len(added))]
+    schema = StructType([given.schema[c] for c in carried] + [StructField(n, f.dataType) for n, f in zip(names, added, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = fn()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *of(batch.column("text"))], [*carried, *names])
+
+    out = given.mapInArrow(run, schema)
+    shown = {id_col: F.col("id")} | ({text_col: F.col("text")} if keep else {}) | {c: F.col(f"rest.`{c}`") for c in rest}
+    shown = {c: shown[c] for c in docs.columns if c in shown} | {f.name: F.col(n) for n, f in zip(names, added, strict=True)}
+    return out.select(*[v.alias(k) for k, v in shown.items()])
