@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import fingerprint, linededup, quality, secretscan, sentencepieces, tokencount, toxicity
+from folioflow.llm import chat, fingerprint, linededup, neardup, quality, secretscan, sentencepieces, tokencount, toxicity
 from folioflow.llm.storage import ship
 
 #: SentencePiece model for token counts, encoding and decoding.
@@ -67,10 +67,27 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.link(_documents(spark, sf_dir), words=3, percent=85)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+#: Conversation -1, whose texts hold control strings.
+ODD_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, "user", ODD_TEXT), (-1, 1, "assistant", ODD_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digest(chat.examples(talks.unionByName(odd)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
+    "op2_chat_format": chat_format,
     "op3_line_dedup": line_dedup,
     "op4_token_counts": token_counts,
+    "op5_near_duplicates": near_duplicates,
     "op6_sentencepiece": sentencepiece,
     "op7_secrets": secret_scan,
     "op8_toxicity": toxicity_scores,
@@ -95,6 +112,40 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": f"""
+        WITH rows_ AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '{ODD_TEXT}'), (-1, 1, 'assistant', '{ODD_TEXT}')),
+        turns AS (
+            SELECT *, length('<|im_start|>') + length(replace(replace(role, '&', '&amp;'), '<|', '&lt;|')) + 1
+                      + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + length('<|im_end|>') + 1 AS size,
+                   row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n
+            FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        sized AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM turns)
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               (sum(upto) FILTER (WHERE role = 'assistant' OR place = n))::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
+    "op5_near_duplicates": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_UPPER}, {_LOWER_CASE}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: list_aggregate(w[i:i + 2], 'string_agg', ' ')))
+                                WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ') || '  '] ELSE [] END AS s FROM words),
+        same AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+        one AS (SELECT id, len(s) AS n, unnest(s) AS x FROM same),
+        pairs AS (SELECT a.id, b.id AS other, a.n + b.n - count(*) AS either, count(*) AS shared FROM one a JOIN one b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n),
+        links AS (SELECT id, other FROM pairs WHERE 100 * shared >= 85 * either),
+        steps AS (SELECT id, other FROM links UNION ALL SELECT other, id FROM links),
+        reach AS (SELECT id, id AS other FROM same UNION SELECT reach.id, steps.other FROM reach JOIN steps ON reach.other = steps.id),
+        found AS (SELECT id, min(other) AS component FROM reach GROUP BY id)
+        SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(found.component, sets.doc_id) AS component_id,
+               sets.doc_id = coalesce(found.component, sets.doc_id) AS kept
+        FROM sets LEFT JOIN same ON list_sort(sets.s) = same.s LEFT JOIN found ON same.id = found.id
+    """,
     "op3_line_dedup": f"""
         WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM parts),
