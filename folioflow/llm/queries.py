@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, fingerprint, linededup, neardup, quality, secretscan, sentencepieces, tokencount, toxicity
+from folioflow.llm import chat, decontaminate, fingerprint, linededup, neardup, quality, secretscan, sentencepieces, tokencount, toxicity
 from folioflow.llm.storage import ship
 
 #: SentencePiece model for token counts, encoding and decoding.
@@ -82,6 +82,10 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(talks.unionByName(odd)))
 
 
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_chat_format": chat_format,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": sentencepiece,
     "op7_secrets": secret_scan,
     "op8_toxicity": toxicity_scores,
+    "op9_benchmark_leaks": leaks,
     "op10_fingerprints": fingerprints,
 }
 
