@@ -16,7 +16,6 @@ Labels, language, source and ids are never inputs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import labelled
 from folioflow.llm import textbytes as tb
+from folioflow.llm.storage import map_texts
 
 #: Words in a window and from one window's start to the next; buckets and widths of the embeddings; units each way.
 WINDOW, STRIDE = 32, 24
@@ -189,12 +189,22 @@ def backward(model: dict[str, np.ndarray], x: np.ndarray, words: Words, windows:
     return slopes
 
 
-def _telling(buckets: np.ndarray, docs: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """Signed root of the likelihood ratio statistic of each bucket's document counts, scaled."""
-    pairs = np.unique(docs.astype(np.int64) * size + buckets)
-    buckets, y = pairs % size, labels[pairs // size]
-    yes, no = np.bincount(buckets[y == 1], minlength=size), np.bincount(buckets[y == 0], minlength=size)
-    share = labels.mean()
+def _document_counts(words: Words, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Documents of label 0 and of label 1 that hold each bucket of words and of grams."""
+    docs, inside = tb.owners(words.window_first), words.windows < len(words.word)
+    pairs = np.unique(np.repeat(docs, inside.sum(1)) * len(words.word) + words.windows[inside])
+    docs, which = pairs // max(1, len(words.word)), pairs % max(1, len(words.word))
+    size = np.diff(words.gram_first)[which]
+    at = np.repeat(words.gram_first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    counts = {}
+    for name, buckets, owner, most in (("word", words.word[which], docs, WORD_BUCKETS), ("gram", words.grams[at], np.repeat(docs, size), GRAM_BUCKETS)):
+        pairs = np.unique(owner * most + buckets)
+        counts[name] = np.stack([np.bincount((pairs % most)[labels[pairs // most] == c], minlength=most) for c in (0, 1)])
+    return counts
+
+
+def _telling(no: np.ndarray, yes: np.ndarray, share: float) -> np.ndarray:
+    """Signed root of the likelihood ratio statistic of document counts, scaled."""
     both = np.maximum(yes + no, 1)
     log = yes * np.log(np.maximum(yes, 1) / (both * share)) + no * np.log(np.maximum(no, 1) / (both * (1 - share)))
     return np.clip(np.sign(yes / both - share) * np.sqrt(np.maximum(2 * log, 0)) / 5, -1, 3)
@@ -206,6 +216,31 @@ def _window_logits(model: dict[str, np.ndarray], words: Words, step: int = 1 <<
     return np.concatenate(found) if found else np.zeros(0, np.float32)
 
 
+def _first_look(model: dict[str, np.ndarray], words: Words) -> np.ndarray:
+    """Each window's largest sum of the first components of a word's input."""
+    x = inputs_of(model, words)
+    x = np.append(x[:-1, 0] + x[:-1, WIDTH], -9)
+    return x[words.windows].max(1) if len(words.windows) else np.zeros(0)
+
+
+def _joined(parts: list[Words]) -> Words:
+    """The windows of all parts over the words of all parts."""
+    base = np.cumsum([0, *(len(p.word) for p in parts)])
+    windows = [np.where(p.windows < len(p.word), p.windows + low, base[-1]) for p, low in zip(parts, base, strict=False)]
+
+    def chained(firsts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for f in firsts] or [[]])))).astype(np.int64)
+
+    none = np.zeros(0, np.int32)
+    return Words(
+        np.concatenate([none, *(p.word for p in parts)]),
+        np.concatenate([none, *(p.grams for p in parts)]),
+        chained([p.gram_first for p in parts]),
+        np.concatenate([np.zeros((0, WINDOW), np.int64), *windows]),
+        chained([p.window_first for p in parts]),
+    )
+
+
 def _highest(logits: np.ndarray, window_first: np.ndarray) -> np.ndarray:
     """Each document's highest logit; minus infinity where it has no window."""
     full = window_first[:-1] < window_first[1:]
@@ -219,33 +254,27 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 0, batch: int = 128,
     """Adam (Adagrad for the embeddings) on the logistic loss, label 1 weighing PRIOR of all. epochs 0:
     so many that there are STEPS steps, 6 to 40. One class or no words: its prior."""
     labels, model, rng = np.asarray(labels, np.float32), initial(seed), np.random.default_rng(seed)
-    data, offsets = tb.text_column(texts)
-    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    words = read(data, offsets)
+    spans = list(tb.chunks(texts, CHUNK))
+    parts = [read(data, offsets) for _, _, data, offsets in spans]
+    words = _joined(parts)
     full = np.flatnonzero(np.diff(words.window_first))
     if len(set(labels[full].tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         model["out"][:], model["bias"][:] = 0, np.log(share / (1 - share))
         return model
     owner = tb.owners(words.window_first)
-    inside = words.windows < len(words.word)
-    docs, which = np.repeat(owner, inside.sum(1)), words.windows[inside]
-    model["word"][:, 0] = _telling(words.word[which], docs, labels, WORD_BUCKETS)
-    pairs = np.unique(docs * len(words.word) + which)
-    docs, which = pairs // len(words.word), pairs % len(words.word)
-    size = np.diff(words.gram_first)[which]
-    at = np.repeat(words.gram_first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    model["gram"][:, 0] = _telling(words.grams[at], np.repeat(docs, size), labels, GRAM_BUCKETS)
+    counts = [_document_counts(part, labels[low:high]) for part, (low, high, *_) in zip(parts, spans, strict=True)]
+    for name in ("word", "gram"):
+        model[name][:, 0] = _telling(*sum(c[name] for c in counts), labels.mean())
     share = labels[full].mean()
     epochs = epochs or int(np.clip(STEPS * batch // len(full), 6, 40))
     first, second, steps = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0
     for epoch in range(epochs):
         pace = rate * (1 - 0.9 * epoch / epochs)
         if epoch == 0:  # before anything is learned, the window with the most telling words stands for its document
-            x = inputs_of(model, words)
-            logits = np.where(inside, x[words.windows][:, :, 0] + x[words.windows][:, :, WIDTH], -9).max(1)
+            logits = np.concatenate([_first_look(model, part) for part in parts])
         else:
-            logits = _window_logits(model, words)
+            logits = np.concatenate([_window_logits(model, part) for part in parts])
         ranked = np.lexsort((logits, owner))
         picked = ranked[words.window_first[full + 1] - 1]
         plain = full[labels[full] == 0]
@@ -295,19 +324,14 @@ def score_column(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
     return np.where(np.isneginf(raw), 0.0, _sigmoid(raw.astype(np.float64)))
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, score from 0 to 1. Null, empty and blank texts score 0.
+def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """One row per document: id (with keep: every column) and score from 0 to 1. Null,
+    empty and blank texts score 0.
 
     A map over documents; the model, whose size is fixed, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_column(shared.value, batch.column(1)), pa.float64())], ["id", "score"])
-
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return out.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double").withColumnRenamed("id", id_col)
+    return map_texts(docs, lambda: lambda texts: [pa.array(score_column(shared.value, texts), pa.float64())], "score double", id_col, text_col, keep)
 
 
 def classify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
