@@ -18,7 +18,7 @@ def literal_occurrence(texts: DataFrame, passages: DataFrame, most_short: int =
     """
     words = F.split("excerpt", r"\s+")
     parted = passages.select(F.col("id").alias("passage_id"), "excerpt", F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)).alias("inner"))
-    parted = parted.select("passage_id", "excerpt", F.element_at(F.sort_array(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"].alias("word"))
+    parted = parted.select("passage_id", "excerpt", F.try_element_at(F.sort_array(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"].alias("word"))
     keyed = parted.where("word is not null and word <> ''")
     short = [tuple(r) for r in parted.where("word is null or word = ''").select("passage_id", "excerpt").limit(most_short + 1).collect()]
     if len(short) > most_short:
