@@ -31,11 +31,11 @@ from folioflow.llm.components import components
 from folioflow.llm.storage import written
 
 U = np.uint64
-#: Registers, their scale's base, rate and largest value; registers in a band.
-REGISTERS, BASE, RATE, TOP = 128, 1.02, 20.0, 65534
-BAND = 4
+#: Registers, their scale's base, rate and largest value; bands and registers in each.
+REGISTERS, BASE, RATE, TOP = 256, 1.02, 20.0, 65534
+BANDS, BAND = 32, 4
 #: How far below the threshold an estimate may fall for its pair to be verified (four standard errors).
-MARGIN = 0.15
+MARGIN = 0.1
 #: Members of a bucket that meet in one task at most.
 BLOCK = 512
 CHUNK = 1 << 21
@@ -89,12 +89,11 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 
 def _bands(registers: np.ndarray) -> np.ndarray:
-    n = registers.shape[1] // BAND
-    out = np.zeros((len(registers), n), U)
+    out = np.zeros((len(registers), BANDS), U)
     with np.errstate(over="ignore"):
         for k in range(BAND):
-            out = tb.mix(out * U(3) + registers[:, k::BAND][:, :n].astype(U) + U(1))
-        return tb.mix(out + np.arange(1, n + 1, dtype=U) * U(tb._STEP)).view(np.int64)
+            out = tb.mix(out * U(3) + registers[:, k * BANDS : (k + 1) * BANDS].astype(U) + U(1))
+        return tb.mix(out + np.arange(1, BANDS + 1, dtype=U) * U(tb._STEP)).view(np.int64)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -173,41 +172,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "id").join(b, "other").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("id", "other")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, other) of members of a bucket in different components that are likely links.
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (id, other) between members of a bucket in different components.
 
     A bucket's members are dealt to blocks, and each pair of blocks meets in a task of
-    its own, so no task has more than two blocks. A pair that shares several buckets
-    is made in one of them, the first by band.
+    its own, so no task has more than two blocks. There the sizes, the shingles that
+    members don't have alone (common) and the registers leave few pairs; the sets of
+    just their members are fetched, once a meeting, and compared. A pair that shares
+    several buckets is met in one of them, the first by band.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     dealt = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("with", meets).withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")})
-    kind = dict(members.dtypes)["id"]
+    kind, meeting = dict(members.dtypes)["id"], ["bucket", "low", "high"]
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        registers, n = _registers(rows["registers"].tolist()), rows["n"].to_numpy(np.int64)
+        registers, n, common = _registers(rows["registers"].tolist()), rows["n"].to_numpy(np.int64), rows["common"].to_numpy(np.int64)
         bands, component, own = _bands(registers), rows["component"].to_numpy(), rows["own"].to_numpy()
-        ids, bucket, found = rows["id"].to_numpy(), rows["bucket"].iloc[0], []
-        order = np.argsort(ids, kind="stable")
+        ids, bucket, found, needed = rows["id"].to_numpy(), rows["bucket"].iloc[0], {}, set()
         same_block = rows["low"].iloc[0] == rows["high"].iloc[0]
-        for i in order:
-            ok = (component != component[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        for i in range(len(ids)):
+            most = np.minimum(common, common[i])  # two members share no shingle that either has alone
+            ok = (component != component[i]) & (ids > ids[i]) & (100 * most >= percent * (n + n[i] - most))
             if not same_block:
                 ok &= own != own[i]
             at = np.flatnonzero(ok)
             if len(at):
                 shared = bands[at] == bands[i]
                 at = at[bands[i][shared.argmax(1)] == bucket]
+            if len(at):
+                # the share of equal registers is an estimate of its own, coarser but cheap
+                at = at[(registers[at] == registers[i]).mean(1) >= percent / 100 - MARGIN - 0.05]
             if len(at):
                 guess = estimate(registers[at], np.repeat(registers[i : i + 1], len(at), 0), n[at], np.full(len(at), n[i]))
-                found += [(ids[i], ids[j]) for j in at[guess >= percent / 100 - MARGIN]]
-        return pd.DataFrame(found, columns=["id", "other"])
-
-    given = dealt.select("id", "bucket", "component", "n", "registers", "own", "low", "high")
-    return given.groupBy("bucket", "low", "high").applyInPandas(meet, f"id {kind}, other {kind}")
+                at = at[guess >= percent / 100 - MARGIN]
+            if len(at):
+                found[i] = ids[at].tolist()
+                needed |= {i, *at.tolist()}
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        return pd.DataFrame([(bucket, low, high, ids[i], found.get(i, [])) for i in sorted(needed)], columns=[*meeting, "id", "others"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(rows["id"], rows["shingles"], strict=True))
+        links = []
+        for i, others in zip(rows["id"], rows["others"], strict=True):
+            for j in others:
+                both = len(np.intersect1d(held[i], held[j], assume_unique=True))
+                if 100 * both >= percent * (len(held[i]) + len(held[j]) - both):
+                    links.append((i, j))
+        return pd.DataFrame(links, columns=["id", "other"])
+
+    given = dealt.select(*meeting, "id", "component", "n", "common", "registers", "own")
+    # little data but much work in each group: more tasks than its bytes alone would give
+    parts = 4 * int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = given.repartition(parts, *meeting).groupBy(*meeting).applyInPandas(meet, f"bucket bigint, low int, high int, id {kind}, others array<{kind}>")
+    near = written(near, "near").join(sets, "id").select(*meeting, "id", "others", "shingles")
+    return near.repartition(parts, *meeting).groupBy(*meeting).applyInPandas(compare, f"id {kind}, other {kind}")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,7 +247,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     classes = written(
         full.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes"
     )
-    buckets = written(_buckets(classes), "buckets")
+    buckets = _buckets(classes)
     leaders = buckets.groupBy("bucket").agg(F.min("id").alias("other"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = written(buckets.join(leaders, "bucket"), "shared")
     pairs = written(_likely(shared.where("id <> other").select("id", "other").distinct(), classes, percent), "pairs")
@@ -242,11 +264,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
             .groupBy("id")
             .agg(F.count("*").alias("own"))
         )
-        able = apart.join(alone, "id", "left").where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).drop("own")
+        able = apart.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("common") >= percent * F.col("n")).drop("own")
         # members set aside can leave a bucket with one component
         mixed = able.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        more = written(_across(able.join(mixed, "bucket"), percent).distinct(), "more")
-        links = written(links.unionByName(_verified(more, sets, percent)), "links")
+        able = able.join(mixed, "bucket").join(classes.select("id", "registers"), "id")
+        links = written(links.unionByName(_across(able, sets, percent)), "links")
     found = components(links)
     named = classes.select("set_a", "set_b", F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "class").alias("component"))
@@ -266,4 +288,4 @@ def _apart(shared: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame
     """The members of the buckets whose members fall into several components."""
     known = shared.select("id", "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    return written(known.join(mixed, "bucket").join(classes.select("id", "n", "registers"), "id"), "apart")
+    return written(known.join(mixed, "bucket").join(classes.select("id", "n"), "id"), "apart")

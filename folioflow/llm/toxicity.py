@@ -33,7 +33,7 @@ WORD_BUCKETS, GRAM_BUCKETS, WIDTH, UNITS = 1 << 18, 1 << 17, 4, 8
 #: Lengths of the beginnings of a word that are inputs, in bytes with the edge before it.
 PREFIXES = (5, 6, 8)
 #: Labelled documents of label 0 and of label 1 that are fitted on, at most, and the longest of them in code points.
-PER_CLASS, MAX_FIT_CHARS = (3500, 1500), 20_000
+PER_CLASS, MAX_FIT_CHARS = (3000, 1200), 20_000
 #: How much slower the embeddings learn.
 SLOW = 0.05
 #: The share of all weight that label 1 has in the fit.
@@ -62,7 +62,7 @@ def windows_of(first: np.ndarray, pad: int, which: np.ndarray) -> tuple[np.ndarr
     owner = np.repeat(np.arange(len(n)), count)
     at = first[owner] + (np.arange(len(owner)) - window_first[owner]) * STRIDE
     place = at[:, None] + np.arange(WINDOW)
-    return np.append(which, pad)[np.where(place < first[owner + 1][:, None], place, len(which))], window_first
+    return np.append(which, pad).astype(np.int32)[np.where(place < first[owner + 1][:, None], place, len(which))], window_first
 
 
 def read(data: np.ndarray, offsets: np.ndarray) -> Words:
@@ -192,7 +192,7 @@ def backward(model: dict[str, np.ndarray], x: np.ndarray, words: Words, windows:
 def _document_counts(words: Words, labels: np.ndarray) -> dict[str, np.ndarray]:
     """Documents of label 0 and of label 1 that hold each bucket of words and of grams."""
     docs, inside = tb.owners(words.window_first), words.windows < len(words.word)
-    pairs = np.unique(np.repeat(docs, inside.sum(1)) * len(words.word) + words.windows[inside])
+    pairs = np.unique(np.repeat(docs, inside.sum(1)).astype(np.int64) * len(words.word) + words.windows[inside])
     docs, which = pairs // max(1, len(words.word)), pairs % max(1, len(words.word))
     size = np.diff(words.gram_first)[which]
     at = np.repeat(words.gram_first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -210,7 +210,7 @@ def _telling(no: np.ndarray, yes: np.ndarray, share: float) -> np.ndarray:
     return np.clip(np.sign(yes / both - share) * np.sqrt(np.maximum(2 * log, 0)) / 5, -1, 3)
 
 
-def _window_logits(model: dict[str, np.ndarray], words: Words, step: int = 1 << 14) -> np.ndarray:
+def _window_logits(model: dict[str, np.ndarray], words: Words, step: int = 1 << 12) -> np.ndarray:
     x = inputs_of(model, words)
     found = [forward(model, x, words.windows[i : i + step]) for i in range(0, len(words.windows), step)]
     return np.concatenate(found) if found else np.zeros(0, np.float32)
@@ -226,7 +226,7 @@ def _first_look(model: dict[str, np.ndarray], words: Words) -> np.ndarray:
 def _joined(parts: list[Words]) -> Words:
     """The windows of all parts over the words of all parts."""
     base = np.cumsum([0, *(len(p.word) for p in parts)])
-    windows = [np.where(p.windows < len(p.word), p.windows + low, base[-1]) for p, low in zip(parts, base, strict=False)]
+    windows = [np.where(p.windows < len(p.word), p.windows + low, base[-1]).astype(np.int32) for p, low in zip(parts, base, strict=False)]
 
     def chained(firsts: list[np.ndarray]) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for f in firsts] or [[]])))).astype(np.int64)
@@ -236,7 +236,7 @@ def _joined(parts: list[Words]) -> Words:
         np.concatenate([none, *(p.word for p in parts)]),
         np.concatenate([none, *(p.grams for p in parts)]),
         chained([p.gram_first for p in parts]),
-        np.concatenate([np.zeros((0, WINDOW), np.int64), *windows]),
+        np.concatenate([np.zeros((0, WINDOW), np.int32), *windows]),
         chained([p.window_first for p in parts]),
     )
 
@@ -263,9 +263,12 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 0, batch: int = 128,
         model["out"][:], model["bias"][:] = 0, np.log(share / (1 - share))
         return model
     owner = tb.owners(words.window_first)
-    counts = [_document_counts(part, labels[low:high]) for part, (low, high, *_) in zip(parts, spans, strict=True)]
-    for name in ("word", "gram"):
-        model[name][:, 0] = _telling(*sum(c[name] for c in counts), labels.mean())
+    counts = {"word": np.zeros((2, WORD_BUCKETS), np.int64), "gram": np.zeros((2, GRAM_BUCKETS), np.int64)}
+    for part, (low, high, *_) in zip(parts, spans, strict=True):
+        for name, found in _document_counts(part, labels[low:high]).items():
+            counts[name] += found
+    for name, (no, yes) in counts.items():
+        model[name][:, 0] = _telling(no, yes, labels.mean())
     share = labels[full].mean()
     epochs = epochs or int(np.clip(STEPS * batch // len(full), 6, 40))
     first, second, steps = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0
