@@ -29,8 +29,8 @@ from folioflow.llm import textbytes as tb
 U = np.uint64
 #: How many names of each level are listed at most, and how many a level needs for a comparison.
 LISTED, FEW = (12, 24, 48), 6
-#: Texts to a range of ids, about, and ranges at most.
-PER_PART, MAX_PARTS = 4000, 2048
+#: Texts to a range of ids, about; ranges between quantiles of the ids, and equal steps of each, at most.
+PER_PART, MAX_RANGES, MAX_STEPS = 4000, 2048, 64
 CHUNK = 1 << 19
 
 
@@ -179,16 +179,20 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The next document is that of the next id (null ids come first, ties go by a hash of
     the text); after the last comes the first. Documents are dealt to ranges of ids,
     each text once; a range's first document also goes to the range before as its last
-    row's successor. The ranges' limits are quantiles of the ids, a range for per_part
-    documents up to MAX_PARTS; only limits and first ids, so many at most, come to the
-    driver, and each range is sorted by Spark and read as a stream.
+    row's successor. There is a range for per_part documents: its limits are quantiles
+    of the ids, up to MAX_RANGES of them, and beyond that each is parted into up to
+    MAX_STEPS equal steps of ids. Only limits and first ids, so many at most, come to
+    the driver; each range is a task of its own, sorted by Spark and read as a stream.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = min(MAX_PARTS, max(1, -(-texts.count() // per_part)))
-    limits = texts.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    n, least, most = texts.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    parts = max(1, -(-n // per_part))
+    ranges = min(MAX_RANGES, parts)
+    limits = texts.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 and least is not None else []
     limits = sorted({int(x) for x in limits})
-    part = F.when(F.col("id").isNull(), 0).otherwise(_count_up_to(F.col("id"), limits)).cast("int")
+    part = _count_up_to(F.col("id"), limits) if least is None else _range_of(F.col("id"), [least, *limits, most + 1], min(MAX_STEPS, -(-parts // ranges)))
+    part = F.when(F.col("id").isNull(), 0).otherwise(part).cast("int")
     texts = texts.withColumns({"part": part, "tie": F.xxhash64("text")})
     firsts = [tuple(r) for r in texts.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("x")).select("part", "x.id", "x.tie").orderBy("part").collect()]
     if not firsts:
@@ -198,7 +202,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = heads.groupBy("before").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
     heads = heads.select("id", "text", F.col("before").alias("part"), "tie", F.lit(True).alias("head"))
     both = texts.withColumn("head", F.lit(False)).unionByName(heads)
-    dealt = both.repartition(len(firsts), "part").sortWithinPartitions("part", "head", F.col("id").asc_nulls_first(), "tie")
+    dealt = both.repartitionById(firsts[-1][0] + 1, "part").sortWithinPartitions("part", "head", F.col("id").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, size, at = [], [], 0, None
@@ -216,14 +220,22 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return dealt.select("id", "text", "part", "head").mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
 
 
-def _count_up_to(value, limits: list[int]):
-    """How many of the sorted limits are at most the value, by a balanced tree of comparisons."""
-    if not limits:
-        return F.lit(0)
+def _range_of(value, limits: list[int], steps: int):
+    """The number of the value's range between neighbouring limits, each parted into equal steps."""
+
+    def step(k: int):
+        width = max(1, -(-(limits[k + 1] - limits[k]) // steps))
+        return F.lit(k * steps) + F.floor((value - limits[k]) / width) if steps > 1 else F.lit(k)
+
+    return _count_up_to(value, limits[1:-1], step)
+
+
+def _count_up_to(value, limits: list[int], of=F.lit):
+    """How many of the sorted limits are at most the value (or `of` of that), by a balanced tree of comparisons."""
 
     def tree(low: int, high: int):
         if low == high:
-            return F.lit(low)
+            return of(low)
         middle = (low + high) // 2
         return F.when(value < limits[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
 

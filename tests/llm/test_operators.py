@@ -474,7 +474,9 @@ def test_phrases_are_short():
     assert sizes.min() >= 2 and sizes.max() <= 14
 
 
-def test_edits(spark):
+@pytest.mark.parametrize("ranges", [2048, 3])
+def test_edits(spark, monkeypatch, ranges):
+    monkeypatch.setattr(fingerprint, "MAX_RANGES", ranges)
     rows = [(i, t) for i, t, _ in ODD if i != 5] + [(50, "x" * 11), (30, "é😀" * 40), (-4, "first")]
     for per_part in (4000, 2):
         got = {r.doc_id: r for r in fingerprint.compare_edits(spark.createDataFrame(rows, "doc_id long, text string"), per_part=per_part).collect()}
