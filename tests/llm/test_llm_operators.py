@@ -470,7 +470,7 @@ def test_phrases_are_short():
     rng = np.random.default_rng(0)
     symbols = tb.mix(rng.integers(0, 50, 20_000).astype(np.uint64))
     symbols = symbols[np.concatenate(([True], symbols[1:] != symbols[:-1]))]
-    sizes = np.diff(fingerprint.cuts(symbols, np.array([0])))
+    sizes = np.diff(fingerprint.cuts(symbols, np.array([0])))[1:]  # the first phrase begins at the edge, not at a maximum
     assert sizes.min() >= 2 and sizes.max() <= 14
 
 
