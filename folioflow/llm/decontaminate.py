@@ -24,7 +24,7 @@ from folioflow.llm.storage import written
 U = np.uint64
 #: Words in a window; items of fewer words are one window, if they have as many as the second.
 WINDOW, SHORTEST = 8, 4
-#: The share of an item's windows that must match, and literal words of a template's window, at least.
+#: The share of an item's windows that must match, and of a window's words, those that must be literal on a diagonal of templates, at least.
 SHARE, LITERAL = 0.5, 0.6
 #: Windows of a benchmark that are broadcast at most; beyond, all windows go through the join.
 MAX_BROADCAST = 500_000
@@ -79,8 +79,7 @@ def _windows(words: np.ndarray, template: np.ndarray, slots: np.ndarray, first:
     at = np.flatnonzero(np.arange(len(words)) + size <= first[1:][owner]) if len(words) else np.zeros(0, np.int64)
     yield tb.rolling(words, size)[at] ^ _PLAIN, at, False
     filled = np.concatenate(([0], np.cumsum(slots != 0)))
-    n = filled[at + size] - filled[at]
-    at = at[(n > 0) & (size - n >= LITERAL * size)]
+    at = at[filled[at + size] > filled[at]]
     yield tb.rolling(template, size)[at], at, True
 
 
@@ -132,27 +131,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     """id, item, n_windows, n_matched, n_verbatim: a row for each document and item that it holds.
 
     Held means that at least the share of the item's windows match, on diagonals whose
-    slots are consistent. Items of fewer than SHORTEST words are in no document; null
+    slots are consistent and which match as many literal words, all windows together,
+    as the share LITERAL of one window; other diagonals count by plain words. Items of fewer than SHORTEST words are in no document; null
     and empty texts hold nothing; rows with null ids are left out; rows that repeat an
     id count as one document.
     """
     sizes = tuple(range(SHORTEST, WINDOW + 1))
     wanted = written(windows(benchmark, item_col, "text", sizes, whole=True), "benchmark_windows")
     wanted = wanted.select(F.col("id").alias("item"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "n_windows")
+    literal = F.filter(F.transform("item_slots", lambda v, i: F.when(v == 0, F.col("item_place") + i)), lambda w: w.isNotNull())
+    wanted = wanted.withColumns({"literal": literal, "least": F.ceil(LITERAL * F.size("item_slots"))})
     n, among = wanted.count(), None
     if n <= MAX_BROADCAST:
         among = np.array([r["hash"] for r in wanted.select("hash").distinct().collect()], np.int64).view(U)
     hits = windows(docs, id_col, text_col, sizes, among).drop("n_windows")
     found = hits.join(F.broadcast(wanted) if n <= MAX_BROADCAST else wanted, "hash")
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: p["a"] != 0)
-    found = found.select("id", "item", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), (F.size("slots") == 0).alias("plain"), pairs.alias("pairs"))
+    found = found.select(
+        "id", "item", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), (F.size("slots") == 0).alias("plain"), "literal", "least", pairs.alias("pairs")
+    )
     lined = found.groupBy("id", "item", "diagonal").agg(
         F.max("n_windows").alias("n_windows"),
         F.collect_set("item_place").alias("places"),
         F.collect_set(F.when(F.col("plain"), F.col("item_place"))).alias("verbatim"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        (F.size(F.array_distinct(F.flatten(F.collect_set("literal")))) >= F.max("least")).alias("literal"),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
+    consistent = F.col("literal") & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
     lined = lined.withColumn("places", F.when(consistent, F.col("places")).otherwise(F.col("verbatim")))
     merged = lined.groupBy("id", "item").agg(
         F.max("n_windows").alias("n_windows"),

@@ -427,6 +427,25 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_dense_in_slots(spark):
+    """Items most of whose windows have few literal words; a list of names and numbers alone holds nothing."""
+    items = [
+        "A train travels 60 miles in 2 hours and then 90 miles in 3 hours, what is its average speed in mph?",
+        "If Tom pays 5 dollars for 3 pens and Anna pays 8 dollars for 4 pens, who pays less?",
+        "Here are Anna Miller 12 kg 40 cm Bob Stone 13 kg 50 cm Carl Wood 14 kg 60 cm",
+    ]
+    rows = [
+        "So: a train travels 75 miles in 4 hours and then 20 miles in 1 hours, what is its average speed in mph? Done",
+        "So: if Eve pays 7 dollars for 6 pens and Mary pays 9 dollars for 2 pens, who pays less?",
+        "so there were Dora Klein 15 kg 70 cm Emil Gross 16 kg 80 cm Fred Lang 17 kg 90 cm",
+        "So: if Eve pays 7 dollars for 6 pens and Eve pays 9 euros for 6 pens, who pays less?",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.n_matched, r.n_verbatim) for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(found) == {(0, 0), (1, 1)} and all(m > v for m, v in found.values())
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
