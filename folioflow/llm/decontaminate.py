@@ -3,7 +3,8 @@
 Numbers, units after numbers and names (capitalised inside a sentence) of a text are
 replaced by typed placeholders; what they stood for are the slots. Windows of the
 resulting template, and of the plain words, are hashed and joined with those of the
-benchmark's items. Matching windows of one document and item on one diagonal must
+benchmark's items; some windows leave one word free, so that words beside a changed one
+match too. Matching windows of one document and item on one diagonal must
 fill slots consistently: a value of the item always by the same value of the
 document. So a question asked again with other numbers or names is caught, and a
 chance likeness of templates isn't.
@@ -11,7 +12,8 @@ chance likeness of templates isn't.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,13 @@ from folioflow.llm.storage import written
 U = np.uint64
 #: Words in a window; items of fewer words are one window, if they have as many as the second.
 WINDOW, SHORTEST = 8, 4
-#: The share of an item's windows that must match, and of a window's words, those that must be literal on a diagonal of templates, at least.
+#: (words, the free one's place or -1) of the windows of items: of each size as a whole, with any one word free, and with the middle word free.
+WHOLE, ANY_FREE, SPLIT = [(n, -1) for n in range(SHORTEST, WINDOW + 1)], [(WINDOW, k) for k in range(WINDOW)], (WINDOW + 1, WINDOW // 2)
+#: Words of an item that are a leak if they match on one diagonal.
+LONG = 13
+#: In a window's slots, the free word; slots are odd.
+FREE = 2
+#: The share of an item's windows whose words must match, next to each other or not, and of a window's words, those that must be literal on a diagonal of templates, at least.
 SHARE, LITERAL = 0.5, 0.6
 #: Windows of a benchmark that are broadcast at most; beyond, all windows go through the join.
 MAX_BROADCAST = 500_000
@@ -73,21 +81,35 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return words, template, np.where(number | unit | name, words | U(1), U(0)), first
 
 
-def _windows(words: np.ndarray, template: np.ndarray, slots: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def _windows(rolled: Callable[[bool, int], np.ndarray], slots: np.ndarray, first: np.ndarray, size: int, free: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(hashes, first word) of the windows of so many words: plain ones, then templates with slots."""
     owner = tb.owners(first)
-    at = np.flatnonzero(np.arange(len(words)) + size <= first[1:][owner]) if len(words) else np.zeros(0, np.int64)
-    yield tb.rolling(words, size)[at] ^ _PLAIN, at, False
+    at = np.flatnonzero(np.arange(len(slots)) + size <= first[1:][owner]) if len(slots) else np.zeros(0, np.int64)
+
+    def hashes(templated: bool, at: np.ndarray) -> np.ndarray:
+        if free < 0:
+            return rolled(templated, size)[at]
+        out = np.full(len(at), tb.mix(np.array([1000 * size + free], U))[0])
+        for low, n in ((0, free), (free + 1, size - free - 1)):
+            if n:
+                out = tb.mix(out ^ rolled(templated, n)[at + low])
+        return out
+
+    yield hashes(False, at) ^ _PLAIN, at, False
     filled = np.concatenate(([0], np.cumsum(slots != 0)))
-    at = at[filled[at + size] > filled[at]]
-    yield tb.rolling(template, size)[at], at, True
+    n = filled[at + size] - filled[at]
+    if free >= 0:
+        n -= slots[at + free] != 0
+    at = at[n > 0]
+    yield hashes(True, at), at, True
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...], among: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """id, hash, place, slots, n_windows: the windows of each text, or those whose hash is in `among`.
+def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int, int]], among: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """id, hash, place, slots, size, free, n_words: the windows of each text, or those whose hash is in `among`.
 
-    With whole, a text of fewer words than the largest size is one window, if it has
-    the smallest at least; n_windows is the number of its places.
+    With whole, a text of fewer words than WINDOW is one window, if it has SHORTEST at
+    least; longer ones have all of that size, and from WINDOW + 1 words on those with
+    any one word free, from twice WINDOW on with the middle word of WINDOW + 1 free.
     """
     kind = dict(docs.dtypes)[id_col]
     shared = None if among is None else docs.sparkSession.sparkContext.broadcast(np.sort(among))
@@ -101,11 +123,16 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...],
             for low, _, data, offsets in tb.chunks(batch.column(1)):
                 words, template, slots, first = canonical(data, offsets)
                 owner, n_words = tb.owners(first), np.diff(first)
-                for size in sizes:
-                    for hashes, at, templated in _windows(words, template, slots, first, size):
+                rolled = cache(lambda templated, n, of=(words, template): tb.rolling(of[templated], n))
+                for size, free in shapes:
+                    for hashes, at, templated in _windows(rolled, slots, first, size, free):
                         keep = np.ones(len(at), bool)
-                        if whole:
-                            keep = (n_words[owner[at]] == size) | ((n_words[owner[at]] >= size) & (size == max(sizes)))
+                        if whole and (size, free) == SPLIT:
+                            keep = n_words[owner[at]] >= 2 * WINDOW
+                        elif whole and free >= 0:
+                            keep = (n_words[owner[at]] > WINDOW) & (n_words[owner[at]] < 2 * WINDOW)
+                        elif whole:
+                            keep = (n_words[owner[at]] == size) | ((n_words[owner[at]] >= size) & (size == WINDOW))
                         if keys is not None and len(keys):
                             keep &= maybe[(hashes >> U(44)).astype(np.int64)]
                             hit = np.flatnonzero(keep)
@@ -114,57 +141,68 @@ def windows(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...],
                             keep[:] = False
                         at, hashes = at[keep], hashes[keep]
                         taken = slots[at[:, None] + np.arange(size)].view(np.int64) if templated else np.zeros((len(at), 0), np.int64)
+                        if templated and free >= 0:
+                            taken[:, free] = FREE
                         lists = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * taken.shape[1]).astype(np.int32)), pa.array(taken.ravel()))
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column(0).take(pa.array(owner[at] + low)), pa.array(hashes.view(np.int64)), pa.array(at - first[owner[at]]), lists,
-                                pa.array(np.maximum(n_words[owner[at]] - size, 0) + 1),
+                                pa.array(np.full(len(at), size)), pa.array(np.full(len(at), free)), pa.array(n_words[owner[at]]),
                             ],
-                            ["id", "hash", "place", "slots", "n_windows"],
+                            ["id", "hash", "place", "slots", "size", "free", "n_words"],
                         )
 
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, f"id {kind}, hash bigint, place bigint, slots array<bigint>, n_windows bigint")
+    return given.mapInArrow(run, f"id {kind}, hash bigint, place bigint, slots array<bigint>, size bigint, free bigint, n_words bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """id, item, n_windows, n_matched, n_verbatim: a row for each document and item that it holds.
+    """id, item, n_words, n_matched, n_verbatim: a row for each document and item that it holds.
 
-    Held means that at least the share of the item's windows match, on diagonals whose
+    Held means that as many of the item's words match as the share of its windows holds
+    where they're next to each other, or LONG words on one diagonal; on diagonals whose
     slots are consistent and which match as many literal words, all windows together,
-    as the share LITERAL of one window; other diagonals count by plain words. Items of fewer than SHORTEST words are in no document; null
-    and empty texts hold nothing; rows with null ids are left out; rows that repeat an
-    id count as one document.
+    as the share LITERAL of one window; other diagonals count by plain words. Items
+    of fewer than SHORTEST words are in no document; null and empty texts hold nothing;
+    rows with null ids are left out; rows that repeat an id count as one document.
     """
-    sizes = tuple(range(SHORTEST, WINDOW + 1))
-    wanted = written(windows(benchmark, item_col, "text", sizes, whole=True), "benchmark_windows")
-    wanted = wanted.select(F.col("id").alias("item"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "n_windows")
+    wanted = written(windows(benchmark, item_col, "text", [*WHOLE, *ANY_FREE, SPLIT], whole=True), "benchmark_windows")
+    shapes = sorted(tuple(r) for r in wanted.select("size", "free").distinct().collect())
+    wanted = wanted.select(F.col("id").alias("item"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "size", "free", "n_words")
+    covered = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda i: i != F.col("free")), lambda i: i + F.col("item_place"))
     literal = F.filter(F.transform("item_slots", lambda v, i: F.when(v == 0, F.col("item_place") + i)), lambda w: w.isNotNull())
-    wanted = wanted.withColumns({"literal": literal, "least": F.ceil(LITERAL * F.size("item_slots"))})
+    wanted = wanted.withColumns({"words": covered, "literal": literal, "least": F.ceil(LITERAL * F.least(F.size("item_slots"), F.lit(WINDOW)))}).drop("size", "free")
     n, among = wanted.count(), None
     if n <= MAX_BROADCAST:
         among = np.array([r["hash"] for r in wanted.select("hash").distinct().collect()], np.int64).view(U)
-    hits = windows(docs, id_col, text_col, sizes, among).drop("n_windows")
+    hits = windows(docs, id_col, text_col, shapes, among).select("id", "hash", "place", "slots")
     found = hits.join(F.broadcast(wanted) if n <= MAX_BROADCAST else wanted, "hash")
-    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: p["a"] != 0)
+    pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: (p["a"] != 0) & (p["a"] != FREE))
     found = found.select(
-        "id", "item", "n_windows", "item_place", (F.col("place") - F.col("item_place")).alias("diagonal"), (F.size("slots") == 0).alias("plain"), "literal", "least", pairs.alias("pairs")
+        "id", "item", "n_words", "words", (F.col("place") - F.col("item_place")).alias("diagonal"), (F.size("slots") == 0).alias("plain"), "literal", "least", pairs.alias("pairs")
     )
+
+    def union(column):
+        return F.array_distinct(F.flatten(F.collect_set(column)))
+
     lined = found.groupBy("id", "item", "diagonal").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.collect_set("item_place").alias("places"),
-        F.collect_set(F.when(F.col("plain"), F.col("item_place"))).alias("verbatim"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
-        (F.size(F.array_distinct(F.flatten(F.collect_set("literal")))) >= F.max("least")).alias("literal"),
+        F.max("n_words").alias("n_words"),
+        union("words").alias("words"),
+        union(F.when(F.col("plain"), F.col("words"))).alias("verbatim"),
+        union("pairs").alias("pairs"),
+        (F.size(union("literal")) >= F.max("least")).alias("literal"),
     )
     consistent = F.col("literal") & (F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
-    lined = lined.withColumn("places", F.when(consistent, F.col("places")).otherwise(F.col("verbatim")))
+    lined = lined.withColumn("words", F.when(consistent, F.col("words")).otherwise(F.col("verbatim")))
     merged = lined.groupBy("id", "item").agg(
-        F.max("n_windows").alias("n_windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("verbatim")))).cast("long").alias("n_verbatim"),
+        F.max("n_words").alias("n_words"),
+        F.size(union("words")).cast("long").alias("n_matched"),
+        F.size(union("verbatim")).cast("long").alias("n_verbatim"),
+        F.max(F.size("words")).alias("longest"),
     )
-    return merged.where(F.col("n_matched") >= share * F.col("n_windows")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "n_verbatim")
+    size = F.least(F.col("n_words"), F.lit(WINDOW))
+    held = (F.col("n_matched") >= share * (F.col("n_words") - size + 1) + size - 1) | (F.col("longest") >= LONG)
+    return merged.where(held).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_words", "n_matched", "n_verbatim")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

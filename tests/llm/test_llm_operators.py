@@ -462,6 +462,21 @@ def test_leaks_dense_in_slots(spark):
     assert set(found) == {(0, 0), (1, 1)} and all(m > v for m, v in found.values())
 
 
+def test_leaks_of_a_part_and_with_one_word_changed(spark):
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    long, middling = words(59), {n: words(n) for n in range(9, 23)}
+    rows = {"part": (59, [*words(20), *long[10:40], *words(20)]), "short part": (59, [*words(20), *long[10:23], *words(20)]), "phrase": (59, [*words(9), *long[5:13], *words(9)])}
+    for n, item in middling.items():
+        for k in range(n):
+            rows[f"{n}:{k}"] = (n, [*words(7), *item[:k], "changed", *item[k + 1 :], *words(7)])
+    bench = spark.createDataFrame([(59, " ".join(long)), *((n, " ".join(w)) for n, w in middling.items())], "item_id long, text string")
+    docs = spark.createDataFrame([(name, " ".join(w)) for name, (_, w) in rows.items()], "doc_id string, text string")
+    found = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(found) == {(name, n) for name, (n, _) in rows.items() if name != "phrase"} and found["part", 59] == 30
+    assert all(found[name, n] == n - 1 for name, (n, _) in rows.items() if n < 16)
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
