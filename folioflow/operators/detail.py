@@ -25,9 +25,12 @@ def item_collections(collections: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def transcript_head(segments: DataFrame, rows: int = TRANSCRIPT_ROWS) -> DataFrame:
-    """Each item's first segments, the number that a detail shows."""
-    ranked = segments.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), 1, rows).alias("s"))
-    return ranked.select("item_id", F.inline("s"))
+    """Each item's first segments, the number that a detail shows.
+
+    Spark cuts by the row number before the shuffle too, so no task holds a whole item.
+    """
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("start_ms", "end_ms", "text"))
+    return segments.select("item_id", "start_ms", "end_ms", "text", place.alias("place")).where(F.col("place") <= rows).drop("place")
 
 
 def capture_labels(captures: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def nested(items: DataFrame, tags: DataFrame, topics: DataFrame, segments: DataF
     parts = (
         tags.groupBy("item_id").agg(F.array_sort(F.collect_list("tag")).alias("tags")),
         topics.groupBy("item_id").agg(F.array_sort(F.collect_list("topic")).alias("topics")),
-        segments.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), 1, TRANSCRIPT_ROWS).alias("transcript")),
+        transcript_head(segments).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("transcript")),
         latest_revision(revisions),
     )
     for part in parts:

@@ -80,7 +80,9 @@ def fuse(*ranked: DataFrame, k: int = RRF) -> DataFrame:
 
 def roll_up(scored: DataFrame, items: int = 20, snippets: int = 2) -> DataFrame:
     """Items by their best chunk, and up to two chunks of each: item_id, score, seqs."""
-    best = scored.groupBy("item_id").agg(F.max("score").alias("score"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "seq"))), 1, snippets).alias("top"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc_nulls_last("score"), "seq"))
+    first = scored.select("item_id", "score", "seq", place.alias("place")).where(F.col("place") <= snippets)
+    best = first.groupBy("item_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "seq"))).alias("top"))
     best = best.orderBy(F.desc("score"), "item_id").limit(items)
     return best.select("item_id", "score", F.array_join(F.transform("top", lambda t: t["seq"].cast("string")), ",").alias("seqs"))
 

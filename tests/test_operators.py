@@ -152,3 +152,18 @@ def test_files(spark, tmp_path):
     files = read_files(spark, str(tmp_path))
     assert {(r.extension, r.mime, r.bytes) for r in files.collect()} == {(".png", "image/png", 1), (".txt", None, 1)}
     assert [r.stage for r in ingest.accepted_uploads(files).collect()] == ["analyze"]
+
+
+def test_no_task_collects_a_whole_item(spark):
+    rows = [(1, k // 2, k, f"s{k}") for k in range(1200, 0, -1)] + [(2, 0, 1, None), (None, 3, 4, "x")]
+    segments = frame(spark, rows, "item_id long, start_ms long, end_ms long, text string")
+    head = detail.transcript_head(segments)
+    assert values(head.where("item_id = 1").select("text"), "start_ms", "end_ms") == [(f"s{k}",) for k in range(1, 501)] and head.count() == 502
+    items = frame(spark, [(1, "t", None)], "id long, title string, description string")
+    others = [frame(spark, [], s) for s in ("item_id long, tag string", "item_id long, topic string", "item_id long, revision long, summary string")]
+    nested = detail.nested(items, *others[:2], segments, others[2])
+    assert [s.text for s in nested.first().transcript] == [f"s{k}" for k in range(1, 501)]
+    scored = frame(spark, [(1, 0.5, 4), (1, 0.5, 2), (1, 0.9, 7), (2, 0.7, 1)], "item_id long, score double, seq long")
+    assert values(retrieval.roll_up(scored)) == [(1, 0.9, "7,2"), (2, 0.7, "1")]
+    for df in (head, nested, retrieval.roll_up(scored)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
