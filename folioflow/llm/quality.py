@@ -54,7 +54,9 @@ _PLAIN = _class(b".,;:'\"!?-()")
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs of texts that aren't zero: numbers, values, and each text's first one's index."""
+    """Inputs of texts that aren't zero: numbers, values, and each text's first one's index.
+
+    A text has FEATURES of them at most, however long it is."""
     n = len(offsets) - 1
     starts, ends, first = tb.spans(~tb.SPACE[data], offsets)
     hashes = tb.span_hashes(data, starts, ends, tb.LOWER_CODES)
@@ -72,10 +74,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     upper_before = np.concatenate(([0], np.cumsum(_UPPER[data])))
     shouted = upper_before[ends] - upper_before[starts] >= 2
     odd_end = (_SYMBOL & ~_PLAIN)[data[ends - 1]] if len(ends) else np.zeros(0, bool)
-    order = np.lexsort((hashes, owner))
-    sorted_hashes, sorted_owner = hashes[order], owner[order]
+    buckets = (hashes % tb.U(BUCKETS)).astype(np.int64)
+    order = np.lexsort((buckets, owner))
+    sorted_buckets, sorted_owner = buckets[order], owner[order]
     new = np.ones(len(order), bool)
-    new[1:] = (sorted_hashes[1:] != sorted_hashes[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])
+    new[1:] = (sorted_buckets[1:] != sorted_buckets[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])
     at = np.flatnonzero(new)
     counts, docs = np.diff(np.append(at, len(order))), sorted_owner[at]
     distinct_first = np.searchsorted(docs, np.arange(n + 1))
@@ -94,7 +97,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     size = np.minimum(np.log2(np.diff(offsets) + 1.0).astype(np.int64), SIZES - 1)
     fixed = np.concatenate((np.arange(BUCKETS + SIZES, FEATURES)[None, :].repeat(n, 0), (BUCKETS + size)[:, None]), axis=1)
     fixed_values = np.concatenate((statistics, np.ones((n, 1))), axis=1)
-    numbers = np.concatenate(((sorted_hashes[at] % tb.U(BUCKETS)).astype(np.int64), fixed.ravel()))
+    numbers = np.concatenate((sorted_buckets[at], fixed.ravel()))
     values = np.concatenate((values, fixed_values.ravel()))
     order = np.argsort(np.concatenate((docs, np.arange(n).repeat(fixed.shape[1]))), kind="stable")
     return numbers[order], values[order], distinct_first + np.arange(n + 1) * fixed.shape[1]
@@ -106,7 +109,14 @@ def raw_scores(model: Model, numbers: np.ndarray, values: np.ndarray, first: np.
     return model.bias + tb.sums(model.linear[numbers] * values, first) + 0.5 * pairs.sum(1)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, **settings) -> Model:
+    """A model of texts and their labels, by `fit_features`."""
+    parts = [features(data, offsets) for _, _, data, offsets in tb.chunks(texts)] or [features(np.zeros(0, np.uint8), np.zeros(1, np.int64))]
+    numbers, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    return fit_features(numbers, values, np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts])))), labels, **settings)
+
+
+def fit_features(numbers: np.ndarray, values: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.05, shrink: float = 1e-4, seed: int = 7) -> Model:
     """Adagrad on the logistic loss, both classes weighing the same. One class or no rows: its prior."""
     labels = np.asarray(labels, float)
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -115,9 +125,6 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, batch: int = 128,
     bias = float(np.log(share / (1 - share)))
     if len(set(labels.tolist())) < 2:
         return Model(bias, linear, factors * 0)
-    parts = [features(data, offsets) for _, _, data, offsets in tb.chunks(texts)]
-    numbers, values = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     bias, seen_linear, seen_factors = 0.0, np.full(FEATURES, 1e-2), np.full((FEATURES, FACTORS), 1e-2)
     for _ in range(epochs):
@@ -145,16 +152,33 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 12, batch: int = 128,
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
-    """A model of at most per_class labelled documents of each class outside the held-out fold."""
-    rows = labelled.sample(docs, labels, label, folds, held_out, per_class).toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
-    return fit(pa.array(rows["text"], pa.string(), from_pandas=True), rows["label"].to_numpy())
+    """A model of at most per_class labelled documents of each class outside the held-out fold.
+
+    Executors read the texts; only inputs, FEATURES a document at most, come to the
+    driver. Without rows of both classes every text scores the prior.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in tb.chunks(batch.column("text")):
+                numbers, values, first = features(data, offsets)
+                lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (numbers.astype(np.int32), values.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, high - low) for c in ("id", "tie", "label")), *lists], ["id", "tie", "label", "numbers", "values"])
+
+    sampled = labelled.sample(docs, labels, label, folds, held_out, per_class)
+    kind = dict(sampled.dtypes)["id"]
+    rows = labelled.one_each(sampled.mapInArrow(run, f"id {kind}, tie bigint, label int, numbers array<int>, values array<float>").toPandas())
+    numbers, values = (np.concatenate([*rows[c], np.zeros(0)]) for c in ("numbers", "values"))
+    return fit_features(numbers.astype(np.int64), values, np.concatenate(([0], np.cumsum([len(x) for x in rows["numbers"]]))).astype(np.int64), rows["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score from 0 to 1. Null and empty texts get the score of no words.
 
-    A map over documents; the model, whose size is fixed, is broadcast.
+    Rows that repeat an id, also with a null one, each get the score of their own text,
+    and equal texts the same. A text of any length is read whole; other columns, of
+    whatever name, don't matter. A map over documents; the model, whose size is fixed, is
+    broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

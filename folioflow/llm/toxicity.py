@@ -1,16 +1,18 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
 A word's input joins a hashed embedding of the word with the componentwise maximum
-of the hashed embeddings of its character trigrams, 4-grams and longer beginnings. A text is cut into overlapping windows of
-words; two gated recurrences, one from either side, read a window, attention pools
+of the hashed embeddings of its character trigrams, 4-grams and longer beginnings. A
+text is cut into overlapping windows of words; two gated recurrences, one from either side, read a window, attention pools
 their states, and a logistic unit scores it. A document's score is that of its
 highest window, so every word of a text counts, wherever it stands.
 
 Trained in numpy: the document's label is that of its highest window, so each epoch
 scores all windows of the sample and learns from the highest of each document (and,
 of documents with label 0, from a random one too). The first component of each
-embedding starts as the signed root of the likelihood ratio statistic of its document
-counts in both classes; embeddings learn slowly, so that rare words aren't memorised.
+embedding is the signed root of the likelihood ratio statistic of its document counts
+in both classes. In the fit a document sees these counts less itself, or else words
+that it alone has would seem to tell its label; the other components learn slowly, so
+that rare words aren't memorised.
 Labels, language, source and ids are never inputs.
 """
 
@@ -28,7 +30,7 @@ from folioflow.llm import textbytes as tb
 from folioflow.llm.storage import map_texts
 
 #: Words in a window and from one window's start to the next; buckets and widths of the embeddings; units each way.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 96, 72
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, UNITS = 1 << 18, 1 << 17, 4, 8
 #: Lengths of the beginnings of a word that are inputs, in bytes with the edge before it.
 PREFIXES = (5, 6, 8)
@@ -267,41 +269,65 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 0, batch: int = 128,
     for part, (low, high, *_) in zip(parts, spans, strict=True):
         for name, found in _document_counts(part, labels[low:high]).items():
             counts[name] += found
-    for name, (no, yes) in counts.items():
-        model[name][:, 0] = _telling(no, yes, labels.mean())
+    # what a document of either label sees in the fit: the counts of all documents but itself
+    seen = [{k: _telling(np.maximum(no - (c == 0), 0), np.maximum(yes - (c == 1), 0), labels.mean()) for k, (no, yes) in counts.items()} for c in (0, 1)]
+
+    def see(told: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        for name, column in told.items():
+            model[name][:, 0] = column
+        return model
+
+    def looked(look) -> np.ndarray:
+        """What each window of the sample gives, under the counts that its document sees."""
+        found = []
+        for part, (low, high, *_) in zip(parts, spans, strict=True):
+            own, logits = np.repeat(labels[low:high], np.diff(part.window_first)), np.zeros(len(part.windows))
+            for c in (0, 1):
+                at = np.flatnonzero(own == c)
+                logits[at] = look(see(seen[c]), part._replace(windows=part.windows[at]))
+            found.append(logits)
+        return np.concatenate(found)
+
     share = labels[full].mean()
     epochs = epochs or int(np.clip(STEPS * batch // len(full), 6, 40))
     first, second, steps = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0
     for epoch in range(epochs):
         pace = rate * (1 - 0.9 * epoch / epochs)
-        if epoch == 0:  # before anything is learned, the window with the most telling words stands for its document
-            logits = np.concatenate([_first_look(model, part) for part in parts])
-        else:
-            logits = np.concatenate([_window_logits(model, part) for part in parts])
+        # before anything is learned, the window with the most telling words stands for its document
+        logits = looked(_window_logits if epoch else _first_look)
         ranked = np.lexsort((logits, owner))
         picked = ranked[words.window_first[full + 1] - 1]
         plain = full[labels[full] == 0]
         picked = np.concatenate((picked, words.window_first[plain] + rng.integers(0, np.diff(words.window_first)[plain])))
-        for low in range(0, len(picked), batch) if (order := rng.permutation(picked)) is not None else ():
-            at = order[low : low + batch]
-            y, windows, kept = labels[owner[at]], words.windows[at], []
-            used, local = np.unique(np.append(windows.ravel(), len(words.word)), return_inverse=True)
-            part = _subset(words, used[:-1])
-            windows = local[:-1].reshape(windows.shape)
-            x = inputs_of(model, part)
-            chance = _sigmoid(forward(model, x, windows, kept))
-            slope = ((chance - y) * np.where(y == 1, PRIOR / share, 0.5 * (1 - PRIOR) / (1 - share)) / len(at)).astype(np.float32)
+        order = rng.permutation(picked)
+        for low in range(0, len(order), batch):
             steps += 1
-            for k, g in backward(model, x, part, windows, kept, slope).items():
-                if k in ("word", "gram"):  # only the rows in use
-                    rows = np.unique(part.word if k == "word" else part.grams)
+            slopes, touched, size = {}, {"word": [], "gram": []}, len(order[low : low + batch])
+            for c in (0, 1):
+                at = order[low : low + batch]
+                at = at[labels[owner[at]] == c]
+                if not len(at):
+                    continue
+                windows, kept = words.windows[at], []
+                used, local = np.unique(np.append(windows.ravel(), len(words.word)), return_inverse=True)
+                part = _subset(words, used[:-1])
+                windows, x = local[:-1].reshape(windows.shape), inputs_of(see(seen[c]), part)
+                chance = _sigmoid(forward(model, x, windows, kept))
+                slope = ((chance - c) * (PRIOR / share if c else 0.5 * (1 - PRIOR) / (1 - share)) / size).astype(np.float32)
+                for k, g in backward(model, x, part, windows, kept, slope).items():
+                    slopes[k] = slopes[k] + g if k in slopes else g
+                touched["word"].append(part.word)
+                touched["gram"].append(part.grams)
+            for k, g in slopes.items():
+                if k in touched:  # only the rows in use
+                    rows = np.unique(np.concatenate(touched[k]))
                     second[k][rows] += g[rows] ** 2
                     model[k][rows] -= pace * SLOW * g[rows] / (np.sqrt(second[k][rows]) + 1e-6)
                     continue
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g**2
                 model[k] -= pace * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-6)
-    return model
+    return see({k: _telling(no, yes, labels.mean()) for k, (no, yes) in counts.items()})
 
 
 def _subset(words: Words, at: np.ndarray) -> Words:
@@ -312,9 +338,9 @@ def _subset(words: Words, at: np.ndarray) -> Words:
 
 def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS, folds: int = FOLDS, held_out: int = HELD_OUT, max_chars: int = MAX_FIT_CHARS) -> dict[str, np.ndarray]:
     """A model of at most per_class labelled documents of each class outside the held-out
-    fold, without those of the picked that are longer than max_chars."""
-    rows = labelled.sample(docs, labels, label, folds, held_out, per_class).where(F.length("text") <= max_chars).toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
+    fold, picked among those of at most max_chars code points. Without any, all texts
+    that have words score the prior."""
+    rows = labelled.one_each(labelled.sample(docs, labels, label, folds, held_out, per_class, max_chars).toPandas())
     return fit(pa.array(rows["text"], pa.string(), from_pandas=True), rows["label"].to_numpy())
 
 
@@ -331,7 +357,10 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id",
     """One row per document: id (with keep: every column) and score from 0 to 1. Null,
     empty and blank texts score 0.
 
-    A map over documents; the model, whose size is fixed, is broadcast.
+    Rows that repeat an id, also with a null one, each get the score of their own text,
+    and equal texts the same. A text of any length is scored whole, window by window. With
+    keep, a column named score is replaced; other names don't matter. A map over
+    documents; the model, whose size is fixed, is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda: lambda texts: [pa.array(score_column(shared.value, texts), pa.float64())], "score double", id_col, text_col, keep)
