@@ -134,7 +134,9 @@ def edit(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_chars, fingerprint. Null text: empty, with an empty fingerprint.
 
-    A map over documents: no shuffle.
+    Rows that repeat an id, also a null one, give a row each, equal texts equal
+    fingerprints; a text of any length is read whole; other columns don't matter. A map
+    over documents: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n_chars bigint, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
+def _compare(ids: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
     """Rows of the documents but the last, which only follows."""
     after = [edit(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
     found = []
@@ -158,7 +160,7 @@ def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
         found.append([s for _, _, data, offsets in tb.chunks(pa.array(group, pa.string()), CHUNK) for s in sketches(data, offsets)])
     own, edited = found
     columns = [
-        pa.array(ids[:-1], pa.int64()),
+        pa.array(ids[:-1], kind),
         pa.array([len(t) for t in texts[:-1]], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in after], pa.string()),
         pa.array([listed(s) for s in own[:-1]], pa.string()),
@@ -169,7 +171,7 @@ def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, COLUMNS)
 
 
-SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id {}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -177,27 +179,38 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     The next document is that of the next id (null ids come first, ties go by a hash of
-    the text); after the last comes the first. Documents are dealt to ranges of ids,
-    each text once; a range's first document also goes to the range before as its last
-    row's successor. There is a range for per_part documents: its limits are quantiles
-    of the ids, up to MAX_RANGES of them, and beyond that each is parted into up to
-    MAX_STEPS equal steps of ids. Only limits and first ids, so many at most, come to
-    the driver; each range is a task of its own, sorted by Spark and read as a stream.
+    the text); after the last comes the first. Null and empty texts are empty; rows that
+    repeat an id follow each other and give a row each; a text of any length is read
+    whole; columns beside id and text don't matter. Ids may be of any type that has an
+    order.
+
+    Documents are dealt to ranges of ids, each text once; a range's first document also
+    goes to the range before as its last row's successor. There is a range for per_part
+    documents: its limits are quantiles of the ids, up to MAX_RANGES of them, and beyond
+    that each is parted into up to MAX_STEPS equal steps of ids, if these are whole
+    numbers. Only limits and first ids, so many at most, come to the driver; each range is
+    a task of its own, sorted by Spark and read as a stream.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n, least, most = texts.agg(F.count("*"), F.min("id"), F.max("id")).first()
     parts = max(1, -(-n // per_part))
     ranges = min(MAX_RANGES, parts)
-    limits = texts.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 and least is not None else []
-    limits = sorted({int(x) for x in limits})
-    part = _count_up_to(F.col("id"), limits) if least is None else _range_of(F.col("id"), [least, *limits, most + 1], min(MAX_STEPS, -(-parts // ranges)))
+    limits = []
+    if ranges > 1 and least is not None:
+        limits = texts.approxQuantile("id", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if whole else _quantiles(texts, n, ranges)
+    limits = sorted({int(x) if whole else x for x in limits})
+    if whole and least is not None:
+        part = _range_of(F.col("id"), [least, *limits, most + 1], min(MAX_STEPS, -(-parts // ranges)))
+    else:
+        part = _count_up_to(F.col("id"), limits)
     part = F.when(F.col("id").isNull(), 0).otherwise(part).cast("int")
     texts = texts.withColumns({"part": part, "tie": F.xxhash64("text")})
     firsts = [tuple(r) for r in texts.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("x")).select("part", "x.id", "x.tie").orderBy("part").collect()]
     if not firsts:
-        return spark.createDataFrame([], SCHEMA).withColumnRenamed("doc_id", id_col)
-    moved = spark.createDataFrame([(i, t, p) for (_, i, t), (p, *_) in zip(firsts, firsts[-1:] + firsts[:-1], strict=True)], "i bigint, t bigint, before int")
+        return spark.createDataFrame([], SCHEMA.format(kind)).withColumnRenamed("doc_id", id_col)
+    moved = spark.createDataFrame([(i, t, p) for (_, i, t), (p, *_) in zip(firsts, firsts[-1:] + firsts[:-1], strict=True)], f"i {kind}, t bigint, before int")
     heads = texts.join(F.broadcast(moved), F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
     heads = heads.groupBy("before").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
     heads = heads.select("id", "text", F.col("before").alias("part"), "tie", F.lit(True).alias("head"))
@@ -214,10 +227,18 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows.append(text)
                 size += len(text)
                 if head or size > CHUNK and len(rows) > 1:
-                    yield _compare(ids, rows)
+                    yield _compare(ids, rows, batch.column(0).type)
                     ids, rows, size = [i], [text], len(text)
 
-    return dealt.select("id", "text", "part", "head").mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
+    return dealt.select("id", "text", "part", "head").mapInArrow(run, SCHEMA.format(kind)).withColumnRenamed("doc_id", id_col)
+
+
+def _quantiles(texts: DataFrame, n: int, ranges: int) -> list:
+    """Ids that part the texts into about equal ranges, by the ids whose hashes are smallest, about 16 a range."""
+    share = min(1.0, 16 * ranges / n)
+    taken = texts.where((F.pmod(F.xxhash64(F.lit("limits"), "id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & F.col("id").isNotNull())
+    ids = sorted(r["id"] for r in taken.select("id").distinct().collect())
+    return [ids[k * len(ids) // ranges] for k in range(1, ranges)] if ids else []
 
 
 def _range_of(value, limits: list[int], steps: int):
