@@ -199,7 +199,9 @@ def encode_documents(docs: DataFrame, model_path: str, scores: str = "zipf", id_
 
     decoded_sha256 is of the text decoded from the pieces again and round_trip says
     whether that is the text, byte for byte. Null and empty texts have no pieces and
-    decode to the empty text. A map over documents: no shuffle; the vocabulary,
+    decode to the empty text. Rows that repeat an id, also a null one, give a row each,
+    equal texts equal pieces; columns beside id and text, of whatever name, don't matter.
+    A text of any length is encoded whole, part by part. A map over documents: no shuffle; the vocabulary,
     bounded by its file, is broadcast.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path, scores))
@@ -232,7 +234,8 @@ def encode_documents(docs: DataFrame, model_path: str, scores: str = "zipf", id_
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
     """One row per row of pieces: id, text. Null and empty lists give the empty text.
 
-    Pieces that aren't whole UTF-8 in a row decode with replacement characters.
+    Pieces that aren't whole UTF-8 in a row decode with replacement characters. Rows that
+    repeat an id, also a null one, give a row each; other columns don't matter.
     """
     pieces = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_path))
 

@@ -122,8 +122,11 @@ class WordCounter:
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_tokens, n_unknown.
 
-    Null and empty texts have none of each. A map over documents: the vocabulary,
-    bounded by its file, is read once on the driver and broadcast; no shuffle.
+    Null and empty texts have none of each. Rows that repeat an id, also a null one,
+    give a row each; columns beside id and text, of whatever name, don't matter. A text
+    of any length is counted whole, each distinct word of a chunk once. A map over
+    documents: the vocabulary, bounded by its file, is read once on the driver and
+    broadcast; no shuffle.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
     kind = dict(docs.dtypes)[id_col]
