@@ -4,22 +4,26 @@ A line's key is the line without white space at its ends, A-Z lower-cased, hashe
 128 bits. The index of a corpus is three tables in the shared folder: postings (a row
 for every key and document), reference counts (documents and largest document of
 every key) and, for the keys that enough documents share, cuckoo filters in shards
-of a bounded number of keys. Documents are tested against the filters first: those
-without a hit, usually most, are settled where they stand; only hits are looked up in
-the exact counts. As cuckoo filters can forget, documents can be added and deleted
-again: counts and postings change by the documents' own keys, and the shards touched
-gain and lose just the keys that passed the limit.
+of a bounded number of keys. Postings meet the filters shard by shard: only those that
+a filter lets through, usually few, are looked up in the exact counts.
+
+As cuckoo filters can forget, documents can be added and deleted again. Each table is a
+list of segments: a change adds one with what it touched, the batch's postings (or the
+ids deleted), the new counts of its keys and the filters of shards that gained or lost
+keys, and the newest row of a key stands. A shard that fills up is built anew from the
+exact counts, and so are all, in more shards, when there are too many keys for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -29,8 +33,9 @@ from folioflow.llm.storage import written
 U = np.uint64
 #: Code points a key needs, documents that share a key to be dropped.
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys in a shard, about; bytes of all filters that may be broadcast (beyond: the exact join alone).
-SHARD_KEYS, MAX_FILTER_BYTES = 1 << 14, 64 << 20
+#: Keys in a shard, about; parts in which a shard's postings meet its filter; share of a filter's seats that may be taken.
+SHARD_KEYS, PARTS, MOST_FULL = 1 << 14, 16, 0.85
+FILTER = "shard int, cells binary, spare array<bigint>"
 _SECOND_CODES = tb.mix(tb.BYTE_CODES + U(tb._STEP))[tb.LOWER]
 
 
@@ -95,6 +100,9 @@ class Cuckoo:
                     self.table[bucket, at[0]] = 0
                     break
 
+    def crowded(self) -> bool:
+        return bool(self.spare) or np.count_nonzero(self.table) > MOST_FULL * self.table.size
+
     def dump(self) -> tuple[bytes, list[int]]:
         return self.table.tobytes(), sorted(np.array(sorted(self.spare), U).view(np.int64).tolist())
 
@@ -153,71 +161,145 @@ def _count(found: DataFrame) -> DataFrame:
     return found.groupBy("hi", "lo").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last"))
 
 
-@dataclass
-class LineIndex:
-    """What is known of a corpus's lines; change() makes a new one."""
+def _newest(segments: tuple[DataFrame, ...], *keys: str) -> DataFrame:
+    """The newest row of each key in segments, oldest first."""
+    if len(segments) == 1:
+        return segments[0]
+    rest = [c for c in segments[0].columns if c not in keys]
+    every = [s.withColumn("version", F.lit(k)) for k, s in enumerate(segments)]
+    for later in every[1:]:
+        every[0] = every[0].unionByName(later)
+    newest = every[0].groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r"))
+    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(segments[0].columns)
+
 
-    postings: DataFrame
-    counts: DataFrame
-    filters: DataFrame
+@dataclass(frozen=True)
+class LineIndex:
+    """What is known of a corpus's lines; insert() and delete() make a new one and leave this one as it is."""
+
+    #: Segments of (hi, lo, doc, version), (doc, version), (hi, lo, n_docs, last) and the filters.
+    postings: tuple[DataFrame, ...]
+    deleted: tuple[DataFrame, ...]
+    counts: tuple[DataFrame, ...]
+    filters: tuple[DataFrame, ...]
+    version: int
+    n_live: int
     shards: int
     min_docs: int
     min_chars: int
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-        found = written(postings(docs, id_col, text_col, min_chars), "postings")
-        counts = written(_count(found), "counts")
-        shards = 1 << max(0, int(np.ceil(np.log2(max(1, counts.where(F.col("n_docs") >= min_docs).count()) / SHARD_KEYS))))
-        index = cls(found, counts, None, shards, min_docs, min_chars)
-        index.filters = written(index.live().select("hi", index.shard()).groupBy("shard").applyInPandas(_build, "shard int, cells binary, spare array<bigint>"), "filters")
-        return index
+        found = written(postings(docs, id_col, text_col, min_chars).withColumn("version", F.lit(0)), "postings")
+        index = cls((found,), (), (written(_count(found), "counts"),), (), 0, 0, 1, min_docs, min_chars)
+        return index._sharded(index.live().count())
 
     def live(self) -> DataFrame:
         """The counts of keys that enough documents share."""
-        return self.counts.where(F.col("n_docs") >= self.min_docs)
-
-    def shard(self):
+        return _newest(self.counts, "hi", "lo").where(F.col("n_docs") >= self.min_docs)
+
+    def standing(self) -> DataFrame:
+        """hi, lo, doc of the documents that aren't deleted."""
+        found = self.postings[0]
+        for later in self.postings[1:]:
+            found = found.unionByName(later)
+        for gone in self.deleted:
+            found = found.join(gone.select("doc", F.col("version").alias("since")), "doc", "left").where("since is null or version > since").drop("since")
+        return found.select("hi", "lo", "doc")
+
+    def shard(self) -> Column:
         return F.shiftrightunsigned("hi", 20).bitwiseAND(self.shards - 1).cast("int").alias("shard")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index with documents added; their ids must be new."""
-        return self.change(self.postings.unionByName(postings(docs, id_col, text_col, self.min_chars)))
+        """The index with documents added; their ids must be new.
+
+        Reads the batch and the counts of its keys, and writes just these.
+        """
+        at = self.version + 1
+        found = written(postings(docs, id_col, text_col, self.min_chars).withColumn("version", F.lit(at)), "postings")
+        batch = _count(found).withColumnsRenamed({"n_docs": "more", "last": "later"})
+        touched = batch.join(self._counts_of(found), ["hi", "lo"], "left")
+        last = F.greatest("last", "later")  # the one that isn't null
+        after = touched.select("hi", "lo", F.coalesce("n_docs", F.lit(0)).alias("was"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), last.alias("last"))
+        return replace(self, postings=(*self.postings, found), version=at)._counted(after)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """The index without the documents of these ids, as if they had never been added."""
-        return self.change(self.postings.join(ids.select(F.col(id_col).alias("doc")).distinct(), "doc", "left_anti").select("hi", "lo", "doc"))
-
-    def change(self, found: DataFrame) -> LineIndex:
-        """The index of other postings, its filters made from this one's by the keys that passed the limit."""
-        found = written(found, "postings")
-        counts = written(_count(found), "counts")
-        new = LineIndex(found, counts, None, self.shards, self.min_docs, self.min_chars)
-        is_live = F.lit(True).alias("is_live")
-        moved = self.live().select("hi", "lo", is_live.alias("was")).join(new.live().select("hi", "lo", is_live.alias("now")), ["hi", "lo"], "full")
-        moved = moved.where("was is null or now is null").select("hi", F.col("now").isNotNull().alias("gained"), self.shard())
-        update = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(_update, "shard int, cells binary, spare array<bigint>")
-        new.filters = written(update, "filters")
-        return new
-
-    def probe(self) -> Callable[[np.ndarray], np.ndarray] | None:
-        """A test of keys against the broadcast filters; None where they are too large for that."""
-        size = self.filters.agg(F.sum(F.length("cells") + 8 * F.size("spare"))).first()[0] or 0
-        if size > MAX_FILTER_BYTES:
-            return None
-        rows = {r["shard"]: (bytes(r["cells"]), r["spare"]) for r in self.filters.collect()}
-        shared, shards = self.filters.sparkSession.sparkContext.broadcast(rows), self.shards
-
-        def test(keys: np.ndarray) -> np.ndarray:
-            out, shard = np.zeros(len(keys), bool), (keys >> U(20)).astype(np.int64) & (shards - 1)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for at in np.split(order, cuts) if len(keys) else ():
-                if (stored := shared.value.get(int(shard[at[0]]))) is not None:
-                    out[at] = Cuckoo.load(*stored).contains(keys[at])
-            return out
-
-        return test
+        """The index without the documents of these ids, as if they had never been added.
+
+        Writes the ids, and new counts of the keys that these documents held; where one
+        was the last of its key, the key's other postings tell the new last.
+        """
+        at = self.version + 1
+        gone = written(ids.select(F.col(id_col).alias("doc"), F.lit(at).alias("version")).where("doc is not null").distinct(), "deleted")
+        taken = written(self.standing().join(gone.select("doc"), "doc", "left_semi").select("hi", "lo", "doc"), "taken")
+        new = replace(self, deleted=(*self.deleted, gone), version=at)
+        batch = _count(taken).withColumnsRenamed({"n_docs": "fewer", "last": "highest"})
+        touched = written(batch.join(self._counts_of(taken), ["hi", "lo"]), "touched")
+        open_ = touched.where("highest = last and n_docs > fewer").select("hi", "lo")
+        found = new.standing().join(open_, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.max("doc").alias("next"))
+        last = F.when(F.col("n_docs") > F.col("fewer"), F.when(F.col("highest") == F.col("last"), F.col("next")).otherwise(F.col("last")))
+        after = touched.join(found, ["hi", "lo"], "left").select("hi", "lo", F.col("n_docs").alias("was"), (F.col("n_docs") - F.col("fewer")).alias("n_docs"), last.alias("last"))
+        return new._counted(after)
+
+    def _counts_of(self, found: DataFrame) -> DataFrame:
+        """The newest counts of the keys in found."""
+        keys = found.select("hi", "lo").distinct()
+        return _newest(tuple(c.join(keys, ["hi", "lo"], "left_semi") for c in self.counts), "hi", "lo")
+
+    def _counted(self, after: DataFrame) -> LineIndex:
+        """The index with new counts of some keys (was: their documents before), and its filters made to fit."""
+        after = written(after, "counts")
+        new = replace(self, counts=(*self.counts, after.drop("was")))
+        gained = (F.col("was") < self.min_docs) & (F.col("n_docs") >= self.min_docs)
+        lost = (F.col("was") >= self.min_docs) & (F.col("n_docs") < self.min_docs)
+        n_live = self.n_live + (after.agg(F.count_if(gained) - F.count_if(lost)).first()[0] or 0)
+        if n_live > 2 * SHARD_KEYS * self.shards:
+            return new._sharded(n_live)
+        moved = after.where(gained | lost).select("hi", gained.alias("gained"), self.shard())
+        held = _newest(self.filters, "shard").join(moved.select("shard").distinct(), "shard", "left_semi")
+        updated = written(held.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(_update, f"{FILTER}, crowded boolean"), "filters")
+        again = new.live().withColumn("shard", self.shard()).join(updated.where("crowded").select("shard"), "shard", "left_semi")
+        rebuilt = again.select("hi", "shard").groupBy("shard").applyInPandas(_build, FILTER)
+        fresh = written(updated.where("not crowded").drop("crowded").unionByName(rebuilt), "filters")
+        return replace(new, filters=(*self.filters, fresh), n_live=n_live)
+
+    def _sharded(self, n_live: int) -> LineIndex:
+        """The index with all filters built anew for so many keys."""
+        new = replace(self, n_live=n_live, shards=1 << max(0, int(np.ceil(np.log2(max(1, n_live) / SHARD_KEYS)))))
+        return replace(new, filters=(written(new.live().select("hi", new.shard()).groupBy("shard").applyInPandas(_build, FILTER), "filters"),))
+
+    def candidates(self) -> DataFrame:
+        """hi, lo, doc of the postings that a filter lets through.
+
+        A shard's postings are dealt to PARTS by document, so that no key, however many
+        documents hold it, is one task's; each part gets the shard's filter first and then
+        streams past it.
+        """
+        found = self.standing()
+        kind = dict(found.dtypes)["doc"]
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+        none = {"hi": F.lit(None).cast("bigint"), "lo": F.lit(None).cast("bigint"), "doc": F.lit(None).cast(kind)}
+        first = _newest(self.filters, "shard").withColumns(none).withColumn("part", parts)
+        rows = found.withColumns({"shard": self.shard(), "cells": F.lit(None).cast("binary"), "spare": F.lit(None).cast("array<bigint>"), "part": F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int")})
+        both = first.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("cells").isNull())
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, filter_ = None, None
+            for batch in batches:
+                shard, part = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "part"))
+                cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
+                for low, high in zip([0, *cuts], [*cuts, len(shard)], strict=True):
+                    if low == high:
+                        continue
+                    if (here := (shard[low], part[low])) != at:
+                        at, filter_ = here, None
+                    if (cells := batch.column("cells")[int(low)].as_py()) is not None:
+                        filter_, low = Cuckoo.load(cells, batch.column("spare")[int(low)].as_py()), low + 1
+                    rows = batch.slice(low, high - low).select(["hi", "lo", "doc"])
+                    if filter_ is not None and len(rows):
+                        yield rows.filter(pa.array(filter_.contains(rows.column("hi").to_numpy(zero_copy_only=False).astype(np.int64).view(U))))
+
+        return both.select("shard", "part", "cells", "spare", "hi", "lo", "doc").mapInArrow(probe, f"hi bigint, lo bigint, doc {kind}")
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -232,7 +314,7 @@ def _update(old: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
     filter_.delete(keys[~gained])
     filter_.insert(keys[gained])
     shard = (old if len(old) else moved)["shard"].iloc[0]
-    return pd.DataFrame([(shard, *filter_.dump())], columns=["shard", "cells", "spare"])
+    return pd.DataFrame([(shard, *filter_.dump(), filter_.crowded())], columns=["shard", "cells", "spare", "crowded"])
 
 
 def dedup_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -242,67 +324,55 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "
     min_docs documents are dropped everywhere but in the document of the largest id
     that holds it (there all of them stay). Null and empty texts are one empty line.
     Rows with the same id count as one document. Rows with a null id aren't counted
-    and keep all lines. A column named n_lines or n_dropped is replaced.
+    and keep all lines. A column named n_lines or n_dropped is replaced; other names
+    don't matter. A text of any length is read whole; an empty table gives none.
     """
     index = index or LineIndex.build(docs, id_col, text_col, min_chars, min_docs)
-    probe, least = index.probe(), index.min_chars
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`") for c in rest]).alias("rest"))
-
-    def settle(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep, texts, n_lines, n_dropped = [], [], [], []
-                for low, high, data, offsets in tb.chunks(batch.column(1)):
-                    _, _, hi, _, chars, first = line_keys(data, offsets)
-                    maybe = np.zeros(len(hi), bool)
-                    at = np.flatnonzero(chars >= least)
-                    maybe[at] = probe(hi[at]) if probe else True
-                    keep.append(np.flatnonzero((tb.sums(maybe.astype(np.int64), first) > 0) == hit) + low)
-                    n_lines.append(np.diff(first)[keep[-1] - low])
-                at = pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64))
-                lines = pa.array(np.concatenate(n_lines) if n_lines else np.zeros(0, np.int64))
-                columns = [batch.column(c).take(at) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*columns, lines, pa.array(np.zeros(len(at), np.int64))], ["id", "text", "rest", "n_lines", "n_dropped"])
-
-        return run
-
-    fields = StructType([*given.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    settled = given.mapInArrow(settle(False), fields)
-    open_ = given.mapInArrow(settle(True), fields).drop("n_lines", "n_dropped")
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(probe(batch.column("hi").to_numpy(zero_copy_only=False).astype(np.int64).view(U)))) if len(batch) else batch
-
-    hits = index.postings.mapInArrow(candidates, index.postings.schema) if probe else index.postings
-    gone = hits.join(index.live().select("hi", "lo", "last"), ["hi", "lo"]).where("doc <> last")
-    gone = gone.groupBy("doc").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
-    joined = open_.join(gone.withColumnRenamed("doc", "id"), "id", "left").select("id", "text", "rest", F.col("gone.hi").alias("hi"), F.col("gone.lo").alias("lo"))
-    dropped = joined.mapInArrow(_drop, fields)
-    out = settled.unionByName(dropped)
-    shown = {id_col: F.col("id"), text_col: F.coalesce("text", F.lit(""))} | {c: F.col(f"rest.`{c}`") for c in rest}
+    # null ids meet nothing in the join and are spread
+    spread = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(1 << 10))).otherwise(0).alias("spread")
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest"), spread)
+    gone = index.candidates().join(index.live().select("hi", "lo", "last"), ["hi", "lo"]).where("doc <> last")
+    gone = gone.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).withColumn("spread", F.lit(0).cast("bigint"))
+    joined = given.join(gone, ["id", "spread"], "left").select("id", "text", "rest", F.col("gone.hi").alias("hi"), F.col("gone.lo").alias("lo"))
+    fields = StructType([*joined.drop("hi", "lo").schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    out = joined.mapInArrow(_drop, fields)
+    shown = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)}
     shown = {c: shown[c] for c in docs.columns} | {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
     return out.select(*[v.alias(k) for k, v in shown.items()])
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The open documents without their keys that are gone."""
+    """The documents without their lines whose keys are listed as gone."""
     for batch in batches:
+        listed = [batch.column(c) for c in ("hi", "lo")]
+        sizes = pc.fill_null(pc.list_value_length(listed[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        first_gone = np.concatenate(([0], np.cumsum(sizes)))
+        gone_hi, gone_lo = (pc.list_flatten(c).to_numpy(zero_copy_only=False).astype(np.int64).view(U) for c in listed)
         texts, n_lines, n_dropped = [], [], []
-        gone_hi, gone_lo = batch.column("hi").to_pylist(), batch.column("lo").to_pylist()
         for low, high, data, offsets in tb.chunks(batch.column("text")):
             starts, ends, hi, lo, _, first = line_keys(data, offsets)
-            raw = data.tobytes()
-            for doc in range(high - low):
-                a, b = first[doc], first[doc + 1]
-                bad = set(zip(gone_hi[low + doc] or (), gone_lo[low + doc] or (), strict=True))
-                keys = zip(hi[a:b].view(np.int64).tolist(), lo[a:b].view(np.int64).tolist(), strict=True)
-                kept = [raw[starts[a + i] : ends[a + i]] for i, key in enumerate(keys) if key not in bad]
-                texts.append(b"\n".join(kept).decode("utf-8", "replace"))
-                n_lines.append(b - a)
-                n_dropped.append(b - a - len(kept))
+            owner = tb.owners(first)
+            theirs = slice(first_gone[low], first_gone[high])
+            whose = np.repeat(np.arange(high - low), sizes[low:high])
+            drop = np.isin(_named(owner, hi, lo), _named(whose, gone_hi[theirs], gone_lo[theirs]))
+            stays = np.flatnonzero(~drop)
+            # each line that stays, with the line feed after it where another of its text follows
+            follows = np.zeros(len(stays), np.int64)
+            follows[:-1] = owner[stays[1:]] == owner[stays[:-1]]
+            size = ends[stays] - starts[stays] + follows
+            kept = data[np.repeat(starts[stays] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            places = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(owner[stays], np.arange(high - low + 1))]
+            texts.append(pa.LargeStringArray.from_buffers(high - low, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(kept)).cast(pa.string()))
+            n_lines.append(np.diff(first))
+            n_dropped.append(tb.sums(drop.astype(np.int64), first))
+        joined = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n_lines, n_dropped)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(texts, pa.string()), batch.column("rest"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-            ["id", "text", "rest", "n_lines", "n_dropped"],
+            [batch.column("id"), pa.concat_arrays(texts) if texts else pa.array([], pa.string()), batch.column("rest"), *map(pa.array, joined)], ["id", "text", "rest", "n_lines", "n_dropped"]
         )
+
+
+def _named(owner: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """One hash of a text's place and a key."""
+    with np.errstate(over="ignore"):
+        return tb.mix(tb.mix(hi + owner.astype(U) * U(tb._STEP)) ^ lo)

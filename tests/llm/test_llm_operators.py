@@ -189,7 +189,7 @@ def test_lines(spark):
     assert len(settled(linededup.dedup_lines(odd(spark)))) == len(ODD) and linededup.dedup_lines(odd(spark, [])).count() == 0
 
 
-def test_line_index_is_reversible(spark, monkeypatch):
+def test_line_index_is_reversible(spark):
     rng = random.Random(1)
     make = lambda ids: [(i, "\n".join(f"the shared line number {rng.randrange(40)}" for _ in range(6))) for i in ids]
     old, new = make(range(30)), make(range(30, 60))
@@ -200,9 +200,44 @@ def test_line_index_is_reversible(spark, monkeypatch):
     back = grown.delete(frame(new).select("doc_id"))
     assert settled(linededup.dedup_lines(frame(old), back)) == drop_lines(old)
     fewer = old[7:]
-    assert settled(linededup.dedup_lines(frame(fewer), index.delete(frame(old[:7]).select("doc_id")))) == drop_lines(fewer)
-    monkeypatch.setattr(linededup, "MAX_FILTER_BYTES", 0)  # too large to broadcast
-    assert settled(linededup.dedup_lines(frame(old), index)) == drop_lines(old)
+    less = index.delete(frame(old[:7]).select("doc_id"))
+    assert settled(linededup.dedup_lines(frame(fewer), less)) == drop_lines(fewer)
+    again = less.insert(frame(old[:7]))  # a document that was deleted comes back
+    assert settled(linededup.dedup_lines(frame(old), again)) == drop_lines(old)
+
+
+def test_line_index_changes_what_a_batch_touches(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    old = [(i, f"an old line that all share\nthe own line of document {i}") for i in range(40)]
+    index = linededup.LineIndex.build(frame(old))
+    grown = index.insert(frame([(100, "an old line that all share\na wholly new line is here"), (101, "a wholly new line is here")]))
+    assert grown.postings[:-1] == index.postings and grown.counts[:-1] == index.counts and grown.postings[-1].count() == 3
+    assert sorted((r.n_docs, r.last) for r in grown.counts[-1].collect()) == [(2, 101), (41, 100)]
+    fewer = grown.delete(frame([(101, None), (39, None)]).select("doc_id"))
+    assert fewer.postings == grown.postings and sorted((r.n_docs, r.last) for r in fewer.counts[-1].collect()) == [(0, None), (1, 100), (40, 100)]
+    assert fewer.delete(frame([(100, None)]).select("doc_id")).live().first().last == 38
+
+
+def test_line_filters_grow(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 64)
+    frame = lambda ids: spark.createDataFrame([(3 * i + k, f"the line that has number {i}") for i in ids for k in range(3)], "doc_id long, text string")
+    index = linededup.LineIndex.build(frame(range(50)))
+    shards = index.shards
+    for low in (50, 120, 250):
+        index = index.insert(frame(range(low, 2 * low if low < 250 else 500)))
+    rows = linededup._newest(index.filters, "shard").collect()
+    assert index.shards > shards and index.n_live == index.live().count() == 470 and len(rows) == index.shards
+    filters = {r.shard: linededup.Cuckoo.load(bytes(r.cells), r.spare) for r in rows}
+    assert not any(f.spare for f in filters.values())
+    assert index.candidates().where("doc is null").count() == 0 and index.candidates().count() == index.standing().count()
+
+
+@pytest.mark.parametrize("names", [("none", "hash"), ("spread", "gone"), ("hi", "lo"), ("c0", "rest")])
+def test_lines_beside_any_columns(spark, names):
+    docs = spark.createDataFrame(LINES, "doc_id long, text string").withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    out = linededup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"] and settled(out) == drop_lines(LINES)
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {(0, 1)}
 
 
 def test_cuckoo_filter():
