@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.skew import look_up
 from folioflow.llm.storage import written
 
 
@@ -12,17 +13,17 @@ def components(links: DataFrame) -> DataFrame:
     """id, component: the smallest id that each id of links (id, other) is connected with.
 
     Each round points every id at the smallest of its own and its neighbours' parents
-    and then at that one's parent, so that long chains halve. The pairs that a hot id
-    has are reduced to one minimum before they meet. Ends when nothing changes.
+    and then at that one's parent, so that long chains halve. The rows of a hot id or
+    component are dealt to many tasks. Ends when nothing changes; no links, no rows.
     """
     both = links.select("id", "other").union(links.select(F.col("other").alias("id"), F.col("id").alias("other")))
     both = written(both.where("id <> other").distinct(), "edges")
     parents = written(both.groupBy("id").agg(F.min("other").alias("low")).select("id", F.least("id", "low").alias("component")), "parents")
     while True:
-        near = both.join(parents.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("low"))
+        near = look_up(both, parents.withColumnRenamed("id", "other"), "other", by="id").groupBy("id").agg(F.min("component").alias("low"))
         lower = parents.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "low").alias("component"))
         up = parents.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        moved = lower.join(up, "component", "left").select("id", "was", F.least("component", F.coalesce("above", "component")).alias("component"))
+        moved = look_up(lower, up, "component", by="id", how="left").select("id", "was", F.least("component", F.coalesce("above", "component")).alias("component"))
         moved = written(moved, "parents")
         changed = moved.where("component <> was").limit(1).count()
         parents = moved.drop("was")

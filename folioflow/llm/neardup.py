@@ -10,10 +10,12 @@ pairs within a margin of the threshold are then verified on the full sets.
 
 Links are found without all pairs of a group. Equal sets are one class, so copies
 never meet each other. In each bucket of a band every member first meets the one of
-smallest id only. Where a bucket's members still fall into several components, those
-whose own shingles show that no link is possible are set aside (a set more than the
-allowed share of which no other member has can't be linked to any), and the rest
-meet across components in blocks of bounded size.
+smallest id only. Where a large bucket's members still fall into several components, it
+elects further leaders, round by round, that meet the members outside their component.
+What is then still apart is mostly shown by its shingles alone to have no link: those
+that only members of one component have can't be shared across, and a set with more
+than the allowed share of them is set aside. The rest meets across components in blocks
+of bounded size, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import textbytes as tb
 from folioflow.llm.components import components
+from folioflow.llm.skew import look_up, summed_up
 from folioflow.llm.storage import written
 
 U = np.uint64
@@ -36,8 +39,8 @@ REGISTERS, BASE, RATE, TOP = 256, 1.02, 20.0, 65534
 BANDS, BAND = 32, 4
 #: How far below the threshold an estimate may fall for its pair to be verified (four standard errors).
 MARGIN = 0.1
-#: Members of a bucket that meet in one task at most.
-BLOCK = 512
+#: Members of a bucket that meet in one task at most; rounds of further leaders in larger buckets.
+BLOCK, ROUNDS = 512, 8
 CHUNK = 1 << 21
 
 
@@ -109,26 +112,29 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, hashes, first in _shingles(batches, words):
             registers = sketch(hashes, first)
-            a = tb.sums(tb.mix(hashes ^ U(tb._STEP)), first).view(np.int64)
-            b = tb.sums(tb.mix(hashes ^ U(tb._BASE)), first).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.diff(first)), pa.array(a), pa.array(b), pa.array([r.tobytes() for r in registers], pa.binary())],
+                [batch.column("id"), pa.array(np.diff(first)), *_set_hashes(hashes, first), pa.array([r.tobytes() for r in registers], pa.binary())],
                 ["id", "n", "set_a", "set_b", "registers"],
             )
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, set_a bigint, set_b bigint, registers binary")
 
 
+def _set_hashes(hashes: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """128 bits that stand for each set."""
+    return [pa.array(tb.sums(tb.mix(hashes ^ U(c)), first).view(np.int64)) for c in (tb._STEP, tb._BASE)]
+
+
 def shingle_arrays(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, shingles: the full set of each document as sorted hashes."""
+    """id, set_a, set_b, shingles: the full set of each document as sorted hashes."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, hashes, first in _shingles(batches, words):
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *_set_hashes(hashes, first), lists], ["id", "set_a", "set_b", "shingles"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, shingles array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, set_a bigint, set_b bigint, shingles array<bigint>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -147,10 +153,10 @@ def _registers(values: list[bytes]) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, other) whose set sizes allow a link and whose estimate comes near it."""
+    """The pairs (id, other) whose set sizes allow a link and whose estimate comes near it; other may have any number of pairs."""
     a = classes.select("id", F.col("n").alias("n_a"), F.col("registers").alias("reg_a"))
     b = classes.select(F.col("id").alias("other"), F.col("n").alias("n_b"), F.col("registers").alias("reg_b"))
-    near = pairs.join(a, "id").join(b, "other").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = look_up(pairs.join(a, "id"), b, "other", by="id").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +171,11 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, other) of likeness at least percent / 100, on their full sets."""
+    """The pairs (id, other) of likeness at least percent / 100, on their full sets; other may have any number of pairs."""
     a = sets.select("id", F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("other"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "id").join(b, "other").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("id", "other")
+    return look_up(pairs.join(a, "id"), b, "other", by="id").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("id", "other")
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,12 +183,11 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A bucket's members are dealt to blocks, and each pair of blocks meets in a task of
     its own, so no task has more than two blocks. There the sizes, the shingles that
-    members don't have alone (common) and the registers leave few pairs; the sets of
+    other components have too (common) and the registers leave few pairs; the sets of
     just their members are fetched, once a meeting, and compared. A pair that shares
     several buckets is met in one of them, the first by band.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    dealt = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("low", "size")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("with", meets).withColumns({"low": F.least("own", "with"), "high": F.greatest("own", "with")})
@@ -194,7 +199,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ids, bucket, found, needed = rows["id"].to_numpy(), rows["bucket"].iloc[0], {}, set()
         same_block = rows["low"].iloc[0] == rows["high"].iloc[0]
         for i in range(len(ids)):
-            most = np.minimum(common, common[i])  # two members share no shingle that either has alone
+            most = np.minimum(common, common[i])  # members of two components share no shingle that only one of them has
             ok = (component != component[i]) & (ids > ids[i]) & (100 * most >= percent * (n + n[i] - most))
             if not same_block:
                 ok &= own != own[i]
@@ -239,53 +244,79 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     so many words (A-Z lower-cased; a text of fewer words is one shingle) is at least
     percent / 100, and through others. Texts without words, null or empty, are linked
     with nothing, nor are rows with a null id, whose component is null. Rows that
-    repeat an id count once and each get its result.
+    repeat an id count once and each get the component of their own text; where their
+    texts differ, the one whose set has the smallest hash stands for the id, and one that
+    no other id has is linked with nothing. A text of any length is read whole; columns
+    beside id and text, of whatever name, don't matter; an empty table gives no rows.
     """
-    kind = dict(docs.dtypes)[id_col]
-    rows = written(sketches(docs, words, id_col, text_col), "sketches")
-    full = rows.where("n > 0 and id is not null")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = dict(docs.dtypes)["id"]
+    rows = written(sketches(docs, words, "id"), "sketches")
+    full = _one_set_each(rows.where("n > 0 and id is not null"))
     classes = written(
         full.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")), "classes"
     )
-    buckets = _buckets(classes)
-    leaders = buckets.groupBy("bucket").agg(F.min("id").alias("other"), F.count("*").alias("size")).where("size > 1").drop("size")
-    shared = written(buckets.join(leaders, "bucket"), "shared")
-    pairs = written(_likely(shared.where("id <> other").select("id", "other").distinct(), classes, percent), "pairs")
-    # the sets of classes that may have a link, and of all that share a bucket where some are still apart
-    links = written(_verified(pairs, _sets_of(docs, pairs, words, id_col, text_col), percent), "links")
-    apart = _apart(shared, components(links), classes)
+    shared = written(summed_up(_buckets(classes), "bucket", "id", {"other": (F.min("id"), F.min), "size": (F.count("*"), F.sum)}, F.col("size") > 1).drop("size"), "shared")
+    links = _linked(shared.select("id", "other"), classes, docs, words, percent)
+    found = components(links)
+    known = shared.select("id", "bucket").join(classes.select("id", "n"), "id")
+    apart = _apart(known, found)
+    for turn in range(ROUNDS):
+        large = apart.where(F.col("size") > BLOCK)
+        if not large.limit(1).count():
+            break
+        # a member outside the first component leads, another in each round
+        candidate = F.when(F.col("component") != F.col("low"), F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id"), F.col("component")))
+        led = summed_up(large, "bucket", "id", {"leader": (F.min(candidate), F.min)}, F.col("leader").isNotNull())
+        new = _linked(led.where(F.col("component") != F.col("leader.component")).select("id", F.col("leader.id").alias("other")), classes, docs, words, percent)
+        if not new.limit(1).count():
+            break
+        links = links.unionByName(new)
+        found = components(links)
+        apart = _apart(apart.select("id", "bucket", "n"), found)
     if apart.limit(1).count():
-        sets = written(_sets_of(docs, apart.select("id", F.col("id").alias("other")), words, id_col, text_col), "sets")
-        alone = (
-            sets.select("id", F.explode("shingles").alias("shingle"))
-            .groupBy("shingle")
-            .agg(F.min("id").alias("id"), F.count("*").alias("holders"))
-            .where("holders = 1")
-            .groupBy("id")
-            .agg(F.count("*").alias("own"))
-        )
-        able = apart.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).where(100 * F.col("common") >= percent * F.col("n")).drop("own")
+        sets = written(_sets_of(docs, apart.select("id").distinct(), words), "sets")
+        shingles = sets.join(apart.select("id", "component").distinct(), "id").select("id", "component", F.explode("shingles").alias("shingle"))
+        ends = {"low": (F.min("component"), F.min), "high": (F.max("component"), F.max)}
+        alone = summed_up(shingles, "shingle", "id", ends, F.col("low") == F.col("high")).groupBy("id").agg(F.count("*").alias("own"))
+        able = apart.join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        # two sets of n and m share n - own shingles at most, and the other's own ones come on top
+        able = summed_up(able, "bucket", "id", {"fewest": (F.min("own"), F.min)}, F.lit(True)).withColumn("common", F.col("n") - F.col("own"))
+        able = able.where(100 * F.col("common") >= percent * (F.col("n") + F.col("fewest")))
         # members set aside can leave a bucket with one component
-        mixed = able.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-        able = able.join(mixed, "bucket").join(classes.select("id", "registers"), "id")
-        links = written(links.unionByName(_across(able, sets, percent)), "links")
-    found = components(links)
+        able = _apart(able.select("id", "bucket", "n", "common"), found).join(classes.select("id", "registers"), "id")
+        found = components(links.unionByName(written(_across(able, sets, percent), "links")))
     named = classes.select("set_a", "set_b", F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "class").alias("component"))
-    out = rows.join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
+    out = look_up(rows.select("id", "n", "set_a", "set_b"), named, "set_a", "set_b", by="id", how="left")
+    component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of the documents in pairs; one for each id."""
-    wanted = pairs.select("id").union(pairs.select("other")).distinct().withColumnRenamed("id", "wanted")
-    chosen = docs.join(wanted, F.col(id_col) == F.col("wanted"), "left_semi")
-    return shingle_arrays(chosen, words, id_col, text_col).dropDuplicates(["id"])
+def _one_set_each(full: DataFrame) -> DataFrame:
+    """The rows without those of ids that have several sets, but for each such id's set of smallest hash."""
+    of_id = full.groupBy("id").agg(F.min(F.struct("set_a", "set_b")).alias("least"), F.max(F.struct("set_a", "set_b")).alias("most"))
+    several = written(of_id.where("least <> most").select("id", "least"), "several")
+    if not several.limit(1).count():
+        return full
+    return look_up(full, several, "id", by="set_a", how="left").where("least is null or (least.set_a = set_a and least.set_b = set_b)").drop("least")
+
+
+def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among pairs (id, other) of members and leaders that met."""
+    pairs = written(_likely(met.where("id <> other").distinct(), classes, percent), "pairs")
+    wanted = pairs.select("id").union(pairs.select("other")).distinct()
+    return written(_verified(pairs, _sets_of(docs, wanted, words), percent), "links")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, shingles: the full sets of the documents wanted; of an id's several sets that of smallest hash."""
+    arrays = shingle_arrays(docs.join(wanted, "id", "left_semi"), words, "id").where(F.size("shingles") > 0)
+    return arrays.groupBy("id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles"))
 
 
-def _apart(shared: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of the buckets whose members fall into several components."""
-    known = shared.select("id", "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    return written(known.join(mixed, "bucket").join(classes.select("id", "n"), "id"), "apart")
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members (id, bucket, ...) of the buckets that have several components, with component, low and size."""
+    known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ends = {"low": (F.min("component"), F.min), "high": (F.max("component"), F.max), "size": (F.count("*"), F.sum)}
+    return written(summed_up(known, "bucket", "id", ends, F.col("low") != F.col("high")).drop("high"), "apart")

@@ -387,6 +387,36 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == linked(rows, 3, 85)
 
 
+def test_near_duplicates_with_one_large_bucket(spark, monkeypatch):
+    """20,000 members in families that share most of their words: all share buckets, only members of a family are linked."""
+    met = []
+    across = neardup._across
+    monkeypatch.setattr(neardup, "_across", lambda members, *rest: met.append(members.count()) or across(members, *rest))
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for d in range(20_000):
+        words, family = list(base), d % 40
+        words[2 + family * 2 % 40], words[50 + family] = f"f{family}", f"g{family}"
+        words[46] = f"own{d}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sample = [shingles(rows[d][1], 3) for d in (0, 40, 80, 1, 41, 39)]
+    like = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    assert like(*sample[:2]) and like(sample[3], sample[4]) and not like(sample[0], sample[3]) and not like(sample[0], sample[5])
+    got = neardup.link(docs, 3, 85).collect()
+    assert len(got) == 20_000 and all(r.component_id == r.doc_id % 40 for r in got)
+    assert sum(met) == 0  # shown by the shingles alone
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, one), (5, two), (5, one), (3, one + " x"), (4, two + " x"), (9, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("wanted", "shingles", "id", "salt")})
+    got = sorted((r.doc_id, r.component_id) for r in neardup.link(docs).collect())
+    # the text that stands for 5 is linked with 3 or with 4; the row of the other text gets its own text's component
+    assert got == [(3, 3), (4, 4), (5, 3), (5, 3), (5, 4), (9, 4)] or got == [(3, 3), (4, 4), (5, 4), (5, 5), (5, 5), (9, 4)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.link(odd(spark, [])).count() == 0
 
