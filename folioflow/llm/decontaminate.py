@@ -21,21 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import textbytes as tb
+from folioflow.llm.skew import look_up
 from folioflow.llm.storage import written
 
 U = np.uint64
-#: Words in a window; items of fewer words are one window, if they have as many as the second.
+#: Words in a window; items of fewer words are one window, of plain words only if they have fewer than the second.
 WINDOW, SHORTEST = 8, 4
 #: (words, the free one's place or -1) of the windows of items: of each size as a whole, with any one word free, and with the middle word free.
-WHOLE, ANY_FREE, SPLIT = [(n, -1) for n in range(SHORTEST, WINDOW + 1)], [(WINDOW, k) for k in range(WINDOW)], (WINDOW + 1, WINDOW // 2)
+WHOLE, ANY_FREE, SPLIT = [(n, -1) for n in range(1, WINDOW + 1)], [(WINDOW, k) for k in range(WINDOW)], (WINDOW + 1, WINDOW // 2)
 #: Words of an item that are a leak if they match on one diagonal.
 LONG = 13
 #: In a window's slots, the free word; slots are odd.
 FREE = 2
 #: The share of an item's windows whose words must match, next to each other or not, and of a window's words, those that must be literal on a diagonal of templates, at least.
 SHARE, LITERAL = 0.5, 0.6
-#: Windows of a benchmark that are broadcast at most; beyond, all windows go through the join.
-MAX_BROADCAST = 500_000
+#: Bits of the filter of a benchmark's windows that is broadcast (8 MB, whatever the benchmark's size), and how many a window sets.
+FILTER_BITS, PROBES = 26, 2
 UNITS = (
     "mm cm m km inch inches feet ft yard yards mile miles mg g kg t lb lbs oz ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
@@ -104,21 +105,36 @@ def _windows(rolled: Callable[[bool, int], np.ndarray], slots: np.ndarray, first
     yield hashes(True, at), at, True
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int, int]], among: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """id, hash, place, slots, size, free, n_words: the windows of each text, or those whose hash is in `among`.
+def window_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column hash, as packed bits. Spark ors the bits together; the driver gets at most 2**FILTER_BITS of them."""
+    places = F.explode(F.array(*[F.shiftrightunsigned("hash", 64 - FILTER_BITS * (k + 1)).bitwiseAND((1 << FILTER_BITS) - 1) for k in range(PROBES)]))
+    bits = wanted.select(places.alias("place")).groupBy(F.shiftright("place", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(place & 7 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.uint8)
+    return out
 
-    With whole, a text of fewer words than WINDOW is one window, if it has SHORTEST at
-    least; longer ones have all of that size, and from WINDOW + 1 words on those with
-    any one word free, from twice WINDOW on with the middle word of WINDOW + 1 free.
+
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Indexes of the hashes that the filter lets through."""
+    at = np.arange(len(hashes))
+    for k in range(PROBES):
+        place = ((hashes[at] >> U(64 - FILTER_BITS * (k + 1))) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+        at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+    return at
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int, int]], bits: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """id, hash, place, slots, size, free, n_words: the windows of each text, or those that pass a filter.
+
+    With whole, a text of fewer words than WINDOW is one window; longer ones have all of
+    that size, and from WINDOW + 1 words on those with any one word free, from twice
+    WINDOW on with the middle word of WINDOW + 1 free. A text of fewer words than
+    SHORTEST has no template then.
     """
     kind = dict(docs.dtypes)[id_col]
-    shared = None if among is None else docs.sparkSession.sparkContext.broadcast(np.sort(among))
+    shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = None if shared is None else shared.value
-        if keys is not None:
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(keys >> U(44)).astype(np.int64)] = True
         for batch in batches:
             for low, _, data, offsets in tb.chunks(batch.column(1)):
                 words, template, slots, first = canonical(data, offsets)
@@ -126,19 +142,16 @@ def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int,
                 rolled = cache(lambda templated, n, of=(words, template): tb.rolling(of[templated], n))
                 for size, free in shapes:
                     for hashes, at, templated in _windows(rolled, slots, first, size, free):
-                        keep = np.ones(len(at), bool)
-                        if whole and (size, free) == SPLIT:
+                        if shared is not None:
+                            keep = _passes(shared.value, hashes)
+                        elif whole and (size, free) == SPLIT:
                             keep = n_words[owner[at]] >= 2 * WINDOW
                         elif whole and free >= 0:
                             keep = (n_words[owner[at]] > WINDOW) & (n_words[owner[at]] < 2 * WINDOW)
                         elif whole:
-                            keep = (n_words[owner[at]] == size) | ((n_words[owner[at]] >= size) & (size == WINDOW))
-                        if keys is not None and len(keys):
-                            keep &= maybe[(hashes >> U(44)).astype(np.int64)]
-                            hit = np.flatnonzero(keep)
-                            keep[hit] = keys[np.minimum(np.searchsorted(keys, hashes[hit]), len(keys) - 1)] == hashes[hit]
-                        elif keys is not None:
-                            keep[:] = False
+                            keep = ((n_words[owner[at]] == size) & (size >= SHORTEST or not templated)) | ((n_words[owner[at]] >= size) & (size == WINDOW))
+                        else:
+                            keep = np.arange(len(at))
                         at, hashes = at[keep], hashes[keep]
                         taken = slots[at[:, None] + np.arange(size)].view(np.int64) if templated else np.zeros((len(at), 0), np.int64)
                         if templated and free >= 0:
@@ -162,21 +175,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     Held means that as many of the item's words match as the share of its windows holds
     where they're next to each other, or LONG words on one diagonal; on diagonals whose
     slots are consistent and which match as many literal words, all windows together,
-    as the share LITERAL of one window; other diagonals count by plain words. Items
-    of fewer than SHORTEST words are in no document; null and empty texts hold nothing;
-    rows with null ids are left out; rows that repeat an id count as one document.
+    as the share LITERAL of one window; other diagonals count by plain words. Items of
+    fewer than SHORTEST words are held where all their words stand in a row; items
+    without words are held by nothing. Null and empty texts hold nothing; rows with null
+    ids are left out; rows that repeat an id count as one document; a text of any length
+    is read whole; columns beside id and text, of whatever name, don't matter; empty
+    tables give no rows.
+
+    The filter of the items' windows has a fixed size. What it lets through of the
+    documents is joined with the items' windows, a hot window dealt to many tasks.
     """
     wanted = written(windows(benchmark, item_col, "text", [*WHOLE, *ANY_FREE, SPLIT], whole=True), "benchmark_windows")
     shapes = sorted(tuple(r) for r in wanted.select("size", "free").distinct().collect())
+    bits = window_filter(wanted)
     wanted = wanted.select(F.col("id").alias("item"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "size", "free", "n_words")
     covered = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda i: i != F.col("free")), lambda i: i + F.col("item_place"))
     literal = F.filter(F.transform("item_slots", lambda v, i: F.when(v == 0, F.col("item_place") + i)), lambda w: w.isNotNull())
     wanted = wanted.withColumns({"words": covered, "literal": literal, "least": F.ceil(LITERAL * F.least(F.size("item_slots"), F.lit(WINDOW)))}).drop("size", "free")
-    n, among = wanted.count(), None
-    if n <= MAX_BROADCAST:
-        among = np.array([r["hash"] for r in wanted.select("hash").distinct().collect()], np.int64).view(U)
-    hits = windows(docs, id_col, text_col, shapes, among).select("id", "hash", "place", "slots")
-    found = hits.join(F.broadcast(wanted) if n <= MAX_BROADCAST else wanted, "hash")
+    hits = windows(docs, id_col, text_col, shapes, bits).select("id", "hash", "place", "slots")
+    found = look_up(hits, wanted, "hash", by="id")
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: (p["a"] != 0) & (p["a"] != FREE))
     found = found.select(
         "id", "item", "n_words", "words", (F.col("place") - F.col("item_place")).alias("diagonal"), (F.size("slots") == 0).alias("plain"), "literal", "least", pairs.alias("pairs")
@@ -206,6 +223,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that hold no item. Rows with a null id stay."""
+    """The documents, all columns, that hold no item, as leaks() tells. Rows with a null id stay; rows that repeat an id go or stay together."""
     held = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(id_col).distinct()
     return docs.join(held, id_col, "left_anti").select(docs.columns)

@@ -542,14 +542,154 @@ def test_leaks_of_a_part_and_with_one_word_changed(spark):
     assert all(found[name, n] == n - 1 for name, (n, _) in rows.items() if n < 16)
 
 
-def test_leaks_without_broadcast(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    found = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
-    assert found and sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == found
+class PlainMatcher:
+    """What leaks() says it finds, written from its words alone: strings, loops and dictionaries."""
+
+    NAME = re.compile("[A-Z\u00c0-\u00de]")
+
+    def __init__(self, text):
+        self.words, self.kinds, ends, before = [], [], 0, None
+        for run in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+            word = "".join(c for c in run[0] if c.isalnum() and c.isascii() or ord(c) > 127)
+            if not word:
+                continue
+            # the sentence-ending characters before the first character that is kept
+            start = run.start() + next(i for i, c in enumerate(run[0]) if c.isalnum() and c.isascii() or ord(c) > 127)
+            ends = sum(c in ".!?:;\n\"|" for c in text[:start])
+            begins, before = before is None or ends > before, ends
+            size = len(word.encode())
+            number = word[0] in "0123456789" and 2 * sum(c in "0123456789" for c in word) >= size
+            low = word.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            unit = self.kinds and self.kinds[-1] == "#number" and low in decontaminate.UNITS
+            name = self.NAME.match(word) and not begins and size > 1
+            self.words.append(low)
+            self.kinds.append("#number" if number else "#unit" if unit else "#name" if name else None)
+
+    def window(self, at, shape, templated):
+        size, free = shape
+        took = [w if not (templated and k) else k for w, k in zip(self.words[at : at + size], self.kinds[at : at + size], strict=True)]
+        return tuple(None if i == free else w for i, w in enumerate(took))
+
+    def slots(self, at, shape):
+        return [i for i in range(shape[0]) if self.kinds[at + i] and i != shape[1]]
+
+    @staticmethod
+    def shapes(n):
+        if n < 8:
+            return [(n, -1)]
+        return [(8, -1)] + ([(8, k) for k in range(8)] if 8 < n < 16 else []) + ([(9, 4)] if n >= 16 else [])
+
+    def holds(self, item):
+        """(matched words, words matched as they are) if self holds the item, else None."""
+        n, lines = len(item.words), {}
+        for shape in self.shapes(n) if n else ():
+            for templated in (False, True)[: 2 if n >= 4 else 1]:
+                own = {}
+                for at in range(len(self.words) - shape[0] + 1):
+                    if not templated or self.slots(at, shape):
+                        own.setdefault(self.window(at, shape, templated), []).append(at)
+                for at in range(n - shape[0] + 1):
+                    if templated and not item.slots(at, shape):
+                        continue
+                    for place in own.get(item.window(at, shape, templated), ()):
+                        line = lines.setdefault(place - at, {"words": set(), "plain": set(), "pairs": set(), "literal": set(), "least": 0})
+                        covered = {at + i for i in range(shape[0]) if i != shape[1]}
+                        line["words"] |= covered
+                        if not templated:
+                            line["plain"] |= covered
+                        else:
+                            line["pairs"] |= {(item.words[at + i], self.words[place + i]) for i in item.slots(at, shape)}
+                            line["literal"] |= {at + i for i in range(shape[0]) if not item.kinds[at + i] and i != shape[1]}
+                            line["least"] = max(line["least"], math.ceil(0.6 * min(shape[0], 8)))
+        for line in lines.values():
+            if len(line["literal"]) < line["least"] or len(line["pairs"]) != len({a for a, _ in line["pairs"]}):
+                line["words"] = line["plain"]
+        matched = set().union(*[x["words"] for x in lines.values()])
+        size = min(n, 8)
+        if lines and (len(matched) >= 0.5 * (n - size + 1) + size - 1 or max(len(x["words"]) for x in lines.values()) >= 13):
+            return len(matched), len(set().union(*[x["plain"] for x in lines.values()]))
+        return None
+
+
+def held_by_hand(docs, items):
+    docs, items = ({k: PlainMatcher(t) for k, t in rows} for rows in (docs, items))
+    held = {(d, i): x.holds(y) for d, x in docs.items() for i, y in items.items()}
+    return {k: v for k, v in held.items() if v}
+
+
+def found_leaks(spark, docs, items):
+    frames = [spark.createDataFrame(rows, f"{name} long, text string") for name, rows in (("doc_id", docs), ("item_id", items))]
+    return {(r.doc_id, r.item_id): (r.n_matched, r.n_verbatim) for r in decontaminate.leaks(*frames).collect()}
+
+
+PATTERNS = [
+    "If {A} has {n} {u} of rope and gives {m} {u} to {B}, how many {u} of rope does {A} still have for the boat?",
+    "A tank holds {n} {u} of water and loses {m} {u} every hour until {A} repairs it, so when is the tank empty?",
+    "While {A} walks {n} {u} to the old mill, {B} rides {m} {u} along the river; who of them gets there first?",
+    "The baker {A} needs {n} {u} of flour for one loaf, so what do {m} loaves for {B} need in all at that rate?",
+]
+NAMES, KINDS_OF_UNITS = "Anna Bertil Carla Dmitri Esra Farid Greta Hugo Ines Jonas Kenji Lotte".split(), "km kg miles litres pounds hours feet gallons".replace("pounds", "lbs").split()
+
+
+def asked(rng, pattern, was=None, new=()):
+    """A question, or the one before with some of names, numbers and unit taken anew."""
+    said = dict(was or {})
+    for slot, pool in (("A", NAMES), ("B", NAMES), ("n", range(11, 99)), ("m", range(2, 99)), ("u", KINDS_OF_UNITS)):
+        if slot not in said or slot in new:
+            said[slot] = rng.choice([x for x in pool if x not in said.values()])
+    return pattern.format(**said), said
+
+
+def test_reparameterised_questions_are_found(spark):
+    rng = random.Random(3)
+    items, made = [], {}
+    for k in range(40):
+        text, said = asked(rng, PATTERNS[k % 4] + f" Think of case q{k}w and of place z{k}y before you tell.")
+        items.append((k, text))
+        for what, new in (("numbers", "nm"), ("units", "u"), ("names", "AB"), ("all", "nmuAB")):
+            again, _ = asked(rng, PATTERNS[k % 4] + f" Think of case q{k}w and of place z{k}y before you tell.", said, new)
+            made[len(made)] = (what, k, f"some words before it here. {again} And some after it.")
+    other = [(1000 + k, " ".join(rng.choice("the of and rope tank water mill river flour loaf Anna 12 km who".split()) for _ in range(80))) for k in range(40)]
+    found = found_leaks(spark, [(d, t) for d, (_, _, t) in made.items()] + other, items)
+    for kind in ("numbers", "units", "names", "all"):
+        wanted = {(d, k) for d, (what, k, _) in made.items() if what == kind}
+        assert len(wanted & set(found)) >= 0.9 * len(wanted), kind
+    assert not any(d >= 1000 for d, _ in found)
+
+
+def test_leaks_equal_a_plain_matcher(spark):
+    rng = random.Random(8)
+    items = [(k, asked(rng, PATTERNS[k % 4])[0]) for k in range(12)]
+    items += [(20, "tiny item of five"), (21, "two Words"), (22, "one"), (23, "Anna 12 km"), (24, ""), (25, None), (26, "?!"), (27, "so Anna ran 12 km in 3 hours there"), (28, "Élan was Ägypten 5 kg for him then")]
+    docs = []
+    for d in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = (asked(rng, rng.choice(PATTERNS))[0] if rng.random() < 0.6 else rng.choice(items)[1] or "").split()
+            for _ in range(rng.randrange(3)):
+                if words:
+                    words[rng.randrange(len(words))] = rng.choice(["changed", "Anna", "17", "kg", "tiny", "one."])
+            parts.append(" ".join(words[rng.randrange(3) :]))
+        docs.append((d, rng.choice([". ", " ", "\n"]).join(parts)))
+    wanted = held_by_hand(docs, items)
+    assert len(wanted) > 40 and found_leaks(spark, docs, items) == wanted
+
+
+def test_leaks_of_a_table_equal_a_plain_matcher(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    rows = [tuple(r) for r in docs.where(F.length("text") < 4000).collect()]
+    items = [tuple(r) for r in bench.collect()]
+    assert found_leaks(spark, rows, items) == held_by_hand(rows, items) != {}
     held = {(d.doc_id, b.item_id) for b in bench.collect() for d in docs.collect() if b.text in d.text}
-    assert held <= {r[:2] for r in found}
+    assert held <= {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+
+
+def test_window_filter_lets_its_windows_through(spark):
+    hashes = tb.mix(np.arange(5000, dtype=np.uint64))
+    bits = decontaminate.window_filter(spark.createDataFrame([(int(h),) for h in hashes[:2000].view(np.int64)], "hash long"))
+    passed = decontaminate._passes(bits, hashes)
+    assert set(range(2000)) <= set(passed.tolist()) and len(passed) < 2010 and len(bits) == 1 << (decontaminate.FILTER_BITS - 3)
 
 
 # ---- 10: fingerprints
