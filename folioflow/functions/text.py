@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.schemas import PAGE_CHARS, STATUS_LABELS, TITLE_CHARS
+from folioflow.schemas import COLORS, FAMILIES, PAGE_CHARS, STATUS_LABELS, TITLE_CHARS
 
+#: White space as browsers and scripts see it: ASCII's, Unicode's separators and the byte order mark.
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,12 +27,11 @@ def like_anywhere(text: Column, query: str) -> Column:
 
 def normalize_tag(label: Column) -> Column:
     """Trimmed, lower-cased, white space joined to one space, less one s at the end."""
-    trimmed = F.regexp_replace(label, r"^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(F.lower(trimmed), r"\s+", " "), "s$", "")
+    return F.regexp_replace(F.lower(clean_space(label)), "s$", "")
 
 
 def clean_space(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", "")
 
 
 def page_title(html: Column) -> Column:
@@ -80,6 +81,25 @@ def status_label(status: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in STATUS_LABELS.items() for x in pair]), status)
 
 
+def color_token(color: Column) -> Column:
+    """The colour if it is one of the palette's, else `muted`."""
+    return F.when(color.isin(*COLORS), color).otherwise("muted")
+
+
+def aspect(width: Column, height: Column) -> Column:
+    """portrait, square or landscape; null without both sizes."""
+    return F.when(width < height, "portrait").when(width == height, "square").when(width > height, "landscape")
+
+
+def color_family(red: Column, green: Column, blue: Column) -> Column:
+    """The family of a colour of 0-255 parts: black, white or grey by its lightness where it hardly has a hue, else by its strongest parts."""
+    most, least = F.greatest(red, green, blue), F.least(red, green, blue)
+    plain = F.when(most < 64, "black").when(least > 191, "white").otherwise("grey")
+    strong = F.concat(*[F.when(2 * (part - least) > most - least, name).otherwise("") for part, name in ((red, "r"), (green, "g"), (blue, "b"))])
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair]), strong)
+    return F.when(most - least < 32, plain).otherwise(named)
+
+
 def counted(n: Column, noun: str) -> Column:
     """'1 mention', '2 mentions'."""
     return F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {noun}")).otherwise(F.lit(f" {noun}s")))

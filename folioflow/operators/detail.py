@@ -1,14 +1,28 @@
-"""One item's detail: satellites as arrays, passages and exports."""
+"""One item's detail: satellites as arrays, passages and exports.
+
+Lists are cut to what a detail shows by row numbers, which Spark applies before the
+shuffle too, and only then collected, so no task holds all rows of an item.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import round_half_up
 from folioflow.operators.library import latest_revision
+from folioflow.schemas import KEY_POINTS, LIST_LIMITS
+
+
+def _first(rows: DataFrame, most: int, *order: Column | str, key: str = "item_id") -> DataFrame:
+    """Each item's first rows, with their place from 1."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+
 
-TRANSCRIPT_ROWS, DETAIL_EVIDENCE = 500, 80
+def _listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+    """item_id and an array of the fields (one: its values) by place."""
+    by_place = F.sort_array(F.collect_list(F.struct("place", *fields)))
+    return rows.groupBy("item_id").agg(F.transform(by_place, lambda r: F.struct(*[r[f].alias(f) for f in fields]) if len(fields) > 1 else r[fields[0]]).alias(name))
 
 
 def item_tags(tags: DataFrame) -> DataFrame:
@@ -17,20 +31,19 @@ def item_tags(tags: DataFrame) -> DataFrame:
 
 def item_websites(mentions: DataFrame, websites: DataFrame) -> DataFrame:
     """Mentions with their website's name, else the name they were given."""
-    return mentions.join(websites.withColumnRenamed("id", "website_id"), "website_id", "left").select("item_id", "website_id", F.coalesce("name", "unresolved_name").alias("name"))
+    named = websites.select(F.col("id").alias("website_id"), "name")
+    return mentions.join(named, "website_id", "left").withColumn("name", F.coalesce("name", "unresolved_name")).drop("unresolved_name")
 
 
 def item_collections(collections: DataFrame, members: DataFrame) -> DataFrame:
-    return members.join(collections.withColumnRenamed("id", "collection_id"), "collection_id").select("item_id", "name")
+    """Collections' names by item, in their order: item_id, place, name."""
+    named = members.join(collections.withColumnRenamed("id", "collection_id"), "collection_id").select("item_id", "name", "collection_id")
+    return _first(named, LIST_LIMITS["collections"], "name", "collection_id").select("item_id", F.col("place").cast("long").alias("place"), "name")
 
 
-def transcript_head(segments: DataFrame, rows: int = TRANSCRIPT_ROWS) -> DataFrame:
-    """Each item's first segments, the number that a detail shows.
-
-    Spark cuts by the row number before the shuffle too, so no task holds a whole item.
-    """
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy("start_ms", "end_ms", "text"))
-    return segments.select("item_id", "start_ms", "end_ms", "text", place.alias("place")).where(F.col("place") <= rows).drop("place")
+def transcript_head(segments: DataFrame, rows: int = LIST_LIMITS["transcript"]) -> DataFrame:
+    """Each item's first segments, the number that a detail shows."""
+    return _first(segments.select("item_id", "start_ms", "end_ms", "text"), rows, "start_ms", "end_ms", "text").drop("place")
 
 
 def capture_labels(captures: DataFrame) -> DataFrame:
@@ -43,6 +56,12 @@ def capture_labels(captures: DataFrame) -> DataFrame:
     )
 
 
+def item_captures(assets: DataFrame) -> DataFrame:
+    """item_id, place, id, timestamp_ms of the captures that a detail shows: those without a time first, then by time."""
+    captures = assets.where("role = 'capture'").select("item_id", "id", "timestamp_ms")
+    return _first(captures, LIST_LIMITS["captures"], F.col("timestamp_ms").asc_nulls_first(), "id").withColumn("place", F.col("place").cast("long"))
+
+
 def passages(evidence: DataFrame, ids: list) -> DataFrame:
     """The passages asked for by id, a few, and whether some weren't found."""
     wanted = sorted(set(ids))
@@ -50,18 +69,49 @@ def passages(evidence: DataFrame, ids: list) -> DataFrame:
     return found.select("id", "excerpt", (F.count("*").over(Window.partitionBy()) < len(wanted)).alias("truncated"))
 
 
-def nested(items: DataFrame, tags: DataFrame, topics: DataFrame, segments: DataFrame, revisions: DataFrame) -> DataFrame:
-    """An item's row with its satellites as sorted arrays."""
+def item_by_id(items: DataFrame, item) -> DataFrame:
+    """The item of this id, if there is one."""
+    return items.where(F.col("id") == F.lit(item)).limit(1)
+
+
+def existing(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, there: which of the ids are items'."""
+    known = items.select("id").distinct().withColumn("there", F.lit(True))
+    return ids.select("id").distinct().join(known, "id", "left").select("id", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+def decoded_points(json: Column) -> Column:
+    """Key points (text, evidenceIds) from their JSON; none for null or what isn't such."""
+    return F.coalesce(F.from_json(json, KEY_POINTS.simpleString()), F.array().cast(KEY_POINTS))
+
+
+def first_evidence(json: Column) -> Column:
+    """The first evidence id in a JSON list; null if there is none."""
+    return F.get(F.from_json(json, "array<string>"), 0)
+
+
+def nested(items: DataFrame, tags: DataFrame, topics: DataFrame, segments: DataFrame, revisions: DataFrame, mentions: DataFrame, websites: DataFrame, evidence: DataFrame, collections: DataFrame, members: DataFrame, notes: DataFrame) -> DataFrame:
+    """An item's row with its satellites as sorted arrays; title, summary and key points are
+    the latest revision's where there is one."""
+    latest = latest_revision(revisions, "title", "summary", "key_points_json")
+    latest = latest.select("item_id", F.col("title").alias("new_title"), F.col("summary").alias("new_summary"), decoded_points(F.col("key_points_json")).alias("key_points"))
+    sites = item_websites(mentions.select("item_id", "seq", "website_id", "unresolved_name"), websites)
     parts = (
-        tags.groupBy("item_id").agg(F.array_sort(F.collect_list("tag")).alias("tags")),
-        topics.groupBy("item_id").agg(F.array_sort(F.collect_list("topic")).alias("topics")),
-        transcript_head(segments).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))).alias("transcript")),
-        latest_revision(revisions),
+        _listed(_first(tags.select("item_id", "tag"), LIST_LIMITS["tags"], "tag"), "tags", "tag"),
+        _listed(_first(topics.select("item_id", "topic"), LIST_LIMITS["topics"], "topic"), "topics", "topic"),
+        _listed(_first(segments.select("item_id", "start_ms", "end_ms", "text"), LIST_LIMITS["transcript"], "start_ms", "end_ms", "text"), "transcript", "start_ms", "end_ms", "text"),
+        _listed(_first(sites, LIST_LIMITS["websites"], "seq", "website_id"), "websites", "name"),
+        _listed(_first(evidence, LIST_LIMITS["evidence"], "seq", "id"), "evidence", "id", "kind", "excerpt", "start_ms"),
+        _listed(item_collections(collections, members), "collections", "name"),
+        notes.select("item_id", F.col("body").alias("note")),
+        latest,
     )
     for part in parts:
         items = items.join(part.withColumnRenamed("item_id", "id"), "id", "left")
-    empty = {c: F.coalesce(F.col(c), F.array().cast(items.schema[c].dataType)) for c in ("tags", "topics", "transcript")}
-    return items.withColumns(empty).withColumn("summary", F.coalesce("summary", "description"))
+    lists = ("tags", "topics", "transcript", "websites", "evidence", "collections", "key_points")
+    full = {c: F.coalesce(F.col(c), F.array().cast(items.schema[c].dataType)) for c in lists}
+    full |= {"title": F.coalesce("new_title", "title"), "summary": F.coalesce("new_summary", "description"), "note": F.coalesce("note", F.lit(""))}
+    return items.withColumns(full).drop("new_title", "new_summary")
 
 
 def as_json(detail: DataFrame) -> DataFrame:
@@ -70,5 +120,9 @@ def as_json(detail: DataFrame) -> DataFrame:
 
 
 def as_markdown(detail: DataFrame) -> DataFrame:
-    """id and the item as a Markdown note."""
-    return detail.select("id", F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), F.col("summary"), F.concat(F.lit("Tags: "), F.array_join("tags", ", "))).alias("markdown"))
+    """id and the item as a Markdown note: title, summary, tags, key points with their evidence, the user's note and citations."""
+    points = F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("- "), p["text"], F.lit(" ["), F.array_join(p["evidenceIds"], ", "), F.lit("]"))), "\n")
+    cited = F.array_join(F.transform("evidence", lambda e: F.concat(F.lit("> "), e["excerpt"], F.lit(" ("), e["id"], F.lit(")"))), "\n")
+    some = lambda text: F.nullif(text, F.lit(""))
+    parts = (F.concat(F.lit("# "), F.col("title")), F.col("summary"), F.concat(F.lit("Tags: "), F.array_join("tags", ", ")), some(points), some(F.col("note")), some(cited))
+    return detail.select("id", F.concat_ws("\n\n", *parts).alias("markdown"))

@@ -23,17 +23,16 @@ def import_lines(requests: DataFrame) -> DataFrame:
 
 
 def admit(links: DataFrame, url: str = "url") -> DataFrame:
-    """Links with platform, platform_id, canonical_url and reject_reason (null: admitted)."""
-    u = F.col(url)
-    ok = urls.reject_reason(u).isNull()
-    return links.withColumns(
-        {
-            "reject_reason": urls.reject_reason(u),
-            "platform": F.when(ok, urls.platform(u)),
-            "platform_id": F.when(ok, urls.platform_id(u)),
-            "canonical_url": F.when(ok, urls.canonical_url(u)),
-        }
-    )
+    """Links with host, platform, platform_id, canonical_url (all but the host null unless admitted) and reject_reason (null: admitted)."""
+    ok = F.col("parts.reason").isNull()
+    new = {
+        "reject_reason": F.col("parts.reason"),
+        "host": F.col("parts.host"),
+        "platform": F.when(ok, F.col("parts.platform")),
+        "platform_id": F.when(ok, F.col("parts.post")),
+        "canonical_url": F.when(ok, F.col("parts.canonical")),
+    }
+    return urls.with_parts(links, url).select(*[c for c in links.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def dedup_key(platform: Column, platform_id: Column, canonical: Column) -> Column:
@@ -46,25 +45,42 @@ def outcomes(links: DataFrame, existing: DataFrame) -> DataFrame:
 
     The first of new links with one key is created, the others exist by then. existing
     has a column key. One equi-join by key, as an OR of two conditions would be a
-    nested loop.
+    nested loop. The first place of a key is an aggregate that meets the links by key and
+    place, so links of one key are no task of their own; rejected links have no key and
+    stay apart.
     """
-    keyed = links.withColumn("key", dedup_key(F.col("platform"), F.col("platform_id"), F.col("canonical_url")))
+    key = dedup_key(F.col("platform"), F.col("platform_id"), F.col("canonical_url"))
+    keyed = links.withColumn("key", F.when(F.col("reject_reason").isNull(), key))
+    taken = keyed.where("key is not null")
     known = existing.select("key").distinct().withColumn("known", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("key").orderBy("place")) == 1
-    outcome = F.when(F.col("reject_reason").isNotNull(), "rejected").when(F.col("known").isNotNull() | ~first, "existing").otherwise("created")
-    return keyed.join(known, "key", "left").withColumn("outcome", outcome).drop("known")
+    first = taken.groupBy("key").agg(F.min("place").alias("place")).join(known, "key", "left").where("known is null").select("key", "place", F.lit("created").alias("outcome"))
+    taken = taken.join(first, ["key", "place"], "left").withColumn("outcome", F.coalesce("outcome", F.lit("existing")))
+    return taken.select(*keyed.columns, "outcome").unionByName(keyed.where("key is null").withColumn("outcome", F.lit("rejected")))
 
 
 def new_items(created: DataFrame, now: Column) -> DataFrame:
     """Item rows of created links; ids are hashes of the key, so that a repeated import makes the same rows."""
     web = F.col("platform") == "web"
-    title = F.when(web, urls.host(F.col("url"))).otherwise(F.concat(F.lit("Saved "), F.col("platform"), F.lit(" source")))
+    title = F.when(web, F.col("host")).otherwise(F.concat(F.lit("Saved "), F.col("platform"), F.lit(" source")))
     return created.where("outcome = 'created'").select(
-        F.sha2("key", 256).alias("id"), title.alias("title"), "platform", "platform_id", F.col("url").alias("source_url"), "canonical_url",
+        F.sha2("key", 256).alias("id"), title.alias("title"), "platform", "platform_id", urls.trimmed(F.col("url")).alias("source_url"), "canonical_url",
         F.when(web, "page").otherwise("video").alias("type"), F.lit("queued").alias("status"), now.alias("created_at"),
     )
 
 
+def child_items(posts: DataFrame) -> DataFrame:
+    """A row for each medium of posts (id, platform, platform_id, source_url, media) with several: an item of its own, that of the post its parent.
+
+    Children share the source and carry the post's id with the medium's number, from 1.
+    """
+    each = posts.where("media > 1").withColumn("medium", F.explode(F.sequence(F.lit(1), F.col("media").cast("int"))))
+    own = F.concat_ws(":", F.col("platform_id").cast("string"), F.col("medium").cast("string"))
+    return each.select(
+        F.sha2(F.concat_ws(":", F.col("platform"), own), 256).alias("id"), F.col("id").alias("parent_id"), "platform", own.alias("platform_id"), "source_url", F.col("medium").cast("long").alias("medium"),
+        F.lit("queued").alias("status"),
+    )
+
+
 def first_jobs(items: DataFrame, now: Column) -> DataFrame:
     return items.select(F.sha2(F.concat(F.lit("job:"), "id"), 256).alias("id"), F.col("id").alias("item_id"), F.lit("acquire").alias("stage"), F.lit("queued").alias("status"), F.lit(0).cast("long").alias("attempt"), now.alias("created_at"))
 
@@ -78,7 +94,7 @@ def outcome_counts(done: DataFrame) -> DataFrame:
 
 
 def host_counts(links: DataFrame, url: str = "url") -> DataFrame:
-    return links.groupBy(urls.host(F.col(url)).alias("host")).agg(F.count("*").alias("n"))
+    return urls.with_parts(links, url).groupBy(F.col("parts.host").alias("host")).agg(F.count("*").alias("n"))
 
 
 def by_content(files: DataFrame, content: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.schemas import LEASE_SECONDS, LIVE_SECONDS
+from folioflow.schemas import HTML_BYTES, LEASE_SECONDS, LIVE_SECONDS
 
 
 def runnable(jobs: DataFrame, items: DataFrame, now: Column) -> DataFrame:
@@ -32,13 +32,47 @@ def claim(job: DataFrame, now: Column) -> DataFrame:
     )
 
 
+# What an item is told after a job.
+NO_KEY = "Cloud analysis is waiting for the selected provider key in Settings."
+FALLBACK = "The source needs local-file fallback or a browser session before it can be downloaded."
+TOO_LARGE = "This page is larger than the 5 MiB HTML limit."
+GONE = "Source item no longer exists."
+
+
 def stage_outcome(jobs: DataFrame, sources: DataFrame) -> DataFrame:
-    """id and item_status after a job: later stages wait for a key, items without a source
-    are ready, pages that can't be read need review."""
-    status = (
-        F.when(F.col("stage") != "acquire", "waiting_for_key").when(F.col("source_url").isNull(), "ready").when(F.col("readable"), "ready").otherwise("needs_review")
+    """id, status, item_status and message after a job; sources: id, source_url, readable, bytes.
+
+    Later stages wait for a key, items without a source are ready, pages that can't be
+    read or are larger than HTML_BYTES need review. The job is done, whatever came out;
+    where the item is gone, it failed.
+    """
+    later, none = F.col("stage") != "acquire", F.col("source_url").isNull()
+    large = F.col("bytes") > HTML_BYTES
+    status = F.when(later, "waiting_for_key").when(none, "ready").when(large, "needs_review").when(F.col("readable"), "ready").otherwise("needs_review")
+    message = F.when(later, NO_KEY).when(none, None).when(large, TOO_LARGE).when(~F.coalesce("readable", F.lit(False)), FALLBACK)
+    known = sources.withColumnRenamed("id", "item_id").withColumn("there", F.lit(True))
+    joined = jobs.join(known, "item_id", "left")
+    return joined.select(
+        "id", F.when(F.col("there"), "done").otherwise("failed").alias("status"), F.when(F.col("there"), status).alias("item_status"), F.when(F.col("there"), message).otherwise(GONE).alias("message")
     )
-    return jobs.join(sources.withColumnRenamed("id", "item_id"), "item_id", "left").select("id", status.alias("item_status"))
+
+
+def flagged(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Jobs with what was asked for their items (item_id, request: pause, resume or cancel, at), the last request of each."""
+    last = requests.groupBy("item_id").agg(F.max_by("request", "at").alias("request"))
+    joined = jobs.join(last, "item_id", "left")
+    return joined.withColumns({"pause_requested": F.coalesce(F.col("request") == "pause", F.lit(False)), "cancel_requested": F.coalesce(F.col("request") == "cancel", F.lit(False))}).drop("request")
+
+
+def between_stages(jobs: DataFrame) -> DataFrame:
+    """Flagged jobs as they go on: id, status, item_status (null: as it was).
+
+    A pause lets the running stage finish and then holds the item; a cancel ends queued
+    and running jobs. Jobs that are over stay as they are.
+    """
+    open_ = F.col("status").isin("queued", "running")
+    cancel, pause = open_ & F.col("cancel_requested"), (F.col("status") == "queued") & F.col("pause_requested")
+    return jobs.select("id", F.when(cancel, "canceled").otherwise(F.col("status")).alias("status"), F.when(cancel, "canceled").when(pause, "paused").alias("item_status"))
 
 
 def expired(jobs: DataFrame, now: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import like_anywhere
+from folioflow.functions.text import aspect, like_anywhere
 from folioflow.schemas import PAGE_DEFAULT, PAGE_MAX, SETTLED_STATUSES, SNIPPET_CHARS, TAG_FACETS
 
 
@@ -16,7 +16,12 @@ def keyword_search(items: DataFrame, chunks: DataFrame, query: str) -> DataFrame
     """
     if not query.strip():
         return items
-    hits = chunks.where(like_anywhere(F.col("body"), query)).select(F.col("item_id").alias("id")).distinct().withColumn("in_chunk", F.lit(True))
+    return _found(items, chunks.where(like_anywhere(F.col("body"), query)).select("item_id"), query)
+
+
+def _found(items: DataFrame, hits: DataFrame, query: str) -> DataFrame:
+    """Items with the query in title or description, or among the hits (item_id)."""
+    hits = hits.select(F.col("item_id").alias("id")).distinct().withColumn("in_chunk", F.lit(True))
     own = like_anywhere(F.col("title"), query) | like_anywhere(F.coalesce("description", F.lit("")), query)
     return items.join(hits, "id", "left").where(F.col("in_chunk").isNotNull() | own).drop("in_chunk")
 
@@ -29,8 +34,24 @@ def with_tag(items: DataFrame, item_tags: DataFrame, tag: str) -> DataFrame:
     return items.join(item_tags.where(F.col("tag") == tag).select(F.col("item_id").alias("id")), "id", "left_semi")
 
 
-def search(items: DataFrame, chunks: DataFrame, item_topics: DataFrame, item_tags: DataFrame, query: str = "", topic: str = "", platform: str = "", tag: str = "") -> DataFrame:
-    """Items that pass every filter given; an empty one isn't a filter."""
+def narrow(items: DataFrame, kind: str = "", since=None, until=None, shape: str = "", color: str = "") -> DataFrame:
+    """Items of a type, created from `since` to before `until`, of an aspect (columns width, height) and a colour family (column color); an empty one isn't a filter."""
+    if kind:
+        items = items.where(F.col("type") == kind)
+    if since is not None:
+        items = items.where(F.col("created_at") >= F.lit(since))
+    if until is not None:
+        items = items.where(F.col("created_at") < F.lit(until))
+    if shape:
+        items = items.where(aspect(F.col("width"), F.col("height")) == shape)
+    if color:
+        items = items.where(F.col("color") == color)
+    return items
+
+
+def search(items: DataFrame, chunks: DataFrame, item_topics: DataFrame, item_tags: DataFrame, query: str = "", topic: str = "", platform: str = "", tag: str = "", **narrower) -> DataFrame:
+    """Items that pass every filter given, those of narrow() too; an empty one isn't a filter."""
+    items = narrow(items, **narrower)
     if platform:
         items = items.where(F.col("platform") == platform)
     if topic:
@@ -52,6 +73,12 @@ def page(items: DataFrame, limit: int | None = None, offset: int | None = None)
     return items.orderBy(F.desc("created_order"), F.desc("id")).offset(offset).limit(limit)
 
 
+def has_more(items: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """total, has_more: how many items there are and whether some follow the page."""
+    limit, offset = min(PAGE_MAX, max(1, limit or PAGE_DEFAULT)), max(0, offset or 0)
+    return items.agg(F.count("*").alias("total")).select("total", (F.col("total") > offset + limit).alias("has_more"))
+
+
 def topic_counts(topics: DataFrame, item_topics: DataFrame) -> DataFrame:
     counts = item_topics.groupBy("topic").agg(F.count("*").alias("n"))
     return topics.join(counts, topics.slug == counts.topic, "left").select("slug", "label", "display_order", F.coalesce("n", F.lit(0)).cast("long").alias("item_count"))
@@ -71,9 +98,11 @@ def processing_count(items: DataFrame) -> DataFrame:
     return items.where(~F.col("status").isin(*SETTLED_STATUSES)).agg(F.count("*").alias("processing"))
 
 
-def latest_revision(revisions: DataFrame) -> DataFrame:
-    latest = revisions.groupBy("item_id").agg(F.max_by(F.struct("revision", "summary"), "revision").alias("r"))
-    return latest.select("item_id", F.col("r.revision").alias("revision"), F.col("r.summary").alias("summary"))
+def latest_revision(revisions: DataFrame, *fields: str) -> DataFrame:
+    """Of each item's last revision its number and the fields, the summary if none are named."""
+    fields = ("revision", *(fields or ("summary",)))
+    latest = revisions.groupBy("item_id").agg(F.max_by(F.struct(*fields), "revision").alias("r"))
+    return latest.select("item_id", *[F.col(f"r.{f}").alias(f) for f in fields])
 
 
 def website_count(mentions: DataFrame) -> DataFrame:
@@ -106,6 +135,6 @@ def first_match(chunks: DataFrame, query: str) -> DataFrame:
 
 def snippets(items: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
     """id, title, snippet of items found: the start of the first matching chunk, else of the description."""
-    match = first_match(chunks, query).select(F.col("item_id").alias("id"), "body")
-    found = keyword_search(items, chunks, query).join(match, "id", "left")
+    match = first_match(chunks, query)
+    found = _found(items, match.select("item_id"), query).join(match.select(F.col("item_id").alias("id"), "body"), "id", "left")
     return found.select("id", "title", F.left(F.coalesce("body", "description"), F.lit(SNIPPET_CHARS)).alias("snippet"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import hamming
 
-# Frames a second up to and beyond this length, bits by which frames are alike, frames kept, batch size.
-SHORT_MS, FAST_MS, SLOW_MS, ALIKE, FRAMES, EVEN, NEAR, BATCH, AROUND_MS = 180_000, 500, 2_000, 4, 32, 8, 12, 8, 8_000
+# Frames a second up to and beyond this length, bits by which frames are alike, frames kept, batch size, batches, time around a moment.
+SHORT_MS, FAST_MS, SLOW_MS, ALIKE, FRAMES, EVEN, NEAR, BATCH, CALLS, AROUND_MS = 180_000, 500, 2_000, 4, 32, 8, 12, 8, 4, 8_000
 
 
 def sample_plan(videos: DataFrame) -> DataFrame:
@@ -25,28 +25,56 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
 
 
 def select_frames(frames: DataFrame, moments: DataFrame, most: int = FRAMES) -> DataFrame:
-    """Up to `most` frames of each item: EVEN evenly spaced, then up to NEAR nearest to a moment, then those of most change; earlier first among equals."""
-    place, n = F.row_number().over(Window.partitionBy("item_id").orderBy("at_ms")) - 1, F.count("*").over(Window.partitionBy("item_id"))
-    spread = frames.withColumns({"place": place, "n": n}).withColumn("step", F.greatest(F.lit(1.0), F.col("n") / EVEN))
-    even = spread.withColumn("slot", F.floor(F.col("place") / F.col("step"))).withColumn(
-        "is_even", F.row_number().over(Window.partitionBy("item_id", "slot").orderBy("at_ms")) == 1
-    )
-    times = moments.groupBy("item_id").agg(F.collect_set("at_ms").alias("times"))
-    near = even.join(times, "item_id", "left").withColumn("gap", F.array_min(F.transform("times", lambda t: F.abs(t - F.col("at_ms")))))
-    near = near.withColumn("near_rank", F.row_number().over(Window.partitionBy("item_id").orderBy("is_even", F.col("gap").asc_nulls_last(), "at_ms")))
-    group = F.when(F.col("is_even"), 0).when(F.col("gap").isNotNull() & (F.col("near_rank") <= NEAR), 1).otherwise(2)
-    order = Window.partitionBy("item_id").orderBy("pick", F.desc("change"), "at_ms")
-    chosen = near.withColumn("pick", group).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return chosen.select("item_id", "at_ms", F.col("pick").cast("long").alias("pick"))
-
-
-def batches(frames: DataFrame, size: int = BATCH) -> DataFrame:
-    """Frames with the number of their batch in time order."""
+    """item_id, at_ms, pick: up to `most` frames of each item, of frames (item_id, at_ms, change).
+
+    pick 0: the first frame of each of EVEN equal parts of the item's time; 1: the frames
+    nearest to the moments (item_id, at_ms), the first NEAR of them in time that aren't
+    picked yet; 2: the rest, of most change in each of as many equal parts of the time as
+    places are left, then of most change at all. The earlier goes first among equals.
+    """
+    item = Window.partitionBy("item_id")
+    low, span = F.min("at_ms").over(item), F.max("at_ms").over(item) - F.min("at_ms").over(item) + 1
+    timed = frames.select("item_id", "at_ms", "change").withColumns({"from": F.col("at_ms") - low, "span": span})
+    slot = F.floor(F.col("from") * EVEN / F.col("span"))
+    timed = timed.withColumn("slot", slot).withColumn("is_even", F.row_number().over(Window.partitionBy("item_id", "slot").orderBy("at_ms")) == 1)
+    marked = timed.join(_nearest(frames, moments).withColumn("near", F.lit(True)), ["item_id", "at_ms"], "left")
+    is_near = F.coalesce("near", F.lit(False)) & ~F.col("is_even")
+    marked = marked.withColumn("turn", F.sum(is_near.cast("int")).over(item.orderBy("at_ms"))).withColumn("is_near", is_near & (F.col("turn") <= NEAR))
+    picked = marked.withColumn("pick", F.when(F.col("is_even"), 0).when(F.col("is_near"), 1).otherwise(2))
+    left = F.greatest(F.lit(1), most - F.sum((F.col("pick") < 2).cast("int")).over(item))
+    picked = picked.withColumn("bin", F.when(F.col("pick") == 2, F.floor(F.col("from") * left / F.col("span"))))
+    first = F.row_number().over(Window.partitionBy("item_id", "pick", "bin").orderBy(F.desc("change"), "at_ms")) == 1
+    picked = picked.withColumn("leads", (F.col("pick") == 2) & first)
+    rank = F.row_number().over(item.orderBy("pick", F.desc("leads"), F.when(F.col("pick") == 2, F.col("change")).desc_nulls_last(), "at_ms"))
+    return picked.withColumn("rank", rank).where(F.col("rank") <= most).select("item_id", "at_ms", F.col("pick").cast("long").alias("pick"))
+
+
+def _nearest(frames: DataFrame, moments: DataFrame) -> DataFrame:
+    """item_id, at_ms of the frames that are the nearest to a moment of their item, the earlier of equals; no pair of both is made."""
+    both = frames.select("item_id", "at_ms", F.col("at_ms").alias("frame")).unionByName(moments.select("item_id", "at_ms", F.lit(None).cast("long").alias("frame")))
+    order = Window.partitionBy("item_id").orderBy("at_ms", F.col("frame").asc_nulls_last())
+    before = F.last("frame", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("frame", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    asked = both.withColumns({"before": before, "after": after}).where("frame is null")
+    earlier = F.col("after").isNull() | (F.col("at_ms") - F.col("before") <= F.col("after") - F.col("at_ms"))
+    return asked.select("item_id", F.when(F.col("before").isNotNull() & earlier, F.col("before")).otherwise(F.col("after")).alias("at_ms")).where("at_ms is not null").distinct()
+
+
+def batches(frames: DataFrame, size: int = BATCH, most: int = CALLS) -> DataFrame:
+    """The frames that are looked at, with the number of their batch in time order: `most` batches at most."""
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("at_ms")) - 1
-    return frames.withColumn("batch", F.floor(place / size).cast("long"))
+    return frames.withColumn("batch", F.floor(place / size).cast("long")).where(F.col("batch") < most)
 
 
 def nearby(moments: DataFrame, segments: DataFrame, around_ms: int = AROUND_MS) -> DataFrame:
-    """Segments that overlap the time around each moment (item_id, at_ms)."""
-    near = (F.col("start_ms") <= F.col("at_ms") + around_ms) & (F.col("end_ms") >= F.col("at_ms") - around_ms)
-    return moments.join(segments, "item_id").where(near)
+    """Segments that overlap the time around each moment (item_id, at_ms).
+
+    Both are dealt to the pieces of time that they touch, so a moment meets the segments
+    near it only; a pair counts in the first piece that both touch.
+    """
+    piece = lambda ms: F.floor(ms / (2 * around_ms)).cast("long")
+    low, high = F.col("at_ms") - around_ms, F.col("at_ms") + around_ms
+    asked = moments.withColumn("first", piece(low)).withColumn("piece", F.explode(F.sequence(F.col("first"), piece(high))))
+    held = segments.withColumn("begins", piece(F.col("start_ms"))).withColumn("piece", F.explode(F.sequence(F.col("begins"), piece(F.greatest("start_ms", "end_ms")))))
+    near = (F.col("start_ms") <= high) & (F.col("end_ms") >= low) & (F.col("piece") == F.greatest("first", "begins"))
+    return asked.join(held, ["item_id", "piece"]).where(near).drop("piece", "first", "begins")

@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.schemas import TEXT_CHARS, TITLE_CHARS
+from folioflow.schemas import ENTRY_LIMITS, ITEM_STATUSES, LIST_LIMITS, TEXT_LIMITS
+
+#: Characters by which a passage without inner words is looked for.
+SHORT = 3
 
 
-def literal_occurrence(texts: DataFrame, passages: DataFrame, most_short: int = 100) -> DataFrame:
-    """item_id, passage_id: which texts hold which passages literally.
+def literal_occurrence(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """item_id, passage_id: which texts hold which passages literally. Null passages are in none.
 
     White space parts a passage's inner words from their neighbours, so a text that
     holds the passage has its longest inner word as a word of its own: an equi-join on
-    that word finds the pairs to compare. Passages without an inner word, of which
-    there may be most_short, are looked for in every text.
+    that word finds the pairs to compare. Passages without an inner word, if there are
+    some, are found by their first characters, SHORT at most, which are characters in a
+    row of the text.
     """
     words = F.split("excerpt", r"\s+")
-    parted = passages.select(F.col("id").alias("passage_id"), "excerpt", F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)).alias("inner"))
-    parted = parted.select("passage_id", "excerpt", F.try_element_at(F.sort_array(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"].alias("word"))
-    keyed = parted.where("word is not null and word <> ''")
-    short = [tuple(r) for r in parted.where("word is null or word = ''").select("passage_id", "excerpt").limit(most_short + 1).collect()]
-    if len(short) > most_short:
-        raise ValueError(f"more than {most_short} passages of fewer than three words")
-    found = texts.select("item_id", "body", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("word")).join(keyed, "word")
-    found = found.where(F.contains("body", "excerpt")).select("item_id", "passage_id").distinct()
-    for passage, excerpt in short:
-        found = found.unionByName(texts.where(F.contains("body", F.lit(excerpt))).select("item_id", F.lit(passage).alias("passage_id")))
-    return found
+    parted = passages.where("excerpt is not null").select(F.col("id").alias("passage_id"), "excerpt", F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)).alias("inner"))
+    longest = F.try_element_at(F.sort_array(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
+    parted = parted.select("passage_id", "excerpt", F.nullif(longest, F.lit("")).alias("key"))
+    pieces = [(parted.where("key is not null"), F.array_distinct(F.split("body", r"\s+")))]
+    short = parted.where("key is null").withColumn("key", F.left("excerpt", F.lit(SHORT)))
+    if short.limit(1).count():
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("body")))
+        grams = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("body"), i, F.lit(k)) for k in range(SHORT + 1)])))
+        pieces.append((short, F.array_distinct(grams)))
+    found = [texts.select("item_id", "body", F.explode(keys).alias("key")).join(keyed, "key").where(F.contains("body", "excerpt")) for keyed, keys in pieces]
+    return reduce(DataFrame.unionByName, found).select("item_id", "passage_id").distinct()
 
 
 def dangling(citations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -35,12 +41,23 @@ def dangling(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     return citations.join(evidence.select("item_id", F.col("id").alias("evidence_id")), ["item_id", "evidence_id"], "left_anti")
 
 
-def contract_rules() -> dict:
-    return {
-        "title": (F.length("title") >= 1) & (F.length("title") <= TITLE_CHARS),
-        "description": F.length("description") <= TEXT_CHARS,
-        "bytes": F.col("bytes") <= 10_000,
-    }
+def contract_rules() -> dict[str, Column]:
+    """Rules of an item's detail (of detail.nested), by what they are about."""
+    rules = {name: F.size(name) <= most for name, most in LIST_LIMITS.items()}
+    rules |= {name: F.length(F.coalesce(name, F.lit(""))) <= most for name, most in TEXT_LIMITS.items()}
+    for place, most in ENTRY_LIMITS.items():
+        column, _, field = place.partition("[]")
+        rules[place] = F.forall(column, _within(field.removeprefix("."), most))
+    return rules | {"status": F.col("status").isin(*ITEM_STATUSES), "bytes": F.coalesce(F.col("bytes") >= 0, F.lit(True))}
+
+
+def rules_for(columns: list[str]) -> dict[str, Column]:
+    """The rules about columns that there are."""
+    return {name: rule for name, rule in contract_rules().items() if name.partition("[]")[0] in columns}
+
+
+def _within(field: str, most: int):
+    return lambda entry: F.coalesce(F.length(entry[field] if field else entry) <= most, F.lit(True))
 
 
 def storage_by_role(assets: DataFrame) -> DataFrame:

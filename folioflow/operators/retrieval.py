@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import ascii_lower
+from folioflow.functions.text import LOWER, UPPER, ascii_lower
 from folioflow.functions.vectors import dot, norm
 
 # Chunk size and overlap in words, BM25's constants, ranks taken, fusion's constant.
 CHUNK_WORDS, OVERLAP, K1, B, TOP, RRF = 220, 40, 1.2, 0.75, 50, 60
+#: Folders of a stored index.
+INDEX_PARTS = 64
 
 
 def words(text):
@@ -38,26 +42,64 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return lengths(chunks).agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words"), F.round(F.avg("n_words"), 6).alias("avg_words"))
 
 
-def _equals(word: str):
-    return lambda w: w == F.lit(word)
+def _lowered(query: list[str]) -> list[str]:
+    return sorted({q.translate(str.maketrans(UPPER, LOWER)) for q in query})
+
+
+def _score(tf: Column, size: Column, df: Column, n: Column, mean: Column) -> Column:
+    """What a word adds to the score of a chunk of `size` words."""
+    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+
+
+def _best(scored: DataFrame, top: int) -> DataFrame:
+    best = scored.select("id", F.round("score", 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(top)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
 
 def bm25(chunks: DataFrame, query: list[str], top: int = TOP) -> DataFrame:
-    """id, score, rank of the best chunks for the query's words.
+    """id, score, rank of the best chunks for the query's words (letters and digits only), by reading all texts.
 
     Only the query's words are counted in a chunk, so nothing but those counts moves;
-    the corpus's size and length are one row.
+    the corpus's size and length are one row. For many queries, store an index and use bm25_of().
     """
-    query = sorted({q.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for q in query})
+    query = _lowered(query)
+    text = ascii_lower(F.coalesce("body", F.lit("")))
+    counts = [F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){q}(?![\p{{L}}\p{{N}}])")).alias(f"tf_{k}") for k, q in enumerate(query)]
+    counted = chunks.select("id", F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")).alias("size"), *counts)
+    stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(query))])
+    hits = counted.where(reduce(Column.__or__, [F.col(f"tf_{k}") > 0 for k in range(len(query))], F.lit(False)))
+    parts = [_score(F.col(f"tf_{k}").cast("double"), F.col("size"), F.col(f"df_{k}"), F.col("n"), F.col("mean")) for k in range(len(query))]
+    return _best(hits.join(F.broadcast(stats)).withColumn("score", sum(parts, F.lit(0.0))), top)
+
+
+def store_index(chunks: DataFrame, path: str) -> None:
+    """Store the inverted index of chunks (id, body): a row for each word of each chunk with its
+    count and the chunk's length, in INDEX_PARTS folders by the word's hash and sorted by
+    word, and the corpus's size and mean length."""
     listed = chunks.select("id", words(F.coalesce("body", F.lit(""))).alias("w"))
-    stats = listed.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"), *[F.count_if(F.array_contains("w", q)).alias(f"df_{k}") for k, q in enumerate(query)]).first()
-    score = F.lit(0.0)
-    for k, q in enumerate(query):
-        idf = F.log(F.lit(1.0) + (stats["n"] - stats[f"df_{k}"] + 0.5) / (stats[f"df_{k}"] + 0.5))
-        tf = F.size(F.filter("w", _equals(q))).cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("w") / (stats["mean"] or 1.0)))
-    best = listed.select("id", F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(top)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
+    terms = listed.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    terms.withColumn("part", _part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/terms")
+    listed.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).write.parquet(f"{path}/stats")
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_PARTS)).cast("int")
+
+
+def bm25_of(spark: SparkSession, path: str, query: list[str], top: int = TOP) -> DataFrame:
+    """id, score, rank as bm25() gives, from a stored index: only the folders of the query's
+    words are read, and in them only the row groups that have these words."""
+    query = _lowered(query)
+    wanted = spark.createDataFrame([(q,) for q in query], "term string").select(_part(F.col("term"))).distinct()
+    parts = [r[0] for r in wanted.collect()]  # as many as the query has words, at most
+    schema = "id string, term string, tf bigint, size int, part int"
+    found = spark.read.parquet(f"{path}/terms") if query else spark.createDataFrame([], schema)
+    found = found.where(F.col("part").isin(*parts) & F.col("term").isin(*query))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    scored = found.join(F.broadcast(df), "term").join(F.broadcast(spark.read.parquet(f"{path}/stats")))
+    scored = scored.withColumn("part_score", _score(F.col("tf").cast("double"), F.col("size"), F.col("df"), F.col("n"), F.col("mean")))
+    return _best(scored.groupBy("id").agg(F.sum("part_score").alias("score")), top)
 
 
 def nearest(vectors: DataFrame, query: list[float], top: int = TOP, exclude: int | None = None) -> DataFrame:
@@ -78,14 +120,30 @@ def fuse(*ranked: DataFrame, k: int = RRF) -> DataFrame:
     return both.groupBy("id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
 
 
-def roll_up(scored: DataFrame, items: int = 20, snippets: int = 2) -> DataFrame:
-    """Items by their best chunk, and up to two chunks of each: item_id, score, seqs."""
+def roll_up(scored: DataFrame, items: int = 20, snippets: int = 2, exact: DataFrame | None = None) -> DataFrame:
+    """Items by their best chunk, and up to two chunks of each: item_id, score, seqs.
+
+    Among equal scores the items of `exact` (item_id) lead, those whose website's name or
+    host is what was asked for; then the smaller id.
+    """
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc_nulls_last("score"), "seq"))
     first = scored.select("item_id", "score", "seq", place.alias("place")).where(F.col("place") <= snippets)
     best = first.groupBy("item_id").agg(F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "seq"))).alias("top"))
-    best = best.orderBy(F.desc("score"), "item_id").limit(items)
+    order = [F.desc("score"), F.col("item_id")]
+    if exact is not None:
+        best = best.join(exact.select("item_id").distinct().withColumn("lead", F.lit(1)), "item_id", "left")
+        order.insert(1, F.desc_nulls_last("lead"))
+    best = best.orderBy(*order).limit(items)
     return best.select("item_id", "score", F.array_join(F.transform("top", lambda t: t["seq"].cast("string")), ",").alias("seqs"))
 
 
-def mode(has_vectors: bool) -> str:
-    return "hybrid" if has_vectors else "keyword"
+def exact_sites(mentions: DataFrame, websites: DataFrame, query: str) -> DataFrame:
+    """item_id of the items that mention a website whose name or host is the query, letters in either case."""
+    wanted = F.lower(F.lit(query.strip()))
+    named = websites.where((F.lower("name") == wanted) | (F.lower("hostname") == wanted)).select(F.col("id").alias("website_id"))
+    return mentions.join(named, "website_id", "left_semi").select("item_id").distinct()
+
+
+def mode(vectors: DataFrame) -> DataFrame:
+    """mode: hybrid where there are vectors, else keyword."""
+    return vectors.limit(1).agg(F.when(F.count("*") > 0, "hybrid").otherwise("keyword").alias("mode"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.schemas import TRASH_DAYS
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, by: str) -> DataFrame:
     """One row for each key, the last written by the column `by`; of equals, the new one."""
@@ -26,7 +28,7 @@ def replace_links(old: DataFrame, new: DataFrame, targets: DataFrame, key: str,
 
 
 def delete_originals(assets: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assets left when the ready items' originals are deleted; and by item what was removed."""
+    """Assets left when the ready items' originals are deleted; and by item what was removed. Others' originals stay."""
     ready = items.where("status = 'ready'").select(F.col("id").alias("item_id"))
     original = F.col("role") == "original"
     left = assets.where(~original).unionByName(assets.where(original).join(ready, "item_id", "left_anti").select(assets.columns))
@@ -34,6 +36,13 @@ def delete_originals(assets: DataFrame, items: DataFrame) -> tuple[DataFrame, Da
     return left, removed.agg(F.count("*").alias("removed_assets"), F.sum("bytes").alias("removed_bytes"))
 
 
+def stamp_deleted(items: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Items with original_deleted_at set where the original was asked to be deleted (item_id) and may be: those that are ready."""
+    hit = asked.select(F.col("item_id").alias("id")).distinct().withColumn("hit", F.lit(True))
+    stamped = F.when(F.col("hit") & (F.col("status") == "ready"), now).otherwise(F.col("original_deleted_at"))
+    return items.join(hit, "id", "left").withColumn("original_deleted_at", stamped).select(items.columns)
+
+
 def cascade(satellite: DataFrame, deleted: DataFrame, key: str = "item_id") -> DataFrame:
     """A satellite's rows whose owner isn't deleted."""
     return satellite.join(deleted.select(F.col("id").alias(key)), key, "left_anti").select(satellite.columns)
@@ -45,6 +54,25 @@ def forget_reference(rows: DataFrame, deleted: DataFrame, key: str) -> DataFrame
     return rows.join(gone, key, "left").withColumn(key, F.when(F.col("gone").isNull(), F.col(key))).select(rows.columns)
 
 
-def restorable(trash: DataFrame, now: Column, days: int = 30) -> DataFrame:
+def restorable(trash: DataFrame, now: Column, days: int = TRASH_DAYS) -> DataFrame:
     """Deleted rows that are still kept."""
     return trash.where(F.col("deleted_at") > now - F.make_interval(days=F.lit(days)))
+
+
+def trash_state(items: DataFrame, now: Column, days: int = TRASH_DAYS) -> DataFrame:
+    """Items (id, deleted_at) with what they are: kept, in the trash, or gone for good."""
+    over = F.col("deleted_at") <= now - F.make_interval(days=F.lit(days))
+    return items.select("id", F.when(F.col("deleted_at").isNull(), "kept").when(over, "gone").otherwise("trash").alias("state"))
+
+
+def restore(items: DataFrame, asked: DataFrame, now: Column, days: int = TRASH_DAYS) -> DataFrame:
+    """Items without those gone for good; the ones asked back (id) out of the trash."""
+    hit = asked.select("id").distinct().withColumn("hit", F.lit(True))
+    left = items.where("deleted_at is null").unionByName(restorable(items, now, days))
+    return left.join(hit, "id", "left").withColumn("deleted_at", F.when(F.col("hit").isNull(), F.col("deleted_at"))).select(items.columns)
+
+
+def rename(rows: DataFrame, names: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows whose column is what names (key, new_name) say, where they say something: topics and collections renamed."""
+    said = names.groupBy(key).agg(F.max("new_name").alias("new_name"))
+    return rows.join(said, key, "left").withColumn(column, F.coalesce("new_name", column)).select(rows.columns)

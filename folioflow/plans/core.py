@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text, urls
 from folioflow.functions.vectors import difference_hash
-from folioflow.operators import detail, graph, ingest, jobs, library, media, quality, retrieval, state
-from folioflow.plans.links import LINKS, links_sql
+from folioflow.operators import detail, graph, ingest, jobs, library, media, pages, quality, retrieval, state
+from folioflow.plans.links import expected_sql, links
+from folioflow.sources import demo
 from folioflow.sources.adapters import NOW, PLATFORM_DOMAIN, entity, with_entities
-from folioflow.sources.catalog import check_rows
+from folioflow.sources.catalog import Catalog, check_rows, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,13 +105,61 @@ def library_page(spark, d):
     return library.page(entity(spark, d, "items"), 20, 40).select("id", "title", "platform")
 
 
-@query("clamp_pagination", "SELECT k AS id, least(50, greatest(1, CASE WHEN coalesce(l, 0) = 0 THEN 20 ELSE l END))::INTEGER AS page_limit, greatest(0, coalesce(o, 0))::INTEGER AS page_offset FROM (VALUES (1, NULL, NULL), (2, 0, -5), (3, 7, 30), (4, 500, 2), (5, -3, 0)) AS t(k, l, o)")
+@query("clamp_pagination", "SELECT event_id AS id, least(50, greatest(1, CASE WHEN coalesce(l, 0) = 0 THEN 20 ELSE l END))::BIGINT AS page_limit, greatest(0, coalesce(o, 0))::BIGINT AS page_offset FROM (SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_id % 71 - 5 END AS l, CASE WHEN event_id % 13 > 0 THEN event_id % 97 - 9 END AS o FROM events)")
 def clamp_pagination(spark, d):
-    rows = spark.createDataFrame([(1, None, None), (2, 0, -5), (3, 7, 30), (4, 500, 2), (5, -3, 0)], "id int, l int, o int")
+    e = F.col("event_id")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(e.alias("id"), F.when(e % 11 > 0, e % 71 - 5).alias("l"), F.when(e % 13 > 0, e % 97 - 9).alias("o"))
     limit, offset = library.clamp(F.col("l"), F.col("o"))
     return rows.select("id", limit.alias("page_limit"), offset.alias("page_offset"))
 
 
+@query("page_has_more", f"SELECT count(*) AS total, count(*) > 60 AS has_more {_COMBINED}", *_FOUR)
+def page_has_more(spark, d):
+    return library.has_more(_combined(spark, d), 20, 40)
+
+
+_FAMILY = (
+    "CASE WHEN hi - lo < 32 THEN CASE WHEN hi < 64 THEN 'black' WHEN lo > 191 THEN 'white' ELSE 'grey' END ELSE list_extract(['blue', 'green', 'cyan', 'red', 'magenta', 'yellow'], "
+    "(2 * (red - lo) > hi - lo)::INT * 4 + (2 * (green - lo) > hi - lo)::INT * 2 + (2 * (blue - lo) > hi - lo)::INT) END"
+)
+
+
+@query("color_families", f"SELECT id, {_FAMILY} AS color, CASE WHEN width > height THEN 'landscape' WHEN width < height THEN 'portrait' ELSE 'square' END AS aspect FROM (SELECT *, greatest(red, green, blue) AS hi, least(red, green, blue) AS lo FROM items_)", "items")
+def color_families(spark, d):
+    return _colored(spark, d).select("id", "color", text.aspect(F.col("width"), F.col("height")).alias("aspect"))
+
+
+def _colored(spark, d):
+    return entity(spark, d, "items").withColumn("color", text.color_family(F.col("red"), F.col("green"), F.col("blue")))
+
+
+@query(
+    "narrowed_search",
+    f"SELECT id, title FROM (SELECT *, greatest(red, green, blue) AS hi, least(red, green, blue) AS lo FROM items_) i WHERE type = 'video' AND created_at >= TIMESTAMP '2024-01-03' AND created_at < TIMESTAMP '2030-01-01' AND width > height AND {_FAMILY} = 'blue' AND EXISTS (SELECT 1 FROM item_topics_ t WHERE t.item_id = i.id AND t.topic = 'en')",
+    "items", "item_topics",
+)
+def narrowed_search(spark, d):
+    names = ("chunks", "item_topics", "item_tags")
+    kept = {"kind": "video", "since": datetime(2024, 1, 3), "until": datetime(2030, 1, 1), "shape": "landscape", "color": "blue"}
+    return library.search(_colored(spark, d), *(entity(spark, d, n) for n in names), topic="en", **kept).select("id", "title")
+
+
+@query("item_lookup", "SELECT id, title, platform FROM items_ WHERE id = 17", "items")
+def item_lookup(spark, d):
+    return detail.item_by_id(entity(spark, d, "items"), 17).select("id", "title", "platform")
+
+
+@query("existing_items", "SELECT item_id AS id, max((item_id IN (SELECT doc_id FROM documents))::INT) = 1 AS there FROM jobs_ GROUP BY 1", "jobs")
+def existing_items(spark, d):
+    return detail.existing(entity(spark, d, "items"), entity(spark, d, "jobs").select(F.col("item_id").alias("id")))
+
+
+@query("topic_colors", "SELECT doc_id AS id, CASE WHEN source IN ('src1', 'src2') THEN 'plum' ELSE 'muted' END AS color FROM documents")
+def topic_colors(spark, d):
+    stored = F.when(F.col("platform").isin("src1", "src2"), "plum").when(F.col("platform") != "src3", F.col("platform"))
+    return entity(spark, d, "items").select("id", text.color_token(stored).alias("color"))
+
+
 @query("topic_counts", "SELECT slug, label, display_order, count(i.topic)::BIGINT AS item_count FROM topics_ t LEFT JOIN item_topics_ i ON t.slug = i.topic GROUP BY ALL", "topics", "item_topics")
 def topic_counts(spark, d):
     return library.topic_counts(entity(spark, d, "topics"), entity(spark, d, "item_topics"))
@@ -173,16 +224,26 @@ def item_tags_agg(spark, d):
     return detail.item_tags(entity(spark, d, "item_tags"))
 
 
-@query("item_websites", "SELECT m.item_id, m.website_id, coalesce(w.name, m.unresolved_name) AS name FROM mentions_ m LEFT JOIN websites_ w ON w.id = m.website_id AND w.id % 3 <> 0", "mentions", "websites")
+@query("item_websites", "SELECT m.item_id, m.seq, m.website_id, coalesce(w.name, m.unresolved_name) AS name FROM mentions_ m LEFT JOIN websites_ w ON w.id = m.website_id", "mentions", "websites")
 def item_websites(spark, d):
-    return detail.item_websites(entity(spark, d, "mentions"), entity(spark, d, "websites").where("id % 3 <> 0"))
+    return detail.item_websites(entity(spark, d, "mentions"), entity(spark, d, "websites"))
 
 
-@query("item_collections", "SELECT m.item_id, c.name FROM collection_items_ m JOIN collections_ c ON c.id = m.collection_id", "collections", "collection_items")
+@query("item_collections", "SELECT m.item_id, row_number() OVER (PARTITION BY m.item_id ORDER BY c.name, c.id) AS place, c.name FROM collection_items_ m JOIN collections_ c ON c.id = m.collection_id QUALIFY place <= 30", "collections", "collection_items")
 def item_collections(spark, d):
     return detail.item_collections(entity(spark, d, "collections"), entity(spark, d, "collection_items"))
 
 
+@query("item_captures", "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY timestamp_ms NULLS FIRST, id) AS place, id, timestamp_ms FROM assets_ WHERE role = 'capture' QUALIFY place <= 32", "assets")
+def item_captures(spark, d):
+    return detail.item_captures(entity(spark, d, "assets"))
+
+
+@query("chunk_evidence", "SELECT item_id, seq, CASE WHEN item_id % 9 > 0 THEN 'description:' || item_id END AS evidence_id FROM chunks_", "chunks")
+def chunk_evidence(spark, d):
+    return entity(spark, d, "chunks").select("item_id", "seq", detail.first_evidence(F.col("evidence_ids_json")).alias("evidence_id"))
+
+
 @query("transcript_head", "SELECT item_id, start_ms, end_ms, text FROM segments_ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY start_ms) <= 500", "segments")
 def transcript_head(spark, d):
     return detail.transcript_head(entity(spark, d, "segments"))
@@ -200,142 +261,179 @@ def get_passages(spark, d):
     return detail.passages(entity(spark, d, "passages"), [1, 3, 5, 999999])
 
 
+_NESTED = ("items", "item_tags", "item_topics", "segments", "revisions", "mentions", "websites", "evidence", "collections", "collection_items", "notes")
+
+
 def _nested(spark, d):
-    return detail.nested(*(entity(spark, d, n) for n in ("items", "item_tags", "item_topics", "segments", "revisions")))
+    return detail.nested(*(entity(spark, d, n) for n in _NESTED))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """A detail's lists as texts."""
+    pair = lambda *parts: F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+    return rows.select(
+        "id", "title", "summary", "note", F.array_join("tags", ",").alias("tags"), F.array_join("topics", ",").alias("topics"), F.array_join("websites", ",").alias("websites"),
+        F.array_join("collections", ",").alias("collections"),
+        F.array_join(F.transform("transcript", lambda t: pair(t["start_ms"], t["end_ms"], t["text"])), ";").alias("transcript"),
+        F.array_join(F.transform("evidence", lambda e: pair(e["id"], e["kind"], e["excerpt"], e["start_ms"])), ";").alias("evidence"),
+        F.array_join(F.transform("key_points", lambda p: pair(p["text"], F.array_join(p["evidenceIds"], ","))), ";").alias("key_points"),
+    )
+
+
+_FLAT_SQL = """,
+    last AS (SELECT item_id, max(revision) AS revision, arg_max(title, revision) AS title, arg_max(summary, revision) AS summary FROM revisions_ GROUP BY 1),
+    flat AS (SELECT i.id, coalesce(r.title, i.title) AS title, coalesce(r.summary, i.description) AS summary, coalesce(n.body, '') AS note,
+        coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM item_tags_ t WHERE t.item_id = i.id), '') AS tags,
+        coalesce((SELECT string_agg(topic, ',' ORDER BY topic) FROM item_topics_ t WHERE t.item_id = i.id), '') AS topics,
+        coalesce(s.names, '') AS websites,
+        coalesce((SELECT string_agg(c.name, ',' ORDER BY c.name) FROM collection_items_ m JOIN collections_ c ON c.id = m.collection_id WHERE m.item_id = i.id), '') AS collections,
+        coalesce((SELECT string_agg(start_ms || '|' || end_ms || '|' || coalesce(text, '-'), ';' ORDER BY start_ms) FROM segments_ g WHERE g.item_id = i.id), '') AS transcript,
+        coalesce((SELECT string_agg(id || '|' || kind || '|' || excerpt || '|' || start_ms, ';' ORDER BY seq) FROM evidence_ e WHERE e.item_id = i.id), '') AS evidence,
+        coalesce('point ' || r.revision || '|description:' || i.id, '') AS key_points
+      FROM items_ i LEFT JOIN last r ON r.item_id = i.id LEFT JOIN notes_ n ON n.item_id = i.id
+      LEFT JOIN (SELECT item_id, string_agg(name, ',' ORDER BY place) AS names FROM (SELECT m.item_id, coalesce(w.name, m.unresolved_name) AS name,
+            row_number() OVER (PARTITION BY m.item_id ORDER BY m.seq, m.website_id NULLS FIRST) AS place FROM mentions_ m LEFT JOIN websites_ w ON w.id = m.website_id) WHERE place <= 20 GROUP BY 1) s ON s.item_id = i.id)
+"""
+
+
+def _then_flat(sql: str) -> str:
+    return with_entities("{{}}", *_NESTED).replace(" {{}}", f"{_FLAT_SQL} {sql}")
 
 
-@query("item_detail_nested")
+@query("item_detail_nested", _then_flat("SELECT * FROM flat"))
 def item_detail_nested(spark, d):
-    return _nested(spark, d)
+    return _flat(_nested(spark, d))
 
 
-@query("export_item_json")
+@query("export_item_json", _then_flat("SELECT * FROM flat"))
 def export_item_json(spark, d):
-    return detail.as_json(_nested(spark, d))
+    rows = _nested(spark, d)
+    return _flat(detail.as_json(rows).select(F.from_json("json", rows.schema.simpleString()).alias("r")).select("r.*"))
 
 
 @query(
     "export_item_markdown",
-    "SELECT id, '# ' || title || chr(10) || chr(10) || coalesce((SELECT arg_max(summary, revision) FROM revisions_ r WHERE r.item_id = i.id), description) || chr(10) || chr(10) || 'Tags: ' "
-    "|| coalesce((SELECT string_agg(tag, ', ' ORDER BY tag) FROM item_tags_ t WHERE t.item_id = i.id), '') AS markdown FROM items_ i",
-    "items", "revisions", "item_tags",
+    _then_flat(
+        "SELECT id, concat_ws(chr(10) || chr(10), '# ' || title, summary, 'Tags: ' || replace(tags, ',', ', '), CASE WHEN key_points <> '' THEN '- ' || replace(key_points, '|', ' [') || ']' END, nullif(note, ''), "
+        "(SELECT string_agg('> ' || excerpt || ' (' || e.id || ')', chr(10) ORDER BY seq) FROM evidence_ e WHERE e.item_id = flat.id)) AS markdown FROM flat"
+    ),
 )
 def export_item_markdown(spark, d):
     return detail.as_markdown(_nested(spark, d))
 
 
+@query("compact_projection", _then_flat("SELECT id, title, left(summary, 240) AS snippet, websites, tags FROM flat"))
+def compact_projection(spark, d):
+    return _flat(_nested(spark, d)).select("id", "title", F.left("summary", F.lit(240)).alias("snippet"), "websites", "tags")
+
+
 # ---- ingest
 
 
-def _links(spark):
-    return spark.createDataFrame(LINKS, "place bigint, url string")
+def _links(spark, d):
+    """All pages' links after those of the list, which are numbered below zero."""
+    pages = _pages(spark, d).select(F.col("page_id").alias("place"), "url")
+    return spark.createDataFrame(links(), "place bigint, url string").unionByName(pages)
 
 
-@query("import_url_lines", "SELECT 1::BIGINT AS request_id, row_number() OVER (ORDER BY p)::BIGINT AS place, url FROM (SELECT min(place) AS p, url FROM (SELECT place, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS url FROM (SELECT unnest(range(len(l))) AS place, unnest(l) AS line FROM (SELECT string_split(string_agg(url, chr(10) ORDER BY place), chr(10)) AS l FROM links_))) WHERE url <> '' GROUP BY url) QUALIFY place <= 20".join([f"WITH links_ AS ({links_sql()}) ", ""]))
+def _pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet")
+
+
+@query(
+    "import_url_lines",
+    "SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY page_id) AS place, url FROM (SELECT page_id // 30 AS request_id, min(page_id) AS page_id, url FROM pages GROUP BY ALL) QUALIFY place <= 20",
+)
 def import_url_lines(spark, d):
-    body = "\r\n".join(u for _, u in LINKS if u is not None)
-    return ingest.import_lines(spark.createDataFrame([(1, body)], "request_id bigint, body string"))
-
-
-_ADMIT = f"""WITH raw AS ({links_sql()}),
-parts AS (SELECT place, url, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS u FROM raw),
-cut AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS auth,
-  regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS rawpath, regexp_extract(u, '^[^?#]*\\?([^#]*)', 1) AS q FROM parts),
-host AS (SELECT *, regexp_replace(auth, '^.*@', '') AS hp, regexp_replace(regexp_replace(rawpath, '/+', '/', 'g'), '/$', '') AS p0 FROM cut),
-named AS (SELECT *, lower(regexp_extract(hp, '^(\\[[^\\]]*\\]|[^:]*)', 1)) AS host, regexp_extract(hp, '^(?:\\[[^\\]]*\\]|[^:\\[]*):([0-9]*)$', 1) AS port, CASE WHEN p0 = '' THEN '/' ELSE p0 END AS path FROM host),
-kinds AS (SELECT *, regexp_replace(host, '^\\[|\\]$', '', 'g') AS bare, CASE WHEN host = 'youtu.be' OR host LIKE '%youtube.com' THEN 'youtube' WHEN host LIKE '%instagram.com' THEN 'instagram' WHEN host LIKE '%tiktok.com' THEN 'tiktok'
-  WHEN regexp_full_match(host, '(.*\\.)?(x|twitter)\\.com') THEN 'x' ELSE 'web' END AS kind FROM named),
-ids AS (SELECT *, CASE kind WHEN 'youtube' THEN CASE WHEN host = 'youtu.be' THEN nullif(regexp_extract(path, '^/([^/]*)', 1), '') ELSE coalesce(nullif(regexp_extract(q, '(?:^|&)v=([^&]*)', 1), ''), nullif(regexp_extract(path, '/(?:shorts|embed|live)/([^/]+)', 1), '')) END
-  WHEN 'instagram' THEN nullif(regexp_extract(path, '/(?:reel|p|tv)/([^/]+)', 1), '') WHEN 'tiktok' THEN nullif(regexp_extract(path, '/video/(\\d+)', 1), '') WHEN 'x' THEN nullif(regexp_extract(path, '/status/(\\d+)', 1), '') END AS pid,
-  try_cast(split_part(bare, '.', 1) AS INT) AS a, try_cast(split_part(bare, '.', 2) AS INT) AS b, regexp_full_match(bare, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AS four FROM kinds),
-judged AS (SELECT *, (bare IN ('localhost', 'localhost.localdomain', 'metadata.google.internal', 'metadata') OR regexp_matches(bare, '\\.(localhost|local)$')
-  OR (four AND coalesce(a IN (10, 127, 0) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168), false))
-  OR (contains(bare, ':') AND (bare IN ('::1', '::') OR regexp_matches(bare, '^(fc|fd|fe80:)')))) AS private FROM ids),
-said AS (SELECT *, CASE WHEN url IS NULL OR scheme = '' THEN '{urls.INVALID}' WHEN scheme NOT IN ('http', 'https') THEN '{urls.NOT_HTTP}' WHEN host = '' THEN '{urls.INVALID}' WHEN contains(auth, '@') THEN '{urls.CREDENTIALS}'
-  WHEN port NOT IN ('', '80', '443') THEN '{urls.BAD_PORT}' WHEN private THEN '{urls.PRIVATE}' WHEN kind <> 'web' AND pid IS NULL THEN CASE kind WHEN 'youtube' THEN '{urls.NO_POST["youtube"]}' WHEN 'instagram' THEN '{urls.NO_POST["instagram"]}'
-  WHEN 'tiktok' THEN '{urls.NO_POST["tiktok"]}' ELSE '{urls.NO_POST["x"]}' END END AS reject_reason FROM judged),
-admitted AS (SELECT *, CASE WHEN reject_reason IS NULL THEN kind END AS platform, CASE WHEN reject_reason IS NULL THEN pid END AS platform_id,
-  CASE WHEN reject_reason IS NULL THEN scheme || '://' || host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
-  || CASE WHEN kind = 'youtube' THEN '/' || pid ELSE path END
-  || CASE WHEN kind = 'web' AND array_to_string(list_filter(string_split(q, '&'), lambda s: split_part(s, '=', 1) NOT IN ({", ".join(f"'{t}'" for t in urls.TRACKING)})), '&') <> ''
-     THEN '?' || array_to_string(list_filter(string_split(q, '&'), lambda s: split_part(s, '=', 1) NOT IN ({", ".join(f"'{t}'" for t in urls.TRACKING)})), '&') ELSE '' END END AS canonical_url FROM said)
+    lines = _pages(spark, d).groupBy(F.floor(F.col("page_id") / 30).alias("request_id")).agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("  "), x["url"], F.lit(" "))), "\r\n\r\n")
+    return ingest.import_lines(lines.select("request_id", body.alias("body")))
+
+
+# The listed links' results are written by hand; the pages' addresses are plain enough for a few cuts.
+_TRACKED = ", ".join(f"'{t}'" for t in urls.TRACKING)
+_ADMIT = f"""WITH cut AS (SELECT page_id AS place, url, split_part(url, '#', 1) AS u FROM pages),
+asked AS (SELECT *, regexp_replace(split_part(u, '?', 1), '/$', '') AS front, list_filter(string_split(split_part(u, '?', 2), '&'), lambda s: s <> '' AND split_part(s, '=', 1) NOT IN ({_TRACKED})) AS kept FROM cut),
+admitted AS ({expected_sql()} UNION ALL SELECT place, url, split_part(url, '/', 3), 'web', NULL, front || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END, NULL FROM asked)
 """
 
 
+def _admitted(spark, d):
+    return ingest.admit(_links(spark, d))
+
+
 @query("url_validation", _ADMIT + "SELECT place, url, reject_reason FROM admitted")
 def url_validation(spark, d):
-    return ingest.admit(_links(spark)).select("place", "url", "reject_reason")
+    return _admitted(spark, d).select("place", "url", "reject_reason")
 
 
 @query("url_canonicalize", _ADMIT + "SELECT place, canonical_url FROM admitted")
 def url_canonicalize(spark, d):
-    return ingest.admit(_links(spark)).select("place", "canonical_url")
+    return _admitted(spark, d).select("place", "canonical_url")
 
 
-@query("platform_classify", _ADMIT + "SELECT place, coalesce(kind, 'web') AS platform FROM admitted")
+@query("platform_classify", _ADMIT + "SELECT place, platform FROM admitted")
 def platform_classify(spark, d):
-    return _links(spark).select("place", urls.platform(F.col("url")).alias("platform"))
+    return _admitted(spark, d).select("place", "platform")
 
 
 @query("platform_id_extract", _ADMIT + "SELECT place, platform, platform_id FROM admitted")
 def platform_id_extract(spark, d):
-    return ingest.admit(_links(spark)).select("place", "platform", "platform_id")
+    return _admitted(spark, d).select("place", "platform", "platform_id")
 
 
-@query("private_host_filter", _ADMIT + "SELECT place, host FROM admitted WHERE private")
+@query("private_host_filter", _ADMIT + f"SELECT place, host FROM admitted WHERE reject_reason = '{urls.PRIVATE}'")
 def private_host_filter(spark, d):
-    links = _links(spark)
-    return links.where(urls.is_private(urls.host(F.col("url")))).select("place", urls.host(F.col("url")).alias("host"))
-
-
-_PAGES = _ADMIT.replace(links_sql(), "SELECT page_id AS place, url FROM pages", 1)
+    return urls.with_parts(_links(spark, d)).where("parts.private").select("place", F.col("parts.host").alias("host"))
 
 
-def _pages(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet")
-
-
-@query("page_urls", _PAGES + "SELECT place AS page_id, canonical_url FROM admitted")
+@query("page_urls", _ADMIT + "SELECT place AS page_id, canonical_url FROM admitted WHERE place >= 0")
 def page_urls(spark, d):
     return ingest.admit(_pages(spark, d)).select("page_id", "canonical_url")
 
 
-@query("host_counts", _PAGES + "SELECT host, count(*) AS n FROM admitted GROUP BY 1")
+@query("host_counts", _ADMIT + "SELECT host, count(*) AS n FROM admitted GROUP BY 1")
 def host_counts(spark, d):
-    return ingest.host_counts(_pages(spark, d))
+    return ingest.host_counts(_links(spark, d))
 
 
-@query("website_merge", _PAGES + "SELECT host, count(DISTINCT canonical_url) AS n_urls, count(*) AS mentions, min(canonical_url) AS first_url FROM admitted GROUP BY 1")
+@query("website_merge", _ADMIT + "SELECT host, count(DISTINCT canonical_url) AS n_urls, count(*) AS mentions, min(canonical_url) AS first_url FROM admitted WHERE reject_reason IS NULL GROUP BY 1")
 def website_merge(spark, d):
-    pages = ingest.admit(_pages(spark, d)).select(urls.host(F.col("url")).alias("host"), F.col("canonical_url").alias("url"))
-    return graph.merge_websites(pages)
+    return graph.merge_websites(_admitted(spark, d).where("reject_reason is null").select("host", F.col("canonical_url").alias("url")))
 
 
 _KEYED = _ADMIT + """, keyed AS (SELECT *, CASE WHEN platform_id IS NOT NULL THEN platform || ':' || platform_id ELSE canonical_url END AS key FROM admitted),
-old AS (SELECT DISTINCT key FROM keyed WHERE place % 9 = 1 AND key IS NOT NULL),
+old AS (SELECT DISTINCT key FROM keyed WHERE abs(place) % 9 = 1 AND key IS NOT NULL),
 done AS (SELECT k.*, CASE WHEN reject_reason IS NOT NULL THEN 'rejected' WHEN o.key IS NOT NULL OR row_number() OVER (PARTITION BY k.key ORDER BY place) > 1 THEN 'existing' ELSE 'created' END AS outcome FROM keyed k LEFT JOIN old o ON k.key = o.key)
 """
 
 
-def _outcomes(spark):
-    links = ingest.admit(_links(spark))
-    old = links.where("place % 9 = 1 and canonical_url is not null").select(ingest.dedup_key(F.col("platform"), F.col("platform_id"), F.col("canonical_url")).alias("key"))
+def _outcomes(spark, d):
+    links = _admitted(spark, d)
+    old = links.where("abs(place) % 9 = 1 and canonical_url is not null").select(ingest.dedup_key(F.col("platform"), F.col("platform_id"), F.col("canonical_url")).alias("key"))
     return ingest.outcomes(links, old)
 
 
 @query("dedup_against_existing", _KEYED + "SELECT place, key, outcome FROM done")
 def dedup_against_existing(spark, d):
-    return _outcomes(spark).select("place", "key", "outcome")
+    return _outcomes(spark, d).select("place", "key", "outcome")
 
 
-@query("ingest_items", _KEYED + f"SELECT sha256(key) AS id, CASE WHEN platform = 'web' THEN host ELSE 'Saved ' || platform || ' source' END AS title, platform, platform_id, url AS source_url, canonical_url, CASE WHEN platform = 'web' THEN 'page' ELSE 'video' END AS type, 'queued' AS status, {NOW} AS created_at FROM done WHERE outcome = 'created'")
+@query("ingest_items", _KEYED + f"SELECT sha256(key) AS id, CASE WHEN platform = 'web' THEN host ELSE 'Saved ' || platform || ' source' END AS title, platform, platform_id, trim(url) AS source_url, canonical_url, CASE WHEN platform = 'web' THEN 'page' ELSE 'video' END AS type, 'queued' AS status, {NOW} AS created_at FROM done WHERE outcome = 'created'")
 def ingest_items(spark, d):
-    return ingest.new_items(_outcomes(spark), _ntz())
+    return ingest.new_items(_outcomes(spark, d), _ntz())
 
 
 @query("import_outcome_counts", _KEYED + "SELECT outcome, count(*) AS n FROM done GROUP BY 1")
 def import_outcome_counts(spark, d):
-    return ingest.outcome_counts(_outcomes(spark))
+    return ingest.outcome_counts(_outcomes(spark, d))
+
+
+@query("child_items", "SELECT sha256('x:' || l_orderkey || ':' || k) AS id, l_orderkey AS parent_id, 'x' AS platform, l_orderkey || ':' || k AS platform_id, 'https://x.com/me/status/' || l_orderkey AS source_url, k AS medium, 'queued' AS status FROM (SELECT l_orderkey, unnest(range(1, count(*) + 1)) AS k FROM lineitem GROUP BY 1 HAVING count(*) > 1)")
+def child_items(spark, d):
+    posts = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("media"))
+    posts = posts.select("id", F.lit("x").alias("platform"), F.col("id").alias("platform_id"), F.concat(F.lit("https://x.com/me/status/"), "id").alias("source_url"), "media")
+    return ingest.child_items(posts)
 
 
 @query("content_hash", "SELECT doc_id AS id, sha256(text) AS content_hash FROM documents")
@@ -348,19 +446,26 @@ def content_hash_dedup(spark, d):
     return ingest.by_content(spark.read.parquet(f"{d}/documents.parquet").withColumnRenamed("doc_id", "id"))
 
 
-_LABELS = [(1, "  Web   Design "), (1, "Interfaces"), (2, "CSS"), (2, "s"), (3, "  "), (3, "References"), (4, "\tMotion\nGraphics"), (4, "motion graphic")]
-_LABELS_SQL = "(VALUES " + ", ".join(f"({i}::BIGINT, '{label}')" for i, label in _LABELS) + ") AS t(item_id, label)"
-_NORMAL = "regexp_replace(regexp_replace(lower(regexp_replace(label, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), 's$', '')"
+_LABELS = "(SELECT c_custkey AS item_id, chr(160) || '  ' || c_mktsegment || chr(9) || chr(8195) || left(c_name, 8) || CASE WHEN c_custkey % 2 = 0 THEN 'S ' ELSE '' END AS label FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 's' ELSE ' ' || chr(8195) END FROM customer)"
+_NORMAL = "regexp_replace(lower(trim(regexp_replace(label, '[\\s\\x{A0}\\x{2003}]+', ' ', 'g'))), 's$', '')"
+
 
+def _labels(spark, d):
+    blank, wide = F.lit("\u00a0"), F.lit("\u2003")
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("item_id"), "c_mktsegment", "c_name")
+    one = F.concat(blank, F.lit("  "), "c_mktsegment", F.lit("\t"), wide, F.left("c_name", F.lit(8)), F.when(F.col("item_id") % 2 == 0, "S ").otherwise(""))
+    two = F.when(F.col("item_id") % 3 == 0, "s").otherwise(F.concat(F.lit(" "), wide))
+    return customers.select("item_id", F.explode(F.array(one, two)).alias("label"))
 
-@query("normalize_tags", f"SELECT DISTINCT item_id, {_NORMAL} AS tag FROM {_LABELS_SQL} WHERE {_NORMAL} <> ''")
+
+@query("normalize_tags", f"SELECT DISTINCT item_id, {_NORMAL} AS tag FROM {_LABELS} WHERE {_NORMAL} <> ''")
 def normalize_tags(spark, d):
-    return ingest.tag_links(spark.createDataFrame(_LABELS, "item_id bigint, label string"))
+    return ingest.tag_links(_labels(spark, d))
 
 
-@query("replace_item_tags", f"SELECT item_id, tag FROM item_tags_ WHERE item_id NOT IN (1, 2, 3, 4) UNION ALL (SELECT DISTINCT item_id, {_NORMAL} FROM {_LABELS_SQL} WHERE {_NORMAL} <> '')", "item_tags")
+@query("replace_item_tags", f"SELECT item_id, tag FROM item_tags_ WHERE item_id NOT IN (SELECT c_custkey FROM customer) UNION ALL (SELECT DISTINCT item_id, {_NORMAL} FROM {_LABELS} WHERE {_NORMAL} <> '')", "item_tags")
 def replace_item_tags(spark, d):
-    labels = spark.createDataFrame(_LABELS, "item_id bigint, label string")
+    labels = _labels(spark, d)
     return ingest.replace_tags(entity(spark, d, "item_tags"), labels, labels)
 
 
@@ -369,10 +474,10 @@ def tag_merge(spark, d):
     return ingest.merge_tags(entity(spark, d, "item_tags"), spark.createDataFrame([("toxic", "flagged"), ("quality", "flagged")], "tag string, into string"))
 
 
-@query("note_upsert", "SELECT item_id, arg_max(body, k) AS body, max(k)::BIGINT AS updated FROM (SELECT conv_id AS item_id, text AS body, turn AS k FROM conversations WHERE turn < 2) GROUP BY 1")
+@query("note_upsert", "SELECT item_id, arg_max(body, k) AS body, max(k)::BIGINT AS updated FROM (SELECT conv_id AS item_id, text AS body, turn AS k FROM conversations) GROUP BY 1")
 def note_upsert(spark, d):
     notes = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("item_id"), F.col("text").alias("body"), F.col("turn").alias("updated"))
-    return state.upsert(notes.where("updated = 0"), notes.where("updated = 1"), "item_id", "updated")
+    return state.upsert(notes.where("updated % 2 = 0"), notes.where("updated % 2 = 1"), "item_id", "updated")
 
 
 @query("replace_collections", "SELECT item_id, collection_id FROM collection_items_ WHERE item_id % 10 <> 0 UNION ALL SELECT item_id, 3 FROM collection_items_ WHERE item_id % 10 = 0", "collection_items")
@@ -403,15 +508,71 @@ def delete_original_left(spark, d):
     return left.groupBy("item_id", "role").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+@query("delete_original_stamp", f"SELECT id, CASE WHEN status = 'ready' AND id IN (SELECT item_id FROM item_tags_) THEN {NOW} END AS original_deleted_at FROM items_", "items", "item_tags")
+def delete_original_stamp(spark, d):
+    items = entity(spark, d, "items").select("id", "status", F.lit(None).cast("timestamp_ntz").alias("original_deleted_at"))
+    return state.stamp_deleted(items, entity(spark, d, "item_tags"), _ntz()).select("id", "original_deleted_at")
+
+
+_TRASH = "(SELECT user_id AS id, CASE WHEN max(event_id) % 3 > 0 THEN max(ts) - to_days((max(event_id) % 60)::INT) END AS deleted_at FROM events GROUP BY 1)"
+
+
+def _trash(spark, d):
+    last = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("e"), F.max("ts").alias("ts"))
+    return last.select("id", F.when(F.col("e") % 3 > 0, F.col("ts") - F.make_interval(days=(F.col("e") % 60).cast("int"))).alias("deleted_at"))
+
+
+@query("trash_state", f"SELECT id, CASE WHEN deleted_at IS NULL THEN 'kept' WHEN deleted_at > {NOW} - INTERVAL 30 DAY THEN 'trash' ELSE 'gone' END AS state FROM {_TRASH}")
+def trash_state(spark, d):
+    return state.trash_state(_trash(spark, d), _ntz())
+
+
+@query("trash_restore", f"SELECT id, CASE WHEN id % 5 > 0 THEN deleted_at END AS deleted_at FROM {_TRASH} WHERE deleted_at IS NULL OR deleted_at > {NOW} - INTERVAL 30 DAY")
+def trash_restore(spark, d):
+    rows = _trash(spark, d)
+    return state.restore(rows, rows.where("id % 5 = 0").select("id"), _ntz())
+
+
+@query("rename_topics", "SELECT slug, CASE WHEN slug IN ('de', 'fr') THEN 'My ' || label ELSE label END AS label, display_order FROM topics_", "topics")
+def rename_topics(spark, d):
+    topics = entity(spark, d, "topics")
+    names = topics.where("slug in ('de', 'fr')").select("slug", F.concat(F.lit("My "), "label").alias("new_name"))
+    return state.rename(topics, names, "slug", "label")
+
+
+@query("catalog_reopened", "SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN upper(platform) ELSE platform END AS platform, CASE WHEN id % 2 = 0 THEN 'ready' ELSE status END AS status FROM items_", "items")
+def catalog_reopened(spark, d):
+    """Items written to a catalog, changed through a second one on the same folder and read through a third."""
+    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    items = entity(spark, d, "items").select(F.col("id").cast("string").alias("id"), "title", "platform", "status", _ntz().alias("created_at"))
+    Catalog(spark, path).write("items", items)
+    again = Catalog(spark, path)
+    even = F.col("id").cast("long") % 2 == 0
+    again.write("items", again.read("items").withColumns({"platform": F.when(even, F.upper("platform")).otherwise(F.col("platform")), "status": F.when(even, "ready").otherwise(F.col("status"))}))
+    return Catalog(spark, path).read("items").select("id", "platform", "status")
+
+
+@query("demo_catalog", "SELECT * FROM (VALUES ('demo-item-1', 'typography', 'screen,type', 'Letter Library', 0), ('demo-item-2', 'design', 'form', 'Form Notes', 1), ('demo-item-3', 'animation', 'easing,motion', 'Curve Garden', 2), ('demo-item-4', 'learning', 'notes', 'Reading Log', 3)) AS t(id, topic, tags, website, days)")
+def demo_catalog(spark, d):
+    """The demonstration, added twice to a new catalog."""
+    now = datetime(2024, 1, 15)
+    catalog = Catalog(spark, f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}")
+    demo.seed_demo(catalog, now)
+    demo.seed_demo(catalog, now)
+    sites = catalog.read("mentions").join(catalog.read("websites").select(F.col("id").alias("website_id"), F.col("name").alias("website")), "website_id").select("item_id", "website")
+    joined = catalog.read("item_topics").join(detail.item_tags(catalog.read("item_tags")), "item_id").join(sites, "item_id").withColumnRenamed("item_id", "id")
+    return catalog.read("items").join(joined, "id").select("id", "topic", "tags", "website", F.date_diff(F.lit(now), "created_at").alias("days"))
+
+
 @query("cascade_delete", "SELECT item_id, tag FROM item_tags_ WHERE item_id NOT IN (SELECT id FROM items_ WHERE status = 'failed')", "item_tags", "items")
 def cascade_delete(spark, d):
     return state.cascade(entity(spark, d, "item_tags"), entity(spark, d, "items").where("status = 'failed'"))
 
 
-@query("set_null_reference", "SELECT CASE WHEN website_id % 2 = 0 THEN NULL ELSE website_id END AS website_id, count(*) AS n FROM mentions_ GROUP BY 1", "mentions")
+@query("set_null_reference", "SELECT item_id, seq, CASE WHEN website_id % 2 = 1 THEN website_id END AS website_id, unresolved_name FROM mentions_", "mentions")
 def set_null_reference(spark, d):
     gone = entity(spark, d, "websites").where("id % 2 = 0")
-    return state.forget_reference(entity(spark, d, "mentions"), gone, "website_id").groupBy("website_id").agg(F.count("*").alias("n"))
+    return state.forget_reference(entity(spark, d, "mentions"), gone, "website_id")
 
 
 @query("unique_violations", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -419,11 +580,60 @@ def unique_violations(spark, d):
     return ingest.unique_violations(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber")
 
 
-@query("extract_page_text")
+_BARE = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), " + "'(?is)" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "nav", "header", "footer", "aside", "form")) + "', ' ', 'g')"
+_SHOWN_HTML = "CASE WHEN regexp_extract(bare, '(?is)<article[^>]*>(.*)</article>', 1) <> '' THEN regexp_extract(bare, '(?is)<article[^>]*>(.*)</article>', 1) ELSE regexp_replace(bare, '(?is)<head\\b.*?</head\\s*>', ' ', 'g') END"
+_PLAIN_TEXT = "trim(regexp_replace(" + "replace(" * 6 + "regexp_replace(shown, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[\\s\\x0B\\x{A0}]+', ' ', 'g'))"
+_TEXTS = f"texts AS (SELECT page_id, html, left({_PLAIN_TEXT}, 60000) AS text FROM (SELECT page_id, html, {_SHOWN_HTML} AS shown FROM (SELECT page_id, html, {_BARE} AS bare FROM pages)))"
+
+
+@query("extract_page_text", f"WITH {_TEXTS} SELECT page_id, text FROM texts")
 def extract_page_text(spark, d):
     return _pages(spark, d).select("page_id", text.page_text(F.col("html")).alias("text"))
 
 
+def _page_writes(spark, d):
+    read = pages.read_pages(_pages(spark, d).select(F.col("page_id").alias("item_id"), F.col("url").alias("title"), "html"))
+    return pages.page_writes(read, entity(spark, d, "jobs"))
+
+
+_HEADING = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+_READ = f"WITH {_TEXTS}, titled AS (SELECT page_id, text, {_PLAIN_TEXT.replace('shown', _HEADING)} AS title FROM texts)"
+
+
+@query("page_result_items", f"{_READ} SELECT page_id AS id, left(title, 160) AS title, left(text, 600) AS description, 'ready' AS status FROM titled")
+def page_result_items(spark, d):
+    return _page_writes(spark, d)["items"]
+
+
+@query("page_result_evidence", f"{_READ} SELECT 'page:' || sha256(page_id || chr(10) || text) AS id, page_id AS item_id, 'page' AS kind, 'Readable page text' AS label, left(text, 600) AS excerpt FROM titled")
+def page_result_evidence(spark, d):
+    return _page_writes(spark, d)["evidence"]
+
+
+@query("page_result_chunks", f"{_READ} SELECT page_id AS item_id, left(title, 160) || chr(10) || text AS body, 'page:' || sha256(page_id || chr(10) || text) AS evidence_id FROM titled")
+def page_result_chunks(spark, d):
+    return _page_writes(spark, d)["chunks"].select("item_id", "body", F.get("evidence_ids", 0).alias("evidence_id"))
+
+
+@query("page_result_revisions", f"""{_READ}, r AS (SELECT conv_id AS item_id, turn AS revision, left(text, 40) AS title, text AS summary FROM conversations)
+    SELECT item_id, revision, title, summary FROM r WHERE NOT (revision = 1 AND item_id IN (SELECT page_id FROM pages)) UNION ALL SELECT page_id, 1, left(title, 160), left(text, 600) FROM titled""")
+def page_result_revisions(spark, d):
+    columns = ("item_id", "revision", "title", "summary")
+    return pages.with_revisions(entity(spark, d, "revisions").select(*columns), _page_writes(spark, d)["revisions"].select(*columns))
+
+
+@query("page_result_jobs", "SELECT id, 'done' AS status FROM jobs_ WHERE item_id IN (SELECT page_id FROM pages)", "jobs")
+def page_result_jobs(spark, d):
+    return _page_writes(spark, d)["jobs"].where("lease_expires_at is null and message is null").select("id", "status")
+
+
+@query("evidence_seq", "SELECT item_id, id, (SELECT count(*) FROM evidence_ o WHERE o.item_id = n.item_id) + row_number() OVER (PARTITION BY n.item_id ORDER BY n.id) - 1 AS seq FROM (SELECT user_id AS item_id, 'event:' || event_id AS id FROM events) n", "evidence")
+def evidence_seq(spark, d):
+    old = entity(spark, d, "evidence").select("item_id", (F.row_number().over(Window.partitionBy("item_id").orderBy("id")) - 1).alias("seq"))
+    new = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("item_id"), F.concat(F.lit("event:"), "event_id").alias("id"))
+    return pages.next_seq(old, new, "id")
+
+
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 
 
@@ -442,15 +652,15 @@ _PRIMARY = "prime AS (SELECT i.id, coalesce(min(t.topic), 'other') AS topic FROM
 _USED = "used AS (SELECT w.id, w.name, count(*) AS uses FROM websites_ w JOIN mentions_ m ON m.website_id = w.id GROUP BY 1, 2 ORDER BY 3 DESC, 2, 1 LIMIT 20)"
 _GRAPH = ("items", "item_topics", "topics", "websites", "mentions")
 _PLACED = (
-    "nodes AS (SELECT 'topic:' || slug AS id, 'topic' AS kind, label, '' AS subtitle, 120::BIGINT AS x, (120 + 120 * (row_number() OVER (ORDER BY display_order) - 1))::BIGINT AS y FROM topics_ "
-    "UNION ALL SELECT 'item:' || s.id, 'item', CASE WHEN coalesce(title, '') = '' THEN 'Untitled source' ELSE title END, platform, (320 + (place % 5) * 190)::BIGINT, (120 + 120 * coalesce(t.display_order, 0))::BIGINT "
+    "nodes AS (SELECT 'topic:' || slug AS id, 'topic' AS kind, label, '' AS subtitle, 0 AS part, display_order AS place, 120::BIGINT AS x, (120 + 120 * (row_number() OVER (ORDER BY display_order) - 1))::BIGINT AS y FROM topics_ "
+    "UNION ALL SELECT 'item:' || s.id, 'item', CASE WHEN coalesce(title, '') = '' THEN 'Untitled source' ELSE title END, platform, 1, place, (320 + (place % 5) * 190)::BIGINT, (120 + 120 * coalesce(t.display_order, 0))::BIGINT "
     "FROM shown s JOIN prime p ON p.id = s.id LEFT JOIN topics_ t ON t.slug = p.topic "
-    "UNION ALL SELECT 'website:' || id, 'website', name, uses || CASE WHEN uses = 1 THEN ' mention' ELSE ' mentions' END, 1120::BIGINT, (100 + 68 * (row_number() OVER (ORDER BY uses DESC, name, id) - 1))::BIGINT FROM used)"
+    "UNION ALL SELECT 'website:' || id, 'website', name, uses || CASE WHEN uses = 1 THEN ' mention' ELSE ' mentions' END, 2, row_number() OVER (ORDER BY uses DESC, name, id), 1120::BIGINT, (100 + 68 * (row_number() OVER (ORDER BY uses DESC, name, id) - 1))::BIGINT FROM used)"
 )
-_TOPIC_EDGES = "tedges AS (SELECT 'topic-edge:' || topic || ':' || s.id AS id, 'topic:' || topic AS source, 'item:' || s.id AS target, 'topic' AS kind FROM shown s JOIN prime p ON p.id = s.id)"
+_TOPIC_EDGES = "tedges AS (SELECT 'topic-edge:' || topic || ':' || s.id AS id, 'topic:' || topic AS source, 'item:' || s.id AS target, 'topic' AS kind, 0 AS part, place FROM shown s JOIN prime p ON p.id = s.id)"
 _SITE_EDGES = (
-    "wedges AS (SELECT 'website-edge:' || website_id || ':' || item_id AS id, 'website:' || website_id AS source, 'item:' || item_id AS target, 'website' AS kind FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY website_id ORDER BY item_id) AS r FROM (SELECT DISTINCT website_id, item_id FROM mentions_ WHERE website_id IN (SELECT id FROM used))) WHERE r <= 4 AND item_id IN (SELECT id FROM shown))"
+    "wedges AS (SELECT 'website-edge:' || website_id || ':' || item_id AS id, 'website:' || website_id AS source, 'item:' || item_id AS target, 'website' AS kind, 1 AS part, 4 * (SELECT count(*) FROM used o WHERE (-o.uses, o.name, o.id) < (-u.uses, u.name, u.id)) + r AS place FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY website_id ORDER BY item_id) AS r FROM (SELECT DISTINCT website_id, item_id FROM mentions_ WHERE website_id IN (SELECT id FROM used))) m JOIN used u ON u.id = m.website_id WHERE r <= 4 AND item_id IN (SELECT s.id FROM shown s))"
 )
 
 
@@ -492,19 +702,30 @@ def website_usage_by_topic(spark, d):
 
 @query("website_edges", _graph("SELECT id, source, target FROM wedges", _SHOWN, _USED, _SITE_EDGES))
 def website_edges(spark, d):
-    return graph.website_edges(_shown(spark, d), _used(spark, d), entity(spark, d, "mentions"))
+    return graph.website_edges(_shown(spark, d), _used(spark, d), entity(spark, d, "mentions")).drop("place")
 
 
-@query("graph_edges", _graph("SELECT * FROM (SELECT * FROM tedges UNION ALL SELECT * FROM wedges) ORDER BY id LIMIT 120", _SHOWN, _PRIMARY, _USED, _TOPIC_EDGES, _SITE_EDGES))
+@query("graph_edges", _graph("SELECT id, source, target, kind FROM (SELECT * FROM tedges UNION ALL SELECT * FROM wedges) ORDER BY part, place LIMIT 120", _SHOWN, _PRIMARY, _USED, _TOPIC_EDGES, _SITE_EDGES))
 def graph_edges(spark, d):
-    return graph.edges(graph.topic_edges(_shown(spark, d), _prime(spark, d)), website_edges(spark, d))
+    sites = graph.website_edges(_shown(spark, d), _used(spark, d), entity(spark, d, "mentions"))
+    return graph.edges(graph.topic_edges(_shown(spark, d), _prime(spark, d)), sites).select("id", "source", "target", "kind")
+
+
+@query("graph_of_topic", f"SELECT id, title FROM items_ WHERE id IN (SELECT item_id FROM item_topics_ WHERE topic = '{TOPIC}') ORDER BY created_order, id LIMIT 50", "items", "item_topics")
+def graph_of_topic(spark, d):
+    return graph.graph_items(entity(spark, d, "items"), entity(spark, d, "item_topics"), TOPIC).select("id", "title")
+
+
+@query("graph_summary", "SELECT least(50, count(*)) AS visible_count, count(*) >= 50 AS has_more FROM items_", "items")
+def graph_summary(spark, d):
+    return graph.summary(_shown(spark, d))
 
 
 def _nodes(spark, d):
     return graph.nodes(entity(spark, d, "topics"), _shown(spark, d), _prime(spark, d), _used(spark, d))
 
 
-@query("graph_nodes", _graph("SELECT id, kind, label, subtitle FROM nodes ORDER BY id LIMIT 80", _SHOWN, _PRIMARY, _USED, _PLACED))
+@query("graph_nodes", _graph("SELECT id, kind, label, subtitle FROM nodes ORDER BY part, place LIMIT 80", _SHOWN, _PRIMARY, _USED, _PLACED))
 def graph_nodes(spark, d):
     return graph.capped_nodes(_nodes(spark, d)).select("id", "kind", "label", "subtitle")
 
@@ -539,12 +760,31 @@ def claim_transition(spark, d):
     return claimed.select("id", "status", "attempt", "lease_expires_at", "item_status")
 
 
-@query("stage_outcome", "SELECT j.id, CASE WHEN stage <> 'acquire' THEN 'waiting_for_key' WHEN p.url IS NULL THEN 'ready' WHEN length(html) < 3000 THEN 'ready' ELSE 'needs_review' END AS item_status FROM jobs_ j LEFT JOIN pages p ON p.page_id = j.item_id", "jobs")
+@query(
+    "stage_outcome",
+    f"SELECT j.id, CASE WHEN p.page_id IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN p.page_id IS NULL THEN NULL WHEN stage <> 'acquire' THEN 'waiting_for_key' WHEN j.item_id % 10 = 0 OR length(html) < 3000 AND j.item_id % 10 <> 1 THEN 'ready' ELSE 'needs_review' END AS item_status, "
+    f"CASE WHEN p.page_id IS NULL THEN '{jobs.GONE}' WHEN stage <> 'acquire' THEN '{jobs.NO_KEY}' WHEN j.item_id % 10 = 0 THEN NULL WHEN j.item_id % 10 = 1 THEN '{jobs.TOO_LARGE}' WHEN length(html) >= 3000 THEN '{jobs.FALLBACK}' END AS message FROM jobs_ j LEFT JOIN pages p ON p.page_id = j.item_id",
+    "jobs",
+)
 def stage_outcome(spark, d):
-    sources = _pages(spark, d).select(F.col("page_id").alias("id"), F.col("url").alias("source_url"), (F.length("html") < 3000).alias("readable"))
+    page = F.col("page_id")
+    size = F.when(page % 10 == 1, 6 << 20).otherwise(F.length("html"))
+    sources = _pages(spark, d).select(page.alias("id"), F.when(page % 10 > 0, F.col("url")).alias("source_url"), (F.length("html") < 3000).alias("readable"), size.alias("bytes"))
     return jobs.stage_outcome(_jobs(spark, d), sources)
 
 
+@query(
+    "pause_and_cancel",
+    "SELECT id, CASE WHEN r = 2 AND status IN ('queued', 'running') THEN 'canceled' ELSE status END AS status, CASE WHEN r = 2 AND status IN ('queued', 'running') THEN 'canceled' WHEN r = 1 AND status = 'queued' THEN 'paused' END AS item_status "
+    "FROM jobs_ LEFT JOIN (SELECT o_custkey AS item_id, max(o_orderkey) % 3 AS r FROM orders GROUP BY 1) USING (item_id)",
+    "jobs",
+)
+def pause_and_cancel(spark, d):
+    order = F.col("o_orderkey")
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("item_id"), F.element_at(F.array(F.lit("resume"), F.lit("pause"), F.lit("cancel")), (order % 3 + 1).cast("int")).alias("request"), order.alias("at"))
+    return jobs.between_stages(jobs.flagged(_jobs(spark, d), asked))
+
+
 @query("expired_leases", f"SELECT id, item_id, 'queued' AS status FROM jobs_ WHERE status = 'running' AND lease_expires_at < {NOW}", "jobs")
 def expired_leases(spark, d):
     return jobs.expired(_jobs(spark, d), _ntz()).select("id", "item_id", "status")
@@ -648,17 +888,43 @@ def similar_items(spark, d):
     return retrieval.nearest(entity(spark, d, "vectors"), _query_vector(spark, d), exclude=0)
 
 
+@query("bm25_indexed", _then("", _BM, "SELECT id, score, rank FROM bm", "chunks"))
+def bm25_indexed(spark, d):
+    """An index of all chunks is stored, and the query reads its words' rows of it."""
+    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    retrieval.store_index(_chunks_by_id(spark, d), path)
+    return retrieval.bm25_of(spark, path, _BM_WORDS)
+
+
 @query("rrf_fusion", _then("", _BM + ", " + _VEC.format(""), "SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM bm UNION ALL SELECT id, rank FROM vec) GROUP BY 1", "chunks", "vectors"))
 def rrf_fusion(spark, d):
     return retrieval.fuse(_bm25(spark, d), cosine_topk(spark, d))
 
 
+@query("retrieval_mode", "SELECT CASE WHEN count(*) > 0 THEN 'hybrid' ELSE 'keyword' END AS mode FROM vectors_", "vectors")
+def retrieval_mode(spark, d):
+    return retrieval.mode(entity(spark, d, "vectors"))
+
+
 @query("item_score_rollup", "SELECT item_id, score, seqs FROM (SELECT conv_id AS item_id, max(length(text)) AS score, array_to_string(list(turn ORDER BY length(text) DESC, turn)[1:2], ',') AS seqs FROM conversations GROUP BY 1) ORDER BY score DESC, item_id LIMIT 20")
 def item_score_rollup(spark, d):
     scored = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("item_id"), F.col("turn").alias("seq"), F.length("text").cast("long").alias("score"))
     return retrieval.roll_up(scored)
 
 
+_SITE = "supplier-000000003.example"
+
+
+@query("filtered_rollup", f"""SELECT item_id, score, seqs FROM (SELECT item_id, max(tf) AS score, '0' AS seqs, bool_or(item_id IN (SELECT m.item_id FROM mentions_ m JOIN websites_ w ON w.id = m.website_id WHERE w.hostname = '{_SITE}')) AS lead
+    FROM (SELECT item_id, len(regexp_extract_all(lower(body), '\\bthe\\b')) AS tf FROM chunks_ WHERE item_id IN (SELECT item_id FROM item_topics_ WHERE topic = 'en')) WHERE tf > 0 GROUP BY 1) ORDER BY score DESC, lead DESC, item_id LIMIT 20""", "chunks", "item_topics", "mentions", "websites")
+def filtered_rollup(spark, d):
+    """Items of a topic by a word's count; those that mention the site asked for lead among equals."""
+    kept = entity(spark, d, "item_topics").where("topic = 'en'").select("item_id")
+    chunks = entity(spark, d, "chunks").join(kept, "item_id", "left_semi")
+    scored = chunks.select("item_id", "seq", F.regexp_count(F.lower("body"), F.lit(r"\bthe\b")).cast("long").alias("score")).where("score > 0")
+    return retrieval.roll_up(scored, exact=retrieval.exact_sites(entity(spark, d, "mentions"), entity(spark, d, "websites"), f" {_SITE.upper()} "))
+
+
 # ---- media
 
 
@@ -689,25 +955,43 @@ def frame_dedup(spark, d):
     return media.distinct_frames(_hashed(spark, d)).select("item_id", "at_ms", "change")
 
 
-@query("frame_selection")
-def frame_selection(spark, d):
+def _chosen(spark, d):
     moments = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'").select(F.col("conv_id").alias("item_id"), (F.col("turn") * 4000).alias("at_ms"))
     return media.select_frames(media.distinct_frames(_hashed(spark, d)), moments)
 
 
-@query("frame_batches", f"WITH {_VIDEOS}, {_FRAMES} SELECT item_id, at_ms, ((row_number() OVER (PARTITION BY item_id ORDER BY at_ms) - 1) // 8)::BIGINT AS batch FROM frames")
+_CHOSEN = """timed AS (SELECT *, at_ms - min(at_ms) OVER (PARTITION BY item_id) AS since, max(at_ms) OVER (PARTITION BY item_id) - min(at_ms) OVER (PARTITION BY item_id) + 1 AS span FROM kept),
+even AS (SELECT item_id, min(at_ms) AS at_ms FROM timed GROUP BY item_id, since * 8 // span),
+asked AS (SELECT conv_id AS item_id, turn * 4000 AS m FROM conversations WHERE role = 'assistant'),
+close AS (SELECT DISTINCT item_id, arg_min(at_ms, (abs(at_ms - m), at_ms)) AS at_ms FROM asked JOIN kept USING (item_id) GROUP BY item_id, m),
+near AS (SELECT item_id, at_ms FROM close WHERE (item_id, at_ms) NOT IN (SELECT item_id, at_ms FROM even) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY at_ms) <= 12),
+taken AS (SELECT item_id, at_ms, 0 AS pick FROM even UNION ALL SELECT item_id, at_ms, 1 FROM near),
+open AS (SELECT t.*, greatest(1, 32 - n) AS places FROM timed t JOIN (SELECT item_id, count(*) AS n FROM taken GROUP BY 1) USING (item_id) WHERE (item_id, at_ms) NOT IN (SELECT item_id, at_ms FROM taken)),
+led AS (SELECT *, row_number() OVER (PARTITION BY item_id, since * places // span ORDER BY change DESC, at_ms) = 1 AS leads FROM open),
+rest AS (SELECT item_id, at_ms FROM led JOIN (SELECT item_id, count(*) AS n FROM taken GROUP BY 1) USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY leads DESC, change DESC, at_ms) <= 32 - n),
+chosen AS (SELECT * FROM taken UNION ALL SELECT item_id, at_ms, 2 FROM rest)"""
+
+
+@query("frame_selection", f"WITH {_VIDEOS}, {_FRAMES}, {_HASHED}, {_CHANGED}, {_CHOSEN} SELECT item_id, at_ms, pick::BIGINT AS pick FROM chosen")
+def frame_selection(spark, d):
+    return _chosen(spark, d)
+
+
+@query("frame_batches", f"WITH {_VIDEOS}, {_FRAMES}, {_HASHED}, {_CHANGED}, {_CHOSEN} SELECT item_id, at_ms, ((row_number() OVER (PARTITION BY item_id ORDER BY at_ms) - 1) // 8)::BIGINT AS batch FROM chosen QUALIFY batch < 4")
 def frame_batches(spark, d):
-    return media.batches(media.sample_plan(_videos(spark, d)))
+    return media.batches(_chosen(spark, d).select("item_id", "at_ms"))
 
 
-@query("nearby_segments", "SELECT item_id, at_ms, start_ms, text FROM (SELECT item_id AS mid, start_ms + 500 AS at_ms FROM segments_ WHERE start_ms % 3000 = 0) JOIN segments_ ON mid = item_id AND start_ms <= at_ms + 8000 AND end_ms >= at_ms - 8000", "segments")
+@query("nearby_segments", "SELECT m.item_id, m.start_ms + 500 AS at_ms, s.start_ms, s.text FROM segments_ m JOIN segments_ s ON m.item_id = s.item_id AND s.start_ms <= m.start_ms + 8500 AND s.end_ms >= m.start_ms - 7500", "segments")
 def nearby_segments(spark, d):
     segments = entity(spark, d, "segments")
-    moments = segments.where("start_ms % 3000 = 0").select("item_id", (F.col("start_ms") + 500).alias("at_ms"))
-    return media.nearby(moments, segments).select("item_id", "at_ms", "start_ms", "text")
+    return media.nearby(segments.select("item_id", (F.col("start_ms") + 500).alias("at_ms")), segments).select("item_id", "at_ms", "start_ms", "text")
+
 
+_GREY = "list_transform(embedding[1:64], lambda x: floor((x + 1) * 127)) AS p"
 
-@query("image_hash")
+
+@query("image_hash", f"SELECT vec_id, (list_sum(list_transform(range(64), lambda i: CASE WHEN g[(i // 8 * 9 + i % 8 + 1)::INT] > g[(i // 8 * 9 + i % 8 + 2)::INT] THEN (2::HUGEINT ** (63 - i))::HUGEINT ELSE 0 END)) - CASE WHEN g[1] > g[2] THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS hash FROM (SELECT vec_id, p || p[1:8] AS g FROM (SELECT vec_id, {_GREY} FROM embeddings))")
 def image_hash(spark, d):
     pixels = F.transform(F.slice("embedding", 1, 64), lambda x: F.floor((x + 1) * 127))
     row = F.concat(pixels, F.slice(pixels, 1, 8))
@@ -730,9 +1014,16 @@ def dangling_citations(spark, d):
     return quality.dangling(cited, owned)
 
 
-@query("contract_violations", "SELECT id, array_to_string(list_filter([CASE WHEN length(title) >= 1 AND length(title) <= 160 THEN NULL ELSE 'title' END, CASE WHEN bytes <= 10000 THEN NULL ELSE 'bytes' END], lambda x: x IS NOT NULL), ',') AS broken FROM items_ WHERE bytes > 10000 OR length(title) < 1", "items")
+@query(
+    "contract_violations",
+    _then_flat(
+        "SELECT f.id, concat_ws(',', CASE WHEN length(f.summary) > 600 THEN 'summary' END, CASE WHEN longest > 1000 THEN 'transcript[].text' END) AS broken FROM flat f JOIN items_ i ON i.id = f.id "
+        "LEFT JOIN (SELECT item_id, max(length(text)) AS longest FROM segments_ GROUP BY 1) g ON g.item_id = f.id WHERE broken <> ''"
+    ),
+)
 def contract_violations(spark, d):
-    broken = check_rows(entity(spark, d, "items"), quality.contract_rules())
+    rows = _nested(spark, d)
+    broken = check_rows(rows, quality.rules_for(rows.columns))
     return broken.select("id", F.array_join("broken", ",").alias("broken"))
 
 
@@ -741,10 +1032,9 @@ def storage_by_role(spark, d):
     return quality.storage_by_role(entity(spark, d, "assets"))
 
 
-@query("status_labels", "SELECT status, count(*) AS n FROM items_ GROUP BY 1", "items")
+@query("status_labels", "SELECT id, CASE status WHEN 'transcribing' THEN 'Transcribing on device' WHEN 'analyzing' THEN 'Finding useful details' WHEN 'needs_browser_session' THEN 'Browser session required' ELSE upper(left(status, 1)) || replace(substr(status, 2), '_', ' ') END AS label FROM items_", "items")
 def status_labels(spark, d):
-    items = entity(spark, d, "items").withColumn("label", text.status_label(F.col("status")))
-    return items.where("label is not null").groupBy("status").agg(F.count("*").alias("n"))
+    return entity(spark, d, "items").select("id", text.status_label(F.col("status")).alias("label"))
 
 
 @query("format_duration", "SELECT event_id, (s // 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS shown FROM (SELECT event_id, floor(event_id * 137 / 1000.0 + 0.5)::BIGINT AS s FROM events)")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources.catalog import Catalog, shared_dir
 from folioflow.streaming import queue
 
 
@@ -14,7 +17,37 @@ def stream_hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.drained(hourly, "complete", spark.conf.get("spark.checkpoint.dir", None)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-QUERIES = {"stream_hourly_status": stream_hourly_status}
+def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as claims of their user's job and sign-ups and purchases as its end, a lease of an hour."""
+    events = queue.event_stream(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type").isin("signup", "purchase"), "done")
+    timed = events.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")).where("kind is not null")
+    return queue.drained(queue.leases(timed, 3600), "append", spark.conf.get("spark.checkpoint.dir", None)).groupBy("id", "outcome").agg(F.count("*").alias("n"))
+
+
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event type of every user, kept in a catalog's settings by a polled stream, read from the catalog opened again."""
+    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    last = queue.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.struct("ts", "event_id", "event_type").alias("e"))
+
+    def last_of(batch: DataFrame, epoch: int) -> None:
+        newest = batch.groupBy("key").agg(F.max("e").alias("e")).select("key", F.col("e.event_type").alias("value"), F.col("e.ts").cast("timestamp").alias("updated_at"))
+        queue.upsert_into(Catalog(spark, f"{path}/catalog"), "settings", "key", "updated_at")(newest, epoch)
+
+    queue.poll(last, last_of, f"{path}/checkpoint", every=None).awaitTermination()
+    return Catalog(spark, f"{path}/catalog").read("settings").select("key", "value")
+
+
+QUERIES = {"stream_hourly_status": stream_hourly_status, "stream_leases": stream_leases, "stream_upserts": stream_upserts}
 ORACLE_SQL = {
     "stream_hourly_status": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+    "stream_leases": """
+        WITH e AS (SELECT user_id AS id, ts, CASE WHEN event_type = 'click' THEN 'claim' ELSE 'done' END AS kind FROM events WHERE event_type IN ('click', 'signup', 'purchase')),
+        n AS (SELECT *, lead(ts) OVER w AS next_ts, lead(kind) OVER w AS next_kind FROM e WINDOW w AS (PARTITION BY id ORDER BY ts, kind)),
+        -- a claim ends by what comes next within the hour, or by the clock if the stream goes on that long
+        ended AS (SELECT id, CASE WHEN next_ts <= ts + INTERVAL 1 HOUR THEN next_kind ELSE 'expired' END AS outcome FROM n
+                  WHERE kind = 'claim' AND (next_ts IS NOT NULL OR ts + INTERVAL 1 HOUR < (SELECT max(ts) FROM e)))
+        SELECT id, outcome, count(*) AS n FROM ended WHERE outcome <> 'claim' GROUP BY 1, 2
+    """,
+    "stream_upserts": "SELECT user_id::VARCHAR AS key, arg_max(event_type, (ts, event_id)) AS value FROM events GROUP BY 1",
 }

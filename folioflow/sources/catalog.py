@@ -1,51 +1,88 @@
 """A catalog: one Parquet table for every entity in a folder.
 
-State changes are whole new tables, written beside the old and named by version, so a
-reader never sees half of one; there is one writer.
+State changes are whole new tables, written beside the old and named by version. A
+version counts once Spark has committed it (its _SUCCESS file is there), so a reader
+never sees half of one and a catalog opened again, in whatever session, finds what was
+written last. A version is never written over; there is one writer.
 """
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.schemas import TABLES, TOPICS
+from folioflow.schemas import SCHEMA_VERSION, TABLES, TOPICS, UPLOAD_EXTENSIONS
 
 
-@dataclass
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where unset (one machine), a temporary one, which then is the checkpoint folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="folioflow-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+@dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
     path: str
-    version: int = 0
 
     def read(self, table: str) -> DataFrame:
-        """The table in its fixed schema; empty if it was never written."""
-        schema = TABLES[table]
-        found = [v for v in range(self.version, -1, -1) if self._exists(f"{self.path}/{table}/v{v}")]
-        if not found:
-            return self.seeds() if table == "topics" else self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/v{found[0]}")
+        """The table as last committed, in its fixed schema; empty if it was never written. Topics that are missing from a stored table are there again."""
+        versions = self.versions(table)
+        stored = self.spark.read.schema(TABLES[table]).parquet(self._at(table, versions[-1])) if versions else self.spark.createDataFrame([], TABLES[table])
+        return add_missing(stored, self.seeds(), "slug") if table == "topics" else stored
 
     def write(self, table: str, rows: DataFrame) -> Catalog:
-        """A catalog in which the table has these rows."""
-        new = Catalog(self.spark, self.path, self.version + 1)
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[table]]).write.mode("overwrite").parquet(f"{self.path}/{table}/v{new.version}")
-        return new
+        """The table's next version; rows may come from its last. Columns that rows don't have are null."""
+        had = set(rows.columns)
+        shown = [(F.col(f.name) if f.name in had else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table]]
+        version = max(self._listed(table), default=-1) + 1
+        rows.select(*shown).write.mode("errorifexists").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._at(table, version))
+        return self
+
+    def migrate(self, now: Column) -> Catalog:
+        """Applied schema versions, each once, and the topics."""
+        wanted = self.spark.range(1, SCHEMA_VERSION + 1).select(F.col("id").alias("version"), now.alias("applied_at"))
+        self.write("migrations", add_missing(self.read("migrations"), wanted, "version"))
+        return self.write("topics", self.read("topics"))
 
     def seeds(self) -> DataFrame:
         return self.spark.createDataFrame([(slug, label, color, k) for k, (slug, label, color) in enumerate(TOPICS)], TABLES["topics"])
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.schema("x int").parquet(path)
-            return True
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
+    def versions(self, table: str) -> list[int]:
+        """The committed versions, oldest first, by one listing of the table's folder."""
+        return sorted(v for v, done in self._listed(table).items() if done)
+
+    def forget(self, table: str, keep: int = 2) -> None:
+        """Delete all committed versions but the last ones; readers of older ones must be done."""
+        for version in self.versions(table)[: -keep or None]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(table, version))
+            self._files(path).delete(path, True)
+
+    def _at(self, table: str, version: int) -> str:
+        return f"{self.path}/{table}/v{version}"
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _listed(self, table: str) -> dict[int, bool]:
+        """The versions there are, and whether they are committed."""
+        found = self._files(pattern := self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/v*/*")).globStatus(pattern)
+        places = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found or ()]
+        return {int(v[1:]): any(w == v and name == "_SUCCESS" for w, name in places) for v, _ in places}
+
+
+def add_missing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old rows, and the new ones whose key they don't have."""
+    fresh = new.join(old.select(key), key, "left_anti")
+    return old.unionByName(fresh, allowMissingColumns=True)
 
 
 def check_rows(rows: DataFrame, rules: dict) -> DataFrame:
@@ -58,6 +95,5 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded files: path, mime guess by extension, bytes and SHA-256 of the content."""
     files = spark.read.format("binaryFile").load(path)
     extension = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
-    kinds = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".webp": "image/webp", ".mp4": "video/mp4", ".mov": "video/quicktime", ".webm": "video/webm"}
-    mime = reduce(lambda c, k: c.when(extension == k[0], k[1]), list(kinds.items())[1:], F.when(extension == ".jpg", "image/jpeg"))
+    mime = F.try_element_at(F.create_map(*[F.lit(x) for pair in UPLOAD_EXTENSIONS.items() for x in pair]), extension)
     return files.select("path", extension.alias("extension"), mime.alias("mime"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

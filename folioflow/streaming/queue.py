@@ -15,6 +15,10 @@ from folioflow.schemas import LEASE_SECONDS
 from folioflow.sources.catalog import Catalog
 
 
+#: Versions that upsert_into keeps.
+KEPT = 3
+
+
 def hourly_status(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Job events by hour and type; events later than the watermark are left out."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
@@ -23,10 +27,11 @@ def hourly_status(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def leases(events: DataFrame, seconds: int = LEASE_SECONDS, late: str = "0 seconds") -> DataFrame:
-    """id, outcome of every claimed job: done, or expired when its lease ran out before it was done.
+    """id, outcome of every lease: done, or expired when it ran out before the job was done.
 
-    events: id, at (timestamp), kind ('claim', 'renew' or 'done'). One state for each
-    job, with a timer at its lease's end; runs as long as jobs are open.
+    events: id, at (timestamp), kind ('claim', 'renew' or 'done'). A claim opens a lease
+    or, where one is open, renews it; what comes after a lease's end finds none. One
+    state for each job, with a timer at its lease's end; runs as long as jobs are open.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -36,9 +41,12 @@ def leases(events: DataFrame, seconds: int = LEASE_SECONDS, late: str = "0 secon
             return
         end = state.get[0] if state.exists else None
         for at, kind in sorted((r.at.value // 1_000_000, r.kind) for b in batches for r in b.itertuples()):
+            if end is not None and at > end:
+                yield pd.DataFrame({"id": [key[0]], "outcome": ["expired"]})
+                end = None
             if kind == "done":
                 if end is not None:
-                    yield pd.DataFrame({"id": [key[0]], "outcome": ["done" if at <= end else "expired"]})
+                    yield pd.DataFrame({"id": [key[0]], "outcome": ["done"]})
                 end = None
             elif kind == "claim" or end is not None:
                 end = at + seconds * 1000
@@ -54,13 +62,15 @@ def leases(events: DataFrame, seconds: int = LEASE_SECONDS, late: str = "0 secon
 
 
 def upsert_into(catalog: Catalog, table: str, key: str, by: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps a table's last row of each key; a batch that runs twice changes nothing more."""
-    box = [catalog]
+    """A foreachBatch function that keeps a table's last row of each key; a batch that runs twice changes nothing more.
+
+    For tables of state as small as their keys, such as settings and heartbeats: each batch
+    writes the table anew and forgets all versions but the last few.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        box[0] = box[0].write(table, upsert(box[0].read(table), batch, key, by))
+        catalog.write(table, upsert(catalog.read(table), batch, key, by)).forget(table, KEPT)
 
-    write.catalog = lambda: box[0]
     return write
 
 

@@ -1,10 +1,12 @@
+import ipaddress
+
 import hypothesis.strategies as st
-import pytest
 from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F
 
 from folioflow.functions import text, urls, vectors
 from folioflow.operators.ingest import admit
+from folioflow.plans.links import LINKS, links
 
 
 def admitted(spark, *links):
@@ -12,25 +14,28 @@ def admitted(spark, *links):
     return [(r.platform, r.platform_id, r.canonical_url, r.reject_reason) for r in rows]
 
 
-@pytest.mark.parametrize(
-    "link,expected",
-    [
-        ("https://www.youtube.com/watch?v=abc123&utm_source=share", ("youtube", "abc123", "https://www.youtube.com/abc123", None)),
-        ("https://www.instagram.com/reel/ABC_123/?igshid=xyz", ("instagram", "ABC_123", "https://www.instagram.com/reel/ABC_123", None)),
-        ("https://example.com/articles/one?utm_campaign=launch&keep=yes", ("web", None, "https://example.com/articles/one?keep=yes", None)),
-        ("https://example.com/a?ref=x&page=2#top", ("web", None, "https://example.com/a?page=2", None)),
-        ("http://127.0.0.1/", (None, None, None, urls.PRIVATE)),
-        ("http://[::1]/", (None, None, None, urls.PRIVATE)),
-        ("https://www.youtube.com/channel/abc", (None, None, None, urls.NO_POST["youtube"])),
-        ("https://example.com:8080/", (None, None, None, urls.BAD_PORT)),
-        ("ftp://example.com/", (None, None, None, urls.NOT_HTTP)),
-        ("https://a:b@example.com/", (None, None, None, urls.CREDENTIALS)),
-        (None, (None, None, None, urls.INVALID)),
-        ("", (None, None, None, urls.INVALID)),
-    ],
-)
-def test_links(spark, link, expected):
-    assert admitted(spark, link) == [expected]
+def test_links(spark):
+    """The list's links become what is written beside them, all in one pass."""
+    got = {r.place: r for r in admit(spark.createDataFrame(links(), "place long, url string")).collect()}
+    for (place, url), (_, host, platform, post, canonical, reason) in zip(links(), LINKS, strict=True):
+        r = got[place]
+        assert (url, r.host, r.platform, r.platform_id, r.canonical_url, r.reject_reason) == (url, host, platform, post, canonical, reason)
+
+
+def test_links_beside_other_columns(spark):
+    rows = spark.createDataFrame([("https://a.example/x", "was", 1)], "url string, platform string, parts int")
+    got = admit(rows.withColumnRenamed("parts", "part")).first()
+    assert (got.platform, got.part, got.canonical_url) == ("web", 1, "https://a.example/x")
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=40), st.lists(st.integers(0, 2**128 - 1).map(lambda n: n & ~(0xFFFF << 48) & ~(0xFFFF << 64)), min_size=1, max_size=40))
+def test_addresses_have_one_form(spark, fours, sixes):
+    said = [(str(ipaddress.IPv4Address(n)), w) for n in fours for w in (str(n), hex(n), f"{n >> 24}.{n & 0xFFFFFF}", f"0{n >> 24:o}.{n >> 16 & 255}.{n & 0xFFFF}")]
+    said += [(f"[{ipaddress.IPv6Address(n)}]", f"[{w}]") for n in sixes for w in (ipaddress.IPv6Address(n).exploded, ipaddress.IPv6Address(n).compressed.upper())]
+    rows = spark.createDataFrame([(f"http://{w}/",) for _, w in said], "url string")
+    got = {r.url: r.host for r in urls.with_parts(rows).select("url", "parts.host").collect()}
+    assert all(got[f"http://{w}/"] == want for want, w in said)
 
 
 def test_private_hosts(spark):
@@ -47,7 +52,7 @@ def test_canonical_form_is_stable(spark, parts):
 
 
 def test_text(spark):
-    rows = spark.createDataFrame([("  Web   Designs ", 61499, 5 << 20, "Ünïque KEY"), (None, None, None, None), ("s", 59500, 3 << 30, "a_b%c")], "t string, ms long, b long, x string")
+    rows = spark.createDataFrame([("\u00a0 Web \u2003  Designs\t", 61499, 5 << 20, "Ünïque KEY"), (None, None, None, None), ("s", 59500, 3 << 30, "a_b%c")], "t string, ms long, b long, x string")
     got = rows.select(text.normalize_tag(F.col("t")), text.format_duration(F.col("ms")), text.format_bytes(F.col("b")), text.like_anywhere(F.col("x"), " key "), text.like_anywhere(F.col("x"), "_b%")).collect()
     assert [tuple(r) for r in got] == [("web design", "1:01", "5 MB", True, False), (None, None, "—", None, None), ("", "1:00", "3.0 GB", False, True)]
 
@@ -62,3 +67,11 @@ def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], list(range(72)), list(range(72, 0, -1)))], "a array<double>, b array<double>, p array<int>, q array<int>")
     got = row.select(vectors.cosine(F.col("a"), F.col("b")), vectors.difference_hash(F.col("p")), vectors.difference_hash(F.col("q")), vectors.hamming(F.lit(5), F.lit(6))).first()
     assert abs(got[0] - 0.96) < 1e-12 and tuple(got)[1:] == (0, -1, 2)
+
+
+def test_colors_and_shapes(spark):
+    rows = [(10, 10, 10, 3, 4), (250, 240, 245, 4, 4), (120, 121, 119, 5, 4), (200, 20, 30, None, 1), (200, 190, 10, 1, 2), (10, 90, 250, 1, 2), (None, 1, 1, 1, 1)]
+    got = spark.createDataFrame(rows, "r int, g int, b int, w int, h int").select(text.color_family(F.col("r"), F.col("g"), F.col("b")), text.aspect(F.col("w"), F.col("h"))).collect()
+    assert [r[0] for r in got[:6]] == ["black", "white", "grey", "red", "yellow", "blue"] and [r[1] for r in got] == ["portrait", "square", "landscape", None, "portrait", "portrait", "square"]
+    tokens = spark.createDataFrame([("plum",), ("x",), (None,)], "c string").select(text.color_token(F.col("c"))).collect()
+    assert [r[0] for r in tokens] == ["plum", "muted", "muted"]

@@ -17,13 +17,21 @@ def test_leases_end_by_done_or_by_timer(spark, tmp_path):
 def test_upserts_survive_a_restart(spark, tmp_path):
     schema = "key string, value string, updated_at timestamp"
     spark.createDataFrame([("beat", "1", datetime(2024, 1, 1)), ("mode", "x", datetime(2024, 1, 1))], schema).write.parquet(f"{tmp_path}/in")
-    write = queue.upsert_into(Catalog(spark, f"{tmp_path}/db"), "settings", "key", "updated_at")
 
     def run():
+        write = queue.upsert_into(Catalog(spark, f"{tmp_path}/db"), "settings", "key", "updated_at")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         queue.poll(stream, write, f"{tmp_path}/check", every=None).awaitTermination()
-        return sorted((r.key, r.value) for r in write.catalog().read("settings").collect())
+        return sorted((r.key, r.value) for r in Catalog(spark, f"{tmp_path}/db").read("settings").collect())
 
     assert run() == [("beat", "1"), ("mode", "x")]
     spark.createDataFrame([("beat", "2", datetime(2024, 1, 2))], schema).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == run() == [("beat", "2"), ("mode", "x")]
+
+
+def test_a_lease_that_ran_out_is_not_done_later(spark, tmp_path):
+    start, schema = datetime(2024, 1, 1), "id long, at timestamp, kind string"
+    rows = [(1, 0, "claim"), (1, 100, "done"), (1, 200, "claim"), (1, 210, "renew"), (1, 265, "done"), (2, 0, "done"), (3, 900, "claim")]
+    spark.createDataFrame([(i, start + timedelta(seconds=s), k) for i, s, k in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = queue.drained(queue.leases(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), checkpoint=str(tmp_path / "check")).collect()
+    assert sorted((r.id, r.outcome) for r in got) == [(1, "done"), (1, "expired")]
