@@ -114,9 +114,14 @@ def window_filter(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _coarse(bits: np.ndarray) -> np.ndarray:
+    """Whether any hash with the first bits, FILTER_BITS - 6 of them, can pass: a look at little memory that settles most."""
+    return bits.reshape(-1, 8).any(1)
+
+
+def _passes(bits: np.ndarray, coarse: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Indexes of the hashes that the filter lets through."""
-    at = np.arange(len(hashes))
+    at = np.flatnonzero(coarse[(hashes >> U(70 - FILTER_BITS)).astype(np.int64)])
     for k in range(PROBES):
         place = ((hashes[at] >> U(64 - FILTER_BITS * (k + 1))) & U((1 << FILTER_BITS) - 1)).astype(np.int64)
         at = at[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
@@ -135,6 +140,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int,
     shared = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse = None if shared is None else _coarse(shared.value)
         for batch in batches:
             for low, _, data, offsets in tb.chunks(batch.column(1)):
                 words, template, slots, first = canonical(data, offsets)
@@ -143,7 +149,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int,
                 for size, free in shapes:
                     for hashes, at, templated in _windows(rolled, slots, first, size, free):
                         if shared is not None:
-                            keep = _passes(shared.value, hashes)
+                            keep = _passes(shared.value, coarse, hashes)
                         elif whole and (size, free) == SPLIT:
                             keep = n_words[owner[at]] >= 2 * WINDOW
                         elif whole and free >= 0:
@@ -192,7 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     covered = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda i: i != F.col("free")), lambda i: i + F.col("item_place"))
     literal = F.filter(F.transform("item_slots", lambda v, i: F.when(v == 0, F.col("item_place") + i)), lambda w: w.isNotNull())
     wanted = wanted.withColumns({"words": covered, "literal": literal, "least": F.ceil(LITERAL * F.least(F.size("item_slots"), F.lit(WINDOW)))}).drop("size", "free")
-    hits = windows(docs, id_col, text_col, shapes, bits).select("id", "hash", "place", "slots")
+    hits = written(windows(docs, id_col, text_col, shapes, bits).select("id", "hash", "place", "slots"), "hits")
     found = look_up(hits, wanted, "hash", by="id")
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda p: (p["a"] != 0) & (p["a"] != FREE))
     found = found.select(

@@ -391,7 +391,7 @@ def test_near_duplicates_with_one_large_bucket(spark, monkeypatch):
     """20,000 members in families that share most of their words: all share buckets, only members of a family are linked."""
     met = []
     across = neardup._across
-    monkeypatch.setattr(neardup, "_across", lambda members, *rest: met.append(members.count()) or across(members, *rest))
+    monkeypatch.setattr(neardup, "_across", lambda members, *rest: met.append(members.where(F.col("size") > neardup.BLOCK).count()) or across(members, *rest))
     base = [f"w{k}" for k in range(100)]
     rows = []
     for d in range(20_000):
@@ -405,7 +405,7 @@ def test_near_duplicates_with_one_large_bucket(spark, monkeypatch):
     assert like(*sample[:2]) and like(sample[3], sample[4]) and not like(sample[0], sample[3]) and not like(sample[0], sample[5])
     got = neardup.link(docs, 3, 85).collect()
     assert len(got) == 20_000 and all(r.component_id == r.doc_id % 40 for r in got)
-    assert sum(met) == 0  # shown by the shingles alone
+    assert sum(met) == 0  # of some 400,000 in large buckets: shown by the shingles alone
 
 
 def test_near_duplicates_of_one_id_with_two_texts(spark):
@@ -688,7 +688,7 @@ def test_leaks_of_a_table_equal_a_plain_matcher(spark):
 def test_window_filter_lets_its_windows_through(spark):
     hashes = tb.mix(np.arange(5000, dtype=np.uint64))
     bits = decontaminate.window_filter(spark.createDataFrame([(int(h),) for h in hashes[:2000].view(np.int64)], "hash long"))
-    passed = decontaminate._passes(bits, hashes)
+    passed = decontaminate._passes(bits, decontaminate._coarse(bits), hashes)
     assert set(range(2000)) <= set(passed.tolist()) and len(passed) < 2010 and len(bits) == 1 << (decontaminate.FILTER_BITS - 3)
 
 
