@@ -26,14 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: later jobs start
-    from the files, so a lost executor costs no earlier stage."""
+    from the files, so a lost executor costs no earlier stage. sweep() deletes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(f"{path}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this application has written so far and say how many there
+    were. For when the results that were made of them have been stored: a DataFrame that
+    still reads one of them can't be computed again."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    return len(paths)
 
 
 _shipped: set[str] = set()

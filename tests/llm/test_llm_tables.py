@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import ODD, drop_lines, held_by_hand, linked, odd
 
 import corpus_pipeline
-from folioflow.llm import fingerprint, queries, sentencepieces, tokencount, toxicity
+from folioflow.llm import fingerprint, queries, sentencepieces, storage, tokencount, toxicity
 from folioflow.llm import textbytes as tb
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -255,3 +256,10 @@ def test_near_duplicates_of_repeated_ids(spark, small):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = kept_rows(STAGES["near_duplicates"], spark, frame)
     assert {(1, one), (2, two), (4, "x"), (None, "x")} <= set(got) and got.count((2, two)) == got.count((4, "x")) == 1 and got.count((None, "x")) == 2
+
+
+def test_written_tables_are_swept(spark):
+    storage.sweep(spark)
+    kept = storage.written(spark.range(5), "five")
+    folder = kept.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file:").replace("///", "/")
+    assert kept.count() == 5 and os.path.isdir(folder) and storage.sweep(spark) == 1 and not os.path.isdir(folder) and storage.sweep(spark) == 0
