@@ -18,11 +18,16 @@ def ascii_lower(text: Column) -> Column:
 
 
 def like_anywhere(text: Column, query: str) -> Column:
-    """Whether the query, in which % and _ are wildcards, stands anywhere in the text; A-Z match either case."""
-    wanted = query.strip().translate(str.maketrans(UPPER, LOWER))
-    if not set(wanted) & {"%", "_"}:
-        return F.contains(ascii_lower(text), F.lit(wanted))
-    return F.like(ascii_lower(text), F.lit(f"%{wanted}%"), F.lit("\u0001"))
+    """Whether the query, in which % and _ are wildcards, stands anywhere in the text; A-Z match either case.
+
+    As a pattern: it folds A-Z while it looks, where a folded copy of each text would cost more.
+    """
+    return F.rlike(text, F.lit("(?is)" + "".join({"%": ".*", "_": "."}.get(c, literal(c)) for c in query.strip())))
+
+
+def literal(text: str) -> str:
+    """The text as a pattern that matches just it."""
+    return "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):X}}}" for c in text)
 
 
 def normalize_tag(label: Column) -> Column:

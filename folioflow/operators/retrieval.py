@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import LOWER, UPPER, ascii_lower
+from folioflow.functions.text import LOWER, UPPER, ascii_lower, literal
 from folioflow.functions.vectors import dot, norm
 
 # Chunk size and overlap in words, BM25's constants, ranks taken, fusion's constant.
@@ -64,13 +62,14 @@ def bm25(chunks: DataFrame, query: list[str], top: int = TOP) -> DataFrame:
     the corpus's size and length are one row. For many queries, store an index and use bm25_of().
     """
     query = _lowered(query)
-    text = ascii_lower(F.coalesce("body", F.lit("")))
-    counts = [F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){q}(?![\p{{L}}\p{{N}}])")).alias(f"tf_{k}") for k, q in enumerate(query)]
-    counted = chunks.select("id", F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")).alias("size"), *counts)
+    text, inner = F.coalesce("body", F.lit("")), r"[\p{L}\p{N}]"
+    # the word first and its neighbours then: few places are looked at twice
+    counts = [F.regexp_count(text, F.lit(f"(?i){literal(q)}(?<!{inner}{literal(q)})(?!{inner})")).alias(f"tf_{k}") for k, q in enumerate(query)]
+    # both uses read the counts from one exchange, so each text is read once
+    counted = chunks.select("id", F.regexp_count(text, F.lit(f"{inner}++")).alias("size"), *counts).repartition("id")
     stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(query))])
-    hits = counted.where(reduce(Column.__or__, [F.col(f"tf_{k}") > 0 for k in range(len(query))], F.lit(False)))
     parts = [_score(F.col(f"tf_{k}").cast("double"), F.col("size"), F.col(f"df_{k}"), F.col("n"), F.col("mean")) for k in range(len(query))]
-    return _best(hits.join(F.broadcast(stats)).withColumn("score", sum(parts, F.lit(0.0))), top)
+    return _best(counted.join(F.broadcast(stats)).withColumn("score", sum(parts, F.lit(0.0))), top)
 
 
 def store_index(chunks: DataFrame, path: str) -> None:
