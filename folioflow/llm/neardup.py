@@ -13,8 +13,8 @@ never meet each other. In each bucket of a band every member first meets the one
 smallest id only. Where a large bucket's members still fall into several components, it
 elects further leaders, round by round, that meet the members outside their component.
 What is then still apart is mostly shown by its shingles alone to have no link: those
-that only members of one component have can't be shared across, and a set with more
-than the allowed share of them is set aside. The rest meets across components in blocks
+that one member alone has, or in large buckets members of one component alone, can't be
+shared across, and a set with more than the allowed share of them is set aside. The rest meets across components in blocks
 of bounded size, so that no link is lost.
 """
 
@@ -39,8 +39,8 @@ REGISTERS, BASE, RATE, TOP = 256, 1.02, 20.0, 65534
 BANDS, BAND = 32, 4
 #: How far below the threshold an estimate may fall for its pair to be verified (four standard errors).
 MARGIN = 0.1
-#: Members of a bucket that meet in one task at most; rounds of further leaders in larger buckets.
-BLOCK, ROUNDS = 512, 8
+#: Members of a bucket that meet in one task at most; members from which on a bucket is large; rounds of further leaders in large ones.
+BLOCK, WIDE, ROUNDS = 512, 4096, 8
 CHUNK = 1 << 21
 
 
@@ -154,9 +154,12 @@ def _registers(values: list[bytes]) -> np.ndarray:
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (id, other) whose set sizes allow a link and whose estimate comes near it; other may have any number of pairs."""
-    a = classes.select("id", F.col("n").alias("n_a"), F.col("registers").alias("reg_a"))
-    b = classes.select(F.col("id").alias("other"), F.col("n").alias("n_b"), F.col("registers").alias("reg_b"))
-    near = look_up(pairs.join(a, "id"), b, "other", by="id").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    # sizes first, registers for what they leave
+    sizes = [classes.select(F.col("id").alias(c), F.col("n").alias(n)) for c, n in (("id", "n_a"), ("other", "n_b"))]
+    fit = look_up(pairs, sizes[1], "other", by="id").join(sizes[0].hint("merge"), "id").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    fit = written(fit.select("id", "other", "n_a", "n_b"), "fit")
+    a, b = (classes.select(F.col("id").alias(c), F.col("registers").alias(r)) for c, r in (("id", "reg_a"), ("other", "reg_b")))
+    near = look_up(fit.join(a.hint("merge"), "id"), b, "other", by="id", among=fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +178,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select("id", F.col("shingles").alias("a"))
     b = sets.select(F.col("id").alias("other"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return look_up(pairs.join(a, "id"), b, "other", by="id").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("id", "other")
+    return look_up(pairs.join(a.hint("merge"), "id"), b, "other", by="id", among=pairs).where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("id", "other")
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +265,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     known = shared.select("id", "bucket").join(classes.select("id", "n"), "id")
     apart = _apart(known, found)
     for turn in range(ROUNDS):
-        large = apart.where(F.col("size") > BLOCK)
+        large = apart.where(F.col("size") > WIDE)
         if not large.limit(1).count():
             break
         # a member outside the first component leads, another in each round
@@ -276,15 +279,17 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
         apart = _apart(apart.select("id", "bucket", "n"), found)
     if apart.limit(1).count():
         sets = written(_sets_of(docs, apart.select("id").distinct(), words), "sets")
-        shingles = sets.join(apart.select("id", "component").distinct(), "id").select("id", "component", F.explode("shingles").alias("shingle"))
-        ends = {"low": (F.min("component"), F.min), "high": (F.max("component"), F.max)}
-        alone = summed_up(shingles, "shingle", "id", ends, F.col("low") == F.col("high")).groupBy("id").agg(F.count("*").alias("own"))
-        able = apart.join(alone, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        # two sets of n and m share n - own shingles at most, and the other's own ones come on top
-        able = summed_up(able, "bucket", "id", {"fewest": (F.min("own"), F.min)}, F.lit(True)).withColumn("common", F.col("n") - F.col("own"))
-        able = able.where(100 * F.col("common") >= percent * (F.col("n") + F.col("fewest")))
-        # members set aside can leave a bucket with one component
-        able = _apart(able.select("id", "bucket", "n", "common"), found).join(classes.select("id", "registers"), "id")
+        # shingles that one member alone has, in all buckets
+        alone = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("holders")).where("holders = 1")
+        able = _able(apart, alone.groupBy("id").agg(F.count("*").alias("own")), found, percent)
+        # in large ones, those that one component alone has
+        wide = able.where(F.col("size") > WIDE)
+        if wide.limit(1).count():
+            shingles = sets.join(wide.select("id", "component").distinct(), "id").select("id", "component", F.explode("shingles").alias("shingle"))
+            within = shingles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high").select("shingle")
+            own = shingles.join(within, "shingle").groupBy("id").agg(F.count("*").alias("own"))
+            able = able.where(F.col("size") <= WIDE).unionByName(_able(wide, own, found, percent))
+        able = able.join(classes.select("id", "registers"), "id")
         found = components(links.unionByName(written(_across(able, sets, percent), "links")))
     named = classes.select("set_a", "set_b", F.col("id").alias("class")).join(found.withColumnRenamed("id", "class"), "class", "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "class").alias("component"))
@@ -306,15 +311,26 @@ def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, words: int, per
     """The links among pairs (id, other) of members and leaders that met."""
     pairs = written(_likely(met.where("id <> other").distinct(), classes, percent), "pairs")
     wanted = pairs.select("id").union(pairs.select("other")).distinct()
-    return written(_verified(pairs, _sets_of(docs, wanted, words), percent), "links")
+    return written(_verified(pairs, written(_sets_of(docs, wanted, words), "pair_sets"), percent), "links")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """id, shingles: the full sets of the documents wanted; of an id's several sets that of smallest hash."""
-    arrays = shingle_arrays(docs.join(wanted, "id", "left_semi"), words, "id").where(F.size("shingles") > 0)
+    # as a table of its own the ids show how few they are, so that texts aren't shuffled for a small join
+    arrays = shingle_arrays(docs.join(written(wanted, "wanted"), "id", "left_semi"), words, "id").where(F.size("shingles") > 0)
     return arrays.groupBy("id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles"))
 
 
+def _able(members: DataFrame, own: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The members, as of _apart, that can be linked across components of their bucket, with common: shingles less those counted in own (id, own), which no other component has."""
+    counted = members.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    # two sets of n and m share n - own shingles at most, and the other's own ones come on top
+    counted = summed_up(counted, "bucket", "id", {"fewest": (F.min("own"), F.min)}, F.lit(True)).withColumn("common", F.col("n") - F.col("own"))
+    left = counted.where(100 * F.col("common") >= percent * (F.col("n") + F.col("fewest")))
+    # members set aside can leave a bucket with one component
+    return _apart(left.select("id", "bucket", "n", "common"), found)
+
+
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members (id, bucket, ...) of the buckets that have several components, with component, low and size."""
     known = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -2,7 +2,8 @@
 
 Rows are dealt by key and by a number from 0 to SALTS - 1 that another column gives, so
 a key's rows are in up to SALTS tasks; what all of them need is first brought to each
-(key, number) that occurs, of which a key has SALTS at most.
+(key, number) that occurs, of which a key has SALTS at most. All of it is shuffled and
+merged at every size; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ def _dealt(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
-def look_up(rows: DataFrame, table: DataFrame, *keys: str, by: str, how: str = "inner") -> DataFrame:
-    """rows joined with table, which has one row for each value of keys."""
+def look_up(rows: DataFrame, table: DataFrame, *keys: str, by: str, how: str = "inner", among: DataFrame | None = None) -> DataFrame:
+    """rows joined with table by keys. among, if given, has at least the values of keys and `by` that rows has, and is cheaper to read."""
     dealt = _dealt(rows, by)
-    wanted = dealt.select(*keys, "salt").distinct().join(table, list(keys))
-    return dealt.join(wanted, [*keys, "salt"], how).drop("salt")
+    wanted = (dealt if among is None else _dealt(among, by)).select(*keys, "salt").distinct().join(table.hint("merge"), list(keys))
+    return dealt.join(wanted.hint("merge"), [*keys, "salt"], how).drop("salt")
 
 
 def summed_up(rows: DataFrame, key: str, by: str, sums: dict[str, tuple[Column, Callable]], keep: Column) -> DataFrame:
@@ -36,4 +37,4 @@ def summed_up(rows: DataFrame, key: str, by: str, sums: dict[str, tuple[Column,
     parts = dealt.groupBy(key, "salt").agg(*[first.alias(name) for name, (first, _) in sums.items()])
     over = Window.partitionBy(key)
     whole = parts.select(key, "salt", *[then(F.col(name)).over(over).alias(name) for name, (_, then) in sums.items()]).where(keep)
-    return dealt.join(whole, [key, "salt"]).drop("salt")
+    return dealt.join(whole.hint("merge"), [key, "salt"]).drop("salt")

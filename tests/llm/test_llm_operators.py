@@ -373,6 +373,7 @@ def test_near_duplicates_equal_brute_force(spark, k, percent):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A group in which most members aren't linked with the first: blocks find the rest."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "WIDE", 8)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(100)]
     rows = []
@@ -391,7 +392,8 @@ def test_near_duplicates_with_one_large_bucket(spark, monkeypatch):
     """20,000 members in families that share most of their words: all share buckets, only members of a family are linked."""
     met = []
     across = neardup._across
-    monkeypatch.setattr(neardup, "_across", lambda members, *rest: met.append(members.where(F.col("size") > neardup.BLOCK).count()) or across(members, *rest))
+    monkeypatch.setattr(neardup, "WIDE", neardup.BLOCK)
+    monkeypatch.setattr(neardup, "_across", lambda members, *rest: met.append(members.where(F.col("size") > neardup.WIDE).count()) or across(members, *rest))
     base = [f"w{k}" for k in range(100)]
     rows = []
     for d in range(20_000):
