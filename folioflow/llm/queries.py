@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import chat, decontaminate, fingerprint, linededup, neardup, quality, secretscan, sentencepieces, tokencount, toxicity
+from folioflow.llm import chat, decontaminate, divergence, fingerprint, linededup, neardup, quality, secretscan, sentencepieces, tokencount, topk, toxicity, vectorcodes
 from folioflow.llm.storage import ship
 
 #: SentencePiece model for token counts, encoding and decoding.
@@ -86,6 +86,22 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(_embeddings(spark, sf_dir)).drop("n_scans")
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality_scores,
     "op2_chat_format": chat_format,
@@ -97,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_scores,
     "op9_benchmark_leaks": leaks,
     "op10_fingerprints": fingerprints,
+    "op11_exact_topk": exact_topk,
+    "op12_vector_codes": vector_codes,
+    "op13_source_divergence": source_divergence,
 }
 
 #: Upper and lower case letters, and the white space that is stripped, in DuckDB's terms.
@@ -105,6 +124,23 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 
+def _code_rounds(rounds: int = 6) -> str:
+    """The assignments (a0, a1, ...) and codebooks (c0, c1, ...) of Lloyd's rounds, one after another."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (
+            SELECT p.r, p.pos, min(ROW(list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))), c.entry)) AS best
+            FROM parts p JOIN c{k} c ON p.pos = c.pos GROUP BY p.r, p.pos),
+        n{k} AS MATERIALIZED (SELECT r, pos, struct_extract_at(best, 1)::BIGINT AS far, struct_extract_at(best, 2) AS entry FROM a{k})""")
+        if k < rounds:
+            steps.append(f"""
+        m{k} AS (SELECT p.pos, n.entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS i FROM parts p JOIN n{k} n ON p.r = n.r AND p.pos = n.pos),
+        f{k} AS (SELECT pos, entry, list(x ORDER BY i) AS v FROM (SELECT pos, entry, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM m{k} GROUP BY pos, entry, i) GROUP BY pos, entry),
+        c{k + 1} AS MATERIALIZED (SELECT c.pos, c.entry, coalesce(f.v, c.v) AS v FROM c{k} c LEFT JOIN f{k} f ON c.pos = f.pos AND c.entry = f.entry)""")
+    return ",".join(steps)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +197,47 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op11_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10
+    """,
+    "op12_vector_codes": f"""
+        WITH kept AS (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT r, pos, v[pos * (len(v) // 8) + 1:(pos + 1) * (len(v) // 8)] AS v FROM kept, range(8) t(pos)),
+        c0 AS MATERIALIZED (SELECT pos, r - 1 AS entry, v FROM parts WHERE r <= 16),
+        {_code_rounds()},
+        books AS (SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM c6),
+        codes AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, sum(far)::BIGINT AS error FROM n6 GROUP BY r)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes ON kept.r = codes.r, books
+    """,
+    "op13_source_divergence": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER_CASE}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+        kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept ON t.lang = kept.lang AND t.term = kept.term GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM kept GROUP BY lang),
+        g AS (
+            SELECT d.lang, d.source, coalesce(sums.n, 0)::HUGEINT AS total, coalesce(v.terms, 0)::HUGEINT AS terms
+            FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v ON d.lang = v.lang
+            LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) sums ON d.lang = sums.lang AND d.source = sums.source),
+        p AS MATERIALIZED (
+            SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.terms) AS p,
+                   1 + (1000000000::HUGEINT * (kept.n + 1)) // (v.total + v.terms)::HUGEINT AS q
+            FROM g JOIN kept ON g.lang = kept.lang JOIN v ON g.lang = v.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND kept.term = c.term),
+        far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        rows_ AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM rows_ QUALIFY part = 'pair' OR rank <= 200
+    """,
 }

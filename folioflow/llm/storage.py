@@ -29,14 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later jobs start
-    from the files, so a lost executor costs no earlier stage. sweep() deletes them."""
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read back, and the folder, for delete()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(f"{path}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{path}/{name}"), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: later jobs start
+    from the files, so a lost executor costs no earlier stage. sweep() deletes them."""
+    return write_table(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def sweep(spark: SparkSession) -> int:
@@ -45,8 +55,7 @@ def sweep(spark: SparkSession) -> int:
     still reads one of them can't be computed again."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        delete(spark, path)
     return len(paths)
 
 
