@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.schemas import COLORS, FAMILIES, PAGE_CHARS, STATUS_LABELS, TITLE_CHARS
+from folioflow.schemas import COLORS, FAMILIES, STATUS_LABELS, TITLE_CHARS
 
 #: White space as browsers and scripts see it: ASCII's, Unicode's separators and the byte order mark.
 SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -20,9 +20,13 @@ def ascii_lower(text: Column) -> Column:
 def like_anywhere(text: Column, query: str) -> Column:
     """Whether the query, in which % and _ are wildcards, stands anywhere in the text; A-Z match either case.
 
-    As a pattern: it folds A-Z while it looks, where a folded copy of each text would cost more.
+    As a pattern: it folds A-Z while it looks, where a folded copy of each text would cost
+    more. The parts between two % are found one after another, each at its first place after
+    the part before, which is never given up again, so a text is passed once whatever the
+    number of wildcards.
     """
-    return F.rlike(text, F.lit("(?is)" + "".join({"%": ".*", "_": "."}.get(c, literal(c)) for c in query.strip())))
+    parts = ["".join("." if c == "_" else literal(c) for c in part) for part in query.strip().split("%") if part]
+    return F.rlike(text, F.lit("(?is)" + (parts[0] if len(parts) == 1 else r"\A" + "".join(f"(?>.*?{part})" for part in parts))))
 
 
 def literal(text: str) -> str:
@@ -51,15 +55,6 @@ def unescape_html(text: Column) -> Column:
     return text
 
 
-def page_text(html: Column) -> Column:
-    """The readable text of a page: its article if it has one, else its body; at most PAGE_CHARS code points."""
-    html = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|nav|header|footer|aside|form)\b.*?</\1\s*>", " ")
-    article = F.regexp_extract(html, r"(?is)<article[^>]*>(.*)</article>", 1)
-    body = F.regexp_replace(html, r"(?is)<head\b.*?</head\s*>", " ")
-    shown = F.when(article != "", article).otherwise(body)
-    return F.left(clean_space(unescape_html(F.regexp_replace(shown, r"(?s)<[^>]*>", " "))), F.lit(PAGE_CHARS))
-
-
 def round_half_up(number: Column) -> Column:
     """Rounded to a whole number, halves upwards."""
     return F.floor(number + 0.5).cast("long")

@@ -1,7 +1,9 @@
 """One item's detail: satellites as arrays, passages and exports.
 
-Lists are cut to what a detail shows by row numbers, which Spark applies before the
-shuffle too, and only then collected, so no task holds all rows of an item.
+Lists are whole, but for the transcript, of which a detail shows the first segments. What
+is too long for the contract is refused, not cut: quality.contract_breaches() counts and
+measures without collecting a list, and within_contract() makes the details of the others,
+so an item with a list of any length is in no task as a whole.
 """
 
 from __future__ import annotations
@@ -14,9 +16,9 @@ from folioflow.operators.library import latest_revision
 from folioflow.schemas import KEY_POINTS, LIST_LIMITS
 
 
-def _first(rows: DataFrame, most: int, *order: Column | str, key: str = "item_id") -> DataFrame:
-    """Each item's first rows, with their place from 1."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+def _placed(rows: DataFrame, *order: Column | str, key: str = "item_id") -> DataFrame:
+    """Each item's rows with their place from 1."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
 def _listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
@@ -36,30 +38,30 @@ def item_websites(mentions: DataFrame, websites: DataFrame) -> DataFrame:
 
 
 def item_collections(collections: DataFrame, members: DataFrame) -> DataFrame:
-    """Collections' names by item, in their order: item_id, place, name."""
+    """All collections' names by item, in their order: item_id, place, name."""
     named = members.join(collections.withColumnRenamed("id", "collection_id"), "collection_id").select("item_id", "name", "collection_id")
-    return _first(named, LIST_LIMITS["collections"], "name", "collection_id").select("item_id", F.col("place").cast("long").alias("place"), "name")
+    return _placed(named, "name", "collection_id").select("item_id", F.col("place").cast("long").alias("place"), "name")
 
 
 def transcript_head(segments: DataFrame, rows: int = LIST_LIMITS["transcript"]) -> DataFrame:
     """Each item's first segments, the number that a detail shows."""
-    return _first(segments.select("item_id", "start_ms", "end_ms", "text"), rows, "start_ms", "end_ms", "text").drop("place")
+    return _placed(segments.select("item_id", "start_ms", "end_ms", "text"), "start_ms", "end_ms", "text").where(F.col("place") <= rows).drop("place")
 
 
-def capture_labels(captures: DataFrame) -> DataFrame:
-    """What a capture is called: url, file name, and the second it was taken at, or its source."""
+def capture_labels(captures: DataFrame, *keep: str) -> DataFrame:
+    """What a capture is called: url, file name, and the second it was taken at, or its source; and the columns to keep."""
     alt = F.when(F.col("timestamp_ms").isNull(), "Capture from source").otherwise(
         F.concat(F.lit("Capture from "), round_half_up(F.col("timestamp_ms") / 1000).cast("string"), F.lit(" seconds"))
     )
     return captures.select(
-        "id", F.concat(F.lit("/api/assets/"), F.col("id").cast("string")).alias("url"), F.regexp_extract("path", "[^/]+$", 0).alias("label"), alt.alias("alt")
+        "id", F.concat(F.lit("/api/assets/"), F.col("id").cast("string")).alias("url"), F.regexp_extract("path", "[^/]+$", 0).alias("label"), alt.alias("alt"), *keep
     )
 
 
 def item_captures(assets: DataFrame) -> DataFrame:
-    """item_id, place, id, timestamp_ms of the captures that a detail shows: those without a time first, then by time."""
+    """item_id, place, id, timestamp_ms of all captures: those without a time first, then by time."""
     captures = assets.where("role = 'capture'").select("item_id", "id", "timestamp_ms")
-    return _first(captures, LIST_LIMITS["captures"], F.col("timestamp_ms").asc_nulls_first(), "id").withColumn("place", F.col("place").cast("long"))
+    return _placed(captures, F.col("timestamp_ms").asc_nulls_first(), "id").withColumn("place", F.col("place").cast("long"))
 
 
 def passages(evidence: DataFrame, ids: list) -> DataFrame:
@@ -91,17 +93,17 @@ def first_evidence(json: Column) -> Column:
 
 
 def nested(items: DataFrame, tags: DataFrame, topics: DataFrame, segments: DataFrame, revisions: DataFrame, mentions: DataFrame, websites: DataFrame, evidence: DataFrame, collections: DataFrame, members: DataFrame, notes: DataFrame) -> DataFrame:
-    """An item's row with its satellites as sorted arrays; title, summary and key points are
-    the latest revision's where there is one."""
+    """An item's row with its satellites as sorted arrays, whole but for the transcript; title,
+    summary and key points are the latest revision's where there is one."""
     latest = latest_revision(revisions, "title", "summary", "key_points_json")
     latest = latest.select("item_id", F.col("title").alias("new_title"), F.col("summary").alias("new_summary"), decoded_points(F.col("key_points_json")).alias("key_points"))
     sites = item_websites(mentions.select("item_id", "seq", "website_id", "unresolved_name"), websites)
     parts = (
-        _listed(_first(tags.select("item_id", "tag"), LIST_LIMITS["tags"], "tag"), "tags", "tag"),
-        _listed(_first(topics.select("item_id", "topic"), LIST_LIMITS["topics"], "topic"), "topics", "topic"),
-        _listed(_first(segments.select("item_id", "start_ms", "end_ms", "text"), LIST_LIMITS["transcript"], "start_ms", "end_ms", "text"), "transcript", "start_ms", "end_ms", "text"),
-        _listed(_first(sites, LIST_LIMITS["websites"], "seq", "website_id"), "websites", "name"),
-        _listed(_first(evidence, LIST_LIMITS["evidence"], "seq", "id"), "evidence", "id", "kind", "excerpt", "start_ms"),
+        _listed(_placed(tags.select("item_id", "tag"), "tag"), "tags", "tag"),
+        _listed(_placed(topics.select("item_id", "topic"), "topic"), "topics", "topic"),
+        _listed(_placed(transcript_head(segments), "start_ms", "end_ms", "text"), "transcript", "start_ms", "end_ms", "text"),
+        _listed(_placed(sites, "seq", "website_id"), "websites", "name"),
+        _listed(_placed(evidence, "seq", "id"), "evidence", "id", "kind", "excerpt", "start_ms"),
         _listed(item_collections(collections, members), "collections", "name"),
         notes.select("item_id", F.col("body").alias("note")),
         latest,
@@ -114,15 +116,25 @@ def nested(items: DataFrame, tags: DataFrame, topics: DataFrame, segments: DataF
     return items.withColumns(full).drop("new_title", "new_summary")
 
 
+def within_contract(items: DataFrame, breaches: DataFrame, *satellites: DataFrame) -> DataFrame:
+    """nested() of the items that keep to the contract; breaches: their ids as quality.contract_breaches() gives them."""
+    return nested(items.join(breaches.select("id"), "id", "left_anti"), *satellites)
+
+
 def as_json(detail: DataFrame) -> DataFrame:
     """id and the row as a JSON text without nulls."""
     return detail.select("id", F.to_json(F.struct("*")).alias("json"))
 
 
-def as_markdown(detail: DataFrame) -> DataFrame:
-    """id and the item as a Markdown note: title, summary, tags, key points with their evidence, the user's note and citations."""
+def as_markdown(detail: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+    """id and the item as a Markdown note: title, summary, tags, key points with their evidence, the user's note, citations and captures (rows of item_captures with url, label, alt) as images."""
     points = F.array_join(F.transform("key_points", lambda p: F.concat(F.lit("- "), p["text"], F.lit(" ["), F.array_join(p["evidenceIds"], ", "), F.lit("]"))), "\n")
     cited = F.array_join(F.transform("evidence", lambda e: F.concat(F.lit("> "), e["excerpt"], F.lit(" ("), e["id"], F.lit(")"))), "\n")
     some = lambda text: F.nullif(text, F.lit(""))
-    parts = (F.concat(F.lit("# "), F.col("title")), F.col("summary"), F.concat(F.lit("Tags: "), F.array_join("tags", ", ")), some(points), some(F.col("note")), some(cited))
+    shots = F.lit(None).cast("string")
+    if captures is not None:
+        image = F.concat(F.lit("!["), "alt", F.lit("]("), "url", F.lit(")"))
+        detail = detail.join(_listed(captures.select(F.col("item_id"), "place", image.alias("image")), "captures", "image").withColumnRenamed("item_id", "id"), "id", "left")
+        shots = F.array_join("captures", "\n")
+    parts = (F.concat(F.lit("# "), F.col("title")), F.col("summary"), F.concat(F.lit("Tags: "), F.array_join("tags", ", ")), some(points), some(F.col("note")), some(cited), some(shots))
     return detail.select("id", F.concat_ws("\n\n", *parts).alias("markdown"))

@@ -20,8 +20,10 @@ def graph_items(items: DataFrame, item_topics: DataFrame | None = None, topic: s
     return shown.withColumn("place", (F.row_number().over(Window.orderBy("created_order", "id")) - 1).cast("long"))
 
 
-def primary_topic(items: DataFrame, item_topics: DataFrame) -> DataFrame:
-    """Each item's alphabetically first topic, `other` without one."""
+def primary_topic(items: DataFrame, item_topics: DataFrame, few: bool = False) -> DataFrame:
+    """Each item's alphabetically first topic, `other` without one. few: items are a graph's, GRAPH_ITEMS at most, whose topics alone are gathered."""
+    if few:
+        item_topics = item_topics.join(F.broadcast(items.select(F.col("id").alias("item_id"))), "item_id", "left_semi")
     first = item_topics.groupBy(F.col("item_id").alias("id")).agg(F.min("topic").alias("topic"))
     return items.select("id").join(first, "id", "left").select("id", F.coalesce("topic", F.lit("other")).alias("topic"))
 
@@ -94,5 +96,14 @@ def summary(shown: DataFrame) -> DataFrame:
 
 
 def merge_websites(urls_by_item: DataFrame) -> DataFrame:
-    """Websites by host, with their distinct page URLs counted; the URLs stay."""
-    return urls_by_item.groupBy("host").agg(F.count_distinct("url").alias("n_urls"), F.count("*").alias("mentions"), F.min("url").alias("first_url"))
+    """Websites by host, with their distinct page URLs counted, and the least of them; website_paths() has them all."""
+    per_url = urls_by_item.groupBy("host", "url").agg(F.count("*").alias("n"))
+    return per_url.groupBy("host").agg(F.count("*").alias("n_urls"), F.sum("n").alias("mentions"), F.min("url").alias("first_url"))
+
+
+def website_paths(urls_by_item: DataFrame) -> DataFrame:
+    """host, url, mentions, n_urls: every URL of a merged website, with its mentions and the number of the website's URLs.
+
+    A row for each URL, not a list for each host, so a host with very many is in no task as a whole."""
+    per_url = urls_by_item.groupBy("host", "url").agg(F.count("*").alias("mentions"))
+    return per_url.join(per_url.groupBy("host").agg(F.count("*").alias("n_urls")), "host")

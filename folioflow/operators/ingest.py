@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import urls
 from folioflow.functions.text import normalize_tag
+from folioflow.operators.chains import resolve
 from folioflow.schemas import IMPORT_CHARS, IMPORT_LINES, UPLOAD_BYTES, UPLOAD_TYPES
 
 
@@ -119,8 +120,9 @@ def replace_tags(old: DataFrame, edited: DataFrame, labels: DataFrame) -> DataFr
 
 
 def merge_tags(links: DataFrame, renames: DataFrame) -> DataFrame:
-    """Links with tags renamed (renames: tag, into), doubles joined."""
-    return links.join(renames, "tag", "left").select("item_id", F.coalesce("into", "tag").alias("tag")).distinct()
+    """Links with tags renamed (renames: tag, into) to where their renames end, doubles joined; see chains.resolve for chains, cycles and tags that are renamed twice."""
+    ends = resolve(renames).select("tag", "final")
+    return links.join(ends, "tag", "left").select("item_id", F.coalesce("final", "tag").alias("tag")).distinct()
 
 
 def unique_violations(rows: DataFrame, *keys: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.schemas import HTML_BYTES, LEASE_SECONDS, LIVE_SECONDS
+from folioflow.sources.scratch import ship
 
 
 def runnable(jobs: DataFrame, items: DataFrame, now: Column) -> DataFrame:
@@ -118,3 +122,55 @@ def uncached(wanted: DataFrame, results: DataFrame) -> DataFrame:
     """Stage inputs without a stored result of the same input hash, model and prompt version."""
     keys = ["item_id", "stage", "input_hash", "model", "prompt_version"]
     return wanted.join(results.select(keys).distinct(), keys, "left_anti")
+
+
+# Seconds between the starts of calls, calls of a provider in a UTC day.
+SPACING, DAILY = 15, 30
+
+
+class Turn:
+    """Where a provider's schedule stands: its last start and end (microseconds), and the calls started on that UTC day."""
+
+    DAY = 86_400_000_000
+
+    def __init__(self, start: int = 0, end: int = 0, n: int = 0):
+        self.start, self.end, self.n = start, end, n
+
+    def next(self, at: int, took: int, spacing: int, cap: int) -> int:
+        """The start of a call that was asked for at this time and takes so long: one at a time, spaced, the rest of a full day on the next."""
+        if self.n:
+            at = max(at, self.start + spacing, self.end)
+            if at // self.DAY == self.start // self.DAY and self.n >= cap:
+                at = (at // self.DAY + 1) * self.DAY
+        self.n = self.n + 1 if self.n and at // self.DAY == self.start // self.DAY else 1
+        self.start, self.end = at, at + took
+        return at
+
+
+def schedule(requests: DataFrame, spacing: int = SPACING, cap: int = DAILY) -> DataFrame:
+    """id, provider, at, starts of requests (id, provider, at, took_s): when each call may start.
+
+    A provider makes one call at a time, starts are `spacing` seconds apart, and at most `cap`
+    are on one UTC day; what doesn't fit waits, first come first served (ties by id). A null
+    took_s is none. Each start depends on the one before, so a provider's requests are one
+    after another in one task; they stream by in sorted order with a state of three numbers,
+    and are never held. Requests without a time or a provider are left out.
+    """
+    ship(requests.sparkSession)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    given = requests.where("at is not null and provider is not null").select("id", "provider", micros("at").alias("at"), (F.coalesce("took_s", F.lit(0)) * 1_000_000).cast("long").alias("took"))
+    ordered = given.repartition("provider").sortWithinPartitions("provider", "at", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider, turn = None, Turn()
+        for rows in batches:
+            starts = []
+            for of, at, took in zip(rows["provider"].tolist(), rows["at"].tolist(), rows["took"].tolist(), strict=True):
+                if of != provider:
+                    provider, turn = of, Turn()
+                starts.append(turn.next(at, took, spacing * 1_000_000, cap))
+            yield pd.DataFrame({"id": rows["id"], "provider": rows["provider"], "at": rows["at"], "starts": starts})
+
+    kinds = dict(ordered.dtypes)
+    out = ordered.mapInPandas(run, f"id {kinds['id']}, provider {kinds['provider']}, at long, starts long")
+    return out.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("at", "starts")})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import aspect, like_anywhere
-from folioflow.schemas import PAGE_DEFAULT, PAGE_MAX, SETTLED_STATUSES, SNIPPET_CHARS, TAG_FACETS
+from folioflow.schemas import MATCH_CHARS, PAGE_DEFAULT, PAGE_MAX, SETTLED_STATUSES, SNIPPET_CHARS, TAG_FACETS
 
 
 def keyword_search(items: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
@@ -127,14 +127,16 @@ def item_projection(items: DataFrame, revisions: DataFrame, mentions: DataFrame,
     )
 
 
-def first_match(chunks: DataFrame, query: str) -> DataFrame:
-    """Each item's first chunk that matches."""
+def first_match(chunks: DataFrame, query: str, *more: str) -> DataFrame:
+    """Each item's first chunk that matches, with more of its columns if named."""
     hits = chunks.where(like_anywhere(F.col("body"), query))
-    return hits.groupBy("item_id").agg(F.min_by("body", "seq").alias("body"), F.min("seq").cast("long").alias("seq"))
+    return hits.groupBy("item_id").agg(F.min_by("body", "seq").alias("body"), F.min("seq").cast("long").alias("seq"), *[F.min_by(c, "seq").alias(c) for c in more])
 
 
 def snippets(items: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
-    """id, title, snippet of items found: the start of the first matching chunk, else of the description."""
-    match = first_match(chunks, query)
-    found = _found(items, match.select("item_id"), query).join(match.select(F.col("item_id").alias("id"), "body"), "id", "left")
-    return found.select("id", "title", F.left(F.coalesce("body", "description"), F.lit(SNIPPET_CHARS)).alias("snippet"))
+    """id, title, snippet, evidence of items found: the start of the first matching chunk and the first evidence id it cites, else the start of the description and null."""
+    has = "evidence_ids_json" in chunks.columns
+    match = first_match(chunks, query, *(["evidence_ids_json"] if has else []))
+    cited = F.get(F.from_json("evidence_ids_json", "array<string>"), 0) if has else F.lit(None).cast("string")
+    found = _found(items, match.select("item_id"), query).join(match.select(F.col("item_id").alias("id"), "body", cited.alias("evidence")), "id", "left")
+    return found.select("id", "title", F.when(F.col("body").isNotNull(), F.left("body", F.lit(MATCH_CHARS))).otherwise(F.left("description", F.lit(SNIPPET_CHARS))).alias("snippet"), "evidence")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import hamming
+from folioflow.operators.chains import groups
+from folioflow.sources.scratch import written
 
 # Frames a second up to and beyond this length, bits by which frames are alike, frames kept, batch size, batches, time around a moment.
 SHORT_MS, FAST_MS, SLOW_MS, ALIKE, FRAMES, EVEN, NEAR, BATCH, CALLS, AROUND_MS = 180_000, 500, 2_000, 4, 32, 8, 12, 8, 4, 8_000
@@ -24,6 +26,52 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("change", change).where(F.col("change") > ALIKE)
 
 
+#: Bits of a hash, and hashes that may share a band before it is cut further.
+BITS, CROWD = 64, 512
+
+
+def _bands(n: int, count: int) -> list[tuple[int, int]]:
+    """The first bit and the number of bits of `count` bands of n bits."""
+    cuts = [n * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _cut(hash_: Column, first: int, size: int) -> Column:
+    return F.shiftrightunsigned(hash_, first).bitwiseAND(F.lit((1 << size) - 1))
+
+
+def alike_pairs(hashes: DataFrame, most: int = ALIKE) -> DataFrame:
+    """hash, other, bits: all pairs of distinct hashes (hash) that differ in at most so many bits, the smaller first.
+
+    Of most + 1 bands two such hashes have one in common, so only hashes that share a band
+    are compared. Where more than CROWD hashes share one, the other bits are cut into
+    most + 1 bands in turn, of which again one must be common.
+    """
+    own = hashes.select("hash").where("hash is not null").distinct()
+    bands = _bands(BITS, most + 1)
+    keyed = own.select("hash", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _cut(F.col("hash"), *at).alias("value")) for k, at in enumerate(bands)])).alias("b")).select("hash", "b.*")
+    keyed = written(keyed, "bands")
+    crowded = keyed.groupBy("band", "value").count().where(F.col("count") > CROWD).select("band", "value", F.lit(True).alias("crowded"))
+    marked = keyed.join(crowded, ["band", "value"], "left")
+    nothing = F.array(F.struct(F.lit(-1).alias("inner"), F.lit(0).cast("long").alias("rest")))
+    # the bits without the band's, moved together
+    rest = F.coalesce(*[F.when(F.col("band") == k, F.shiftleft(F.shiftrightunsigned("hash", at + n) if at + n < BITS else F.lit(0).cast("long"), at).bitwiseOR(_cut(F.col("hash"), 0, at))) for k, (at, n) in enumerate(bands)])
+    inner = lambda n: F.array(*[F.struct(F.lit(k).alias("inner"), _cut(F.col("left_bits"), *at).alias("rest")) for k, at in enumerate(_bands(BITS - n, most + 1))])
+    finer = F.coalesce(*[F.when(F.col("band") == k, inner(n)) for k, (_, n) in enumerate(bands)])
+    keys = marked.withColumn("left_bits", rest).withColumn("k", F.explode(F.when(F.col("crowded"), finer).otherwise(nothing))).select("hash", "band", "value", "k.inner", "k.rest")
+    pairs = keys.join(keys.withColumnRenamed("hash", "other"), ["band", "value", "inner", "rest"]).where("hash < other")
+    return pairs.select("hash", "other", hamming(F.col("hash"), F.col("other")).cast("long").alias("bits")).where(F.col("bits") <= most).distinct()
+
+
+def alike_classes(hashes: DataFrame, most: int = ALIKE) -> DataFrame:
+    """id, hash, class, n_alike of hashes (id, hash): class is the smallest hash that alike hashes lead to, n_alike the number of other hashes that are alike. A null hash is alike to nothing."""
+    pairs = written(alike_pairs(hashes, most), "alike")
+    of = groups(pairs.select(F.col("hash").alias("id"), "other")).withColumnsRenamed({"id": "hash", "group": "class"})
+    ends = pairs.select("hash").unionByName(pairs.select(F.col("other").alias("hash"))).groupBy("hash").agg(F.count("*").alias("n_alike"))
+    found = hashes.join(of, "hash", "left").join(ends, "hash", "left")
+    return found.select("id", "hash", F.coalesce("class", "hash").alias("class"), F.coalesce("n_alike", F.lit(0)).cast("long").alias("n_alike"))
+
+
 def select_frames(frames: DataFrame, moments: DataFrame, most: int = FRAMES) -> DataFrame:
     """item_id, at_ms, pick: up to `most` frames of each item, of frames (item_id, at_ms, change).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import page_text, page_title
+from folioflow.functions.pagetext import page_text
+from folioflow.functions.text import page_title
 from folioflow.operators.state import upsert
 from folioflow.schemas import TEXT_CHARS
 

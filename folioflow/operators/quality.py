@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import detail
+from folioflow.operators.library import latest_revision
 from folioflow.schemas import ENTRY_LIMITS, ITEM_STATUSES, LIST_LIMITS, TEXT_LIMITS
+from folioflow.sources.scratch import written
 
-#: Characters by which a passage without inner words is looked for.
-SHORT = 3
+#: White space that parts words, characters that a passage without inner words is looked for by at most, anchors of a passage, places of the filter of candidates.
+BLANKS, SHORT, ANCHORS, PLACES = r"[ \t-\r]+", 3, 3, 1 << 18
 
 
 def literal_occurrence(texts: DataFrame, passages: DataFrame) -> DataFrame:
-    """item_id, passage_id: which texts hold which passages literally. Null passages are in none.
-
-    White space parts a passage's inner words from their neighbours, so a text that
-    holds the passage has its longest inner word as a word of its own: an equi-join on
-    that word finds the pairs to compare. Passages without an inner word, if there are
-    some, are found by their first characters, SHORT at most, which are characters in a
-    row of the text.
+    """item_id, passage_id: which texts hold which passages literally. Null texts and passages are in none; an empty passage is in all others.
+
+    White space parts a passage's inner words from their neighbours, so a text that holds the
+    passage has these as words of its own, in their order. The rarest ones, by the number of
+    texts that have them, are the passage's anchors; a text is a candidate where all of a
+    passage's anchors stand at their distances. Passages without an inner word are found by
+    their first characters, SHORT at most, in the same way. Only then texts are read for the
+    comparison, those of candidates: a filter of fixed size (PLACES) leaves most others out
+    before anything is shuffled, so texts move for candidates only.
     """
-    words = F.split("excerpt", r"\s+")
-    parted = passages.where("excerpt is not null").select(F.col("id").alias("passage_id"), "excerpt", F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2)).alias("inner"))
-    longest = F.try_element_at(F.sort_array(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
-    parted = parted.select("passage_id", "excerpt", F.nullif(longest, F.lit("")).alias("key"))
-    pieces = [(parted.where("key is not null"), F.array_distinct(F.split("body", r"\s+")))]
-    short = parted.where("key is null").withColumn("key", F.left("excerpt", F.lit(SHORT)))
-    if short.limit(1).count():
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("body")))
-        grams = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.col("body"), i, F.lit(k)) for k in range(SHORT + 1)])))
-        pieces.append((short, F.array_distinct(grams)))
-    found = [texts.select("item_id", "body", F.explode(keys).alias("key")).join(keyed, "key").where(F.contains("body", "excerpt")) for keyed, keys in pieces]
-    return reduce(DataFrame.unionByName, found).select("item_id", "passage_id").distinct()
+    texts, passages = texts.where("body is not null").select("item_id", "body"), passages.where("excerpt is not null").select(F.col("id").alias("passage_id"), "excerpt")
+    words = F.split("excerpt", BLANKS)
+    inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
+    long = passages.withColumn("inner", inner).where("size(inner) > 0")
+    wanted = written(long.select("passage_id", F.posexplode("inner").alias("offset", "key")), "wanted")
+    said = texts.select("item_id", F.posexplode(F.split("body", BLANKS)).alias("place", "key"))
+    candidates = _anchored(said, wanted)
+    short = passages.where(F.size(inner) == 0).select("passage_id", F.left("excerpt", F.lit(SHORT)).alias("key"))
+    # texts are cut into characters only if there are such passages: at most a row is broadcast
+    some = short.limit(1).select(F.lit(1).alias("one"))
+    cut = texts.withColumn("one", F.lit(1)).join(F.broadcast(some), "one", "left_semi").select("item_id", F.split("body", "").alias("c"))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("c"))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(SHORT)), lambda n: F.array_join(F.slice("c", i, n), ""))))))
+    candidates = candidates.unionByName(cut.select("item_id", F.explode(grams).alias("key")).join(short, "key").select("item_id", "passage_id"))
+    candidates = written(candidates.distinct(), "candidates")
+    place = F.pmod(F.xxhash64("item_id"), F.lit(PLACES)).cast("int")
+    near = candidates.select(place.alias("at")).distinct()  # PLACES rows at most
+    read = texts.withColumn("at", place).join(F.broadcast(near), "at", "left_semi").drop("at")
+    pairs = candidates.join(passages, "passage_id").join(read, "item_id")
+    return pairs.where(F.contains("body", "excerpt")).select("item_id", "passage_id").distinct()
+
+
+def _anchored(said: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item_id, passage_id where a text's words (item_id, place, key) have a passage's rarest words (passage_id, offset, key) at their distances."""
+    heard = said.join(wanted.select("key").distinct(), "key", "left_semi")
+    frequency = heard.select("item_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    # a word that no text has: the passage is in none
+    rare = wanted.join(frequency, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = Window.partitionBy("passage_id").orderBy("n", F.desc(F.length("key")), "offset")
+    anchors = rare.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= ANCHORS).withColumn("least", F.min("n").over(Window.partitionBy("passage_id"))).where("least > 0")
+    anchors = anchors.withColumn("n_anchors", F.count("*").over(Window.partitionBy("passage_id"))).select("passage_id", "offset", "key", "n_anchors")
+    hits = said.join(anchors, "key").groupBy("passage_id", "n_anchors", "item_id", (F.col("place") - F.col("offset")).alias("start")).agg(F.count("*").alias("found"))
+    return hits.where("found = n_anchors").select("item_id", "passage_id").distinct()
 
 
 def dangling(citations: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -41,23 +64,41 @@ def dangling(citations: DataFrame, evidence: DataFrame) -> DataFrame:
     return citations.join(evidence.select("item_id", F.col("id").alias("evidence_id")), ["item_id", "evidence_id"], "left_anti")
 
 
-def contract_rules() -> dict[str, Column]:
-    """Rules of an item's detail (of detail.nested), by what they are about."""
-    rules = {name: F.size(name) <= most for name, most in LIST_LIMITS.items()}
-    rules |= {name: F.length(F.coalesce(name, F.lit(""))) <= most for name, most in TEXT_LIMITS.items()}
-    for place, most in ENTRY_LIMITS.items():
-        column, _, field = place.partition("[]")
-        rules[place] = F.forall(column, _within(field.removeprefix("."), most))
-    return rules | {"status": F.col("status").isin(*ITEM_STATUSES), "bytes": F.coalesce(F.col("bytes") >= 0, F.lit(True))}
-
+def _measured(rows: DataFrame, name: str, text: str | None = None) -> DataFrame:
+    """Of each item's rows how many there are and how long the longest text is; nothing is collected."""
+    longest = F.max(F.length(text)) if text else F.lit(0)
+    return rows.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias(f"n_{name}"), longest.cast("long").alias(f"longest_{name}"))
 
-def rules_for(columns: list[str]) -> dict[str, Column]:
-    """The rules about columns that there are."""
-    return {name: rule for name, rule in contract_rules().items() if name.partition("[]")[0] in columns}
 
+def contract_breaches(items: DataFrame, revisions: DataFrame, notes: DataFrame, **lists: DataFrame) -> DataFrame:
+    """id, broken: the items whose detail breaks the contract and the names of the rules, in their order.
 
-def _within(field: str, most: int):
-    return lambda entry: F.coalesce(F.length(entry[field] if field else entry) <= most, F.lit(True))
+    lists: rows with item_id by the names of LIST_LIMITS (whole lists, not what a detail
+    shows), and the text that ENTRY_LIMITS limits in a column named as there, or `text`.
+    A list is refused for its length or an entry's; of the transcript the first entries count.
+    """
+    latest = latest_revision(revisions, "title", "summary", "key_points_json")
+    points = detail.decoded_points(F.col("key_points_json"))
+    longest_point = F.array_max(F.transform(points, lambda p: F.length(p["text"]))).cast("long")
+    latest = latest.select(F.col("item_id").alias("id"), F.col("title").alias("new_title"), F.col("summary").alias("new_summary"), F.size(points).cast("long").alias("n_key_points"), longest_point.alias("longest_key_points"))
+    rows = items.withColumn("bytes", F.col("bytes") if "bytes" in items.columns else F.lit(None).cast("long")).join(latest, "id", "left").join(notes.select(F.col("item_id").alias("id"), F.col("body").alias("note")), "id", "left")
+    rows = rows.withColumns({"title": F.coalesce("new_title", "title"), "summary": F.coalesce("new_summary", "description")})
+    texts = {place.partition("[]")[0]: place.partition("[]")[2].removeprefix(".") or "text" for place in ENTRY_LIMITS}
+    for name, of_list in lists.items():
+        if name == "transcript":
+            of_list = detail.transcript_head(of_list)
+        rows = rows.join(_measured(of_list, name, texts.get(name) if texts.get(name) in of_list.columns else None), "id", "left")
+    broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in contract_rules({*lists, "key_points"}, rows.columns).items()]
+    return rows.select("id", F.array_compact(F.array(*broken)).alias("broken")).where(F.size("broken") > 0)
+
+
+def contract_rules(lists: set[str], columns: list[str]) -> dict[str, Column]:
+    """Rules of measured items, by what they are about: lengths of lists, of texts, of lists' entries, and the domains of columns."""
+    zero = F.lit(0)
+    rules = {name: F.coalesce(f"n_{name}", zero) <= most for name, most in LIST_LIMITS.items() if name in lists}
+    rules |= {name: F.length(F.coalesce(name, F.lit(""))) <= most for name, most in TEXT_LIMITS.items() if name in columns}
+    rules |= {place: F.coalesce(f"longest_{place.partition('[]')[0]}", zero) <= most for place, most in ENTRY_LIMITS.items() if place.partition("[]")[0] in lists}
+    return rules | {"status": F.col("status").isin(*ITEM_STATUSES), "bytes": F.coalesce(F.col("bytes") >= 0, F.lit(True))}
 
 
 def storage_by_role(assets: DataFrame) -> DataFrame:

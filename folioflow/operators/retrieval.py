@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import LOWER, UPPER, ascii_lower, literal
 from folioflow.functions.vectors import dot, norm
+from folioflow.sources.scratch import ship
 
 # Chunk size and overlap in words, BM25's constants, ranks taken, fusion's constant.
 CHUNK_WORDS, OVERLAP, K1, B, TOP, RRF = 220, 40, 1.2, 0.75, 50, 60
@@ -27,6 +33,70 @@ def chunk(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> D
     return parts.select("item_id", F.col("seq").cast("long").alias("seq"), F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("body"))
 
 
+#: White space and words, and what ends a sentence, of packed chunks.
+WORD, ENDS = r"[\t-\r ]*([^\t-\r ]+)", ".!?"
+#: Characters of a piece of text in which chunks and evidence meet.
+PIECE = 2048
+
+
+def pack(text: str, size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """Chunks of a text as (start, end, words): runs of at most `size` words that end where a sentence does.
+
+    A sentence ends with a word that ends with one of ENDS. A chunk without such a word, but
+    for the text's last, is cut at `size` words. The next chunk begins with the first sentence
+    among the last `overlap` words, if one begins there, else after the chunk.
+    """
+    words = [m.span(1) for m in re.finditer(WORD, text)]
+    after = [k + 1 for k, (_, b) in enumerate(words) if text[b - 1] in ENDS]  # words up to each sentence's end
+    out, first = [], 0
+    while first < len(words):
+        last = min(first + size, len(words))
+        if last < len(words):
+            k = bisect_right(after, last)
+            if k and after[k - 1] > first:
+                last = after[k - 1]
+        out.append((words[first][0], words[last - 1][1], last - first))
+        if last == len(words):
+            break
+        k = bisect_left(after, max(first + 1, last - overlap))
+        first = after[k] if k < len(after) and after[k] < last else last
+    return out
+
+
+def packed_chunks(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLAP) -> DataFrame:
+    """item_id, seq, start, end, n_words, body: chunks of docs (item_id, body) by pack(), places in code points; a text without words has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, text in enumerate(batch.column("body").to_pylist()):
+                for seq, (a, b, n) in enumerate(pack(text or "", size, overlap)):
+                    at.append(k)
+                    rows.append((seq, a, b, n, text[a:b]))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(at, pa.int64())), *columns], ["item_id", "seq", "start", "end", "n_words", "body"])
+
+    ship(docs.sparkSession)
+    given = docs.select("item_id", "body")
+    return given.mapInArrow(run, f"item_id {dict(given.dtypes)['item_id']}, seq long, start long, end long, n_words long, body string")
+
+
+def with_evidence(chunks: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Chunks with evidence_ids: the ids, sorted, of their item's evidence (item_id, id, start, end) whose characters overlap the chunk's.
+
+    Both are dealt to the pieces of text that they touch, so a chunk meets the evidence near it
+    only; a pair counts in the first piece that both touch. Evidence of no character is none.
+    """
+    piece = lambda at: F.floor(at / PIECE).cast("long")
+    cut = lambda rows, name: rows.withColumn(name, piece(F.col("start"))).withColumn("piece", F.explode(F.sequence(F.col(name), piece(F.col("end") - 1))))
+    held = cut(evidence.where("end > start").select("item_id", "id", "start", "end"), "first").withColumnsRenamed({"start": "low", "end": "high"})
+    asked = cut(chunks.select("item_id", "seq", "start", "end"), "begins")
+    near = (F.col("low") < F.col("end")) & (F.col("high") > F.col("start")) & (F.col("piece") == F.greatest("first", "begins"))
+    found = asked.join(held, ["item_id", "piece"]).where(near).groupBy("item_id", "seq").agg(F.array_sort(F.collect_set("id")).alias("evidence_ids"))
+    none = F.array().cast(found.schema["evidence_ids"].dataType)
+    return chunks.join(found, ["item_id", "seq"], "left").withColumn("evidence_ids", F.coalesce("evidence_ids", none))
+
+
 def term_counts(chunks: DataFrame) -> DataFrame:
     """id, term, tf: the inverted index."""
     return chunks.select("id", F.explode(words(F.coalesce("body", F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -40,17 +110,17 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return lengths(chunks).agg(F.count("*").alias("n_chunks"), F.sum("n_words").alias("n_words"), F.round(F.avg("n_words"), 6).alias("avg_words"))
 
 
-def _lowered(query: list[str]) -> list[str]:
+def lowered(query: list[str]) -> list[str]:
     return sorted({q.translate(str.maketrans(UPPER, LOWER)) for q in query})
 
 
-def _score(tf: Column, size: Column, df: Column, n: Column, mean: Column) -> Column:
+def term_score(tf: Column, size: Column, df: Column, n: Column, mean: Column) -> Column:
     """What a word adds to the score of a chunk of `size` words."""
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
 
 
-def _best(scored: DataFrame, top: int) -> DataFrame:
+def best_rows(scored: DataFrame, top: int) -> DataFrame:
     best = scored.select("id", F.round("score", 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(top)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
@@ -61,15 +131,15 @@ def bm25(chunks: DataFrame, query: list[str], top: int = TOP) -> DataFrame:
     Only the query's words are counted in a chunk, so nothing but those counts moves;
     the corpus's size and length are one row. For many queries, store an index and use bm25_of().
     """
-    query = _lowered(query)
+    query = lowered(query)
     text, inner = F.coalesce("body", F.lit("")), r"[\p{L}\p{N}]"
     # the word first and its neighbours then: few places are looked at twice
     counts = [F.regexp_count(text, F.lit(f"(?i){literal(q)}(?<!{inner}{literal(q)})(?!{inner})")).alias(f"tf_{k}") for k, q in enumerate(query)]
     # both uses read the counts from one exchange, so each text is read once
     counted = chunks.select("id", F.regexp_count(text, F.lit(f"{inner}++")).alias("size"), *counts).repartition("id")
     stats = counted.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(query))])
-    parts = [_score(F.col(f"tf_{k}").cast("double"), F.col("size"), F.col(f"df_{k}"), F.col("n"), F.col("mean")) for k in range(len(query))]
-    return _best(counted.join(F.broadcast(stats)).withColumn("score", sum(parts, F.lit(0.0))), top)
+    parts = [term_score(F.col(f"tf_{k}").cast("double"), F.col("size"), F.col(f"df_{k}"), F.col("n"), F.col("mean")) for k in range(len(query))]
+    return best_rows(counted.join(F.broadcast(stats)).withColumn("score", sum(parts, F.lit(0.0))), top)
 
 
 def store_index(chunks: DataFrame, path: str) -> None:
@@ -78,7 +148,8 @@ def store_index(chunks: DataFrame, path: str) -> None:
     word, and the corpus's size and mean length."""
     listed = chunks.select("id", words(F.coalesce("body", F.lit(""))).alias("w"))
     terms = listed.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    terms.withColumn("part", _part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/terms")
+    # a frequent word's rows are split among tasks by their size
+    terms.withColumn("part", _part(F.col("term"))).hint("rebalance", "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/terms")
     listed.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean")).write.parquet(f"{path}/stats")
 
 
@@ -89,7 +160,7 @@ def _part(term: Column) -> Column:
 def bm25_of(spark: SparkSession, path: str, query: list[str], top: int = TOP) -> DataFrame:
     """id, score, rank as bm25() gives, from a stored index: only the folders of the query's
     words are read, and in them only the row groups that have these words."""
-    query = _lowered(query)
+    query = lowered(query)
     wanted = spark.createDataFrame([(q,) for q in query], "term string").select(_part(F.col("term"))).distinct()
     parts = [r[0] for r in wanted.collect()]  # as many as the query has words, at most
     schema = "id string, term string, tf bigint, size int, part int"
@@ -97,8 +168,8 @@ def bm25_of(spark: SparkSession, path: str, query: list[str], top: int = TOP) ->
     found = found.where(F.col("part").isin(*parts) & F.col("term").isin(*query))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     scored = found.join(F.broadcast(df), "term").join(F.broadcast(spark.read.parquet(f"{path}/stats")))
-    scored = scored.withColumn("part_score", _score(F.col("tf").cast("double"), F.col("size"), F.col("df"), F.col("n"), F.col("mean")))
-    return _best(scored.groupBy("id").agg(F.sum("part_score").alias("score")), top)
+    scored = scored.withColumn("part_score", term_score(F.col("tf").cast("double"), F.col("size"), F.col("df"), F.col("n"), F.col("mean")))
+    return best_rows(scored.groupBy("id").agg(F.sum("part_score").alias("score")), top)
 
 
 def nearest(vectors: DataFrame, query: list[float], top: int = TOP, exclude: int | None = None) -> DataFrame:

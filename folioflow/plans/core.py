@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions import text, urls
+from folioflow.functions import pagetext, text, urls
 from folioflow.functions.vectors import difference_hash
-from folioflow.operators import detail, graph, ingest, jobs, library, media, pages, quality, retrieval, state
+from folioflow.operators import chains, detail, graph, ingest, jobs, library, media, pages, quality, retrieval, state
 from folioflow.plans.links import expected_sql, links
 from folioflow.sources import demo
-from folioflow.sources.adapters import NOW, PLATFORM_DOMAIN, entity, with_entities
-from folioflow.sources.catalog import Catalog, check_rows, shared_dir
+from folioflow.sources.adapters import NOW, entity, with_entities
+from folioflow.sources.catalog import Catalog
+from folioflow.sources.scratch import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -211,7 +211,7 @@ def first_match_snippet(spark, d):
     return library.first_match(entity(spark, d, "chunks"), KEYWORD)
 
 
-@query("search_snippets", f"SELECT id, title, left(coalesce((SELECT arg_min(body, seq) FROM chunks_ c WHERE c.item_id = i.id AND {_has('c.body')}), description), 240) AS snippet FROM items_ i WHERE {_FOUND}", "items", "chunks")
+@query("search_snippets", f"SELECT id, title, coalesce(left(m.body, 500), left(description, 240)) AS snippet, CASE WHEN m.item_id % 9 > 0 THEN 'description:' || m.item_id END AS evidence FROM items_ i LEFT JOIN (SELECT item_id, arg_min(body, seq) AS body FROM chunks_ c WHERE {_has('c.body')} GROUP BY 1) m ON m.item_id = i.id WHERE {_FOUND}", "items", "chunks")
 def search_snippets(spark, d):
     return library.snippets(entity(spark, d, "items"), entity(spark, d, "chunks"), KEYWORD)
 
@@ -229,12 +229,12 @@ def item_websites(spark, d):
     return detail.item_websites(entity(spark, d, "mentions"), entity(spark, d, "websites"))
 
 
-@query("item_collections", "SELECT m.item_id, row_number() OVER (PARTITION BY m.item_id ORDER BY c.name, c.id) AS place, c.name FROM collection_items_ m JOIN collections_ c ON c.id = m.collection_id QUALIFY place <= 30", "collections", "collection_items")
+@query("item_collections", "SELECT m.item_id, row_number() OVER (PARTITION BY m.item_id ORDER BY c.name, c.id) AS place, c.name FROM collection_items_ m JOIN collections_ c ON c.id = m.collection_id", "collections", "collection_items")
 def item_collections(spark, d):
     return detail.item_collections(entity(spark, d, "collections"), entity(spark, d, "collection_items"))
 
 
-@query("item_captures", "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY timestamp_ms NULLS FIRST, id) AS place, id, timestamp_ms FROM assets_ WHERE role = 'capture' QUALIFY place <= 32", "assets")
+@query("item_captures", "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY timestamp_ms NULLS FIRST, id) AS place, id, timestamp_ms FROM assets_ WHERE role = 'capture'", "assets")
 def item_captures(spark, d):
     return detail.item_captures(entity(spark, d, "assets"))
 
@@ -292,12 +292,12 @@ _FLAT_SQL = """,
         coalesce('point ' || r.revision || '|description:' || i.id, '') AS key_points
       FROM items_ i LEFT JOIN last r ON r.item_id = i.id LEFT JOIN notes_ n ON n.item_id = i.id
       LEFT JOIN (SELECT item_id, string_agg(name, ',' ORDER BY place) AS names FROM (SELECT m.item_id, coalesce(w.name, m.unresolved_name) AS name,
-            row_number() OVER (PARTITION BY m.item_id ORDER BY m.seq, m.website_id NULLS FIRST) AS place FROM mentions_ m LEFT JOIN websites_ w ON w.id = m.website_id) WHERE place <= 20 GROUP BY 1) s ON s.item_id = i.id)
+            row_number() OVER (PARTITION BY m.item_id ORDER BY m.seq, m.website_id NULLS FIRST) AS place FROM mentions_ m LEFT JOIN websites_ w ON w.id = m.website_id) GROUP BY 1) s ON s.item_id = i.id)
 """
 
 
-def _then_flat(sql: str) -> str:
-    return with_entities("{{}}", *_NESTED).replace(" {{}}", f"{_FLAT_SQL} {sql}")
+def _then_flat(sql: str, *more: str) -> str:
+    return with_entities("{{}}", *_NESTED, *more).replace(" {{}}", f"{_FLAT_SQL} {sql}")
 
 
 @query("item_detail_nested", _then_flat("SELECT * FROM flat"))
@@ -315,11 +315,17 @@ def export_item_json(spark, d):
     "export_item_markdown",
     _then_flat(
         "SELECT id, concat_ws(chr(10) || chr(10), '# ' || title, summary, 'Tags: ' || replace(tags, ',', ', '), CASE WHEN key_points <> '' THEN '- ' || replace(key_points, '|', ' [') || ']' END, nullif(note, ''), "
-        "(SELECT string_agg('> ' || excerpt || ' (' || e.id || ')', chr(10) ORDER BY seq) FROM evidence_ e WHERE e.item_id = flat.id)) AS markdown FROM flat"
+        "(SELECT string_agg('> ' || excerpt || ' (' || e.id || ')', chr(10) ORDER BY seq) FROM evidence_ e WHERE e.item_id = flat.id), "
+        "shots.images) AS markdown FROM flat LEFT JOIN (SELECT item_id, string_agg('![' || CASE WHEN timestamp_ms IS NULL THEN 'Capture from source' ELSE 'Capture from ' || floor(timestamp_ms / 1000.0 + 0.5)::BIGINT || ' seconds' END || '](/api/assets/' || id || ')', chr(10) "
+        "ORDER BY timestamp_ms NULLS FIRST, id) AS images FROM assets_ WHERE role = 'capture' GROUP BY 1) shots ON shots.item_id = flat.id",
+        "assets",
     ),
 )
 def export_item_markdown(spark, d):
-    return detail.as_markdown(_nested(spark, d))
+    assets = entity(spark, d, "assets").where("role = 'capture'").withColumn("path", F.col("id").cast("string"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("timestamp_ms").asc_nulls_first(), "id"))
+    labels = detail.capture_labels(assets, "item_id", "timestamp_ms").withColumn("place", place)
+    return detail.as_markdown(_nested(spark, d), labels)
 
 
 @query("compact_projection", _then_flat("SELECT id, title, left(summary, 240) AS snippet, websites, tags FROM flat"))
@@ -330,7 +336,7 @@ def compact_projection(spark, d):
 # ---- ingest
 
 
-def _links(spark, d):
+def all_links(spark, d):
     """All pages' links after those of the list, which are numbered below zero."""
     pages = _pages(spark, d).select(F.col("page_id").alias("place"), "url")
     return spark.createDataFrame(links(), "place bigint, url string").unionByName(pages)
@@ -359,7 +365,7 @@ admitted AS ({expected_sql()} UNION ALL SELECT place, url, split_part(url, '/',
 
 
 def _admitted(spark, d):
-    return ingest.admit(_links(spark, d))
+    return ingest.admit(all_links(spark, d))
 
 
 @query("url_validation", _ADMIT + "SELECT place, url, reject_reason FROM admitted")
@@ -384,7 +390,7 @@ def platform_id_extract(spark, d):
 
 @query("private_host_filter", _ADMIT + f"SELECT place, host FROM admitted WHERE reject_reason = '{urls.PRIVATE}'")
 def private_host_filter(spark, d):
-    return urls.with_parts(_links(spark, d)).where("parts.private").select("place", F.col("parts.host").alias("host"))
+    return urls.with_parts(all_links(spark, d)).where("parts.private").select("place", F.col("parts.host").alias("host"))
 
 
 @query("page_urls", _ADMIT + "SELECT place AS page_id, canonical_url FROM admitted WHERE place >= 0")
@@ -394,7 +400,7 @@ def page_urls(spark, d):
 
 @query("host_counts", _ADMIT + "SELECT host, count(*) AS n FROM admitted GROUP BY 1")
 def host_counts(spark, d):
-    return ingest.host_counts(_links(spark, d))
+    return ingest.host_counts(all_links(spark, d))
 
 
 @query("website_merge", _ADMIT + "SELECT host, count(DISTINCT canonical_url) AS n_urls, count(*) AS mentions, min(canonical_url) AS first_url FROM admitted WHERE reject_reason IS NULL GROUP BY 1")
@@ -402,6 +408,11 @@ def website_merge(spark, d):
     return graph.merge_websites(_admitted(spark, d).where("reject_reason is null").select("host", F.col("canonical_url").alias("url")))
 
 
+@query("website_paths", _ADMIT + "SELECT host, canonical_url AS url, count(*) AS mentions, count(*) OVER (PARTITION BY host) AS n_urls FROM admitted WHERE reject_reason IS NULL GROUP BY 1, 2")
+def website_paths(spark, d):
+    return graph.website_paths(_admitted(spark, d).where("reject_reason is null").select("host", F.col("canonical_url").alias("url")))
+
+
 _KEYED = _ADMIT + """, keyed AS (SELECT *, CASE WHEN platform_id IS NOT NULL THEN platform || ':' || platform_id ELSE canonical_url END AS key FROM admitted),
 old AS (SELECT DISTINCT key FROM keyed WHERE abs(place) % 9 = 1 AND key IS NOT NULL),
 done AS (SELECT k.*, CASE WHEN reject_reason IS NOT NULL THEN 'rejected' WHEN o.key IS NOT NULL OR row_number() OVER (PARTITION BY k.key ORDER BY place) > 1 THEN 'existing' ELSE 'created' END AS outcome FROM keyed k LEFT JOIN old o ON k.key = o.key)
@@ -474,6 +485,34 @@ def tag_merge(spark, d):
     return ingest.merge_tags(entity(spark, d, "item_tags"), spark.createDataFrame([("toxic", "flagged"), ("quality", "flagged")], "tag string, into string"))
 
 
+#: Parts' tags and renames that chain, some of them round in threes: 1 -> 2 -> 3 -> 1.
+_RENAMES = "renames AS (SELECT p_partkey AS k, 't' || p_partkey AS tag, 't' || CASE WHEN p_partkey % 50 IN (1, 2) THEN p_partkey + 1 WHEN p_partkey % 50 = 3 THEN p_partkey - 2 ELSE p_partkey * 31 % 199 END AS into_tag FROM part WHERE p_partkey % 5 > 0)"
+_ENDS = f"""WITH RECURSIVE {_RENAMES}, open AS (SELECT tag, into_tag FROM renames WHERE tag <> into_tag),
+    walk AS (SELECT tag, into_tag AS here, [tag] AS path FROM open UNION ALL SELECT w.tag, o.into_tag, list_append(w.path, w.here) FROM walk w JOIN open o ON o.tag = w.here WHERE NOT list_contains(w.path, w.here)),
+    ends AS (SELECT tag, CASE WHEN list_contains(path, here) THEN list_aggregate(path[list_position(path, here):], 'min') ELSE here END AS final, list_contains(path, here) AS is_cycle
+        FROM walk WHERE list_contains(path, here) OR here NOT IN (SELECT tag FROM open))"""
+
+
+def _renames(spark, d):
+    k = F.col("p_partkey")
+    into = F.when((k % 50).isin(1, 2), k + 1).when(k % 50 == 3, k - 2).otherwise(k * 31 % 199)
+    named = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    return spark.read.parquet(f"{d}/part.parquet").where(k % 5 > 0).select(named(k).alias("tag"), named(into).alias("into"))
+
+
+@query("tag_merge_chained", f"{_ENDS} SELECT DISTINCT l_orderkey AS item_id, coalesce(final, t) AS tag FROM (SELECT l_orderkey, 't' || l_partkey AS t FROM lineitem) LEFT JOIN ends ON ends.tag = t")
+def tag_merge_chained(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    links = lines.select(F.col("l_orderkey").alias("item_id"), F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("tag"))
+    return ingest.merge_tags(links, _renames(spark, d))
+
+
+@query("rename_cycles", f"{_ENDS} SELECT tag, final AS cycle FROM ends WHERE is_cycle")
+def rename_cycles(spark, d):
+    """The tags whose renames lead round in a circle, and the circle's name."""
+    return chains.resolve(_renames(spark, d)).where("cycle is not null").select("tag", "cycle")
+
+
 @query("note_upsert", "SELECT item_id, arg_max(body, k) AS body, max(k)::BIGINT AS updated FROM (SELECT conv_id AS item_id, text AS body, turn AS k FROM conversations) GROUP BY 1")
 def note_upsert(spark, d):
     notes = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("item_id"), F.col("text").alias("body"), F.col("turn").alias("updated"))
@@ -533,17 +572,18 @@ def trash_restore(spark, d):
     return state.restore(rows, rows.where("id % 5 = 0").select("id"), _ntz())
 
 
-@query("rename_topics", "SELECT slug, CASE WHEN slug IN ('de', 'fr') THEN 'My ' || label ELSE label END AS label, display_order FROM topics_", "topics")
+@query("rename_topics", "SELECT slug, CASE WHEN n % 2 = 1 THEN 'My ' || label ELSE label END AS label, display_order FROM topics_ LEFT JOIN (SELECT topic, count(*) AS n FROM item_topics_ GROUP BY 1) u ON u.topic = slug", "topics", "item_topics")
 def rename_topics(spark, d):
+    """Topics with an odd number of items get a name of the user's."""
     topics = entity(spark, d, "topics")
-    names = topics.where("slug in ('de', 'fr')").select("slug", F.concat(F.lit("My "), "label").alias("new_name"))
-    return state.rename(topics, names, "slug", "label")
+    odd = entity(spark, d, "item_topics").groupBy(F.col("topic").alias("slug")).agg(F.count("*").alias("n")).where("n % 2 = 1")
+    return state.rename(topics, topics.join(odd, "slug").select("slug", F.concat(F.lit("My "), "label").alias("new_name")), "slug", "label")
 
 
 @query("catalog_reopened", "SELECT id::VARCHAR AS id, CASE WHEN id % 2 = 0 THEN upper(platform) ELSE platform END AS platform, CASE WHEN id % 2 = 0 THEN 'ready' ELSE status END AS status FROM items_", "items")
 def catalog_reopened(spark, d):
     """Items written to a catalog, changed through a second one on the same folder and read through a third."""
-    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    path = new_dir(spark)
     items = entity(spark, d, "items").select(F.col("id").cast("string").alias("id"), "title", "platform", "status", _ntz().alias("created_at"))
     Catalog(spark, path).write("items", items)
     again = Catalog(spark, path)
@@ -552,15 +592,20 @@ def catalog_reopened(spark, d):
     return Catalog(spark, path).read("items").select("id", "platform", "status")
 
 
-@query("demo_catalog", "SELECT * FROM (VALUES ('demo-item-1', 'typography', 'screen,type', 'Letter Library', 0), ('demo-item-2', 'design', 'form', 'Form Notes', 1), ('demo-item-3', 'animation', 'easing,motion', 'Curve Garden', 2), ('demo-item-4', 'learning', 'notes', 'Reading Log', 3)) AS t(id, topic, tags, website, days)")
+_DEMO = "(VALUES ('demo-item-1', 'typography', 'screen,type', 'Letter Library', 0), ('demo-item-2', 'design', 'form', 'Form Notes', 1), ('demo-item-3', 'animation', 'easing,motion', 'Curve Garden', 2), ('demo-item-4', 'learning', 'notes', 'Reading Log', 3)) AS t(id, topic, tags, website, days)"
+
+
+@query("demo_catalog", f"SELECT * FROM {_DEMO} UNION ALL SELECT id::VARCHAR, topic, NULL, NULL, 0 FROM items_ JOIN item_topics_ ON item_id = id", "items", "item_topics")
 def demo_catalog(spark, d):
-    """The demonstration, added twice to a new catalog."""
-    now = datetime(2024, 1, 15)
-    catalog = Catalog(spark, f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}")
+    """The demonstration, added twice to a catalog that holds the documents."""
+    now, text_id = datetime(2024, 1, 15), F.col("id").cast("string")
+    catalog = Catalog(spark, new_dir(spark))
+    catalog.write("items", entity(spark, d, "items").select(text_id.alias("id"), "title", "platform", "status", F.lit(now).alias("created_at")))
+    catalog.write("item_topics", entity(spark, d, "item_topics").select(F.col("item_id").cast("string").alias("item_id"), "topic"))
     demo.seed_demo(catalog, now)
     demo.seed_demo(catalog, now)
     sites = catalog.read("mentions").join(catalog.read("websites").select(F.col("id").alias("website_id"), F.col("name").alias("website")), "website_id").select("item_id", "website")
-    joined = catalog.read("item_topics").join(detail.item_tags(catalog.read("item_tags")), "item_id").join(sites, "item_id").withColumnRenamed("item_id", "id")
+    joined = catalog.read("item_topics").join(detail.item_tags(catalog.read("item_tags")), "item_id", "left").join(sites, "item_id", "left").withColumnRenamed("item_id", "id")
     return catalog.read("items").join(joined, "id").select("id", "topic", "tags", "website", F.date_diff(F.lit(now), "created_at").alias("days"))
 
 
@@ -580,15 +625,30 @@ def unique_violations(spark, d):
     return ingest.unique_violations(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber")
 
 
-_BARE = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), " + "'(?is)" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "nav", "header", "footer", "aside", "form")) + "', ' ', 'g')"
-_SHOWN_HTML = "CASE WHEN regexp_extract(bare, '(?is)<article[^>]*>(.*)</article>', 1) <> '' THEN regexp_extract(bare, '(?is)<article[^>]*>(.*)</article>', 1) ELSE regexp_replace(bare, '(?is)<head\\b.*?</head\\s*>', ' ', 'g') END"
-_PLAIN_TEXT = "trim(regexp_replace(" + "replace(" * 6 + "regexp_replace(shown, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[\\s\\x0B\\x{A0}]+', ' ', 'g'))"
-_TEXTS = f"texts AS (SELECT page_id, html, left({_PLAIN_TEXT}, 60000) AS text FROM (SELECT page_id, html, {_SHOWN_HTML} AS shown FROM (SELECT page_id, html, {_BARE} AS bare FROM pages)))"
+def _pattern(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _plain_sql(html: str) -> str:
+    return f"trim(regexp_replace({'replace(' * 6}regexp_replace({html}, '(?s)<[^>]*(?:>|$)', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[\\s\\x0B\\x{{A0}}]+', ' ', 'g'))"
+
+
+_TEXTS = f"""shown AS (SELECT page_id, regexp_replace(html, {_pattern(pagetext.HIDDEN_PATTERN)}, ' ', 'g') AS html FROM pages),
+    cut AS (SELECT page_id, string_split(regexp_replace(html, {_pattern(pagetext.BLOCK_PATTERN)}, chr(1) || '\\1', 'g'), chr(1)) AS b FROM shown),
+    block AS (SELECT page_id, unnest(b) AS b, unnest(range(len(b))) AS i FROM cut),
+    plain AS (SELECT page_id, b, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k, text FROM (SELECT *, {_plain_sql("b")} AS text FROM block) WHERE text <> ''),
+    scored AS (SELECT *, length(text) - {pagetext.LINK_COST} * length({_plain_sql(f"array_to_string(regexp_extract_all(b, {_pattern(pagetext.LINK_PATTERN)}, 1), ' ')")})
+        - CASE WHEN beside THEN {pagetext.BESIDE_COST} WHEN regexp_matches(b, {_pattern(pagetext.HEADING_PATTERN)}) THEN 0 ELSE {pagetext.BLOCK_COST} END AS score FROM (SELECT *, regexp_matches(b, {_pattern(pagetext.BESIDE_PATTERN)}) AS beside FROM plain)),
+    summed AS (SELECT page_id, k, text, beside, sum(score) OVER w AS upto, sum(score) OVER w - score AS before FROM scored WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+    runs AS (SELECT *, upto - min(before) OVER w AS total, arg_min(k, ROW(before, -k)) OVER w AS start FROM summed WINDOW w AS (PARTITION BY page_id ORDER BY k)),
+    best AS (SELECT page_id, max(total) AS total, arg_min(start, ROW(-total, k)) AS low, arg_min(k, ROW(-total, k)) AS high FROM runs GROUP BY 1),
+    texts AS (SELECT p.page_id, p.html, left(coalesce(t.text, ''), 60000) AS text FROM pages p LEFT JOIN (SELECT r.page_id, string_agg(text, ' ' ORDER BY k) AS text FROM runs r JOIN best b ON b.page_id = r.page_id
+        WHERE CASE WHEN b.total < {pagetext.LEAST} THEN NOT beside ELSE k BETWEEN low AND high END GROUP BY 1) t ON t.page_id = p.page_id)"""
 
 
 @query("extract_page_text", f"WITH {_TEXTS} SELECT page_id, text FROM texts")
 def extract_page_text(spark, d):
-    return _pages(spark, d).select("page_id", text.page_text(F.col("html")).alias("text"))
+    return _pages(spark, d).select("page_id", pagetext.page_text(F.col("html")).alias("text"))
 
 
 def _page_writes(spark, d):
@@ -597,7 +657,7 @@ def _page_writes(spark, d):
 
 
 _HEADING = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
-_READ = f"WITH {_TEXTS}, titled AS (SELECT page_id, text, {_PLAIN_TEXT.replace('shown', _HEADING)} AS title FROM texts)"
+_READ = f"WITH {_TEXTS}, titled AS (SELECT page_id, text, {_plain_sql(_HEADING)} AS title FROM texts)"
 
 
 @query("page_result_items", f"{_READ} SELECT page_id AS id, left(title, 160) AS title, left(text, 600) AS description, 'ready' AS status FROM titled")
@@ -672,6 +732,10 @@ def _shown(spark, d):
     return graph.graph_items(entity(spark, d, "items"))
 
 
+def _shown_prime(spark, d):
+    return graph.primary_topic(_shown(spark, d), entity(spark, d, "item_topics"), few=True)
+
+
 def _prime(spark, d):
     return graph.primary_topic(entity(spark, d, "items"), entity(spark, d, "item_topics"))
 
@@ -708,7 +772,7 @@ def website_edges(spark, d):
 @query("graph_edges", _graph("SELECT id, source, target, kind FROM (SELECT * FROM tedges UNION ALL SELECT * FROM wedges) ORDER BY part, place LIMIT 120", _SHOWN, _PRIMARY, _USED, _TOPIC_EDGES, _SITE_EDGES))
 def graph_edges(spark, d):
     sites = graph.website_edges(_shown(spark, d), _used(spark, d), entity(spark, d, "mentions"))
-    return graph.edges(graph.topic_edges(_shown(spark, d), _prime(spark, d)), sites).select("id", "source", "target", "kind")
+    return graph.edges(graph.topic_edges(_shown(spark, d), _shown_prime(spark, d)), sites).select("id", "source", "target", "kind")
 
 
 @query("graph_of_topic", f"SELECT id, title FROM items_ WHERE id IN (SELECT item_id FROM item_topics_ WHERE topic = '{TOPIC}') ORDER BY created_order, id LIMIT 50", "items", "item_topics")
@@ -722,7 +786,7 @@ def graph_summary(spark, d):
 
 
 def _nodes(spark, d):
-    return graph.nodes(entity(spark, d, "topics"), _shown(spark, d), _prime(spark, d), _used(spark, d))
+    return graph.nodes(entity(spark, d, "topics"), _shown(spark, d), _shown_prime(spark, d), _used(spark, d))
 
 
 @query("graph_nodes", _graph("SELECT id, kind, label, subtitle FROM nodes ORDER BY part, place LIMIT 80", _SHOWN, _PRIMARY, _USED, _PLACED))
@@ -807,6 +871,23 @@ def call_spacing(spark, d):
     return jobs.too_close(_jobs(spark, d))
 
 
+#: Requests of calls, and their starts one after another.
+CALLS_SQL = f"""
+    WITH RECURSIVE r AS (SELECT event_id AS id, user_id % 40 AS provider, ts AS asked, event_id % 40 AS took, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS k FROM events),
+    s AS (SELECT id, provider, asked, took, k, asked AS starts, 1 AS n FROM r WHERE k = 1
+        UNION ALL SELECT id, provider, asked, took, k, starts, CASE WHEN starts::DATE = was::DATE THEN n + 1 ELSE 1 END FROM (
+            SELECT *, CASE WHEN free::DATE = was::DATE AND n >= {jobs.DAILY} THEN (was::DATE + 1)::TIMESTAMP ELSE free END AS starts FROM (
+                SELECT r.*, s.starts AS was, s.n, greatest(r.asked, s.starts + INTERVAL {jobs.SPACING} SECOND, s.starts + to_seconds(s.took)) AS free FROM s JOIN r ON r.provider = s.provider AND r.k = s.k + 1)))
+    SELECT id, provider, asked AS "at", starts FROM s
+"""
+
+
+@query("call_schedule", CALLS_SQL)
+def call_schedule(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    return jobs.schedule(events.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("provider"), F.col("ts").alias("at"), (F.col("event_id") % 40).alias("took_s")))
+
+
 @query("worker_liveness", "SELECT user_id % 7 AS worker, max(ts) AS last_seen, max(ts) > TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 5 SECOND AS online FROM events GROUP BY 1")
 def worker_liveness(spark, d):
     beats = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 7).alias("worker"), "ts")
@@ -833,7 +914,7 @@ def chunk_documents(spark, d):
     return retrieval.chunk(entity(spark, d, "chunks"))
 
 
-_BM_WORDS = ["the", "license", "apache"]
+BM_WORDS = ["the", "license", "apache"]
 _TERMS = f"list_filter(string_split_regex({_fold('body')}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
@@ -852,7 +933,7 @@ def term_index(spark, d):
 
 
 _BM = f"""listed AS (SELECT item_id AS id, {_TERMS} AS w FROM chunks_), stat AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM listed),
-terms AS (SELECT unnest({sorted(_BM_WORDS)}) AS q), df AS (SELECT q, count(*) AS df FROM terms JOIN listed ON list_contains(w, q) GROUP BY 1),
+terms AS (SELECT unnest({sorted(BM_WORDS)}) AS q), df AS (SELECT q, count(*) AS df FROM terms JOIN listed ON list_contains(w, q) GROUP BY 1),
 tf AS (SELECT id, q, len(w) AS size, len(list_filter(w, lambda x: x = q)) AS tf FROM listed, terms),
 scored AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM tf JOIN df USING (q), stat GROUP BY 1),
 bm AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 50)"""
@@ -863,7 +944,7 @@ def _then(first: str, ctes: str, sql: str, *names: str) -> str:
 
 
 def _bm25(spark, d):
-    return retrieval.bm25(_chunks_by_id(spark, d), _BM_WORDS)
+    return retrieval.bm25(_chunks_by_id(spark, d), BM_WORDS)
 
 
 @query("bm25_topk", _then("", _BM, "SELECT id, score, rank FROM bm", "chunks"))
@@ -891,9 +972,9 @@ def similar_items(spark, d):
 @query("bm25_indexed", _then("", _BM, "SELECT id, score, rank FROM bm", "chunks"))
 def bm25_indexed(spark, d):
     """An index of all chunks is stored, and the query reads its words' rows of it."""
-    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
+    path = new_dir(spark)
     retrieval.store_index(_chunks_by_id(spark, d), path)
-    return retrieval.bm25_of(spark, path, _BM_WORDS)
+    return retrieval.bm25_of(spark, path, BM_WORDS)
 
 
 @query("rrf_fusion", _then("", _BM + ", " + _VEC.format(""), "SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM bm UNION ALL SELECT id, rank FROM vec) GROUP BY 1", "chunks", "vectors"))
@@ -998,6 +1079,36 @@ def image_hash(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", difference_hash(row).alias("hash"))
 
 
+def _image_hash(spark, d):
+    return image_hash(spark, d).select(F.col("vec_id").alias("id"), "hash")
+
+
+@query(
+    "alike_frames",
+    "WITH RECURSIVE h AS (" + ORACLE_SQL["image_hash"] + """), own AS (SELECT DISTINCT hash FROM h),
+    pairs AS (SELECT a.hash, b.hash AS other FROM own a JOIN own b ON a.hash <> b.hash AND bit_count(xor(a.hash, b.hash)) <= 4),
+    reach AS (SELECT hash, hash AS other FROM own UNION SELECT reach.hash, pairs.other FROM reach JOIN pairs ON reach.other = pairs.hash),
+    found AS (SELECT hash, min(other) AS class FROM reach GROUP BY 1)
+    SELECT vec_id AS id, h.hash, class, (SELECT count(*) FROM pairs WHERE pairs.hash = h.hash) AS n_alike FROM h JOIN found ON found.hash = h.hash""",
+)
+def alike_frames(spark, d):
+    return media.alike_classes(_image_hash(spark, d))
+
+
+@query(
+    "alike_coarse",
+    """WITH RECURSIVE g AS (SELECT vec_id, p || p[1:8] AS g FROM (SELECT vec_id, list_transform(embedding[1:64], lambda x: CASE WHEN x > 0.15 THEN 1 ELSE 0 END) AS p FROM embeddings)),
+    h AS (SELECT vec_id AS id, list_sum(list_transform(range(56), lambda i: CASE WHEN g[i + 1] > g[i + 2] THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS hash FROM g), own AS (SELECT DISTINCT hash FROM h)
+    SELECT a.hash, b.hash AS other, bit_count(xor(a.hash, b.hash))::BIGINT AS bits FROM own a JOIN own b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 4""",
+)
+def alike_coarse(spark, d):
+    """Pairs of alike hashes of coarse pictures, of which many share a band."""
+    bright = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0.15, 1).otherwise(0))
+    falls = F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.when(F.element_at("g", i) > F.element_at("g", i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
+    hash_ = F.aggregate(falls, F.lit(0).cast("long"), lambda a, x: a + x)
+    return media.alike_pairs(spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(bright, F.slice(bright, 1, 8)).alias("g")).select(hash_.alias("hash")))
+
+
 # ---- checks
 
 
@@ -1022,11 +1133,50 @@ def dangling_citations(spark, d):
     ),
 )
 def contract_violations(spark, d):
-    rows = _nested(spark, d)
-    broken = check_rows(rows, quality.rules_for(rows.columns))
+    e = {n: entity(spark, d, n) for n in _NESTED}
+    sites = detail.item_websites(e["mentions"].select("item_id", "seq", "website_id", "unresolved_name"), e["websites"]).withColumnRenamed("name", "text")
+    lists = {"topics": e["item_topics"].withColumn("text", F.col("topic")), "tags": e["item_tags"].withColumn("text", F.col("tag")), "websites": sites, "evidence": e["evidence"], "transcript": e["segments"]}
+    lists["collections"] = detail.item_collections(e["collections"], e["collection_items"]).withColumnRenamed("name", "text")
+    broken = quality.contract_breaches(e["items"], e["revisions"], e["notes"], **lists)
     return broken.select("id", F.array_join("broken", ",").alias("broken"))
 
 
+#: Parts as items, with as many entries of each list as their order lines give, so that every rule has items that break it.
+_LINES = "lines AS (SELECT l_partkey AS item_id, l_orderkey % 63 AS short, l_quantity::BIGINT AS much, l_orderkey AS k FROM lineitem)"
+_LIST_OF = {"topics": "much > 42", "tags": "much > 15", "websites": "much > 5", "evidence": "much > 7", "transcript": "true", "captures": "true", "collections": "true"}
+_COPIES = {"evidence": 3}
+_LONG = {"topics": (2, 80), "tags": (1, 60), "websites": (2, 120), "collections": (2, 120), "transcript": (17, 1000), "evidence": (10, 600)}
+
+
+@query(
+    "contract_breaches",
+    f"""WITH {_LINES}, sizes AS (SELECT item_id, max(k % 12) AS points, max(short) * 9 AS point, {", ".join(f"count(*) FILTER ({c}) * {_COPIES.get(n, 1)} AS n_{n}, coalesce(max(short) FILTER ({c}), 0) AS short_{n}" for n, c in _LIST_OF.items())} FROM lines GROUP BY 1),
+    items AS (SELECT p_partkey AS id, p_size * 4 AS title, p_size * 13 AS summary, p_size * 260 AS note, CASE WHEN p_partkey % 17 = 0 THEN 'odd' ELSE 'ready' END AS status, CASE WHEN p_partkey % 19 = 0 THEN -1 ELSE 1 END AS bytes FROM part),
+    ruled AS (SELECT id, concat_ws(',', CASE WHEN n_topics > 3 THEN 'topics' END, CASE WHEN n_tags > 8 THEN 'tags' END, CASE WHEN points > 8 THEN 'key_points' END, CASE WHEN n_websites > 20 THEN 'websites' END, CASE WHEN n_evidence > 80 THEN 'evidence' END,
+        CASE WHEN n_captures > 32 THEN 'captures' END, CASE WHEN n_collections > 30 THEN 'collections' END, CASE WHEN title > 160 THEN 'title' END, CASE WHEN summary > 600 THEN 'summary' END, CASE WHEN note > 12000 THEN 'note' END,
+        CASE WHEN short_tags > 60 THEN 'tags[]' END, CASE WHEN short_topics * 2 > 80 THEN 'topics[]' END, CASE WHEN short_transcript * 17 > 1000 THEN 'transcript[].text' END, CASE WHEN points > 0 AND point > 500 THEN 'key_points[].text' END,
+        CASE WHEN short_evidence * 10 > 600 THEN 'evidence[].excerpt' END, CASE WHEN short_collections * 2 > 120 THEN 'collections[]' END, CASE WHEN short_websites * 2 > 120 THEN 'websites[]' END,
+        CASE WHEN status = 'odd' THEN 'status' END, CASE WHEN bytes < 0 THEN 'bytes' END) AS broken FROM items LEFT JOIN sizes ON item_id = id)
+    SELECT id, broken FROM ruled WHERE broken <> ''""",
+)
+def contract_breaches(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("item_id"), (F.col("l_orderkey") % 63).cast("int").alias("short"), F.col("l_quantity").cast("long").alias("much"), F.col("l_orderkey").alias("k"))
+    lists = {}
+    for name, kept in _LIST_OF.items():
+        said = F.repeat(F.lit("x"), F.col("short") * _LONG[name][0]).alias("excerpt" if name == "evidence" else "text") if name in _LONG else F.lit(None).alias("none")
+        copies = F.explode(F.sequence(F.lit(1), F.lit(_COPIES.get(name, 1)))).alias("copy")
+        lists[name] = lines.where(kept).select("item_id", F.col("k").alias("start_ms"), F.col("k").alias("end_ms"), said, copies)
+    part = spark.read.parquet(f"{d}/part.parquet")
+    of_size = lambda n: F.repeat(F.lit("x"), F.col("p_size") * n)
+    status, size = F.when(F.col("p_partkey") % 17 == 0, "odd").otherwise("ready"), F.when(F.col("p_partkey") % 19 == 0, -1).otherwise(1).cast("long")
+    items = part.select(F.col("p_partkey").alias("id"), of_size(4).alias("title"), of_size(13).alias("description"), status.alias("status"), size.alias("bytes"))
+    notes = part.select(F.col("p_partkey").alias("item_id"), of_size(260).alias("body"))
+    each = lines.groupBy("item_id").agg(F.max(F.col("k") % 12).cast("int").alias("n"), F.max("short").alias("short"))
+    points = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.repeat(F.lit("x"), F.col("short") * 9).alias("text"), F.array(F.lit("e")).alias("evidenceIds")))
+    revisions = each.select("item_id", F.lit(1).alias("revision"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("summary"), F.when(F.col("n") > 0, F.to_json(points)).alias("key_points_json"))
+    return quality.contract_breaches(items, revisions, notes, **lists).select("id", F.array_join("broken", ",").alias("broken"))
+
+
 @query("storage_by_role", "SELECT role, count(*) AS assets, sum(bytes)::BIGINT AS bytes FROM assets_ GROUP BY 1", "assets")
 def storage_by_role(spark, d):
     return quality.storage_by_role(entity(spark, d, "assets"))
@@ -1046,5 +1196,3 @@ def format_duration(spark, d):
 def format_bytes(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", text.format_bytes(F.col("event_id") * 1000003).alias("shown"))
 
-
-assert len(PLATFORM_DOMAIN) == 21

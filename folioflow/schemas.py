@@ -33,7 +33,7 @@ UPLOAD_EXTENSIONS = {
 }
 # Limits.
 PAGE_DEFAULT, PAGE_MAX, TAG_FACETS, GRAPH_ITEMS, GRAPH_WEBSITES, GRAPH_NODES, GRAPH_EDGES = 20, 50, 50, 50, 20, 80, 120
-IMPORT_LINES, IMPORT_CHARS, TITLE_CHARS, TEXT_CHARS, PAGE_CHARS, SNIPPET_CHARS = 20, 40_000, 160, 600, 60_000, 240
+IMPORT_LINES, IMPORT_CHARS, TITLE_CHARS, TEXT_CHARS, PAGE_CHARS, MATCH_CHARS, SNIPPET_CHARS = 20, 40_000, 160, 600, 60_000, 500, 240
 HTML_BYTES, UPLOAD_BYTES, LEASE_SECONDS, LIVE_SECONDS, TRASH_DAYS = 5 << 20, 500 << 20, 60, 5, 30
 #: The most entries of an item's lists, and code points of its texts.
 LIST_LIMITS = {"topics": 3, "tags": 8, "key_points": 8, "websites": 20, "evidence": 80, "transcript": 500, "captures": 32, "collections": 30}

@@ -8,24 +8,13 @@ written last. A version is never written over; there is one writer.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.schemas import SCHEMA_VERSION, TABLES, TOPICS, UPLOAD_EXTENSIONS
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (one machine), a temporary one, which then is the checkpoint folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="folioflow-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from folioflow.sources.scratch import shared_dir  # noqa: F401  as it was here before
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ import hypothesis.strategies as st
 from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F
 
-from folioflow.functions import text, urls, vectors
+from folioflow.functions import pagetext, text, urls, vectors
 from folioflow.operators.ingest import admit
 from folioflow.plans.links import LINKS, links
 
@@ -59,7 +59,7 @@ def test_text(spark):
 
 def test_page_text(spark):
     html = "<html><head><title> A &amp; B </title><style>x{}</style></head><body><nav>menu</nav><article><h1>Hi</h1><script>no()</script><p>one<br>two &lt;3</p></article><footer>end</footer></body></html>"
-    row = spark.createDataFrame([(html,)], "h string").select(text.page_title(F.col("h")).alias("t"), text.page_text(F.col("h")).alias("b")).first()
+    row = spark.createDataFrame([(html,)], "h string").select(text.page_title(F.col("h")).alias("t"), pagetext.page_text(F.col("h")).alias("b")).first()
     assert (row.t, row.b) == ("A & B", "Hi one two <3")
 
 

@@ -269,11 +269,27 @@ def test_no_task_collects_a_whole_item(spark):
         assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lists_are_whole(spark):
+    items = frame(spark, [(1, "t", None), (2, "t", None)], "id long, title string, description string")
+    nested = detail.nested(items, *satellites(spark, item_tags=[(1, f"t{k:02}") for k in range(12)], item_topics=[(1, f"p{k}") for k in range(5)], mentions=[(1, k, None, f"m{k}") for k in range(25)]))
+    row = nested.where("id = 1").first()
+    assert row.tags == [f"t{k:02}" for k in range(12)] and row.topics == [f"p{k}" for k in range(5)] and row.websites == [f"m{k}" for k in range(25)]
+    captures = frame(spark, [(k, 1, "capture", k) for k in range(40)], "id long, item_id long, role string, timestamp_ms long")
+    assert detail.item_captures(captures).count() == 40
+    note = detail.as_markdown(nested, frame(spark, [(1, 2, "/b", "B"), (1, 1, "/a", "A")], "item_id long, place int, url string, alt string"))
+    assert [r.markdown.endswith("![A](/a)\n![B](/b)") for r in note.orderBy("id").collect()] == [True, False]
+
+
 def test_contract(spark):
-    items = frame(spark, [(1, "t" * 161, "d", "ready", 5), (2, "ok", "d", "odd", -1)], "id long, title string, description string, status string, bytes long")
-    rows = detail.nested(items, *satellites(spark, item_tags=[(2, "t" * 61)], segments=[(1, 0, 1, "x" * 1001)], notes=[(2, "n" * 12_001)]))
-    broken = check_rows(rows, quality.rules_for(rows.columns))
-    assert values(broken.select("id", F.array_join("broken", ",")), "id") == [(1, "title,transcript[].text"), (2, "note,tags[],status,bytes")]
+    items = frame(spark, [(1, "t" * 161, "d", "ready", 5), (2, "ok", "d", "odd", -1), (3, "ok", "d", "ready", None), (4, "ok", "d", "ready", 1)], "id long, title string, description string, status string, bytes long")
+    parts = dict(item_tags=[(2, "t" * 61), *((3, f"t{k}") for k in range(9))], segments=[(1, 0, 1, "x" * 1001), *((4, k, k, "x") for k in range(900)), (4, 901, 901, "x" * 1001)], notes=[(2, "n" * 12_001)])
+    tags, topics, segments, revisions, *rest, notes = satellites(spark, **parts)
+    lists = {"tags": tags.withColumn("text", F.col("tag")), "transcript": segments, "captures": topics.limit(0)}
+    broken = quality.contract_breaches(items, revisions, notes, **lists)
+    assert values(broken.select("id", F.array_join("broken", ",")), "id") == [(1, "title,transcript[].text"), (2, "note,tags[],status,bytes"), (3, "tags")]
+    kept = detail.within_contract(items, broken, tags, topics, segments, revisions, *rest, notes)
+    assert [(r.id, len(r.transcript)) for r in kept.collect()] == [(4, 500)]
+    assert "collect_list" not in broken._jdf.queryExecution().executedPlan().toString()
 
 
 def test_children_of_posts(spark):

@@ -1,7 +1,7 @@
 import pytest
 from oracle import both
 
-from folioflow.plans import core, streams
+from folioflow.plans import core, indexes, streams  # noqa: F401  indexes adds its queries to core's
 
 QUERIES, ORACLE = core.QUERIES | streams.QUERIES, core.ORACLE_SQL | streams.ORACLE_SQL
 
