@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers and names (capitalised inside a sentence) of a text are
-replaced by typed placeholders; what they stood for are the slots. Windows of the
+Numbers (in digits or words), units after numbers and names (capitalised inside a sentence,
+and where such a name opens another sentence of the text) are replaced by typed
+placeholders; what they stood for are the slots. Windows of the
 resulting template, and of the plain words, are hashed and joined with those of the
 benchmark's items; some windows leave one word free, so that words beside a changed one
 match too. Matching windows of one document and item on one diagonal must
@@ -37,18 +38,45 @@ FREE = 2
 SHARE, LITERAL = 0.5, 0.6
 #: Bits of the filter of a benchmark's windows that is broadcast (8 MB, whatever the benchmark's size), and how many a window sets.
 FILTER_BITS, PROBES = 26, 2
+# Units and numbers as words of the corpus's languages, but for those that are everyday words of another (once, seize, cent, neuf).
 UNITS = (
-    "mm cm m km inch inches feet ft yard yards mile miles mg g kg t lb lbs oz ml l liter liters litre litres gallon gallons "
+    "mm cm m km inch inches feet ft yard yards mile miles mg g kg t lb lbs oz ml l liter liters litre litres gallon gallons pound pounds ounce ounces "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents "
-    "mph kmh degrees watt watts kwh volt volts"
+    "mph kmh degrees watt watts kwh volt volts meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ton tons tonne tonnes "
+    "metern kilometern zentimeter stunde stunden minuten sekunde sekunden tag tage tagen woche wochen monat monate jahr jahre jahren gramm kilogramm kilo tonnen pfund prozent grad meilen "
+    "mètre mètres kilomètre kilomètres centimètre centimètres heure heures seconde secondes jour jours semaine semaines mois ans année années gramme grammes degrés "
+    "metro metros kilómetro kilómetros centímetro centímetros hora horas minuto minutos segundo segundos día días semana semanas mes meses año años gramo gramos kilos litro litros tonelada toneladas grados millas"
 ).split()
+_TENS = {
+    "en": "twenty thirty forty fifty sixty seventy eighty ninety", "de": "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig", "fr": "vingt trente quarante cinquante soixante", "es": "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa",
+}
+_ONES = {
+    "en": "one two three four five six seven eight nine", "de": "ein zwei drei vier fünf sechs sieben acht neun", "fr": "un deux trois quatre cinq six sept huit", "es": "dos tres cuatro cinco seis siete ocho nueve",
+}
+_MORE = (
+    "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn hundert tausend "
+    "dix onze douze treize quatorze quinze vingts mille diez doce trece catorce quince cien ciento"
+).split()
+
+
+def _number_words() -> set[str]:
+    """All of these, and the ones after or before the tens, joined as punctuation leaves them (twenty-five, fünfundzwanzig, vingt-cinq)."""
+    tens, ones = ({k: v.split() for k, v in words.items()} for words in (_TENS, _ONES))
+    joined = [t + o for k in ("en", "fr") for t in tens[k] for o in ones[k]] + [f"{o}und{t}" for t in tens["de"] for o in ones["de"]]
+    single = [w for words in (*tens.values(), *ones.values()) for w in words if w not in ("ein", "un")]
+    return {*_MORE, *joined, *single}
+
+
+NUMBER_WORDS = _number_words()
+#: Signs of currency that aren't ASCII, which part no number from its digits.
+SIGNS = "€£"
 
 _KEPT = np.zeros(256, bool)
 _KEPT[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _KEPT |= tb.SPACE
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".!?:;\n\"|"]] = True
-_UNIT_HASHES = np.sort([tb.span_hashes(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)]), tb.LOWER_CODES)[0] for u in UNITS])
+_UNIT_HASHES, _NUMBER_HASHES = (np.sort([tb.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), tb.LOWER_CODES)[0] for w in words]) for words in (UNITS, NUMBER_WORDS))
 _NUMBER, _UNIT, _NAME = tb.mix(np.arange(101, 104, dtype=U))
 _PLAIN = U(0x5851F42D4C957F2D)
 
@@ -57,6 +85,13 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """Of each word, punctuation left out: its hash, its template's hash, its slot value (0: literal); and
     each document's first word's index."""
     kept = _KEPT[data]
+    for sign in SIGNS:
+        bytes_ = sign.encode()
+        hit = np.flatnonzero(data == bytes_[0])
+        for k, byte in enumerate(bytes_[1:], 1):
+            hit = hit[data[np.minimum(hit + k, len(data) - 1)] == byte]
+        for k in range(len(bytes_)):
+            kept[hit + k] = False
     at = np.flatnonzero(kept)
     text, offsets = data[at], np.concatenate(([0], np.cumsum(kept)))[offsets]
     starts, ends, first = tb.spans(~tb.SPACE[text], offsets)
@@ -69,7 +104,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     edge = first[:-1][first[:-1] < first[1:]]
     begins[edge] = True
     digits = np.concatenate(([0], np.cumsum((text >= 0x30) & (text <= 0x39))))
-    number = (text[starts] >= 0x30) & (text[starts] <= 0x39) & (2 * (digits[ends] - digits[starts]) >= ends - starts)
+    number = (text[starts] >= 0x30) & (text[starts] <= 0x39) & (2 * (digits[ends] - digits[starts]) >= ends - starts) | np.isin(words, _NUMBER_HASHES)
     after = np.zeros(len(words), bool)
     after[1:] = number[:-1]
     after[edge] = False
@@ -77,7 +112,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     unit[after] = np.isin(words[after], _UNIT_HASHES)
     head, second = text[starts], text[np.minimum(starts + 1, len(text) - 1)]
     capital = ((head >= 0x41) & (head <= 0x5A)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    name = capital & ~begins & (ends - starts > 1)
+    capital &= (ends - starts > 1) & ~number
+    name = capital & ~begins
+    own = tb.mix(words + tb.owners(first).astype(U) * U(tb._STEP))
+    name |= capital & np.isin(own, own[name])
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, words)))
     return words, template, np.where(number | unit | name, words | U(1), U(0)), first
 

@@ -11,7 +11,9 @@ As cuckoo filters can forget, documents can be added and deleted again. Each tab
 list of segments: a change adds one with what it touched, the batch's postings (or the
 ids deleted), the new counts of its keys and the filters of shards that gained or lost
 keys, and the newest row of a key stands. A shard that fills up is built anew from the
-exact counts, and so are all, in more shards, when there are too many keys for them.
+exact counts, and so are all, in more shards, when there are too many keys for them. Once
+there are more than SEGMENTS of a table the index is compacted: one segment of each, with
+what stands. Where postings meet counts, a key's rows are dealt to many tasks by document.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflow.llm import textbytes as tb
+from folioflow.llm.skew import look_up
 from folioflow.llm.storage import written
 
 U = np.uint64
@@ -35,6 +38,8 @@ U = np.uint64
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in a shard, about; parts in which a shard's postings meet its filter; share of a filter's seats that may be taken.
 SHARD_KEYS, PARTS, MOST_FULL = 1 << 14, 16, 0.85
+#: Segments of a table beyond which an index is compacted.
+SEGMENTS = 8
 FILTER = "shard int, cells binary, spare array<bigint>"
 _SECOND_CODES = tb.mix(tb.BYTE_CODES + U(tb._STEP))[tb.LOWER]
 
@@ -161,15 +166,20 @@ def _count(found: DataFrame) -> DataFrame:
     return found.groupBy("hi", "lo").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last"))
 
 
+def _together(segments: tuple[DataFrame, ...]) -> DataFrame:
+    rows = segments[0]
+    for later in segments[1:]:
+        rows = rows.unionByName(later)
+    return rows
+
+
 def _newest(segments: tuple[DataFrame, ...], *keys: str) -> DataFrame:
     """The newest row of each key in segments, oldest first."""
     if len(segments) == 1:
         return segments[0]
     rest = [c for c in segments[0].columns if c not in keys]
     every = [s.withColumn("version", F.lit(k)) for k, s in enumerate(segments)]
-    for later in every[1:]:
-        every[0] = every[0].unionByName(later)
-    newest = every[0].groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r"))
+    newest = _together(tuple(every)).groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("r"))
     return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(segments[0].columns)
 
 
@@ -200,34 +210,45 @@ class LineIndex:
 
     def standing(self) -> DataFrame:
         """hi, lo, doc of the documents that aren't deleted."""
-        found = self.postings[0]
-        for later in self.postings[1:]:
-            found = found.unionByName(later)
-        for gone in self.deleted:
-            found = found.join(gone.select("doc", F.col("version").alias("since")), "doc", "left").where("since is null or version > since").drop("since")
+        found = _together(self.postings)
+        if self.deleted:
+            last = _together(self.deleted).groupBy("doc").agg(F.max("version").alias("since"))
+            found = found.join(last, "doc", "left").where("since is null or version > since")
         return found.select("hi", "lo", "doc")
 
+    def compact(self) -> LineIndex:
+        """The same index in one segment of each table: the postings that stand, the newest counts and filters."""
+        postings_ = written(self.standing().withColumn("version", F.lit(self.version)), "postings")
+        counts = written(_newest(self.counts, "hi", "lo").where("n_docs > 0"), "counts")
+        filters = written(_newest(self.filters, "shard"), "filters")
+        return replace(self, postings=(postings_,), deleted=(), counts=(counts,), filters=(filters,))
+
+    def _kept_short(self) -> LineIndex:
+        return self.compact() if max(map(len, (self.postings, self.deleted, self.counts, self.filters))) > SEGMENTS else self
+
     def shard(self) -> Column:
         return F.shiftrightunsigned("hi", 20).bitwiseAND(self.shards - 1).cast("int").alias("shard")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index with documents added; their ids must be new.
+        """The index with documents added. Documents whose id stands already are left out: delete them first to change them.
 
-        Reads the batch and the counts of its keys, and writes just these.
+        Reads the batch, the ids of the postings and the count segments; shuffles the batch's
+        keys and the counts that these have, and writes just these.
         """
         at = self.version + 1
-        found = written(postings(docs, id_col, text_col, self.min_chars).withColumn("version", F.lit(at)), "postings")
+        found = postings(docs, id_col, text_col, self.min_chars).withColumn("version", F.lit(at))
+        found = written(found.join(self.standing().select("doc").distinct(), "doc", "left_anti").select("hi", "lo", "doc", "version"), "postings")
         batch = _count(found).withColumnsRenamed({"n_docs": "more", "last": "later"})
         touched = batch.join(self._counts_of(found), ["hi", "lo"], "left")
         last = F.greatest("last", "later")  # the one that isn't null
         after = touched.select("hi", "lo", F.coalesce("n_docs", F.lit(0)).alias("was"), (F.coalesce("n_docs", F.lit(0)) + F.col("more")).alias("n_docs"), last.alias("last"))
-        return replace(self, postings=(*self.postings, found), version=at)._counted(after)
+        return replace(self, postings=(*self.postings, found), version=at)._counted(after)._kept_short()
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """The index without the documents of these ids, as if they had never been added.
 
-        Writes the ids, and new counts of the keys that these documents held; where one
-        was the last of its key, the key's other postings tell the new last.
+        Reads the postings for what these documents held, and writes the ids and new counts of
+        those keys; where one was the last of its key, the key's other postings tell the new last.
         """
         at = self.version + 1
         gone = written(ids.select(F.col(id_col).alias("doc"), F.lit(at).alias("version")).where("doc is not null").distinct(), "deleted")
@@ -236,10 +257,10 @@ class LineIndex:
         batch = _count(taken).withColumnsRenamed({"n_docs": "fewer", "last": "highest"})
         touched = written(batch.join(self._counts_of(taken), ["hi", "lo"]), "touched")
         open_ = touched.where("highest = last and n_docs > fewer").select("hi", "lo")
-        found = new.standing().join(open_, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.max("doc").alias("next"))
+        found = look_up(new.standing(), open_, "hi", "lo", by="doc").groupBy("hi", "lo").agg(F.max("doc").alias("next"))
         last = F.when(F.col("n_docs") > F.col("fewer"), F.when(F.col("highest") == F.col("last"), F.col("next")).otherwise(F.col("last")))
         after = touched.join(found, ["hi", "lo"], "left").select("hi", "lo", F.col("n_docs").alias("was"), (F.col("n_docs") - F.col("fewer")).alias("n_docs"), last.alias("last"))
-        return new._counted(after)
+        return new._counted(after)._kept_short()
 
     def _counts_of(self, found: DataFrame) -> DataFrame:
         """The newest counts of the keys in found."""
@@ -332,7 +353,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "
     # null ids meet nothing in the join and are spread
     spread = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(1 << 10))).otherwise(0).alias("spread")
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)]).alias("rest"), spread)
-    gone = index.candidates().join(index.live().select("hi", "lo", "last"), ["hi", "lo"]).where("doc <> last")
+    # a line in a third of all documents has as many candidates: they are dealt by document
+    passed = written(index.candidates(), "candidates")
+    gone = look_up(passed, index.live().select("hi", "lo", "last"), "hi", "lo", by="doc").where("doc <> last")
     gone = gone.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).withColumn("spread", F.lit(0).cast("bigint"))
     joined = given.join(gone, ["id", "spread"], "left").select("id", "text", "rest", F.col("gone.hi").alias("hi"), F.col("gone.lo").alias("lo"))
     fields = StructType([*joined.drop("hi", "lo").schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])

@@ -2,74 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where unset (tests on one machine),
-    a temporary one, which is then set as the checkpoint folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="folioflow-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-_written: dict[str, list[str]] = {}
-
-
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet in the shared folder and read back, and the folder, for delete()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioflow/{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(f"{path}/{name}")
-    return spark.read.schema(df.schema).parquet(f"{path}/{name}"), path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later jobs start
-    from the files, so a lost executor costs no earlier stage. sweep() deletes them."""
-    return write_table(df, name)[0]
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-def sweep(spark: SparkSession) -> int:
-    """Delete the tables that this application has written so far and say how many there
-    were. For when the results that were made of them have been stored: a DataFrame that
-    still reads one of them can't be computed again."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        delete(spark, path)
-    return len(paths)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, for clusters where it isn't installed."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}-package", "zip", package.parent, package.name)
-        context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+from folioflow.sources.scratch import delete, ship, shared_dir, sweep, write_table, written  # noqa: F401  for this subpackage
 
 
 def map_texts(docs: DataFrame, fn: Callable[[], Callable], fields: str, id_col: str, text_col: str, keep: bool = False) -> DataFrame:

@@ -110,15 +110,17 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in model.items()}
 
 
-def _gram_maxima(model: dict[str, np.ndarray], words: Words) -> np.ndarray:
-    if not len(words.word):
-        return np.zeros((0, WIDTH), np.float32)
-    return np.maximum.reduceat(model["gram"][words.grams], words.gram_first[:-1], axis=0)
+def _gram_maxima(rows: np.ndarray, words: Words) -> np.ndarray:
+    """The greatest of each word's grams' rows, by component."""
+    return np.maximum.reduceat(rows, words.gram_first[:-1], axis=0) if len(words.word) else np.zeros((0, WIDTH), np.float32)
 
 
-def inputs_of(model: dict[str, np.ndarray], words: Words) -> np.ndarray:
-    """Each distinct word's input, and a row of zeros for padding."""
-    x = np.concatenate((model["word"][words.word], _gram_maxima(model, words)), axis=1)
+def inputs_of(model: dict[str, np.ndarray], words: Words, seen: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Each distinct word's input, and a row of zeros for padding. seen: other first columns of the embeddings."""
+    word, gram = model["word"][words.word], model["gram"][words.grams]
+    if seen is not None:  # both are copies, of the rows in use
+        word[:, 0], gram[:, 0] = seen["word"][words.word], seen["gram"][words.grams]
+    x = np.concatenate((word, _gram_maxima(gram, words)), axis=1)
     return np.concatenate((x, np.zeros((1, x.shape[1]), np.float32)))
 
 
@@ -153,8 +155,8 @@ def forward(model: dict[str, np.ndarray], x: np.ndarray, windows: np.ndarray, ke
     return pooled @ model["out"] + model["bias"][0]
 
 
-def backward(model: dict[str, np.ndarray], x: np.ndarray, words: Words, windows: np.ndarray, kept: list, slope: np.ndarray) -> dict[str, np.ndarray]:
-    """The loss's slopes by every parameter, from its slopes by the logits."""
+def backward(model: dict[str, np.ndarray], x: np.ndarray, words: Words, windows: np.ndarray, kept: list, slope: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The loss's slopes by every parameter, from its slopes by the logits; those of the embeddings as (rows, slopes), where rows may repeat."""
     states, heard, weight, pooled, mask = kept[-1]
     slopes = {"out": pooled.T @ slope, "bias": np.array([slope.sum()], np.float32)}
     by_pooled = slope[:, None] * model["out"]
@@ -182,13 +184,18 @@ def backward(model: dict[str, np.ndarray], x: np.ndarray, words: Words, windows:
         by_ready[-1] = 0
         slopes[f"state_{side}"], slopes[f"in_{side}"], slopes[f"gate_{side}"] = by_inner, x.T @ by_ready, by_ready.sum(0)
         by_x += by_ready @ model[f"in_{side}"].T
-    slopes["word"], slopes["gram"] = np.zeros_like(model["word"]), np.zeros_like(model["gram"])
-    used = np.flatnonzero(by_x[:-1].any(1))
-    np.add.at(slopes["word"], words.word[used], by_x[used, :WIDTH])
+    grams = model["gram"][words.grams]
     owner = np.repeat(np.arange(len(words.word)), np.diff(words.gram_first))
-    gram, part = np.nonzero(model["gram"][words.grams] == _gram_maxima(model, words)[owner])
-    np.add.at(slopes["gram"], (words.grams[gram], part), by_x[owner[gram], WIDTH + part])
-    return slopes
+    by_gram = np.where(grams == _gram_maxima(grams, words)[owner], by_x[owner, WIDTH:], 0)
+    return slopes, {"word": (words.word, by_x[:-1, :WIDTH]), "gram": (words.grams, by_gram)}
+
+
+def _by_row(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the sums of their slopes."""
+    rows, place = np.unique(np.concatenate([r for r, _ in parts]), return_inverse=True)
+    total = np.zeros((len(rows), WIDTH), np.float32)
+    np.add.at(total, place, np.concatenate([g for _, g in parts]))
+    return rows, total
 
 
 def _document_counts(words: Words, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -212,15 +219,15 @@ def _telling(no: np.ndarray, yes: np.ndarray, share: float) -> np.ndarray:
     return np.clip(np.sign(yes / both - share) * np.sqrt(np.maximum(2 * log, 0)) / 5, -1, 3)
 
 
-def _window_logits(model: dict[str, np.ndarray], words: Words, step: int = 1 << 12) -> np.ndarray:
-    x = inputs_of(model, words)
+def _window_logits(model: dict[str, np.ndarray], words: Words, seen: dict[str, np.ndarray] | None = None, step: int = 1 << 12) -> np.ndarray:
+    x = inputs_of(model, words, seen)
     found = [forward(model, x, words.windows[i : i + step]) for i in range(0, len(words.windows), step)]
     return np.concatenate(found) if found else np.zeros(0, np.float32)
 
 
-def _first_look(model: dict[str, np.ndarray], words: Words) -> np.ndarray:
+def _first_look(model: dict[str, np.ndarray], words: Words, seen: dict[str, np.ndarray]) -> np.ndarray:
     """Each window's largest sum of the first components of a word's input."""
-    x = inputs_of(model, words)
+    x = inputs_of(model, words, seen)
     x = np.append(x[:-1, 0] + x[:-1, WIDTH], -9)
     return x[words.windows].max(1) if len(words.windows) else np.zeros(0)
 
@@ -270,12 +277,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 0, batch: int = 128,
         for name, found in _document_counts(part, labels[low:high]).items():
             counts[name] += found
     # what a document of either label sees in the fit: the counts of all documents but itself
-    seen = [{k: _telling(np.maximum(no - (c == 0), 0), np.maximum(yes - (c == 1), 0), labels.mean()) for k, (no, yes) in counts.items()} for c in (0, 1)]
-
-    def see(told: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        for name, column in told.items():
-            model[name][:, 0] = column
-        return model
+    seen = [{k: _telling(np.maximum(no - (c == 0), 0), np.maximum(yes - (c == 1), 0), labels.mean()).astype(np.float32) for k, (no, yes) in counts.items()} for c in (0, 1)]
 
     def looked(look) -> np.ndarray:
         """What each window of the sample gives, under the counts that its document sees."""
@@ -284,7 +286,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 0, batch: int = 128,
             own, logits = np.repeat(labels[low:high], np.diff(part.window_first)), np.zeros(len(part.windows))
             for c in (0, 1):
                 at = np.flatnonzero(own == c)
-                logits[at] = look(see(seen[c]), part._replace(windows=part.windows[at]))
+                logits[at] = look(model, part._replace(windows=part.windows[at]), seen[c])
             found.append(logits)
         return np.concatenate(found)
 
@@ -293,41 +295,39 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 0, batch: int = 128,
     first, second, steps = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0
     for epoch in range(epochs):
         pace = rate * (1 - 0.9 * epoch / epochs)
-        # before anything is learned, the window with the most telling words stands for its document
-        logits = looked(_window_logits if epoch else _first_look)
-        ranked = np.lexsort((logits, owner))
+        # before anything is learned, the window with the most telling words stands for its document; then
+        # the highest by the network, which is asked again after 1, 2, 4, 8 ... epochs, as it changes less and less
+        if epoch & (epoch - 1) == 0:
+            ranked = np.lexsort((looked(_window_logits if epoch else _first_look), owner))
         picked = ranked[words.window_first[full + 1] - 1]
         plain = full[labels[full] == 0]
         picked = np.concatenate((picked, words.window_first[plain] + rng.integers(0, np.diff(words.window_first)[plain])))
         order = rng.permutation(picked)
         for low in range(0, len(order), batch):
             steps += 1
-            slopes, touched, size = {}, {"word": [], "gram": []}, len(order[low : low + batch])
-            for c in (0, 1):
-                at = order[low : low + batch]
-                at = at[labels[owner[at]] == c]
-                if not len(at):
-                    continue
-                windows, kept = words.windows[at], []
-                used, local = np.unique(np.append(windows.ravel(), len(words.word)), return_inverse=True)
-                part = _subset(words, used[:-1])
-                windows, x = local[:-1].reshape(windows.shape), inputs_of(see(seen[c]), part)
-                chance = _sigmoid(forward(model, x, windows, kept))
-                slope = ((chance - c) * (PRIOR / share if c else 0.5 * (1 - PRIOR) / (1 - share)) / size).astype(np.float32)
-                for k, g in backward(model, x, part, windows, kept, slope).items():
-                    slopes[k] = slopes[k] + g if k in slopes else g
-                touched["word"].append(part.word)
-                touched["gram"].append(part.grams)
+            at = order[low : low + batch]
+            parts_, inputs, slope_of = [], [], []
+            for c in (0, 1):  # each label's windows with what its documents see, then all in one pass
+                own = at[labels[owner[at]] == c]
+                used, local = np.unique(np.append(words.windows[own].ravel(), len(words.word)), return_inverse=True)
+                parts_.append(_subset(words, used[:-1])._replace(windows=local[:-1].reshape(len(own), WINDOW), window_first=np.array([0, len(own)])))
+                inputs.append(inputs_of(model, parts_[-1], seen[c])[:-1])
+                slope_of.append(np.full(len(own), (PRIOR / share if c else 0.5 * (1 - PRIOR) / (1 - share)) / len(at)))
+            both, kept, truth = _joined(parts_), [], np.repeat([0, 1], [len(w) for w in slope_of])
+            x = np.concatenate((*inputs, np.zeros((1, 2 * WIDTH), np.float32)))
+            chance = _sigmoid(forward(model, x, both.windows, kept))
+            slopes, of_rows = backward(model, x, both, both.windows, kept, ((chance - truth) * np.concatenate(slope_of)).astype(np.float32))
+            for k, found in of_rows.items():  # only the rows in use
+                at, g = _by_row([found])
+                second[k][at] += g**2
+                model[k][at] -= pace * SLOW * g / (np.sqrt(second[k][at]) + 1e-6)
             for k, g in slopes.items():
-                if k in touched:  # only the rows in use
-                    rows = np.unique(np.concatenate(touched[k]))
-                    second[k][rows] += g[rows] ** 2
-                    model[k][rows] -= pace * SLOW * g[rows] / (np.sqrt(second[k][rows]) + 1e-6)
-                    continue
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g**2
                 model[k] -= pace * (first[k] / (1 - 0.9**steps)) / (np.sqrt(second[k] / (1 - 0.99**steps)) + 1e-6)
-    return see({k: _telling(no, yes, labels.mean()) for k, (no, yes) in counts.items()})
+    for k, (no, yes) in counts.items():
+        model[k][:, 0] = _telling(no, yes, labels.mean())
+    return model
 
 
 def _subset(words: Words, at: np.ndarray) -> Words:

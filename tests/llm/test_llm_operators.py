@@ -114,7 +114,11 @@ def test_network_gradients():
 
     x, kept = toxicity.inputs_of(model, words).astype(np.float64), []
     toxicity.forward(model, x, words.windows, kept)
-    slopes = toxicity.backward(model, x, words, words.windows, kept, slope)
+    slopes, of_rows = toxicity.backward(model, x, words, words.windows, kept, slope)
+    for name, parts in of_rows.items():
+        slopes[name] = np.zeros_like(model[name])
+        rows, found = toxicity._by_row([parts])
+        slopes[name][rows] = found
     for name in model:
         at = np.unravel_index(np.abs(slopes[name]).argmax(), slopes[name].shape)
         was = model[name][at]
@@ -126,10 +130,11 @@ def test_network_gradients():
         assert (up - down) / 2e-3 == pytest.approx(slopes[name][at], rel=1e-2, abs=1e-6)
 
 
-@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 56, 57, 200])
+@pytest.mark.parametrize("n", [0, 1, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, toxicity.WINDOW + toxicity.STRIDE, toxicity.WINDOW + toxicity.STRIDE + 1, 7 * toxicity.WINDOW])
 def test_every_word_is_in_a_window(n):
     windows, first = toxicity.windows_of(np.array([0, n]), n, np.arange(n))
-    assert set(windows.ravel().tolist()) - {n} == set(range(n)) and first[-1] == len(windows) == (0 if n == 0 else max(1, 1 + math.ceil((n - 32) / 24)))
+    count = 0 if n == 0 else max(1, 1 + math.ceil((n - toxicity.WINDOW) / toxicity.STRIDE))
+    assert set(windows.ravel().tolist()) - {n} == set(range(n)) and first[-1] == len(windows) == count
 
 
 # ---- 2: chat
@@ -218,6 +223,37 @@ def test_line_index_changes_what_a_batch_touches(spark):
     assert fewer.delete(frame([(100, None)]).select("doc_id")).live().first().last == 38
 
 
+def test_a_line_in_every_document_is_in_many_tasks(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one line that all documents share\nand a line of its own: "), "id").alias("text"))
+    index = linededup.LineIndex.build(docs)
+    assert index.live().count() == 1 and index.candidates().count() >= 3000
+    dealt = linededup.look_up(index.candidates(), index.live().select("hi", "lo", "last"), "hi", "lo", by="doc")
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and dealt.count() == 3000
+    assert linededup.dedup_lines(docs, index).where("n_dropped = 1").count() == 2999
+
+
+def test_line_index_compacts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SEGMENTS", 2)
+    rng = random.Random(4)
+    make = lambda ids: [(i, "\n".join(f"the shared line number {rng.randrange(25)}" for _ in range(5))) for i in ids]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = dict(make(range(20)))
+    index = linededup.LineIndex.build(frame(list(rows.items())))
+    for k in range(2):
+        more = dict(make(range(20 + 10 * k, 30 + 10 * k)))
+        index, rows = index.insert(frame(list(more.items()))), rows | more
+        index = index.insert(frame([(i, "the shared line number 1\nnot read, as the id stands") for i in list(rows)[:3]]))
+        gone = rng.sample(sorted(rows), 6)
+        index, rows = index.delete(frame([(i, None) for i in gone]).select("doc_id")), {i: t for i, t in rows.items() if i not in gone}
+        assert max(len(index.postings), len(index.counts), len(index.filters)) <= 3
+    small = index.compact()
+    assert len(small.postings) == len(small.counts) == len(small.filters) == 1 and not small.deleted
+    for found in (index, small):
+        assert settled(linededup.dedup_lines(frame(list(rows.items())), found)) == drop_lines(list(rows.items()))
+        assert sorted(map(tuple, found.live().select("hi", "lo", "n_docs", "last").collect())) == sorted(map(tuple, small.live().select("hi", "lo", "n_docs", "last").collect()))
+
+
 def test_line_filters_grow(spark, monkeypatch):
     monkeypatch.setattr(linededup, "SHARD_KEYS", 64)
     frame = lambda ids: spark.createDataFrame([(3 * i + k, f"the line that has number {i}") for i in ids for k in range(3)], "doc_id long, text string")
@@ -551,21 +587,28 @@ class PlainMatcher:
 
     def __init__(self, text):
         self.words, self.kinds, ends, before = [], [], 0, None
+        opening = []
+        stays = lambda c: c.isalnum() and c.isascii() or ord(c) > 127 and c not in "€£"
         for run in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
-            word = "".join(c for c in run[0] if c.isalnum() and c.isascii() or ord(c) > 127)
+            word = "".join(c for c in run[0] if stays(c))
             if not word:
                 continue
             # the sentence-ending characters before the first character that is kept
-            start = run.start() + next(i for i, c in enumerate(run[0]) if c.isalnum() and c.isascii() or ord(c) > 127)
+            start = run.start() + next(i for i, c in enumerate(run[0]) if stays(c))
             ends = sum(c in ".!?:;\n\"|" for c in text[:start])
             begins, before = before is None or ends > before, ends
             size = len(word.encode())
-            number = word[0] in "0123456789" and 2 * sum(c in "0123456789" for c in word) >= size
             low = word.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            number = word[0] in "0123456789" and 2 * sum(c in "0123456789" for c in word) >= size or low in decontaminate.NUMBER_WORDS
             unit = self.kinds and self.kinds[-1] == "#number" and low in decontaminate.UNITS
             name = self.NAME.match(word) and not begins and size > 1
             self.words.append(low)
             self.kinds.append("#number" if number else "#unit" if unit else "#name" if name else None)
+            opening.append(self.NAME.match(word) and begins and size > 1 and not number)
+        named = {w for w, k in zip(self.words, self.kinds, strict=True) if k == "#name"}
+        for k, (w, opens) in enumerate(zip(self.words, opening, strict=True)):
+            if opens and w in named and not self.kinds[k]:
+                self.kinds[k] = "#name"
 
     def window(self, at, shape, templated):
         size, free = shape
@@ -659,10 +702,33 @@ def test_reparameterised_questions_are_found(spark):
     assert not any(d >= 1000 for d, _ in found)
 
 
+OTHER_FORMS = {
+    "digits to words": [("60 miles in 2 hours", "seventy miles in four hours"), ("25 km in 3 days", "thirty-six km in nine days")],
+    "opening names": [("5 boxes. Anna asks how many of those that Anna has", "8 boxes. Greta asks how many of those that Greta has"), ("7 days. Hugo says that Hugo", "9 days. Esra says that Esra")],
+    "German": [("20 Kilometer in 3 Stunden", "45 Meilen in 6 Tagen"), ("fünfundzwanzig Euro", "dreißig Dollar")],
+    "French": [("12 kilomètres en deux heures", "40 mètres en cinq jours"), ("vingt litres", "trente grammes")],
+    "Spanish": [("12 kilómetros en dos horas", "40 metros en cinco días"), ("veinte litros", "treinta gramos")],
+    "decimals and currency": [("$3.50 a day or €12", "£4.75 a week or $9"), ("2,5 kg for 3.20 euros", "7.25 lbs for 11 dollars")],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(OTHER_FORMS))
+def test_questions_in_other_forms_are_found(spark, kind):
+    rng, items, docs = random.Random(5), [], []
+    for k in range(20):
+        old, new = OTHER_FORMS[kind][k % 2]
+        said = "a cart that goes from case{k} to place{k} at noon needs {what} for the whole of the way back to field{k} and so to shed{k} again"
+        items.append((k, said.format(k=k, what=old)))
+        docs.append((k, f"some words before it here. {said.format(k=k, what=new)} and some after it"))
+    docs += [(1000 + k, " ".join(rng.choice("the of cart needs for way 12 km back two Anna noon shed field whole".split()) for _ in range(80))) for k in range(20)]
+    found = found_leaks(spark, docs, items)
+    assert len({(k, k) for k in range(20)} & set(found)) >= 18 and not any(d >= 1000 for d, _ in found)
+
+
 def test_leaks_equal_a_plain_matcher(spark):
     rng = random.Random(8)
     items = [(k, asked(rng, PATTERNS[k % 4])[0]) for k in range(12)]
-    items += [(20, "tiny item of five"), (21, "two Words"), (22, "one"), (23, "Anna 12 km"), (24, ""), (25, None), (26, "?!"), (27, "so Anna ran 12 km in 3 hours there"), (28, "Élan was Ägypten 5 kg for him then")]
+    items += [(20, "tiny item of five"), (21, "two Words"), (22, "one"), (23, "Anna 12 km"), (24, ""), (25, None), (26, "?!"), (27, "so Anna ran 12 km in 3 hours there"), (28, "Élan was Ägypten 5 kg for him then"), (29, "Anna pays €12 when Anna walks twenty-five Meilen. Anna sleeps for zwei Stunden"), (30, "the fünfundzwanzig Euro of £3.50")]
     docs = []
     for d in range(120):
         parts = []
