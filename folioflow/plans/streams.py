@@ -49,6 +49,8 @@ def stream_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All links in three batches, the stream ended and started again between them; what the library had is its first state."""
     session = spark.newSession()  # its own setting of the state store
     session.conf.set(*imports.PROVIDER)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
     path, links = new_dir(spark), core.all_links(session, sf_dir)
     last = links.agg(F.max("place")).first()[0] or 0
     known = ingest.admit(links).where("abs(place) % 9 = 1 and canonical_url is not null")
