@@ -341,7 +341,12 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_
     fold, picked among those of at most max_chars code points. Without any, all texts
     that have words score the prior."""
     rows = labelled.one_each(labelled.sample(docs, labels, label, folds, held_out, per_class, max_chars).toPandas())
-    return fit(pa.array(rows["text"], pa.string(), from_pandas=True), rows["label"].to_numpy())
+    texts, truth = pa.array(rows["text"], pa.string(), from_pandas=True), rows["label"].to_numpy()
+    del rows
+    model = fit(texts, truth)
+    del texts
+    labelled.give_back()
+    return model
 
 
 def score_column(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
