@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import textbytes as tb
 from folioflow.llm.skew import look_up
-from folioflow.llm.storage import written
+from folioflow.llm.storage import freeing, written
 
 U = np.uint64
 #: Words in a window; items of fewer words are one window, of plain words only if they have fewer than the second.
@@ -210,7 +210,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int,
                         )
 
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, f"id {kind}, hash bigint, place bigint, slots array<bigint>, size bigint, free bigint, n_words bigint")
+    return given.mapInArrow(freeing(run), f"id {kind}, hash bigint, place bigint, slots array<bigint>, size bigint, free bigint, n_words bigint")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

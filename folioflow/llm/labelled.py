@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +41,3 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
 def one_each(rows: pd.DataFrame) -> pd.DataFrame:
     """Sampled rows by id, one of each: the same rows in the same order on every run."""
     return rows.sort_values(["id", "tie"], kind="stable").drop_duplicates("id").reset_index(drop=True)
-
-
-def give_back() -> None:
-    """Return to the system what a fit has freed; a driver lives on after it and its allocators would keep it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not on every system
-        ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflow.llm import textbytes as tb
 from folioflow.llm.skew import look_up
-from folioflow.llm.storage import written
+from folioflow.llm.storage import freeing, written
 
 U = np.uint64
 #: Code points a key needs, documents that share a key to be dropped.
@@ -159,7 +159,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 )
 
     given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, f"hi bigint, lo bigint, doc {kind}")
+    return given.mapInArrow(freeing(run), f"hi bigint, lo bigint, doc {kind}")
 
 
 def _count(found: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ class LineIndex:
                     if filter_ is not None and len(rows):
                         yield rows.filter(pa.array(filter_.contains(rows.column("hi").to_numpy(zero_copy_only=False).astype(np.int64).view(U))))
 
-        return both.select("shard", "part", "cells", "spare", "hi", "lo", "doc").mapInArrow(probe, f"hi bigint, lo bigint, doc {kind}")
+        return both.select("shard", "part", "cells", "spare", "hi", "lo", "doc").mapInArrow(freeing(probe), f"hi bigint, lo bigint, doc {kind}")
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -359,7 +359,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "
     gone = gone.groupBy(F.col("doc").alias("id")).agg(F.collect_set(F.struct("hi", "lo")).alias("gone")).withColumn("spread", F.lit(0).cast("bigint"))
     joined = given.join(gone, ["id", "spread"], "left").select("id", "text", "rest", F.col("gone.hi").alias("hi"), F.col("gone.lo").alias("lo"))
     fields = StructType([*joined.drop("hi", "lo").schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    out = joined.mapInArrow(_drop, fields)
+    out = joined.mapInArrow(freeing(_drop), fields)
     shown = {id_col: F.col("id"), text_col: F.col("text")} | {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)}
     shown = {c: shown[c] for c in docs.columns} | {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")}
     return out.select(*[v.alias(k) for k, v in shown.items()])

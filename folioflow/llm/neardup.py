@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from folioflow.llm import textbytes as tb
 from folioflow.llm.components import components
 from folioflow.llm.skew import look_up, summed_up
-from folioflow.llm.storage import written
+from folioflow.llm.storage import freeing, written
 
 U = np.uint64
 #: Registers, their scale's base, rate and largest value; bands and registers in each.
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 ["id", "n", "set_a", "set_b", "registers"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, set_a bigint, set_b bigint, registers binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), f"id {kind}, n bigint, set_a bigint, set_b bigint, registers binary")
 
 
 def _set_hashes(hashes: np.ndarray, first: np.ndarray) -> list[pa.Array]:
@@ -134,7 +134,7 @@ def shingle_arrays(docs: DataFrame, words: int, id_col: str = "doc_id", text_col
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *_set_hashes(hashes, first), lists], ["id", "set_a", "set_b", "shingles"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, set_a bigint, set_b bigint, shingles array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), f"id {kind}, set_a bigint, set_b bigint, shingles array<bigint>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
             bands = _bands(_registers(batch.column("registers").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.repeat(np.arange(len(bands)), bands.shape[1]))), pa.array(bands.ravel())], ["id", "bucket"])
 
-    return classes.select("id", "registers").mapInArrow(run, f"id {dict(classes.dtypes)['id']}, bucket bigint")
+    return classes.select("id", "registers").mapInArrow(freeing(run), f"id {dict(classes.dtypes)['id']}, bucket bigint")
 
 
 def _registers(values: list[bytes]) -> np.ndarray:
@@ -170,7 +170,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 yield part.select(["id", "other"]).filter(pa.array(guess >= percent / 100 - MARGIN))
 
     kind = dict(classes.dtypes)["id"]
-    return near.select("id", "other", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(run, f"id {kind}, other {kind}")
+    return near.select("id", "other", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(freeing(run), f"id {kind}, other {kind}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

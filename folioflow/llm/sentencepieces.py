@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioflow.llm import textbytes as tb
+from folioflow.llm.storage import freeing
 
 #: Bytes of text whose distinct parts are searched together, and matrix cells at once.
-CHUNK, CELLS = 1 << 22, 1 << 20
+CHUNK, CELLS, STEP = 1 << 21, 1 << 18, 1 << 18
 U = np.uint64
 
 
@@ -184,10 +185,17 @@ class Codec:
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Ranges of values, one after another."""
-    total = int(counts.sum())
-    shift = np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    return values[np.arange(total) + shift]
+    """Ranges of values, one after another; places are made for about STEP values at a time."""
+    ends = np.cumsum(counts)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    low = done = 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(ends, done + STEP, "right")))
+        last = int(ends[high - 1])
+        shift = np.repeat(starts[low:high] - (ends[low:high] - counts[low:high]), counts[low:high])
+        out[done:last] = values[np.arange(done, last) + shift]
+        low, done = high, last
+    return out
 
 
 def _schema(df: DataFrame, id_col: str, extra: str) -> str:
@@ -228,7 +236,7 @@ def encode_documents(docs: DataFrame, model_path: str, scores: str = "zipf", id_
 
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = _schema(docs, id_col, "n_pieces bigint, pieces array<int>, decoded_sha256 string, round_trip boolean")
-    return out.mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return out.mapInArrow(freeing(encode), schema).withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:

@@ -1,7 +1,10 @@
-"""Tables written in the folder that all executors share."""
+"""Tables written in the folder that all executors share, maps over texts, and memory that is given back."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +15,26 @@ from pyspark.sql.types import StructField, StructType
 from folioflow.sources.scratch import delete, ship, shared_dir, sweep, write_table, written  # noqa: F401  for this subpackage
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; its allocators would keep it as long as it lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every system
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map over batches that gives back at its end what it has freed, as workers live on for the stages that follow."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_texts(docs: DataFrame, fn: Callable[[], Callable], fields: str, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
     """Columns that a map over whole texts adds.
 
@@ -31,7 +54,7 @@ def map_texts(docs: DataFrame, fn: Callable[[], Callable], fields: str, id_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *of(batch.column("text"))], [*carried, *names])
 
-    out = given.mapInArrow(run, schema)
+    out = given.mapInArrow(freeing(run), schema)
     shown = {id_col: F.col("id")} | ({text_col: F.col("text")} if keep else {}) | {c: F.col(f"rest.`{c}`") for c in rest}
     shown = {c: shown[c] for c in docs.columns if c in shown} | {f.name: F.col(n) for n, f in zip(names, added, strict=True)}
     return out.select(*[v.alias(k) for k, v in shown.items()])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import labelled
 from folioflow.llm import textbytes as tb
-from folioflow.llm.storage import map_texts
+from folioflow.llm.storage import give_back, map_texts
 
 #: Words in a window and from one window's start to the next; buckets and widths of the embeddings; units each way.
 WINDOW, STRIDE = 96, 72
@@ -345,7 +345,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_
     del rows
     model = fit(texts, truth)
     del texts
-    labelled.give_back()
+    give_back()
     return model
 
 
