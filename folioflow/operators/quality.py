@@ -80,9 +80,14 @@ def contract_breaches(items: DataFrame, revisions: DataFrame, notes: DataFrame,
     latest = latest_revision(revisions, "title", "summary", "key_points_json")
     points = detail.decoded_points(F.col("key_points_json"))
     longest_point = F.array_max(F.transform(points, lambda p: F.length(p["text"]))).cast("long")
-    latest = latest.select(F.col("item_id").alias("id"), F.col("title").alias("new_title"), F.col("summary").alias("new_summary"), F.size(points).cast("long").alias("n_key_points"), longest_point.alias("longest_key_points"))
-    rows = items.withColumn("bytes", F.col("bytes") if "bytes" in items.columns else F.lit(None).cast("long")).join(latest, "id", "left").join(notes.select(F.col("item_id").alias("id"), F.col("body").alias("note")), "id", "left")
-    rows = rows.withColumns({"title": F.coalesce("new_title", "title"), "summary": F.coalesce("new_summary", "description")})
+    size = lambda column: F.length(column).alias(f"length_{column}")
+    # texts are measured where they are read: only lengths are joined, and neither side of a join is ever sent to the driver with its texts
+    latest = latest.select(F.col("item_id").alias("id"), F.length("title").alias("new_title"), F.length("summary").alias("new_summary"), F.size(points).cast("long").alias("n_key_points"), longest_point.alias("longest_key_points"))
+    size_of = [size(c) for c in ("title", "author") if c in items.columns]
+    own = items.select("id", "status", (F.col("bytes") if "bytes" in items.columns else F.lit(None).cast("long")).alias("bytes"), F.length("description").alias("length_summary"), *size_of)
+    noted = notes.select(F.col("item_id").alias("id"), F.length("body").alias("length_note"))
+    rows = own.join(latest, "id", "left").join(noted.hint("merge"), "id", "left")
+    rows = rows.withColumns({"length_title": F.coalesce("new_title", "length_title"), "length_summary": F.coalesce("new_summary", "length_summary")})
     texts = {place.partition("[]")[0]: place.partition("[]")[2].removeprefix(".") or "text" for place in ENTRY_LIMITS}
     for name, of_list in lists.items():
         if name == "transcript":
@@ -96,7 +101,7 @@ def contract_rules(lists: set[str], columns: list[str]) -> dict[str, Column]:
     """Rules of measured items, by what they are about: lengths of lists, of texts, of lists' entries, and the domains of columns."""
     zero = F.lit(0)
     rules = {name: F.coalesce(f"n_{name}", zero) <= most for name, most in LIST_LIMITS.items() if name in lists}
-    rules |= {name: F.length(F.coalesce(name, F.lit(""))) <= most for name, most in TEXT_LIMITS.items() if name in columns}
+    rules |= {name: F.coalesce(f"length_{name}", zero) <= most for name, most in TEXT_LIMITS.items() if f"length_{name}" in columns}
     rules |= {place: F.coalesce(f"longest_{place.partition('[]')[0]}", zero) <= most for place, most in ENTRY_LIMITS.items() if place.partition("[]")[0] in lists}
     return rules | {"status": F.col("status").isin(*ITEM_STATUSES), "bytes": F.coalesce(F.col("bytes") >= 0, F.lit(True))}
 

@@ -292,6 +292,16 @@ def test_contract(spark):
     assert "collect_list" not in broken._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contract_joins_lengths_only(spark):
+    """Long notes that are small on disk were sent to the driver for a join."""
+    items = frame(spark, [(1, "t" * 161, "d", "ready")], "id long, title string, description string, status string")
+    *_, revisions, _, _, _, _, _, notes = satellites(spark, notes=[(1, "n" * 12_001)])
+    broken = quality.contract_breaches(items, revisions, notes)
+    assert values(broken.select("id", F.array_join("broken", ","))) == [(1, "title,note")]
+    joins = broken._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS length_note#" in joins and "AS note#" not in joins
+
+
 def test_children_of_posts(spark):
     posts = frame(spark, [(1, "x", "99", "u", 3), (2, "x", "98", "v", 1)], "id long, platform string, platform_id string, source_url string, media int")
     got = ingest.child_items(posts).orderBy("medium").collect()
