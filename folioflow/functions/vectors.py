@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ def hamming(a: Column, b: Column) -> Column:
 
 def difference_hash(pixels: Column) -> Column:
     """A 64-bit hash of a 9x8 grey image in rows: a bit for every pixel brighter than its right neighbour."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _brighter(pixels, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int")))
-    return F.conv(F.array_join(bits, ""), 2, -10).cast("long")
+    bits = lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _brighter(p, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int")))
+    return once(pixels, lambda p: F.conv(F.array_join(bits(p), ""), 2, -10).cast("long"))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value made once a row however often `then` looks at it: an expression inside a lambda is made anew for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _brighter(pixels: Column, at: Column) -> Column:

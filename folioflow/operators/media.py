@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.vectors import hamming
 from folioflow.operators.chains import groups
-from folioflow.sources.scratch import written
+from folioflow.sources.scratch import ship, written
 
 # Frames a second up to and beyond this length, bits by which frames are alike, frames kept, batch size, batches, time around a moment.
 SHORT_MS, FAST_MS, SLOW_MS, ALIKE, FRAMES, EVEN, NEAR, BATCH, CALLS, AROUND_MS = 180_000, 500, 2_000, 4, 32, 8, 12, 8, 4, 8_000
@@ -26,8 +30,8 @@ def distinct_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("change", change).where(F.col("change") > ALIKE)
 
 
-#: Bits of a hash, and hashes that may share a band before it is cut further.
-BITS, CROWD = 64, 512
+#: Bits of a hash, hashes of a block, comparisons at a time.
+BITS, CROWD, AT_ONCE = 64, 1 << 14, 1 << 19
 
 
 def _bands(n: int, count: int) -> list[tuple[int, int]]:
@@ -44,23 +48,69 @@ def alike_pairs(hashes: DataFrame, most: int = ALIKE) -> DataFrame:
     """hash, other, bits: all pairs of distinct hashes (hash) that differ in at most so many bits, the smaller first.
 
     Of most + 1 bands two such hashes have one in common, so only hashes that share a band
-    are compared. Where more than CROWD hashes share one, the other bits are cut into
-    most + 1 bands in turn, of which again one must be common.
+    are compared. Hashes that share one are dealt to blocks of about CROWD, and every two
+    blocks meet in a group of their own, so neither a task's memory nor its time grows with
+    a crowded band. A pair counts in the first band that it shares, so none is made twice.
     """
+    ship(hashes.sparkSession)
     own = hashes.select("hash").where("hash is not null").distinct()
     bands = _bands(BITS, most + 1)
     keyed = own.select("hash", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _cut(F.col("hash"), *at).alias("value")) for k, at in enumerate(bands)])).alias("b")).select("hash", "b.*")
     keyed = written(keyed, "bands")
-    crowded = keyed.groupBy("band", "value").count().where(F.col("count") > CROWD).select("band", "value", F.lit(True).alias("crowded"))
-    marked = keyed.join(crowded, ["band", "value"], "left")
-    nothing = F.array(F.struct(F.lit(-1).alias("inner"), F.lit(0).cast("long").alias("rest")))
-    # the bits without the band's, moved together
-    rest = F.coalesce(*[F.when(F.col("band") == k, F.shiftleft(F.shiftrightunsigned("hash", at + n) if at + n < BITS else F.lit(0).cast("long"), at).bitwiseOR(_cut(F.col("hash"), 0, at))) for k, (at, n) in enumerate(bands)])
-    inner = lambda n: F.array(*[F.struct(F.lit(k).alias("inner"), _cut(F.col("left_bits"), *at).alias("rest")) for k, at in enumerate(_bands(BITS - n, most + 1))])
-    finer = F.coalesce(*[F.when(F.col("band") == k, inner(n)) for k, (_, n) in enumerate(bands)])
-    keys = marked.withColumn("left_bits", rest).withColumn("k", F.explode(F.when(F.col("crowded"), finer).otherwise(nothing))).select("hash", "band", "value", "k.inner", "k.rest")
-    pairs = keys.join(keys.withColumnRenamed("hash", "other"), ["band", "value", "inner", "rest"]).where("hash < other")
-    return pairs.select("hash", "other", hamming(F.col("hash"), F.col("other")).cast("long").alias("bits")).where(F.col("bits") <= most).distinct()
+    crowded = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+    blocks = crowded.select("band", "value", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    dealt = keyed.join(blocks, ["band", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.select("hash", "band", "value", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "side")
+    key = ["band", "value", "low", "high"]
+    masks = np.array([((1 << n) - 1) << at for at, n in bands], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in key]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if a == b:
+                    continue
+                at = tuple(int(c[a]) for c in columns)
+                if at != last and last is not None:
+                    yield from _near(last, held, masks, most)
+                    held = []
+                last = at
+                held.append((batch.column("hash").to_numpy()[a:b], batch.column("side").to_numpy()[a:b]))
+        if last is not None:
+            yield from _near(last, held, masks, most)
+
+    # few bytes make much work here, so Spark mustn't join small partitions
+    context = hashes.sparkSession.sparkContext
+    tasks = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
+    return met.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, "hash long, other long, bits long")
+
+
+def _near(at: tuple[int, int, int, int], held: list[tuple[np.ndarray, np.ndarray]], masks: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The alike pairs of a band's two blocks, or of one, that share no earlier band; at: band, value, and the blocks' numbers."""
+    band, _, low, high = at
+    hashes, side = (np.concatenate(c) for c in zip(*held, strict=True))
+    left, right = (hashes, hashes) if low == high else (hashes[side == low], hashes[side == high])
+    rows = max(1, AT_ONCE // max(1, len(right)))
+    found, n_found = [], 0
+    for k in range(0, len(left), rows):
+        # in one block a hash meets those after it only
+        mine, theirs = left[k : k + rows], right[k:] if low == high else right
+        differ = mine.view(np.uint64)[:, None] ^ theirs.view(np.uint64)[None, :]
+        bits = np.bitwise_count(differ)
+        i, j = np.nonzero(bits <= most)
+        if low == high:
+            i, j = i[j > i], j[j > i]
+        kept = np.all((differ[i, j][:, None] & masks[:band]) != 0, axis=1)
+        i, j = i[kept], j[kept]
+        found.append((np.minimum(mine[i], theirs[j]), np.maximum(mine[i], theirs[j]), bits[i, j].astype(np.int64)))
+        n_found += len(i)
+        if n_found and (n_found >= AT_ONCE or k + rows >= len(left)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["hash", "other", "bits"])
+            found, n_found = [], 0
 
 
 def alike_classes(hashes: DataFrame, most: int = ALIKE) -> DataFrame:

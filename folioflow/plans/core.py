@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import pagetext, text, urls
-from folioflow.functions.vectors import difference_hash
+from folioflow.functions.vectors import difference_hash, once
 from folioflow.operators import chains, detail, graph, ingest, jobs, library, media, pages, quality, retrieval, state
 from folioflow.plans.links import expected_sql, links
 from folioflow.sources import demo
@@ -1104,9 +1104,9 @@ def alike_frames(spark, d):
 def alike_coarse(spark, d):
     """Pairs of alike hashes of coarse pictures, of which many share a band."""
     bright = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0.15, 1).otherwise(0))
-    falls = F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.when(F.element_at("g", i) > F.element_at("g", i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
-    hash_ = F.aggregate(falls, F.lit(0).cast("long"), lambda a, x: a + x)
-    return media.alike_pairs(spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(bright, F.slice(bright, 1, 8)).alias("g")).select(hash_.alias("hash")))
+    falls = lambda g: F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.when(F.element_at(g, i) > F.element_at(g, i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
+    hash_ = once(F.concat(bright, F.slice(bright, 1, 8)), lambda g: F.aggregate(falls(g), F.lit(0).cast("long"), lambda a, x: a + x))
+    return media.alike_pairs(spark.read.parquet(f"{d}/embeddings.parquet").select(hash_.alias("hash")))
 
 
 # ---- checks

@@ -195,6 +195,18 @@ def test_alike_hashes(spark, monkeypatch):
     assert all(rows[k].n_alike == sum(h in p[:2] for p in want) for k, h in enumerate(signed)) and rows[len(signed) + 1]["class"] is None
 
 
+def test_alike_hashes_in_blocks(spark, monkeypatch):
+    """Hashes of few bits nearly all share a band: its blocks meet in many tasks, and no pair is shuffled to leave out doubles."""
+    monkeypatch.setattr(media, "CROWD", 64)
+    monkeypatch.setattr(media, "AT_ONCE", 1 << 9)
+    rng = random.Random(7)
+    hashes = sorted({sum({1 << b for b in rng.sample(range(56), 3)}) for _ in range(300)})
+    pairs = media.alike_pairs(spark.createDataFrame([(h,) for h in hashes], "hash long"))
+    assert sorted(map(tuple, pairs.collect())) == [(a, b, (a ^ b).bit_count()) for a in hashes for b in hashes if a < b and (a ^ b).bit_count() <= 4]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and media.CROWD < len(hashes)
+
+
 def test_call_schedule(spark):
     day = datetime(2024, 1, 1)
     at = lambda s: day + timedelta(seconds=s)
