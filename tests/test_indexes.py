@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions.vectors import difference_hash
 from folioflow.functions import pagetext
 from folioflow.functions.text import like_anywhere
 from folioflow.operators import chains, facets, graph, ingest, jobs, media, quality, rankindex, retrieval, vectorindex
@@ -170,6 +171,16 @@ def test_renames_chain(spark):
     assert sorted((tuple(r) for r in merged), key=repr) == sorted([(1, "d"), (2, "q"), (3, "other"), (4, None)], key=repr)
 
 
+def test_renames_stay_off_the_driver(spark):
+    """Renames were broadcast, and so sent to the driver, as long as their files were small."""
+    renames = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a"), ("p", "q")], "tag string, into string")
+    ends = chains.resolve(renames)
+    assert sorted(tuple(r) for r in ends.where("cycle is not null").collect()) == [("a", "a", "a"), ("b", "a", "a"), ("x", "a", "a")]
+    merged = ingest.merge_tags(spark.createDataFrame([(1, "p"), (1, "x")], "item_id long, tag string"), renames)
+    for df in (ends, merged):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_websites_keep_their_paths(spark):
     urls = spark.createDataFrame([("h", "h/a"), ("h", "h/a"), ("h", "h/b"), ("i", "i/")], "host string, url string")
     assert sorted(map(tuple, graph.website_paths(urls).collect())) == [("h", "h/a", 2, 2), ("h", "h/b", 1, 2), ("i", "i/", 1, 1)]
@@ -207,6 +218,14 @@ def test_alike_hashes_in_blocks(spark, monkeypatch):
     assert "Exchange" not in plan.split("MapInArrow")[0] and media.CROWD < len(hashes)
 
 
+def test_pixels_are_made_once(spark):
+    """The pixels' expression stood in the lambda of each bit, and was made for each of them."""
+    hashed = spark.createDataFrame([([0.5 - k % 3 / 10 for k in range(72)],)], "e array<double>").select(difference_hash(F.transform("e", lambda x: F.floor(x * 127.0))).alias("hash"))
+    assert hashed._jdf.queryExecution().optimizedPlan().toString().count("127.0") == 1
+    bits = "".join(str(int((k // 8 * 9 + k % 8) % 3 != 2)) for k in range(64))
+    assert hashed.first().hash & ((1 << 64) - 1) == int(bits, 2)
+
+
 def test_call_schedule(spark):
     day = datetime(2024, 1, 1)
     at = lambda s: day + timedelta(seconds=s)
