@@ -23,7 +23,8 @@ def resolve(renames: DataFrame) -> DataFrame:
     n_open, reach = None, 1
     while True:
         following = steps.select(F.col("tag").alias("at"), F.col("at").alias("after"), F.col("low").alias("low_after"))
-        joined = steps.join(following, "at", "left")
+        # files of such names are far smaller than their rows, so Spark would take them for small enough to send to the driver, each round
+        joined = steps.join(following.hint("merge"), "at", "left")
         is_open = F.col("after").isNotNull()
         further = written(joined.select("tag", F.coalesce("after", "at").alias("at"), F.least("low", "low_after").alias("low"), is_open.alias("open")), "renames")
         still = further.where("open").count()
@@ -37,7 +38,7 @@ def resolve(renames: DataFrame) -> DataFrame:
         return ended
     circling = further.where("open")
     low = circling.select(F.col("tag").alias("at"), F.col("low").alias("cycle"))
-    return ended.unionByName(circling.join(low, "at").select("tag", F.col("cycle").alias("final"), "cycle"))
+    return ended.unionByName(circling.join(low.hint("merge"), "at").select("tag", F.col("cycle").alias("final"), "cycle"))
 
 
 def groups(links: DataFrame) -> DataFrame:

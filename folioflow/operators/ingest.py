@@ -122,7 +122,7 @@ def replace_tags(old: DataFrame, edited: DataFrame, labels: DataFrame) -> DataFr
 def merge_tags(links: DataFrame, renames: DataFrame) -> DataFrame:
     """Links with tags renamed (renames: tag, into) to where their renames end, doubles joined; see chains.resolve for chains, cycles and tags that are renamed twice."""
     ends = resolve(renames).select("tag", "final")
-    return links.join(ends, "tag", "left").select("item_id", F.coalesce("final", "tag").alias("tag")).distinct()
+    return links.join(ends.hint("merge"), "tag", "left").select("item_id", F.coalesce("final", "tag").alias("tag")).distinct()
 
 
 def unique_violations(rows: DataFrame, *keys: str) -> DataFrame:
