@@ -17,17 +17,25 @@ from folioflow.sources.scratch import ship, written
 SHORT_MS, FAST_MS, SLOW_MS, ALIKE, FRAMES, EVEN, NEAR, BATCH, CALLS, AROUND_MS = 180_000, 500, 2_000, 4, 32, 8, 12, 8, 4, 8_000
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys in a set number of tasks. Frames and hashes shrink to few bytes where they are
+    shuffled, so by these bytes Spark would join partitions until a few tasks hold all rows. As many
+    tasks as other shuffles have would be none of its own where rows come from one by the same keys."""
+    session = rows.sparkSession
+    return rows.repartition(max(2 * int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism), *keys)
+
+
 def sample_plan(videos: DataFrame) -> DataFrame:
     """item_id, at_ms: two frames a second up to three minutes, else one in two seconds."""
     step = F.when(F.col("duration_ms") <= SHORT_MS, FAST_MS).otherwise(SLOW_MS).cast("long")
-    return videos.where("duration_ms > 0").select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms") - 1, step)).alias("at_ms"))
+    return dealt(videos.where("duration_ms > 0"), "item_id").select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms") - 1, step)).alias("at_ms"))
 
 
 def distinct_frames(frames: DataFrame) -> DataFrame:
     """Frames (item_id, at_ms, hash) less those that hardly differ from the frame before; change: differing bits (first: 64)."""
     before = F.lag("hash").over(Window.partitionBy("item_id").orderBy("at_ms"))
     change = F.coalesce(hamming(F.col("hash"), before), F.lit(64)).cast("long")
-    return frames.withColumn("change", change).where(F.col("change") > ALIKE)
+    return dealt(frames, "item_id").withColumn("change", change).where(F.col("change") > ALIKE)
 
 
 #: Bits of a hash, hashes of a block, comparisons at a time.
@@ -59,10 +67,10 @@ def alike_pairs(hashes: DataFrame, most: int = ALIKE) -> DataFrame:
     keyed = written(keyed, "bands")
     crowded = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     blocks = crowded.select("band", "value", F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
-    dealt = keyed.join(blocks, ["band", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = dealt.select("hash", "band", "value", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "side")
+    spread = keyed.join(blocks, ["band", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = spread.withColumn("side", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = spread.select("hash", "band", "value", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "side")
     key = ["band", "value", "low", "high"]
     masks = np.array([((1 << n) - 1) << at for at, n in bands], np.uint64)
 
@@ -83,10 +91,7 @@ def alike_pairs(hashes: DataFrame, most: int = ALIKE) -> DataFrame:
         if last is not None:
             yield from _near(last, held, masks, most)
 
-    # few bytes make much work here, so Spark mustn't join small partitions
-    context = hashes.sparkSession.sparkContext
-    tasks = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
-    return met.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, "hash long, other long, bits long")
+    return dealt(met, *key).sortWithinPartitions(*key).mapInArrow(run, "hash long, other long, bits long")
 
 
 def _near(at: tuple[int, int, int, int], held: list[tuple[np.ndarray, np.ndarray]], masks: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
@@ -132,12 +137,12 @@ def select_frames(frames: DataFrame, moments: DataFrame, most: int = FRAMES) ->
     """
     item = Window.partitionBy("item_id")
     low, span = F.min("at_ms").over(item), F.max("at_ms").over(item) - F.min("at_ms").over(item) + 1
-    timed = frames.select("item_id", "at_ms", "change").withColumns({"from": F.col("at_ms") - low, "span": span})
+    near = _near_marked(frames, moments)
+    timed = near.withColumns({"from": F.col("at_ms") - low, "span": span})
     slot = F.floor(F.col("from") * EVEN / F.col("span"))
     timed = timed.withColumn("slot", slot).withColumn("is_even", F.row_number().over(Window.partitionBy("item_id", "slot").orderBy("at_ms")) == 1)
-    marked = timed.join(_nearest(frames, moments).withColumn("near", F.lit(True)), ["item_id", "at_ms"], "left")
-    is_near = F.coalesce("near", F.lit(False)) & ~F.col("is_even")
-    marked = marked.withColumn("turn", F.sum(is_near.cast("int")).over(item.orderBy("at_ms"))).withColumn("is_near", is_near & (F.col("turn") <= NEAR))
+    is_near = F.col("near") & ~F.col("is_even")
+    marked = timed.withColumn("turn", F.sum(is_near.cast("int")).over(item.orderBy("at_ms"))).withColumn("is_near", is_near & (F.col("turn") <= NEAR))
     picked = marked.withColumn("pick", F.when(F.col("is_even"), 0).when(F.col("is_near"), 1).otherwise(2))
     left = F.greatest(F.lit(1), most - F.sum((F.col("pick") < 2).cast("int")).over(item))
     picked = picked.withColumn("bin", F.when(F.col("pick") == 2, F.floor(F.col("from") * left / F.col("span"))))
@@ -147,15 +152,22 @@ def select_frames(frames: DataFrame, moments: DataFrame, most: int = FRAMES) ->
     return picked.withColumn("rank", rank).where(F.col("rank") <= most).select("item_id", "at_ms", F.col("pick").cast("long").alias("pick"))
 
 
-def _nearest(frames: DataFrame, moments: DataFrame) -> DataFrame:
-    """item_id, at_ms of the frames that are the nearest to a moment of their item, the earlier of equals; no pair of both is made."""
-    both = frames.select("item_id", "at_ms", F.col("at_ms").alias("frame")).unionByName(moments.select("item_id", "at_ms", F.lit(None).cast("long").alias("frame")))
+def _near_marked(frames: DataFrame, moments: DataFrame) -> DataFrame:
+    """item_id, at_ms, change, near: frames and whether one is the nearest to a moment of its item, the earlier of equals.
+
+    No pair of both is made, and both are dealt by item once: a moment's row goes on as a mark at
+    its nearest frame's time, which the frames of that time see.
+    """
+    both = frames.select("item_id", "at_ms", "change", F.col("at_ms").alias("frame")).unionByName(moments.select("item_id", "at_ms", F.lit(None).cast("long").alias("change"), F.lit(None).cast("long").alias("frame")))
     order = Window.partitionBy("item_id").orderBy("at_ms", F.col("frame").asc_nulls_last())
     before = F.last("frame", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("frame", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    asked = both.withColumns({"before": before, "after": after}).where("frame is null")
+    met = dealt(both, "item_id").withColumns({"before": before, "after": after})
     earlier = F.col("after").isNull() | (F.col("at_ms") - F.col("before") <= F.col("after") - F.col("at_ms"))
-    return asked.select("item_id", F.when(F.col("before").isNotNull() & earlier, F.col("before")).otherwise(F.col("after")).alias("at_ms")).where("at_ms is not null").distinct()
+    nearest = F.when(F.col("before").isNotNull() & earlier, F.col("before")).otherwise(F.col("after"))
+    met = met.select("item_id", F.when(F.col("frame").isNull(), nearest).otherwise(F.col("at_ms")).alias("at_ms"), "change", "frame")
+    marked = met.withColumn("near", F.max(F.col("frame").isNull()).over(Window.partitionBy("item_id", "at_ms")))
+    return marked.where("frame is not null").select("item_id", "at_ms", "change", "near")
 
 
 def batches(frames: DataFrame, size: int = BATCH, most: int = CALLS) -> DataFrame:

@@ -302,6 +302,17 @@ def test_contract_joins_lengths_only(spark):
     assert "AS length_note#" in joins and "AS note#" not in joins
 
 
+def test_frames_are_dealt_by_item_in_many_tasks(spark):
+    """Frames shrink in a shuffle, and by their bytes Spark joined the partitions until one task held all."""
+    videos = spark.range(400).groupBy(F.col("id").alias("item_id")).agg(F.lit(50_000).cast("long").alias("duration_ms"))
+    frames = media.sample_plan(videos).selectExpr("item_id", "at_ms", "(item_id + at_ms) * 7919 % 1048576 as hash")
+    changing = media.distinct_frames(frames)
+    chosen = media.select_frames(changing, frames.where("at_ms % 5000 = 0").selectExpr("item_id", "at_ms + 100 as at_ms"))
+    for df in (changing, chosen, media.batches(chosen.select("item_id", "at_ms"))):
+        assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert "Join" not in chosen._jdf.queryExecution().executedPlan().toString()
+
+
 def test_children_of_posts(spark):
     posts = frame(spark, [(1, "x", "99", "u", 3), (2, "x", "98", "v", 1)], "id long, platform string, platform_id string, source_url string, media int")
     got = ingest.child_items(posts).orderBy("medium").collect()
