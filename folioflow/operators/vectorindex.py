@@ -31,6 +31,8 @@ from folioflow.sources.scratch import ship, written
 
 #: Vectors that centroids are fitted on at most, cells at most, vectors of a slice, queries at a time, rounds of fitting.
 SAMPLE, CELLS, SLICE, BATCH, ROUNDS = 1 << 14, 1024, 1 << 14, 1024, 12
+#: Queries whose cells are looked up at a time, rows that are handed on at a time, scores that are held at a time.
+ASKED, COPIES, SCORES = 256, 1 << 12, 1 << 20
 #: Digits of a score; the share of the cells that a query looks into.
 DIGITS, SHARE = 6, 0.6
 
@@ -135,20 +137,24 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                units, _ = _units(batch.column("vector"), dim)
-                near = units @ centroids.T
-                nearest = np.argsort(-near, axis=1, kind="stable")[:, :used]
-                wants = np.zeros(near.shape, bool)
-                np.put_along_axis(wants, nearest, True, axis=1)
-                if beyond:
-                    reach = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius[None, :]))
-                    wants = ~wants & (reach >= batch.column("least").to_numpy(zero_copy_only=False)[:, None] - 2 * 10.0**-DIGITS)
-                at, cell = np.nonzero(wants & (slices[None, :] > 0))
-                times = slices[cell]
-                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                at, cell = np.repeat(at, times), np.repeat(cell, times)
-                kept = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("vector"), pa.array(cell, pa.int32()), pa.array(part, pa.int32())], ["id", "vector", "cell", "slice"])
+                for first in range(0, len(batch), ASKED):
+                    some = batch.slice(first, ASKED)
+                    units, _ = _units(some.column("vector"), dim)
+                    near = units @ centroids.T
+                    nearest = np.argsort(-near, axis=1, kind="stable")[:, :used]
+                    wants = np.zeros(near.shape, bool)
+                    np.put_along_axis(wants, nearest, True, axis=1)
+                    if beyond:
+                        reach = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius[None, :]))
+                        wants = ~wants & (reach >= some.column("least").to_numpy(zero_copy_only=False)[:, None] - 2 * 10.0**-DIGITS)
+                    at, cell = np.nonzero(wants & (slices[None, :] > 0))
+                    times = slices[cell]
+                    part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at, cell = np.repeat(at, times), np.repeat(cell, times)
+                    # a query's vector stands in each row, so all rows of a batch at once would be as many copies as cells
+                    for k in range(0, len(at), COPIES):
+                        kept = some.take(pa.array(at[k : k + COPIES]))
+                        yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("vector"), pa.array(cell[k : k + COPIES], pa.int32()), pa.array(part[k : k + COPIES], pa.int32())], ["id", "vector", "cell", "slice"])
 
         return queries.mapInArrow(run, f"id {dict(queries.dtypes)['id']}, vector array<double>, cell int, slice int")
 
@@ -177,9 +183,10 @@ class VectorIndex:
                         found = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
                         held, ids = [], found[0].column("id") if found else None
                         units = _units(found[0].column("vector"), dim)[0] if found else np.zeros((0, dim))
-                    for k in range(0, len(rows), BATCH):
+                    at_once = max(1, min(BATCH, SCORES // max(1, len(units))))
+                    for k in range(0, len(rows), at_once):
                         if len(units):
-                            yield _best_of(rows.slice(k, BATCH), ids, units, top)
+                            yield _best_of(rows.slice(k, at_once), ids, units, top)
 
         spread = both.repartition("cell", "slice").sortWithinPartitions("cell", "slice", "kind")
         return spread.mapInArrow(run, f"query_id {id_type}, id {id_type}, score double")

@@ -171,6 +171,17 @@ def test_renames_chain(spark):
     assert sorted((tuple(r) for r in merged), key=repr) == sorted([(1, "d"), (2, "q"), (3, "other"), (4, None)], key=repr)
 
 
+def test_neighbours_are_handed_on_in_pieces(spark, monkeypatch):
+    """All cells' copies of a batch's queries were made at once. Whatever the pieces' sizes, the neighbours are the same."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(300, 8)))], "id long, vector array<double>")
+    index = VectorIndex.build(spark, new_dir(spark), df)
+    want = sorted(map(tuple, index.neighbours(3).collect()))
+    for name, n in (("ASKED", 7), ("COPIES", 5), ("SCORES", 40)):
+        monkeypatch.setattr(vectorindex, name, n)
+    assert index._wanted(df, 9).count() == 2700 and sorted(map(tuple, index.neighbours(3).collect())) == want
+
+
 def test_renames_stay_off_the_driver(spark):
     """Renames were broadcast, and so sent to the driver, as long as their files were small."""
     renames = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "a"), ("p", "q")], "tag string, into string")
