@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import textbytes as tb
 from folioflow.llm.components import components
-from folioflow.llm.skew import look_up, summed_up
+from folioflow.llm.skew import look_up, parted, summed_up
 from folioflow.llm.storage import freeing, written
 
 U = np.uint64
@@ -316,8 +316,8 @@ def _linked(met: DataFrame, classes: DataFrame, docs: DataFrame, words: int, per
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """id, shingles: the full sets of the documents wanted; of an id's several sets that of smallest hash."""
-    # as a table of its own the ids show how few they are, so that texts aren't shuffled for a small join
-    arrays = shingle_arrays(docs.join(written(wanted, "wanted"), "id", "left_semi"), words, "id").where(F.size("shingles") > 0)
+    # texts that aren't wanted aren't shuffled
+    arrays = shingle_arrays(parted(docs, written(wanted, "wanted"), "id")[1], words, "id").where(F.size("shingles") > 0)
     return arrays.groupBy("id").agg(F.min_by("shingles", F.struct("set_a", "set_b")).alias("shingles"))
 
 

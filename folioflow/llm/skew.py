@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+#: Words of 64 bits in the filter of `parted`: 1 MB, however many its ids are.
+WORDS = 1 << 17
 
 
 def _dealt(rows: DataFrame, by: str) -> DataFrame:
@@ -38,3 +40,21 @@ def summed_up(rows: DataFrame, key: str, by: str, sums: dict[str, tuple[Column,
     over = Window.partitionBy(key)
     whole = parts.select(key, "salt", *[then(F.col(name)).over(over).alias(name) for name, (_, then) in sums.items()]).where(keep)
     return dealt.join(whole.hint("merge"), [key, "salt"]).drop("salt")
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is none of ids (the key alone, no nulls), and those whose key is one.
+
+    A filter of fixed size says of most of the former that they can't be: a bit for each hash.
+    They stay where they are, and only the rest, which then meets the ids, is shuffled. ids is
+    read three times and should be written.
+    """
+    hashed = F.xxhash64(key)
+    word, bit = F.pmod(hashed, F.lit(WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    given = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(key), word.alias("word"), bit.alias("bit"))
+    met = given.join(F.broadcast(bits), "word", "left")
+    maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    near = met.where(maybe).select("row", key)
+    out = met.where(~maybe).select("row").unionByName(near.join(ids, key, "left_anti").select("row"))
+    return out.select("row.*"), near.join(ids, key, "left_semi").select("row.*")

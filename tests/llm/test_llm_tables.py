@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import ODD, drop_lines, held_by_hand, linked, odd
 
 import corpus_pipeline
-from folioflow.llm import fingerprint, queries, sentencepieces, storage, tokencount, toxicity
+from folioflow.llm import fingerprint, queries, sentencepieces, skew, storage, tokencount, toxicity
 from folioflow.llm import textbytes as tb
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -258,6 +258,33 @@ def test_near_duplicates_of_repeated_ids(spark, small):
     assert {(1, one), (2, two), (4, "x"), (None, "x")} <= set(got) and got.count((2, two)) == got.count((4, "x")) == 1 and got.count((None, "x")) == 2
 
 
+def test_near_duplicates_leave_texts_in_place(spark, small, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 60, 1200).tolist())) for _ in range(200)]
+    rows = [*enumerate(texts), (300, texts[7]), (301, texts[8] + " more"), (None, texts[9])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    frame = spark.read.parquet(f"{tmp_path}/docs")
+    sent = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite())[1]
+    was, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), sent()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = kept_rows(STAGES["near_duplicates"], spark, frame)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == sorted([*enumerate(texts), (None, texts[9])], key=repr)
+    assert sent() - before < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("words", [1, 1 << 17])
+def test_rows_parted_by_ids(spark, monkeypatch, words):
+    monkeypatch.setattr(skew, "WORDS", words)  # with one word the filter rules little out
+    rows = spark.createDataFrame([(k if k < 300 else None, k, "x") for k in range(303)], "`id` long, `a.b` long, word string")
+    without, within = skew.parted(rows, spark.createDataFrame([(k,) for k in [*range(0, 300, 3), 999]], "id long"), "id")
+    assert without.columns == within.columns == rows.columns
+    assert sorted(r[1] for r in within.collect()) == list(range(0, 300, 3))
+    assert sorted(r[1] for r in without.collect()) == [k for k in range(303) if k >= 300 or k % 3]
+
+
 def test_written_tables_are_swept(spark):
     storage.sweep(spark)
     kept = storage.written(spark.range(5), "five")
