@@ -1,13 +1,15 @@
 """Keyword search by a stored index of positional trigrams.
 
 A text's trigrams are three neighbouring code points (A-Z folded) and the places at which
-they stand. They are stored in folders by the trigram's hash, each row a trigram's places in
-one text. A query's literal pieces are covered by trigrams: a piece stands where all of
-these do, each at its distance, so intersecting the places of a few trigrams finds it
-without a look at any text. Parts between the query's wildcards (% any text, _ one code
-point) must follow one another. Texts are read for candidates only, and only where a piece
-is shorter than a trigram or a part has a _ at its edge; a query without any trigram is
-looked for in all texts.
+they stand. Texts are taken in blocks of about BLOCK code points, one after another, and a
+row has a trigram's places in a block, as distances of 7 bits a byte; a further row names the
+block's texts and their ends. Each task stores its blocks in folders by the trigram's hash,
+so that nothing is shuffled and a place takes about two bytes. A query's literal pieces are
+covered by trigrams: a piece stands where all of these do, each at its distance, so
+intersecting the places of a few trigrams finds it without a look at any text. Parts between
+the query's wildcards (% any text, _ one code point) must follow one another, in one text.
+Texts are read for candidates only, and only where a piece is shorter than a trigram or a
+part has a _ at its edge; a query without any trigram is looked for in all texts.
 
 The index changes by segments: add() writes one with the new texts, remove() the ids that are
 gone; a text counts if its item wasn't removed after it was added.
@@ -17,19 +19,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from folioflow.functions.text import like_anywhere
 from folioflow.sources.scratch import ship
 
-#: Folders of an index.
-PARTS = 16
+#: Folders of an index, the one after them for names; code points of a block.
+PARTS, BLOCK = 16, 1 << 20
 #: Bits of a code point.
 _BITS = 21
 
@@ -92,12 +94,11 @@ class TextIndex:
         ship(self.spark)
         at = self.version + 1
         texts = texts.where("body is not null").select("item_id", "unit", "body")
-        texts.withColumn("part", _folder(F.xxhash64("item_id"))).hint("rebalance", "part").sortWithinPartitions("part", "item_id").write.partitionBy("part").parquet(f"{self.path}/texts/version={at}")
-        schema = StructType([texts.schema["item_id"], texts.schema["unit"], StructField("gram", LongType()), StructField("places", ArrayType(IntegerType()))])
-        grams = texts.mapInArrow(_trigrams, schema).withColumn("part", _folder(F.col("gram")))
-        # a frequent trigram's rows are split among tasks by their size
-        grams.hint("rebalance", "part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{self.path}/grams/version={at}")
-        return replace(self, version=at, types=(dict(texts.dtypes)["item_id"], dict(texts.dtypes)["unit"]))
+        texts.withColumn("part", _folder(F.xxhash64("item_id"))).sortWithinPartitions("part", "item_id").write.partitionBy("part").parquet(f"{self.path}/texts/version={at}")
+        types = dict(texts.dtypes)["item_id"], dict(texts.dtypes)["unit"]
+        blocks = texts.mapInArrow(partial(_blocks, size=BLOCK), f"{_GRAMS.format(*types)}, part int")
+        blocks.sortWithinPartitions("part", "gram").write.partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/grams/version={at}")
+        return replace(self, version=at, types=types)
 
     def remove(self, items: DataFrame) -> TextIndex:
         """The index without all texts that these items (item_id) have so far."""
@@ -129,64 +130,122 @@ class TextIndex:
         wanted = sorted({g for p in parts for _, g in p.grams()})
         folders = sorted({g % PARTS for g in wanted})
         rows = self._grams.where(F.col("part").isin(*folders) & F.col("gram").isin(*wanted))
-        places = {g: F.first(F.when(F.col("gram") == g, F.col("places")), ignorenulls=True).alias(f"g{k}") for k, g in enumerate(wanted)}
-        texts = rows.groupBy("item_id", "unit").agg(F.count("*").alias("n"), *places.values()).where(F.col("n") == len(wanted))
-        name = {g: f"g{k}" for k, g in enumerate(wanted)}
-        # the parts with their places; each must stand at or after the end of the one before
-        found = F.array(*[F.struct(reduce(F.array_intersect, [_moved(name[g], offset) for offset, g in p.grams()]).alias("starts"), F.lit(p.length).alias("n")) for p in parts if p.grams()])
-        nowhere = F.lit(1 << 30)
-        end = F.aggregate(found, F.lit(0), lambda at, p: F.coalesce(F.array_min(F.filter(p["starts"], lambda x: x >= at)) + p["n"], nowhere))
-        return texts.where(end < nowhere).select("item_id", "unit", _folder(F.xxhash64("item_id")).alias("part"))
+        held = rows.groupBy("version", "block").agg(F.collect_list(F.struct("gram", "places")).alias("held")).where(F.size("held") == len(wanted))
+        names = self._grams.where(F.col("part") == PARTS).select("version", "block", "item_ids", "units", "ends")
+        needed = [(p.length, p.grams()) for p in parts if p.grams()]
+        found = held.join(names, ["version", "block"]).select("held", "item_ids", "units", "ends", "version")
+        found = found.mapInArrow(partial(_found, needed=needed), f"item_id {self.types[0]}, unit {self.types[1]}, version int")
+        return self._counting(found).select("item_id", "unit", _folder(F.xxhash64("item_id")).alias("part"))
 
     @cached_property
     def _texts(self) -> DataFrame:
-        return self._live("texts")
+        return self._counting(self._stored("texts"))
 
     @cached_property
     def _grams(self) -> DataFrame:
-        return self._live("grams")
+        return self._stored("grams")
 
-    def _live(self, table: str) -> DataFrame:
-        """A table's rows of the texts that count; its files are listed once."""
+    def _stored(self, table: str) -> DataFrame:
+        """A table's rows up to this version; its files are listed once."""
+        own = f"item_id {self.types[0]}, unit {self.types[1]}, body string" if table == "texts" else _GRAMS.format(*self.types)
+        schema = f"{own}, version int, part int"
         if self.version < 0:
-            return self.spark.createDataFrame([], self._schema(table))
-        rows = self.spark.read.schema(self._schema(table)).parquet(f"{self.path}/{table}").where(F.col("version") <= self.version)
-        if self.removed:
-            gone = self.spark.read.schema(f"item_id {self.types[0]}, version int").option("basePath", f"{self.path}/removed").parquet(*[f"{self.path}/removed/version={v}" for v in self.removed])
-            last = gone.groupBy("item_id").agg(F.max("version").alias("since"))
-            rows = rows.join(last, "item_id", "left").where("since is null or version > since").drop("since")
-        return rows
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}").where(F.col("version") <= self.version)
 
-    def _schema(self, table: str) -> str:
-        own = "body string" if table == "texts" else "gram long, places array<int>"
-        return f"item_id {self.types[0]}, unit {self.types[1]}, {own}, version int, part int"
+    def _counting(self, rows: DataFrame) -> DataFrame:
+        """The rows (item_id, version) of the texts that count."""
+        if not self.removed:
+            return rows
+        gone = self.spark.read.schema(f"item_id {self.types[0]}, version int").option("basePath", f"{self.path}/removed").parquet(*[f"{self.path}/removed/version={v}" for v in self.removed])
+        last = gone.groupBy("item_id").agg(F.max("version").alias("since"))
+        return rows.join(last, "item_id", "left").where("since is null or version > since").drop("since")
 
 
-def _moved(places: str, by: int) -> Column:
-    return F.transform(places, lambda x: x - F.lit(by))
+#: A row has a trigram's places in a block, or (in the folder of names) the block's texts.
+_GRAMS = "block long, gram long, places binary, item_ids array<{}>, units array<{}>, ends array<int>"
 
 
 def _folder(hashed: Column) -> Column:
     return F.pmod(hashed, F.lit(PARTS)).cast("int")
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct trigram of each text, with its places."""
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of texts (item_id, unit, body): a row for each distinct trigram, and one of names."""
+    block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        texts, grams, counts, places = [], [], [], []
-        for k, body in enumerate(batch.column("body").to_pylist()):
-            packed = _packed(_code_points(body)) if len(body) >= 3 else np.zeros(0, np.int64)
-            order = np.argsort(packed, kind="stable")
-            found, first, n = np.unique(packed[order], return_index=True, return_counts=True)
-            texts.append(np.full(len(found), k))
-            grams.append(found)
-            counts.append(n)
-            places.append(order.astype(np.int32))
-            if sum(map(len, places)) > 1 << 20 or k == len(batch) - 1:
-                at, ends = pa.array(np.concatenate(texts)), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("item_id").take(at), batch.column("unit").take(at), pa.array(np.concatenate(grams), pa.int64()), lists], ["item_id", "unit", "gram", "places"])
-                texts, grams, counts, places = [], [], [], []
+        codes, length, first = [], 0, 0
+        for k, body in enumerate(batch.column("body")):
+            codes.append(_code_points(body.as_py()))
+            length += len(codes[-1])
+            if length >= size or k == len(batch) - 1:
+                yield _block(block, codes, batch.slice(first, k + 1 - first))
+                block, codes, length, first = block + 1, [], 0, k + 1
+
+
+def _block(block: int, codes: list[np.ndarray], texts: pa.RecordBatch) -> pa.RecordBatch:
+    lengths = np.array([len(c) for c in codes])
+    ends = np.cumsum(lengths)
+    packed = _packed(np.concatenate(codes)) if ends[-1] >= 3 else np.zeros(0, np.int64)
+    places = np.flatnonzero(np.arange(3, len(packed) + 3) <= np.repeat(ends, lengths)[: len(packed)])  # within a text
+    packed = packed[places]
+    order = np.argsort(packed, kind="stable")
+    packed, places = packed[order], places[order]
+    first = np.flatnonzero(np.diff(packed, prepend=-1))
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    data, at = _bytes_of(steps)
+    n, nothing = len(first), lambda kind, k: pa.nulls(k, pa.list_(kind))
+    held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(at[first], len(data)).astype(np.int32)), pa.py_buffer(data)])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    named = [one(texts.column("item_id")), one(texts.column("unit")), one(pa.array(ends, pa.int32()))]
+    columns = {
+        "block": pa.array(np.full(n + 1, block)),
+        "gram": pa.array(np.append(packed[first], -1)),
+        "places": pa.concat_arrays([held, pa.nulls(1, pa.binary())]),
+        **{name: pa.concat_arrays([nothing(c.type.value_type, n), c]) for name, c in zip(("item_ids", "units", "ends"), named, strict=True)},
+        "part": pa.array(np.append(packed[first] % PARTS, PARTS), pa.int32()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _bytes_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 as bytes of 7 bits, lowest first, all but a number's last with the top bit; and where each starts."""
+    sizes = np.ones(len(numbers), np.int64)
+    for bits in (7, 14, 21, 28):
+        sizes += numbers >= 1 << bits
+    starts = np.cumsum(sizes) - sizes
+    data = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        on = sizes > k
+        data[starts[on] + k] = (numbers[on] >> 7 * k & 127) | np.where(sizes[on] > k + 1, 128, 0)
+    return data, starts
+
+
+def _numbers_of(data: bytes) -> np.ndarray:
+    of = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(of < 128)
+    starts = np.append(0, ends[:-1] + 1)
+    shift = np.arange(len(of)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((of & 127).astype(np.int64) << 7 * shift, starts)
+
+
+def _found(batches: Iterator[pa.RecordBatch], needed: list[tuple[int, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
+    """The texts of blocks (held, item_ids, units, ends, version) in which the parts (length, trigrams at offsets) stand one after another."""
+    for batch in batches:
+        for k in range(len(batch)):
+            of = {row["gram"]: np.cumsum(_numbers_of(row["places"])) for row in batch.column("held")[k].as_py()}
+            ends = batch.column("ends")[k].values.to_numpy()
+            # where each text is passed so far; a place that isn't there lies behind all texts
+            at, out = np.append(0, ends[:-1]).astype(np.int64), np.int64(1) << 40
+            for length, grams in needed:
+                starts = reduce(partial(np.intersect1d, assume_unique=True), [of[gram] - offset for offset, gram in grams])
+                starts = np.append(starts, out)
+                at = starts[np.minimum(np.searchsorted(starts, at), len(starts) - 1)] + length
+                at[at > ends] = out
+            on = pa.array(np.flatnonzero(at <= ends))
+            names = [batch.column(c)[k].values.take(on) for c in ("item_ids", "units")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(on), batch.column("version")[k].as_py()), pa.int32())], ["item_id", "unit", "version"])
 
 
 def library_texts(items: DataFrame, chunks: DataFrame) -> DataFrame:

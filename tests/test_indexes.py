@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.vectors import difference_hash
 from folioflow.functions import pagetext
 from folioflow.functions.text import like_anywhere
-from folioflow.operators import chains, facets, graph, ingest, jobs, media, quality, rankindex, retrieval, vectorindex
+from folioflow.operators import chains, facets, graph, ingest, jobs, media, quality, rankindex, retrieval, textindex, vectorindex
 from folioflow.operators.rankindex import RankIndex
 from folioflow.operators.textindex import TextIndex, pieces
 from folioflow.operators.vectorindex import VectorIndex
@@ -45,6 +45,27 @@ def test_text_index_equals_like(spark, tmp_path):
     assert index.search(items, "  ").count() == 20 and index.search(items, "%").count() == len({i for i, _, t in rows if t is not None and i < 20})
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_text_index_in_blocks(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(textindex, "BLOCK", size)
+    rows = [(1, "a", "xxabc"), (2, "b", "defyy"), (2, "c", ""), (3, "d", "ab"), (4, "e", "cdef abcdef"), (5, "f", "abc--def"), (5, "g", "x" * 300 + "abc"), *((9 + i, u, t) for i, u, t in random_texts(8, 60))]
+    index = TextIndex(spark, str(tmp_path)).add(spark.createDataFrame(rows, "item_id long, unit string, body string").coalesce(1))
+    for query in ["abcdef", "abc%def", "abc__def", "xabc", "_abcdef", "abc_", *QUERIES[:3]]:
+        assert sorted(r.item_id for r in index.hits(query).collect()) == sorted({i for i, _, t in rows if like(t, query)}), query
+
+
+def test_text_index_is_small_and_not_shuffled(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(k, "u", " ".join(rng.choices(words, k=4000))) for k in range(60)]
+    texts = spark.createDataFrame(rows, "item_id long, unit string, body string")
+    sent = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite())[1]
+    before = sent()
+    TextIndex(spark, str(tmp_path)).add(texts)
+    stored, n = sum(f.stat().st_size for f in (tmp_path / "grams").rglob("*.parquet")), sum(len(t) for *_, t in rows)
+    assert sent() - before < n / 10 and stored < 2.5 * n
+
+
 def test_text_index_changes(spark, tmp_path):
     of = lambda *rows: spark.createDataFrame(rows, "item_id string, unit string, body string")
     hits = lambda index, q: sorted(r.item_id for r in index.hits(q).collect())
