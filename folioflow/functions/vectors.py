@@ -28,8 +28,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 def difference_hash(pixels: Column) -> Column:
     """A 64-bit hash of a 9x8 grey image in rows: a bit for every pixel brighter than its right neighbour."""
-    bits = lambda p: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _brighter(p, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int")))
-    return once(pixels, lambda p: F.conv(F.array_join(bits(p), ""), 2, -10).cast("long"))
+    left = F.array(*[F.lit(row * 9 + k) for row in range(8) for k in range(1, 9)])
+    return once(pixels, lambda p: F.aggregate(left, F.lit(0).cast("long"), lambda bits, at: F.shiftleft(bits, 1).bitwiseOR(_brighter(p, at))))
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -38,4 +38,4 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _brighter(pixels: Column, at: Column) -> Column:
-    return F.when(F.element_at(pixels, at) > F.element_at(pixels, at + 1), "1").otherwise("0")
+    return F.when(F.element_at(pixels, at) > F.element_at(pixels, at + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))

@@ -120,6 +120,7 @@ def _near(at: tuple[int, int, int, int], held: list[tuple[np.ndarray, np.ndarray
 
 def alike_classes(hashes: DataFrame, most: int = ALIKE) -> DataFrame:
     """id, hash, class, n_alike of hashes (id, hash): class is the smallest hash that alike hashes lead to, n_alike the number of other hashes that are alike. A null hash is alike to nothing."""
+    hashes = written(hashes.select("id", "hash"), "hashes")  # else they are made again for the result
     pairs = written(alike_pairs(hashes, most), "alike")
     of = groups(pairs.select(F.col("hash").alias("id"), "other")).withColumnsRenamed({"id": "hash", "group": "class"})
     ends = pairs.select("hash").unionByName(pairs.select(F.col("other").alias("hash"))).groupBy("hash").agg(F.count("*").alias("n_alike"))

@@ -261,6 +261,13 @@ def test_alike_hashes_in_blocks(spark, monkeypatch):
     assert "Exchange" not in plan.split("MapInArrow")[0] and media.CROWD < len(hashes)
 
 
+def test_hashes_are_made_once_for_classes(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (2, 3), (3, -1), (4, None)], "id long, hash long").write.parquet(f"{tmp_path}/given")
+    out = media.alike_classes(spark.read.parquet(f"{tmp_path}/given"))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0, 1), (2, 3, 0, 1), (3, -1, -1, 0), (4, None, None, 0)]
+    assert "/given" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pixels_are_made_once(spark):
     """The pixels' expression stood in the lambda of each bit, and was made for each of them."""
     hashed = spark.createDataFrame([([0.5 - k % 3 / 10 for k in range(72)],)], "e array<double>").select(difference_hash(F.transform("e", lambda x: F.floor(x * 127.0))).alias("hash"))
