@@ -18,6 +18,7 @@ Labels, language, source and ids are never inputs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import labelled
 from folioflow.llm import textbytes as tb
-from folioflow.llm.storage import give_back, map_texts
+from folioflow.llm.storage import freeing, map_texts
 
 #: Words in a window and from one window's start to the next; buckets and widths of the embeddings; units each way.
 WINDOW, STRIDE = 96, 72
@@ -339,14 +340,24 @@ def _subset(words: Words, at: np.ndarray) -> Words:
 def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS, folds: int = FOLDS, held_out: int = HELD_OUT, max_chars: int = MAX_FIT_CHARS) -> dict[str, np.ndarray]:
     """A model of at most per_class labelled documents of each class outside the held-out
     fold, picked among those of at most max_chars code points. Without any, all texts
-    that have words score the prior."""
-    rows = labelled.one_each(labelled.sample(docs, labels, label, folds, held_out, per_class, max_chars).toPandas())
-    texts, truth = pa.array(rows["text"], pa.string(), from_pandas=True), rows["label"].to_numpy()
-    del rows
-    model = fit(texts, truth)
-    del texts
-    give_back()
-    return model
+    that have words score the prior.
+
+    One task fits it on this sample, whose size is bounded; the driver gets the model alone."""
+    rows = labelled.sample(docs, labels, label, folds, held_out, per_class, max_chars).select("id", "tie", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (given := list(batches)):
+            return
+        given = pa.Table.from_batches(given)
+        order = labelled.one_each(given.select(["id", "tie", "label"]).to_pandas().assign(at=np.arange(len(given))))
+        texts = given.column("text").combine_chunks().take(pa.array(order["at"].to_numpy()))
+        del given
+        for name, values in fit(texts, order["label"].to_numpy()).items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())], ["name", "shape", "data"])
+
+    found = rows.repartition(1).mapInArrow(freeing(run), "name string, shape array<int>, data binary").collect()
+    model = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in found}
+    return model or fit(pa.array([], pa.string()), np.zeros(0))
 
 
 def score_column(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
