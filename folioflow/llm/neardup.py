@@ -266,25 +266,25 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     apart = _apart(known, found)
     for turn in range(ROUNDS):
         large = apart.where(F.col("size") > WIDE)
-        if not large.limit(1).count():
+        if large.isEmpty():
             break
         # a member outside the first component leads, another in each round
         candidate = F.when(F.col("component") != F.col("low"), F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id"), F.col("component")))
         led = summed_up(large, "bucket", "id", {"leader": (F.min(candidate), F.min)}, F.col("leader").isNotNull())
         new = _linked(led.where(F.col("component") != F.col("leader.component")).select("id", F.col("leader.id").alias("other")), classes, docs, words, percent)
-        if not new.limit(1).count():
+        if new.isEmpty():
             break
         links = links.unionByName(new)
         found = components(links)
         apart = _apart(apart.select("id", "bucket", "n"), found)
-    if apart.limit(1).count():
+    if not apart.isEmpty():
         sets = written(_sets_of(docs, apart.select("id").distinct(), words), "sets")
         # shingles that one member alone has, in all buckets
         alone = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("holders")).where("holders = 1")
         able = _able(apart, alone.groupBy("id").agg(F.count("*").alias("own")), found, percent)
         # in large ones, those that one component alone has
         wide = able.where(F.col("size") > WIDE)
-        if wide.limit(1).count():
+        if not wide.isEmpty():
             shingles = sets.join(wide.select("id", "component").distinct(), "id").select("id", "component", F.explode("shingles").alias("shingle"))
             within = shingles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high").select("shingle")
             own = shingles.join(within, "shingle").groupBy("id").agg(F.count("*").alias("own"))
@@ -302,7 +302,7 @@ def _one_set_each(full: DataFrame) -> DataFrame:
     """The rows without those of ids that have several sets, but for each such id's set of smallest hash."""
     of_id = full.groupBy("id").agg(F.min(F.struct("set_a", "set_b")).alias("least"), F.max(F.struct("set_a", "set_b")).alias("most"))
     several = written(of_id.where("least <> most").select("id", "least"), "several")
-    if not several.limit(1).count():
+    if several.isEmpty():
         return full
     return look_up(full, several, "id", by="set_a", how="left").where("least is null or (least.set_a = set_a and least.set_b = set_b)").drop("least")
 
@@ -327,8 +327,8 @@ def _able(members: DataFrame, own: DataFrame, found: DataFrame, percent: int) ->
     # two sets of n and m share n - own shingles at most, and the other's own ones come on top
     counted = summed_up(counted, "bucket", "id", {"fewest": (F.min("own"), F.min)}, F.lit(True)).withColumn("common", F.col("n") - F.col("own"))
     left = counted.where(100 * F.col("common") >= percent * (F.col("n") + F.col("fewest")))
-    # members set aside can leave a bucket with one component
-    return _apart(left.select("id", "bucket", "n", "common"), found)
+    # members set aside can leave a bucket with one component; written, as the summaries there read it twice
+    return _apart(written(left.select("id", "bucket", "n", "common"), "left"), found)
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:

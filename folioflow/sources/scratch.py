@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
@@ -28,10 +30,28 @@ def new_dir(spark: SparkSession) -> str:
     return path
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """Have the driver's JVM return to the system the native memory that it has freed, and its report.
+
+    Of what native code frees the C library keeps a part, and more the longer a session lasts.
+    None where the JVM doesn't have this command.
+    """
+    with contextlib.suppress(Py4JError):
+        jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+        named, kinds, given = jvm.java.lang.Class.forName, new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(beans, given)
+    return None
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read back, and the folder, for delete()."""
     path = new_dir(df.sparkSession)
     df.write.parquet(f"{path}/{name}")
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}"), path
 
 

@@ -15,6 +15,7 @@ from folioflow.llm import (
     chat, components, decontaminate, fingerprint, labelled, linededup, neardup, quality, queries, secretscan, sentencepieces, tokencount, toxicity,
 )
 from folioflow.llm import textbytes as tb
+from folioflow.sources import scratch
 
 #: Null and empty texts, repeated rows, ties, a null id, other letters and a very long text.
 ODD = [
@@ -447,6 +448,27 @@ def test_near_duplicates_with_one_large_bucket(spark, monkeypatch):
     assert sum(met) == 0  # of some 400,000 in large buckets: shown by the shingles alone
 
 
+def test_driver_gives_back_what_its_jvm_has_freed(spark, monkeypatch):
+    reports, trim = [], scratch.trim_driver
+    monkeypatch.setattr(scratch, "trim_driver", lambda s: reports.append(trim(s)))
+    assert scratch.written(spark.range(3), "three").count() == 3
+    assert len(reports) == 1
+    assert reports[0] is None or reports[0].startswith("Trim native heap")  # None: not on this JVM
+
+
+def test_near_duplicates_that_can_meet_are_found_in_a_short_plan(spark):
+    own = spark.range(40).select("id", F.explode(F.sequence(F.lit(1), F.col("id") % 3 + 1)).alias("k")).groupBy("id").agg(F.count("*").alias("own"))
+    members = scratch.written(spark.range(40).selectExpr("id", "id % 2 as bucket", "10l as n", "id as component", "id % 2 as low", "20l as size"), "members")
+    found, context = scratch.written(spark.range(40).selectExpr("id", "id as component"), "found"), spark.sparkContext
+    context.setJobGroup("able", "able")
+    able = neardup._able(members, own, found, 80)
+    context.setJobGroup("", "")
+    assert sorted((r.id, r.common, r.size) for r in able.collect()) == [(i, 9, 7) for i in range(0, 40, 3)]
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("able") for s in tracker.getJobInfo(j).stageIds]
+    assert len(stages) <= 30, len(stages)
+
+
 def test_near_duplicates_of_one_id_with_two_texts(spark):
     one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
     rows = [(5, one), (5, two), (5, one), (3, one + " x"), (4, two + " x"), (9, two)]
