@@ -27,8 +27,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def difference_hash(pixels: Column) -> Column:
-    """A 64-bit hash of a 9x8 grey image in rows: a bit for every pixel brighter than its right neighbour."""
-    left = F.array(*[F.lit(row * 9 + k) for row in range(8) for k in range(1, 9)])
+    """A 64-bit hash of a 9x8 grey image in rows: a bit for every pixel brighter than its right neighbour. Pixels that are null or missing give none."""
+    left = F.array(*[F.lit(row * 9 + k) for row in range(8) for k in range(8)])
     return once(pixels, lambda p: F.aggregate(left, F.lit(0).cast("long"), lambda bits, at: F.shiftleft(bits, 1).bitwiseOR(_brighter(p, at))))
 
 
@@ -38,4 +38,4 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _brighter(pixels: Column, at: Column) -> Column:
-    return F.when(F.element_at(pixels, at) > F.element_at(pixels, at + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.when(F.get(pixels, at) > F.get(pixels, at + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))

@@ -1074,7 +1074,10 @@ _GREY = "list_transform(embedding[1:64], lambda x: floor((x + 1) * 127)) AS p"
 
 @query("image_hash", f"SELECT vec_id, (list_sum(list_transform(range(64), lambda i: CASE WHEN g[(i // 8 * 9 + i % 8 + 1)::INT] > g[(i // 8 * 9 + i % 8 + 2)::INT] THEN (2::HUGEINT ** (63 - i))::HUGEINT ELSE 0 END)) - CASE WHEN g[1] > g[2] THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS hash FROM (SELECT vec_id, p || p[1:8] AS g FROM (SELECT vec_id, {_GREY} FROM embeddings))")
 def image_hash(spark, d):
-    pixels = F.transform(F.slice("embedding", 1, 64), lambda x: F.floor((x + 1) * 127))
+    """Brightness is reckoned in the table's single precision, whatever numbers the session would widen to: at a whole number, double precision falls on its other side."""
+    light = F.transform(F.slice("embedding", 1, 64), lambda x: (x + F.lit(1).cast("float")) * F.lit(127).cast("float"))
+    # beyond 2**24 single precision holds whole numbers only, and NaN and infinity have no floor that is one
+    pixels = F.transform(light, lambda y: F.when(F.abs(y) < 1 << 24, F.floor(y).cast("float")).otherwise(y))
     row = F.concat(pixels, F.slice(pixels, 1, 8))
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", difference_hash(row).alias("hash"))
 
@@ -1103,8 +1106,8 @@ def alike_frames(spark, d):
 )
 def alike_coarse(spark, d):
     """Pairs of alike hashes of coarse pictures, of which many share a band."""
-    bright = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0.15, 1).otherwise(0))
-    falls = lambda g: F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.when(F.element_at(g, i) > F.element_at(g, i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bright = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > F.lit(0.15).cast("float"), 1).otherwise(0))
+    falls = lambda g: F.transform(F.sequence(F.lit(1), F.lit(56)), lambda i: F.when(F.try_element_at(g, i) > F.try_element_at(g, i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int"))).otherwise(F.lit(0).cast("long")))
     hash_ = once(F.concat(bright, F.slice(bright, 1, 8)), lambda g: F.aggregate(falls(g), F.lit(0).cast("long"), lambda a, x: a + x))
     return media.alike_pairs(spark.read.parquet(f"{d}/embeddings.parquet").select(hash_.alias("hash")))
 

@@ -7,6 +7,9 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from folioflow.operators import chains, facets, graph, ingest, jobs, media, qual
 from folioflow.operators.rankindex import RankIndex
 from folioflow.operators.textindex import TextIndex, pieces
 from folioflow.operators.vectorindex import VectorIndex
+from folioflow.plans import core
 from folioflow.sources.scratch import new_dir
 
 
@@ -276,6 +280,31 @@ def test_pixels_are_made_once(spark):
     assert hashed.first().hash & ((1 << 64) - 1) == int(bits, 2)
 
 
+def odd_pictures(small, to):
+    """Tables of which embeddings has components that single and double precision put on either side of a whole number, and rows that are null, short or not finite."""
+    for name in oracle.TABLES:
+        if name != "embeddings":
+            (to / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    one = np.float32(1)
+    some = np.random.default_rng(2).uniform(-0.9, 0.9, 400_000).astype(np.float32)
+    single, double = np.floor((some + one) * np.float32(127)), np.floor((some.astype(float) + 1) * 127)
+    edge = some[single != double]
+    assert len(edge) and edge.dtype == np.float32
+    plain = [k / 100 for k in range(64)]
+    rows = [[float(x), float(np.nextafter(np.float32((np.floor((x + one) * 127) - 0.5) / 127 - 1), one))] * 32 for x in edge[:20]]
+    nan, inf, cut = math.nan, math.inf, float(np.float32(0.15))
+    rows += [None, [], plain[:9], [None, *plain[1:]], [nan, *plain[1:]], [inf, nan] * 32, [-inf, 0.0] * 32, [1e30, 1e20] * 32, [cut, 0.1] * 32, plain]
+    rows = pa.table({"vec_id": range(len(rows)), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0] * len(rows), pa.int32())})
+    pq.write_table(rows, to / "embeddings.parquet")
+    return str(to)
+
+
+def test_pictures_are_hashed_in_single_precision(spark, small, tmp_path):
+    """Components were widened to double precision, and short rows failed."""
+    rows, expected = oracle.both(spark, odd_pictures(small, tmp_path), core.QUERIES["image_hash"], core.ORACLE_SQL["image_hash"])
+    assert rows == expected and len(set(rows)) > 10
+
+
 def test_call_schedule(spark):
     day = datetime(2024, 1, 1)
     at = lambda s: day + timedelta(seconds=s)
