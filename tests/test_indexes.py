@@ -293,7 +293,7 @@ def odd_pictures(small, to):
     plain = [k / 100 for k in range(64)]
     rows = [[float(x), float(np.nextafter(np.float32((np.floor((x + one) * 127) - 0.5) / 127 - 1), one))] * 32 for x in edge[:20]]
     nan, inf, cut = math.nan, math.inf, float(np.float32(0.15))
-    rows += [None, [], plain[:9], [None, *plain[1:]], [nan, *plain[1:]], [inf, nan] * 32, [-inf, 0.0] * 32, [1e30, 1e20] * 32, [cut, *[0.0] * 63], plain]
+    rows += [None, [], plain[:9], [None, *plain[1:]], [nan, *plain[1:]], [inf, nan] * 32, [-inf, 0.0] * 32, [1e30, 1e20] * 32, [0.0, cut, *[0.0] * 62], plain]
     rows = pa.table({"vec_id": range(len(rows)), "embedding": pa.array(rows, pa.list_(pa.float32())), "label": pa.array([0] * len(rows), pa.int32())})
     pq.write_table(rows, to / "embeddings.parquet")
     return str(to)
