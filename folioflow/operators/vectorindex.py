@@ -7,10 +7,16 @@ That finds most of its nearest neighbours (`share` says how many of the cells);
 second pass also looks into every other cell that could hold a better one: a cell's vectors
 lie within its radius, an angle, around the centroid.
 
-Cells and queries meet in a task for each (cell, slice): a large cell is stored and searched
+Cells and a few queries meet in a task for each (cell, slice): a large cell is stored and searched
 in slices of about SLICE vectors, a slice is held while the queries that want it stream
-by, BATCH at a time. So neither a crowded cell nor the neighbours of all vectors at once
-make one task large, and pairs aren't made as rows: a task gives each query's best only.
+by, BATCH at a time. So a crowded cell doesn't make a task large.
+
+Of many queries, such as all vectors at once, copies for the cells would be many times the table.
+These queries lie in blocks, as the stored vectors then do, and every two blocks meet in a Cartesian product,
+which reads both sides' files and shuffles nothing. There a query looks at the same cells as else.
+A task holds one query block, and its best so far, while at most about PART stored vectors pass; the
+work still grows with queries times vectors, the disk with either. In both ways pairs aren't made as
+rows: a task gives each query's best only.
 
 Vectors that are null, of length zero or with null or non-finite components have no
 direction; they aren't in the index and find nothing. Equal scores go to the smaller id.
@@ -19,7 +25,7 @@ direction; they aren't in the index and find nothing. Equal scores go to the sma
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.sources.scratch import ship, written
+from folioflow.sources.scratch import new_dir, ship, written
 
 #: Vectors that centroids are fitted on at most, cells at most, vectors of a slice, queries at a time, rounds of fitting.
 SAMPLE, CELLS, SLICE, BATCH, ROUNDS = 1 << 14, 1024, 1 << 14, 1024, 12
 #: Queries whose cells are looked up at a time, rows that are handed on at a time, scores that are held at a time.
 ASKED, COPIES, SCORES = 256, 1 << 12, 1 << 20
+#: Vectors of a block at most, blocks of a file, stored vectors that pass a query block in one task (about).
+BLOCK, FILE, PART = 1 << 12, 8, 1 << 18
 #: Digits of a score; the share of the cells that a query looks into.
 DIGITS, SHARE = 6, 0.6
 
@@ -53,29 +61,40 @@ def _fit(vectors: np.ndarray, cells: int) -> np.ndarray:
 
 
 def directed(vectors: DataFrame) -> DataFrame:
-    """id, vector of the vectors that have a direction."""
+    """id, vector of the vectors that have a direction, in their own precision, which is single or double."""
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
-    return vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).where(F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
+    vector = F.col("vector") if _type(vectors) == "array<float>" else F.col("vector").cast("array<double>")
+    return vectors.select("id", vector.alias("vector")).where(F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
+
+
+def _type(rows: DataFrame, column: str = "vector") -> str:
+    return dict(rows.dtypes)[column]
 
 
 def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of those of a batch that have dim components, and which they are."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     at = np.flatnonzero(sizes == dim)
-    rows = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True), at
+    return _directions(column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False), dim), at
+
+
+def _directions(numbers: np.ndarray, dim: int) -> np.ndarray:
+    rows = numbers.astype(np.float64).reshape(-1, dim)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """A stored index: centroids (bounded, held here) with each cell's radius and number of slices."""
+    """A stored index: centroids (bounded, held here) with each cell's radius and number of slices, and the number of vectors."""
 
     spark: SparkSession
     path: str
     centroids: np.ndarray
     radius: np.ndarray
     slices: np.ndarray
+    size: int
     id_type: str
+    vector_type: str
 
     @classmethod
     def build(cls, spark: SparkSession, path: str, vectors: DataFrame, cells: int | None = None) -> VectorIndex:
@@ -101,52 +120,75 @@ class VectorIndex:
                 kept = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("vector"), pa.array(closeness), pa.array(cell, pa.int32())], ["id", "vector", "closeness", "cell"])
 
-        id_type = dict(vectors.dtypes)["id"]
-        placed = vectors.mapInArrow(assign, f"id {id_type}, vector array<double>, closeness double, cell int")
+        id_type, vector_type = _type(vectors, "id"), _type(vectors)
+        schema = f"id {id_type}, vector {vector_type}, closeness double, cell int"
+        placed = vectors.mapInArrow(assign, schema)
         placed.hint("rebalance", "cell").sortWithinPartitions("cell").write.partitionBy("cell").parquet(f"{path}/vectors")
-        sizes = spark.read.schema(f"id {id_type}, vector array<double>, closeness double, cell int").parquet(f"{path}/vectors").groupBy("cell").agg(F.count("*").alias("n"), F.min("closeness").alias("least"))
-        radius, slices = np.zeros(len(centroids)), np.zeros(len(centroids), np.int64)
+        sizes = spark.read.schema(schema).parquet(f"{path}/vectors").groupBy("cell").agg(F.count("*").alias("n"), F.min("closeness").alias("least"))
+        radius, slices, size = np.zeros(len(centroids)), np.zeros(len(centroids), np.int64), 0
         for r in sizes.collect():  # a row for each cell
             radius[r.cell], slices[r.cell] = np.arccos(np.clip(r.least, -1, 1)) + 1e-7, -(-r.n // SLICE)
-        return cls(spark, path, centroids, radius, slices, id_type)
+            size += r.n
+        return cls(spark, path, centroids, radius, slices, size, id_type, vector_type)
 
     def nearest(self, queries: DataFrame, top: int, share: float = SHARE, exact: bool = False) -> DataFrame:
         """query_id, rank, id, score: each query's (id, vector) nearest vectors but the one of its own id, from that share of the cells, and with exact also from all others that could hold a nearer one."""
-        probes = max(1, math.ceil(share * len(self.centroids)))
+        probes = self._probes(share)
         queries = directed(queries).where(F.size("vector") == self.centroids.shape[1])
-        first = self._best(self._wanted(queries, probes), top)
+        best = self._meeting(queries, probes, top)
+        first = best(queries)
         if not exact:
             return _ranked(first, top)
         first = written(first, "first")
         least = _ranked(first, top).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         bound = F.when(F.col("n") == top, F.col("least")).otherwise(F.lit(-2.0))
         queries = queries.join(least.select(F.col("query_id").alias("id"), bound.alias("least")), "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0)))
-        return _ranked(first.unionByName(self._best(self._wanted(queries, probes, beyond=True), top)), top)
+        return _ranked(first.unionByName(best(queries, beyond=True)), top)
 
     def neighbours(self, top: int, share: float = SHARE) -> DataFrame:
         """query_id, rank, id, score: the nearest vectors of every vector that is stored."""
-        return self.nearest(self.vectors().select("id", "vector"), top, share)
+        if len(self.centroids) < 2:  # as nearest would have it
+            return self.nearest(self.vectors().select("id", "vector"), top, share)
+        stored = self._stored()
+        return _ranked(self._met(stored, self.vector_type, self._parts(stored, self.size), self._probes(share), top), top)
+
+    def _probes(self, share: float) -> int:
+        return max(1, math.ceil(share * len(self.centroids)))
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema(f"id {self.id_type}, vector array<double>, closeness double, cell int").parquet(f"{self.path}/vectors")
+        return self.spark.read.schema(f"id {self.id_type}, vector {self.vector_type}, closeness double, cell int").parquet(f"{self.path}/vectors")
+
+    def _meeting(self, queries: DataFrame, probes: int, top: int) -> Callable[..., DataFrame]:
+        """The way for such queries to meet the stored vectors: as copies for the cells if all cells' copies are no more than the stored vectors, else in blocks."""
+        n = queries.count()
+        if n * len(self.centroids) <= self.size:
+            return lambda queries, beyond=False: self._best(self._wanted(queries, probes, beyond), top)
+        stored = self._parts(self._stored(), n)
+
+        def best(queries: DataFrame, beyond: bool = False) -> DataFrame:
+            asked = _blocks(queries.select("id", "vector", (F.col("least") if beyond else F.lit(0.0)).alias("mark")))
+            return self._met(asked, _type(queries), stored, probes, top, beyond)
+
+        return best
+
+    def _stored(self) -> DataFrame:
+        return _blocks(self.vectors().select("id", "vector", F.col("cell").cast("double").alias("mark")))
+
+    def _parts(self, stored: DataFrame, n: int) -> DataFrame:
+        """Stored blocks in the parts that n queries meet: each query gives its best of each, so few queries can have more parts for the cores, many only as many as memory asks for."""
+        cores = -(-2 * self.spark.sparkContext.defaultParallelism // -(-n // BLOCK))
+        return stored.coalesce(max(-(-self.size // PART), min(cores, -(-self.size // BLOCK))))
 
     def _wanted(self, queries: DataFrame, probes: int, beyond: bool = False) -> DataFrame:
         """Queries once for each slice of each cell that they look into: the nearest ones, or of all others those that may hold a score of `least`."""
-        centroids, radius, slices = self.centroids, self.radius, self.slices
-        dim, used = centroids.shape[1], min(probes, len(centroids))
+        looks, slices, dim = self._looks(probes, beyond), self.slices, self.centroids.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first in range(0, len(batch), ASKED):
                     some = batch.slice(first, ASKED)
                     units, _ = _units(some.column("vector"), dim)
-                    near = units @ centroids.T
-                    nearest = np.argsort(-near, axis=1, kind="stable")[:, :used]
-                    wants = np.zeros(near.shape, bool)
-                    np.put_along_axis(wants, nearest, True, axis=1)
-                    if beyond:
-                        reach = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius[None, :]))
-                        wants = ~wants & (reach >= some.column("least").to_numpy(zero_copy_only=False)[:, None] - 2 * 10.0**-DIGITS)
+                    wants = looks(units, some.column("least").to_numpy(zero_copy_only=False) if beyond else None)
                     at, cell = np.nonzero(wants & (slices[None, :] > 0))
                     times = slices[cell]
                     part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -156,11 +198,49 @@ class VectorIndex:
                         kept = some.take(pa.array(at[k : k + COPIES]))
                         yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("vector"), pa.array(cell[k : k + COPIES], pa.int32()), pa.array(part[k : k + COPIES], pa.int32())], ["id", "vector", "cell", "slice"])
 
-        return queries.mapInArrow(run, f"id {dict(queries.dtypes)['id']}, vector array<double>, cell int, slice int")
+        return queries.mapInArrow(run, f"id {_type(queries, 'id')}, vector {_type(queries)}, cell int, slice int")
+
+    def _looks(self, probes: int, beyond: bool) -> Callable[[np.ndarray, np.ndarray | None], np.ndarray]:
+        """Which cells each query looks into, of unit vectors: the nearest ones, or of all others those that may hold a score of `least`."""
+        centroids, radius, used = self.centroids, self.radius, min(probes, len(self.centroids))
+
+        def looks(units: np.ndarray, least: np.ndarray | None) -> np.ndarray:
+            near = units @ centroids.T
+            nearest = np.argsort(-near, axis=1, kind="stable")[:, :used]
+            wants = np.zeros(near.shape, bool)
+            np.put_along_axis(wants, nearest, True, axis=1)
+            if beyond:
+                reach = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius[None, :]))
+                wants = ~wants & (reach >= least[:, None] - 2 * 10.0**-DIGITS)
+            return wants
+
+        return looks
+
+    def _met(self, asked: DataFrame, vector_type: str, stored: DataFrame, probes: int, top: int, beyond: bool = False) -> DataFrame:
+        """query_id, id, score: the best of each part of the stored blocks for each query of many, asked in blocks."""
+        both = asked.crossJoin(stored.select(*[F.col(c).alias(f"s_{c}") for c in ("ids", "vectors", "marks")]).hint("shuffle_replicate_nl"))
+        forms = {"": FORMS[vector_type], "s_": FORMS[self.vector_type]}
+        looks, dim = self._looks(probes, beyond), self.centroids.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = None
+            for batch in batches:
+                number = batch.column("block").to_numpy()
+                for k in range(len(batch)):
+                    if block is None or block.number != number[k]:
+                        if block is not None:
+                            yield block.found()
+                        block = _Asking(number[k], *_unpacked(batch, k, "", forms, dim), looks, top)
+                    block.meet(*_unpacked(batch, k, "s_", forms, dim))
+            if block is not None:
+                yield block.found()
+
+        id_type = _type(asked, "ids").removeprefix("array<").removesuffix(">")
+        return both.mapInArrow(run, f"query_id {id_type}, id {self.id_type}, score double")
 
     def _best(self, wanted: DataFrame, top: int) -> DataFrame:
         """query_id, id, score: each query's best of each slice that it looks into."""
-        dim, id_type = self.centroids.shape[1], dict(wanted.dtypes)["id"]
+        dim, id_type = self.centroids.shape[1], _type(wanted, "id")
         slices = F.array(*[F.lit(int(s)) for s in self.slices]) if len(self.slices) else F.array(F.lit(1))
         stored = self.vectors().select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.get(slices, F.col("cell"))).cast("int").alias("slice"))
         both = stored.withColumn("kind", F.lit(0)).unionByName(wanted.withColumn("kind", F.lit(1)))
@@ -212,6 +292,101 @@ def _best_of(queries: pa.RecordBatch, ids: pa.Array, units: np.ndarray, top: int
     return pa.RecordBatch.from_arrays([queries.column("id").take(pa.array(q)), ids.take(pa.array(c)), pa.array(score[q, c])], ["query_id", "id", "score"])
 
 
+#: How a vector's numbers lie in a block's bytes.
+FORMS = {"array<float>": "<f4", "array<double>": "<f8"}
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (id, vector, mark) as stored blocks: a number, ids, and vectors and marks as bytes."""
+    form = FORMS[_type(rows)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while len(batch):
+                held.append(batch.slice(0, BLOCK - n))
+                n += len(held[-1])
+                batch = batch.slice(len(held[-1]))
+                if n == BLOCK:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        all_ = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        vectors, marks = (x.to_numpy(zero_copy_only=False) for x in (all_.column("vector").flatten(), all_.column("mark")))
+        ids = pa.ListArray.from_arrays(pa.array([0, len(all_)], pa.int32()), all_.column("id"))
+        data = [pa.array([x.astype(f).tobytes()], pa.binary()) for x, f in ((vectors, form), (marks, "<f8"))]
+        return pa.RecordBatch.from_arrays([ids, *data], ["ids", "vectors", "marks"])
+
+    session = rows.sparkSession
+    path = f"{new_dir(session)}/blocks"
+    blocks = rows.mapInArrow(run, f"ids array<{_type(rows, 'id')}>, vectors binary, marks binary").withColumn("block", F.monotonically_increasing_id())
+    blocks.write.option("maxRecordsPerFile", FILE).parquet(path)
+    return session.read.schema(blocks.schema).parquet(path)
+
+
+def _unpacked(batch: pa.RecordBatch, row: int, prefix: str, forms: dict[str, str], dim: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, unit vectors and marks of a block."""
+    vectors, marks = (np.frombuffer(batch.column(prefix + c)[row].as_buffer(), f) for c, f in (("vectors", forms[prefix]), ("marks", "<f8")))
+    return batch.column(f"{prefix}ids")[row].values, _directions(vectors, dim), marks
+
+
+class _Asking:
+    """A block of queries and the best of what it has met."""
+
+    def __init__(self, number: int, ids: pa.Array, units: np.ndarray, least: np.ndarray, looks: Callable, top: int):
+        self.number, self.queries, self.units, self.top = number, ids, units, top
+        self.own = ids.to_numpy(zero_copy_only=False)
+        wants = [looks(units[k : k + ASKED], least[k : k + ASKED]) for k in range(0, len(units), ASKED)]
+        self.wants = np.ascontiguousarray(np.concatenate(wants).T)
+        self.score = np.full((len(units), top), -3.0)
+        self.ids = None
+
+    def meet(self, ids: pa.Array, units: np.ndarray, cells: np.ndarray) -> None:
+        """Look at a stored block, in runs of a cell."""
+        self.id_type, names = ids.type, ids.to_numpy(zero_copy_only=False)
+        if self.ids is None:
+            self.ids = np.zeros(self.score.shape, names.dtype)
+        cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(cells)], strict=True):
+            asking = np.flatnonzero(self.wants[int(cells[low])])
+            at_once = max(1, SCORES // (high - low))
+            for k in range(0, len(asking), at_once):
+                self._meet(asking[k : k + at_once], names[low:high], units[low:high])
+
+    def _meet(self, asking: np.ndarray, names: np.ndarray, units: np.ndarray) -> None:
+        score = self.units[asking] @ units.T
+        least = self.score[asking, -1]
+        new = np.flatnonzero(least == -3.0)
+        if len(new) and len(units) > self.top:  # without a full list yet, at most what reaches this run's k-th best
+            some = score[new]
+            some[self.own[asking[new]][:, None] == names[None, :]] = -3.0
+            least[new] = np.partition(some, len(units) - self.top, axis=1)[:, len(units) - self.top]
+        q, c = np.divmod(np.flatnonzero(score >= least[:, None] - 10.0**-DIGITS), len(units))
+        rounded = np.round(score[q, c], DIGITS) + 0.0
+        q = asking[q]
+        other = self.own[q] != names[c]
+        if other.any():
+            self._keep(q[other], names[c[other]], rounded[other])
+
+    def _keep(self, q: np.ndarray, names: np.ndarray, score: np.ndarray) -> None:
+        """Put these among their queries' best: by rounded score, then by id."""
+        rows = np.unique(q)
+        i, j = np.nonzero(self.score[rows] > -3.0)
+        q, names, score = (np.concatenate(x) for x in ((rows[i], q), (self.ids[rows[i], j], names), (self.score[rows[i], j], score)))
+        by = np.lexsort((np.unique(names, return_inverse=True)[1], -score, q))
+        q, names, score = q[by], names[by], score[by]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.top
+        self.ids[q[kept], place[kept]], self.score[q[kept], place[kept]] = names[kept], score[kept]
+
+    def found(self) -> pa.RecordBatch:
+        q, j = np.nonzero(self.score > -3.0)
+        return pa.RecordBatch.from_arrays([self.queries.take(pa.array(q)), pa.array(self.ids[q, j], self.id_type), pa.array(self.score[q, j])], ["query_id", "id", "score"])
+
+
 def _ranked(found: DataFrame, top: int) -> DataFrame:
     place: Column = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", place.cast("long")).where(F.col("rank") <= top).select("query_id", "rank", "id", "score")

@@ -207,6 +207,29 @@ def test_neighbours_are_handed_on_in_pieces(spark, monkeypatch):
     assert index._wanted(df, 9).count() == 2700 and sorted(map(tuple, index.neighbours(3).collect())) == want
 
 
+@pytest.mark.parametrize("id_type", ["long", "string"])
+def test_many_queries_meet_in_blocks(spark, monkeypatch, id_type):
+    """Every query's vector was shuffled once for each of its cells. In blocks nothing is shuffled before the meeting, and the neighbours are those that copies find."""
+    monkeypatch.setattr(vectorindex, "SLICE", 16)
+    rng = np.random.default_rng(9)
+    rows = [(k, [round(float(x), 2) for x in rng.normal(size=6)]) for k in range(230)] + [(300 + k, [1.0] + [0.0] * 5) for k in range(40)] + [(5, [0.5] * 6)]
+    rows = [(k if id_type == "long" else f"é{k}", v) for k, v in rows]
+    df = spark.createDataFrame(rows, f"id {id_type}, vector array<double>")
+    index = VectorIndex.build(spark, new_dir(spark), df)
+    queries = index.vectors().select("id", "vector")
+    want = sorted(map(tuple, vectorindex._ranked(index._best(index._wanted(queries, 9), 4), 4).collect()))
+    for name, n in (("BLOCK", 32), ("PART", 100), ("FILE", 1), ("SCORES", 90), ("ASKED", 7)):
+        monkeypatch.setattr(vectorindex, name, n)
+    found = index._meeting(queries, 9, 4)(queries)
+    assert sorted(map(tuple, vectorindex._ranked(found, 4).collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert found.count() <= 4 * index.size * 4 and index.size == len(rows)  # a query's best once for each of the parts
+    exact = {t for t in brute_nearest(rows, [r for r in rows if r[0] not in (5, "é5")], 4)}
+    assert {tuple(r) for r in index.nearest(df.where(df.id != rows[5][0]), 4, share=0.1, exact=True).collect()} == exact
+    assert {tuple(r) for r in index.neighbours(4, share=1.0).where(F.col("query_id") != rows[5][0]).collect()} == exact
+
+
 def test_words_are_counted_where_they_stand(spark, monkeypatch):
     """Each word of each text was shuffled to be counted."""
     monkeypatch.setattr(retrieval, "TEXTS", 2)
