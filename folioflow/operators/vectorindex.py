@@ -14,8 +14,8 @@ by, BATCH at a time. So a crowded cell doesn't make a task large.
 Of many queries, such as all vectors at once, copies for the cells would be many times the table.
 These queries lie in blocks, as the stored vectors then do, and every two blocks meet in a Cartesian product,
 which reads both sides' files and shuffles nothing. There a query looks at the same cells as else.
-A task holds one query block, and its best so far, while at most about PART stored vectors pass; the
-work still grows with queries times vectors, the disk with either. In both ways pairs aren't made as
+A task holds one query block, and its best so far, while stored vectors of about PART numbers pass.
+The work still grows with queries times vectors; the disk with either, and a query's best stand there once for each PART. In both ways pairs aren't made as
 rows: a task gives each query's best only.
 
 Vectors that are null, of length zero or with null or non-finite components have no
@@ -39,8 +39,8 @@ from folioflow.sources.scratch import new_dir, ship, written
 SAMPLE, CELLS, SLICE, BATCH, ROUNDS = 1 << 14, 1024, 1 << 14, 1024, 12
 #: Queries whose cells are looked up at a time, rows that are handed on at a time, scores that are held at a time.
 ASKED, COPIES, SCORES = 256, 1 << 12, 1 << 20
-#: Vectors of a block at most, blocks of a file, stored vectors that pass a query block in one task (about).
-BLOCK, FILE, PART = 1 << 12, 8, 1 << 18
+#: Vectors of a block at most, blocks of a file, numbers of the stored vectors that pass a query block in one task (about): half a million vectors of 64.
+BLOCK, FILE, PART = 1 << 12, 8, 1 << 25
 #: Digits of a score; the share of the cells that a query looks into.
 DIGITS, SHARE = 6, 0.6
 
@@ -177,7 +177,7 @@ class VectorIndex:
     def _parts(self, stored: DataFrame, n: int) -> DataFrame:
         """Stored blocks in the parts that n queries meet: each query gives its best of each, so few queries can have more parts for the cores, many only as many as memory asks for."""
         cores = -(-2 * self.spark.sparkContext.defaultParallelism // -(-n // BLOCK))
-        return stored.coalesce(max(-(-self.size // PART), min(cores, -(-self.size // BLOCK))))
+        return stored.coalesce(max(-(-self.size * self.centroids.shape[1] // PART), min(cores, -(-self.size // BLOCK))))
 
     def _wanted(self, queries: DataFrame, probes: int, beyond: bool = False) -> DataFrame:
         """Queries once for each slice of each cell that they look into: the nearest ones, or of all others those that may hold a score of `least`."""

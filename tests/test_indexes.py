@@ -218,7 +218,7 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch, id_type):
     index = VectorIndex.build(spark, new_dir(spark), df)
     queries = index.vectors().select("id", "vector")
     want = sorted(map(tuple, vectorindex._ranked(index._best(index._wanted(queries, 9), 4), 4).collect()))
-    for name, n in (("BLOCK", 32), ("PART", 100), ("FILE", 1), ("SCORES", 90), ("ASKED", 7)):
+    for name, n in (("BLOCK", 32), ("PART", 600), ("FILE", 1), ("SCORES", 90), ("ASKED", 7)):
         monkeypatch.setattr(vectorindex, name, n)
     found = index._meeting(queries, 9, 4)(queries)
     assert sorted(map(tuple, vectorindex._ranked(found, 4).collect())) == want
