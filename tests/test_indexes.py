@@ -230,6 +230,20 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch, id_type):
     assert {tuple(r) for r in index.neighbours(4, share=1.0).where(F.col("query_id") != rows[5][0]).collect()} == exact
 
 
+@pytest.mark.parametrize("ids", [[0, 50], range(200)])
+def test_vectors_of_either_precision_meet(spark, ids):
+    """Few and many queries in double precision, vectors stored in single, and the other way."""
+    rng = np.random.default_rng(10)
+    rows = [(k, [float(x) / 8 for x in rng.integers(-20, 20, 6)] if k else [1.0] * 6) for k in range(200)]
+    exact = brute_nearest(rows, [r for r in rows if r[0] in ids], 4)
+    double = spark.createDataFrame(rows, "id long, vector array<double>")
+    single = double.withColumn("vector", F.col("vector").cast("array<float>"))
+    for stored, asking in ((single, double), (double, single)):
+        index = VectorIndex.build(spark, new_dir(spark), stored)
+        assert index.vectors().schema["vector"].dataType == stored.schema["vector"].dataType
+        assert {tuple(r) for r in index.nearest(asking.where(F.col("id").isin(*ids)), 4, share=0.2, exact=True).collect()} == exact
+
+
 def test_words_are_counted_where_they_stand(spark, monkeypatch):
     """Each word of each text was shuffled to be counted."""
     monkeypatch.setattr(retrieval, "TEXTS", 2)
